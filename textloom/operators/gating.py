@@ -45,17 +45,16 @@ def force_accept_solutions(df: DataFrame, tasks: DataFrame, validation: str = "v
                            enabled: bool = True) -> DataFrame:
     """Accept solutions while at most ``threshold`` tasks were accepted before the iteration.
 
-    The counts never fall, so the iterations concerned are those up to one
-    number, which is all that is joined to the solutions.
+    The counts never fall, so the iterations concerned are those up to one number, a
+    scalar of the plan.
     """
     if not enabled:
         return df
     last = valid_before(tasks, iteration).where(F.col("valid_before") <= threshold).agg(
-        F.max(iteration).alias("_last")
+        F.max(iteration).alias("last")
     )
-    gated = df.join(F.broadcast(last), how="left")
-    force = F.coalesce(F.col(iteration) <= F.col("_last"), F.lit(False))
-    return gated.withColumn(validation, _forced(F.col(validation), force)).drop("_last")
+    force = F.coalesce(F.col(iteration) <= last.scalar(), F.lit(False))
+    return df.withColumn(validation, _forced(F.col(validation), force))
 
 
 def uniform(*keys: Column) -> Column:

@@ -129,9 +129,9 @@ def token_ids(
     salted = clamped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens).alias("pos", "token"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
-    found = rows.join(salted, ["token", "salt"], "left").join(F.broadcast(unknown), how="left")
+    found = rows.join(salted, ["token", "salt"], "left")
     lists = found.groupBy("_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", "miss").cast("int").alias("id")))),
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", unknown.scalar()).cast("int").alias("id")))),
         lambda x: x["id"],
     ).alias(out_col))
     empty = F.when(tokens.isNotNull(), F.array().cast("array<int>"))
