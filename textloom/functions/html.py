@@ -11,7 +11,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import NON_CONTENT_TAGS
@@ -91,36 +91,42 @@ def _parse_batch(html: pd.Series) -> pd.Series:
     return html.map(parse_visible_text, na_action="ignore")
 
 
-def _marked(html: Column) -> Column:
+def marked(html: Column) -> Column:
+    """The page with dropped blocks, comments and tags replaced by one mark each."""
     return F.regexp_replace(F.regexp_replace(html, BLOCKS, MARK), TAGS, MARK)
 
 
-def needs_parser(html: Column) -> Column:
+def needs_parser(html: Column, marked_html: Column) -> Column:
     """True where the native expressions could differ from a parser."""
-    leftover = _marked(html).rlike(r"<[A-Za-z/!?]")
+    leftover = marked_html.rlike(r"<[A-Za-z/!?]")
     return leftover | html.rlike(_OTHER_ENTITY) | html.rlike(_SPECIAL)
 
 
-def native_text(html: Column) -> Column:
-    """Native path: drop blocks and tags, decode entities, strip and join nodes."""
-    text = _marked(html)
+def marked_text(marked_html: Column) -> Column:
+    """Text nodes of a marked page: entities decoded, stripped, joined by newlines."""
+    text = marked_html
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     nodes = F.transform(F.split(text, MARK), strip_blanks)
     return F.array_join(F.array_remove(nodes, ""), "\n")
 
 
-def html_to_text(html: Column, engine: str = "auto") -> Column:
-    """Visible text, one text node per line; ``engine`` is auto, native or parser."""
-    if engine == "native":
-        return native_text(html)
+def html_to_text(df: DataFrame, html_col: str, out_col: str = "text",
+                 engine: str = "auto") -> DataFrame:
+    """Add the visible text, one text node per line; ``engine`` is auto, native or parser."""
+    html = F.col(html_col)
     parse = F.pandas_udf(_parse_batch, "string")
     if engine == "parser":
-        return parse(html)
-    if engine != "auto":
+        return df.withColumn(out_col, parse(html))
+    staged = df.withColumn("_marked", marked(html))
+    text = marked_text(F.col("_marked"))
+    if engine == "auto":
+        staged = staged.withColumn("_hard", needs_parser(html, F.col("_marked")))
+        parsed = parse(F.when(F.col("_hard"), html))
+        text = F.when(F.col("_hard"), parsed).otherwise(text)
+    elif engine != "native":
         raise ValueError(f"unknown engine {engine!r}: use auto, native or parser")
-    hard = needs_parser(html)
-    return F.coalesce(parse(F.when(hard, html)), native_text(html))
+    return staged.withColumn(out_col, text).drop("_marked", "_hard")
 
 
 def decode_body(body: Column) -> Column:

@@ -8,7 +8,7 @@ from textloom.functions.fixed_values import (
     BLANK_CHARS, PLACEHOLDER_SOLUTION_DEFAULT, PLACEHOLDER_SOLUTIONS, PLACEHOLDER_TASK,
     SFT_TEMPLATE, SHORT_TASK, SOLUTION_PROMPT, TASK_PREFIXES, TASK_PROMPT, TASK_PROMPT_SUFFIX,
 )
-from textloom.functions.text import strip_blanks
+from textloom.functions.text import let, strip_blanks
 
 SHORT = 15
 
@@ -65,30 +65,38 @@ def _filled(template: str, instruction: Column, output: Column) -> Column:
 
 def extract_task(text: Column) -> Column:
     """First line without its prefix; short first lines take up to three lines; or null."""
-    lines = F.split(strip_blanks(text), "\n")
-    task = F.get(lines, F.lit(0))
-    for prefix in TASK_PREFIXES:
-        rest = F.substring(task, F.lit(len(prefix) + 1), F.length(task))
-        task = F.when(F.startswith(task, F.lit(prefix)), strip_blanks(rest)).otherwise(task)
-    joined = F.array_join(F.slice(lines, 1, 3), " ")
-    short = (F.length(task) < SHORT) & (F.size(lines) > 1)
-    return F.nullif(F.when(short, joined).otherwise(task), F.lit(""))
+
+    def without(prefix: str, task: Column) -> Column:
+        return let(task, lambda t: F.when(
+            F.startswith(t, F.lit(prefix)),
+            strip_blanks(F.substring(t, F.lit(len(prefix) + 1), F.length(t))),
+        ).otherwise(t))
+
+    def read(lines: Column) -> Column:
+        first = F.get(lines, F.lit(0))
+        for prefix in TASK_PREFIXES:
+            first = without(prefix, first)
+        joined = F.array_join(F.slice(lines, 1, 3), " ")
+        return let(first, lambda t: F.when(
+            (F.length(t) < SHORT) & (F.size(lines) > 1), joined
+        ).otherwise(t))
+
+    return let(let(F.split(strip_blanks(text), "\n"), read), lambda t: F.when(t != "", t))
 
 
 def expand_short_task(task: Column, task_type: Column) -> Column:
-    return F.when(
-        F.length(task) < SHORT, fill(SHORT_TASK, type=task_type, task=task)
-    ).otherwise(task)
+    return let(task, lambda t: F.when(
+        F.length(t) < SHORT, fill(SHORT_TASK, type=task_type, task=t)
+    ).otherwise(t))
 
 
 def extract_answer(text: Column) -> Column:
     """Trimmed content of the first answer element, else the trimmed text; blank is null."""
     pattern = r"(?s)<answer>(.*?)</answer>"
-    trimmed = strip_blanks(text)
     answer = F.when(
         text.rlike(pattern), strip_blanks(F.regexp_extract(text, pattern, 1))
-    ).otherwise(trimmed)
-    return F.nullif(F.when(trimmed != "", answer), F.lit(""))
+    ).otherwise(strip_blanks(text))
+    return let(answer, lambda a: F.when(a != "", a))
 
 
 def extract_code_blocks(text: Column) -> Column:

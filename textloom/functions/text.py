@@ -1,12 +1,23 @@
 """Column functions on text: blanks, words, shingles, n-grams."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import BLANK, BLANK_CHARS
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A column expression used twice is planned twice, and one used inside a lambda runs once
+    per element; a bound lambda variable does neither.
+    """
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
+
+
 def strip_blanks(text: Column) -> Column:
     """Remove leading and trailing Unicode blanks in linear time."""
     return F.btrim(text, F.lit(BLANK_CHARS))
@@ -40,19 +51,25 @@ def word_ngrams(words: Column, n: int) -> Column:
     """Set of word n-grams; words hold no blanks, so the joined form is unique."""
     if n == 1:
         return F.array_distinct(words)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(words) - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
-    )
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(
-        F.array().cast("array<string>")
-    )
+
+    def grams(bound: Column) -> Column:
+        joined = F.transform(
+            F.sequence(F.lit(1), F.size(bound) - F.lit(n - 1)),
+            lambda i: F.array_join(F.slice(bound, i, n), " "),
+        )
+        return F.when(F.size(bound) >= n, F.array_distinct(joined)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return let(words, grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """|A ∩ B| / |A ∪ B| of two arrays of distinct values; null when both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0))
+    return let(a, lambda x: let(b, lambda y: let(
+        F.size(F.array_intersect(x, y)),
+        lambda shared: F.try_divide(shared, F.size(x) + F.size(y) - shared),
+    )))
 
 
 def count_substring(text: Column, needle: str) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.html import html_to_text
+from textloom.operators.spread import spread
 from textloom.operators.langid import filter_language, lang_identify
 
 MIN_LENGTH, MAX_LENGTH = 256, 100_000
@@ -43,9 +44,8 @@ def clean_documents(
     The length filter runs before the language step, which drops the same rows in any
     order but is the dearer one. Without a model or whitelist every language is kept.
     """
-    pages = filter_response(records, body=body_col).select(
-        id_col, html_to_text(F.col(body_col), engine).alias("text")
-    )
+    answered = filter_response(records, body=body_col).select(id_col, body_col)
+    pages = html_to_text(spread(answered, id_col), body_col, "text", engine).select(id_col, "text")
     texts = filter_length(pages, "text", low, high)
     if not whitelist:
         return texts

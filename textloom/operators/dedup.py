@@ -148,10 +148,10 @@ def dedup_documents(df: DataFrame, **options) -> DataFrame:
 
 def dedup_stats(found: Duplicates) -> DataFrame:
     """One row: documents signed, distinct edges, components, dropped and kept rows."""
-    rows = found.df.select(F.lit(1).alias("document"), F.lit(None).cast("long").alias("component"))
-    members = found.clusters().select(F.lit(0), F.col("component").cast("long"))
+    rows = found.df.select(F.lit(1).alias("document"))
+    members = found.clusters().select("component")
     return (
-        rows.union(members)
+        rows.unionByName(members, allowMissingColumns=True)
         .agg(
             F.sum("document").alias("documents"),
             F.count("component").alias("clustered"),

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import blank_words, word_ngrams
+from textloom.functions.text import blank_words, jaccard, word_ngrams
 from textloom.operators.skew import HOT_ROWS, join_per_key
 
 NGRAM_WEIGHTS = (0.2, 0.4, 0.4)
@@ -26,9 +26,7 @@ BUNDLE = 64
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two sets; 1 when both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - shared
-    return F.when(union == 0, F.lit(1.0)).otherwise(shared / F.greatest(union, F.lit(1)))
+    return F.coalesce(jaccard(a, b), F.lit(1.0))
 
 
 def task_similarity(a: Column, b: Column, weights: Sequence[float] = NGRAM_WEIGHTS) -> Column:
@@ -81,11 +79,12 @@ def closest_earlier_task(
     split = F.split("words", " ")
     listed = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(split)
     member = F.struct(F.col("first").alias("seq"), *[
-        word_ngrams(listed, n).alias(f"g{n}") for n in range(1, len(weights) + 1)
+        word_ngrams(F.col("listed"), n).alias(f"g{n}") for n in range(1, len(weights) + 1)
     ])
     bundles = (
         join_per_key(firsts, blocks, ["iteration"], "tasks", hot_rows=hot_rows)
         .withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks")))
+        .withColumn("listed", listed)
         .groupBy("iteration", "block", "blocks")
         .agg(F.collect_list(member).alias("members"))
     )

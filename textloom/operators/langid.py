@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
 from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.spread import spread
 
@@ -20,14 +21,16 @@ MAX_LANGUAGES = 500
 def trigrams(text: Column) -> Column:
     """Overlapping three-character pieces of the lower-cased text, blanks squeezed."""
     letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    chars = F.split(F.concat(F.lit(" "), F.trim(letters), F.lit(" ")), "")
-    return F.when(
-        F.size(chars) >= 3,
-        F.transform(
+    padded = F.split(F.concat(F.lit(" "), F.trim(letters), F.lit(" ")), "")
+
+    def pieces(chars: Column) -> Column:
+        joined = F.transform(
             F.sequence(F.lit(0), F.size(chars) - 3),
             lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+        )
+        return F.when(F.size(chars) >= 3, joined).otherwise(F.array().cast("array<string>"))
+
+    return let(padded, pieces)
 
 
 def train_language_model(

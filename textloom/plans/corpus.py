@@ -77,7 +77,8 @@ def run_download(spark: SparkSession, cfg: DownloadConfig) -> dict[str, int]:
 
 def run_clean(spark: SparkSession, cfg: CleanConfig) -> None:
     records = scan_web_archive(spark, cfg.input_dir).where("error is null").select(
-        F.xxhash64("path", "rec_no").alias("doc_id"), "rec_type", "http_status",
+        F.concat_ws("#", "path", F.lpad(F.col("rec_no").cast("string"), 10, "0")).alias("doc_id"),
+        "rec_type", "http_status",
         decode_body(F.col("body")).alias("body"),
     )
     model = spark.read.parquet(cfg.language_model) if cfg.language_model else None
@@ -90,7 +91,8 @@ def run_clean(spark: SparkSession, cfg: CleanConfig) -> None:
 def as_lines(documents: DataFrame) -> DataFrame:
     """Every line as a document; ids follow document and line number."""
     return scan_text_lines(documents, "text", "doc_id").select(
-        F.xxhash64("doc_id", "line_no").alias("doc_id"), F.col("value").alias("text")
+        F.concat_ws("#", "doc_id", F.lpad(F.col("line_no").cast("string"), 10, "0")).alias("doc_id"),
+        F.col("value").alias("text"),
     )
 
 

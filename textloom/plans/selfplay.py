@@ -17,10 +17,12 @@ from textloom.operators.storage import cut
 def validated_tasks(tasks: DataFrame, force: bool = True, **thresholds) -> DataFrame:
     """Tasks with ``validation``, forced acceptance included."""
     execution = F.col("execution_score") if "execution_score" in tasks.columns else None
-    scored = tasks.withColumn("validation", validate_task(
+    scored = tasks.withColumns({
+        "_complexity": complexity_score(F.col("task")), "_clarity": clarity_score(F.col("task")),
+    }).withColumn("validation", validate_task(
         F.col("task"), F.col("is_placeholder"), F.col("from_seed"),
-        complexity_score(F.col("task")), clarity_score(F.col("task")), execution, **thresholds,
-    ))
+        F.col("_complexity"), F.col("_clarity"), execution, **thresholds,
+    )).drop("_complexity", "_clarity")
     return force_accept_tasks(scored, enabled=force)
 
 
@@ -44,6 +46,19 @@ def score_tasks(tasks: DataFrame, force: bool = True, keys: list[str] = R.TASK_R
     ).drop("max_similarity")
 
 
+def validated_solutions(solutions: DataFrame, **thresholds) -> DataFrame:
+    """Solutions with ``validation``; ``executed`` is used where the column exists."""
+    executed = F.col("executed") if "executed" in solutions.columns else None
+    return solutions.withColumns({
+        "_coherence": coherence_score(F.col("solution")),
+        "_relevance": relevance_score(F.col("task"), F.col("solution")),
+        "_structure": structure_score(F.col("raw_generation")),
+    }).withColumn("validation", validate_solution(
+        F.col("solution"), F.col("is_placeholder"), F.col("_coherence"), F.col("_relevance"),
+        F.col("_structure"), executed, **thresholds,
+    )).drop("_coherence", "_relevance", "_structure")
+
+
 def score_solutions(solutions: DataFrame, tasks: DataFrame, force: bool = True,
                     keys: list[str] = R.SOLUTION_REWARDS) -> DataFrame:
     """Solutions with ``validation`` and ``rewards``.
@@ -51,13 +66,7 @@ def score_solutions(solutions: DataFrame, tasks: DataFrame, force: bool = True,
     Input: iteration, seq, task, solution, raw_generation, is_placeholder and, where code
     ran, ``executed``. ``tasks`` are the validated tasks that decide forced acceptance.
     """
-    executed = F.col("executed") if "executed" in solutions.columns else None
-    checked = solutions.withColumn("validation", validate_solution(
-        F.col("solution"), F.col("is_placeholder"), coherence_score(F.col("solution")),
-        relevance_score(F.col("task"), F.col("solution")),
-        structure_score(F.col("raw_generation")), executed,
-    ))
-    gated = force_accept_solutions(checked, tasks, enabled=force)
+    gated = force_accept_solutions(validated_solutions(solutions), tasks, enabled=force)
     rewards = R.reward_map({
         "accuracy": R.reward_accuracy(F.col("validation.is_valid"), F.col("validation.correctness")),
         "coherence": R.reward_linear(F.col("validation.coherence")),
