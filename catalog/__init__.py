@@ -1,9 +1,9 @@
 """Registered queries over the given tables and their DuckDB counterparts."""
 from __future__ import annotations
 
-from catalog import scoring
+from catalog import corpus, scoring
 
-MODULES = [scoring]
+MODULES = [corpus, scoring]
 
 
 def queries() -> dict:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from textloom.functions.minhash import band_layout, lsh_bands, minhash_signature
 from textloom.functions.text import jaccard, shingle_words
 from textloom.operators.graph import MAX_ROUNDS, connected_components
+from textloom.operators.positions import with_position
 from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut
@@ -58,18 +59,26 @@ def one_per_signature(signed_rows: DataFrame) -> DataFrame:
     )
 
 
+def band_members(nodes: DataFrame) -> DataFrame:
+    return nodes.select("id", F.explode("band_keys").alias("bucket"))
+
+
+def band_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, anchor, members) of the buckets shared by several nodes."""
+    return (
+        band_members(nodes).groupBy("bucket")
+        .agg(F.min("id").alias("anchor"), F.count("*").alias("members"))
+        .where("members > 1")
+    )
+
+
 def lsh_candidates(
     nodes: DataFrame, total_rows: int | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Distinct edges (src, dst), src < dst: members of a bucket to its least id."""
-    members = nodes.select("id", F.explode("band_keys").alias("bucket"))
-    buckets = (
-        members.groupBy("bucket")
-        .agg(F.min("id").alias("anchor"), F.count("*").alias("members"))
-        .where("members > 1")
-    )
+    members = band_members(nodes)
     return (
-        join_per_key(members, buckets, ["bucket"], "members", total_rows, hot_rows)
+        join_per_key(members, band_buckets(nodes), ["bucket"], "members", total_rows, hot_rows)
         .where("id <> anchor")
         .select(F.col("anchor").alias("src"), F.col("id").alias("dst"))
         .distinct()
@@ -146,6 +155,23 @@ def dedup_documents(df: DataFrame, **options) -> DataFrame:
     return Duplicates(df, **options).kept()
 
 
+def unclustered(found: Duplicates) -> DataFrame:
+    """Rows without any copy."""
+    ids = found.clusters().select(F.col("id").alias(found.id_col))
+    return found.df.join(ids, found.id_col, "left_anti")
+
+
+def representatives(found: Duplicates) -> DataFrame:
+    """One row per cluster: the one with the least id."""
+    first = found.clusters().where("id = component").select(F.col("id").alias(found.id_col))
+    return found.df.join(first, found.id_col)
+
+
+def sorted_clusters(clusters: DataFrame) -> DataFrame:
+    """Members in canonical order with their position over all clusters."""
+    return with_position(clusters, ["component", "id"])
+
+
 def dedup_stats(found: Duplicates) -> DataFrame:
     """One row: documents signed, distinct edges, components, dropped and kept rows."""
     rows = found.df.select(F.lit(1).alias("document"))
