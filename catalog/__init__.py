@@ -1,9 +1,9 @@
 """Registered queries over the given tables and their DuckDB counterparts."""
 from __future__ import annotations
 
-from catalog import corpus, scoring
+from catalog import corpus, inputs, scoring, tokens
 
-MODULES = [corpus, scoring]
+MODULES = [inputs, corpus, tokens, scoring]
 
 
 def queries() -> dict:

@@ -129,9 +129,11 @@ def token_ids(
     salted = clamped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens).alias("pos", "token"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
-    found = rows.join(salted, ["token", "salt"], "left")
+    found = rows.join(salted, ["token", "salt"], "left").withColumn(
+        "id", F.coalesce("id", unknown.scalar()).cast("int")
+    )
     lists = found.groupBy("_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", unknown.scalar()).cast("int").alias("id")))),
+        F.array_sort(F.collect_list(F.struct("pos", "id"))),
         lambda x: x["id"],
     ).alias(out_col))
     empty = F.when(tokens.isNotNull(), F.array().cast("array<int>"))
@@ -164,7 +166,7 @@ def token_length_stats(df: DataFrame, ids_col: str, max_length: int) -> DataFram
     return df.select(n.alias("n")).groupBy("n").agg(F.count("*").alias("texts")).agg(
         F.sum("texts").alias("texts"),
         F.sum(F.col("n") * F.col("texts")).alias("tokens"),
-        F.percentile("n", 0.5, "texts").alias("median_length"),
+        F.percentile("n", 0.5, F.col("texts")).alias("median_length"),
         F.max("n").alias("max_length"),
         F.round(F.sum(F.when(F.col("n") > max_length, F.col("texts")).otherwise(0))
                 / F.sum("texts"), 6).alias("truncated_share"),

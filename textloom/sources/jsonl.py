@@ -10,10 +10,20 @@ from textloom.functions.text import blank_words, strip_blanks
 
 
 def _parsed(lines: DataFrame, col: str) -> DataFrame:
-    """Lines with a VARIANT ``item``; null where the line is not a JSON object."""
-    item = F.try_parse_json(strip_blanks(F.col(col)))
-    is_object = F.schema_of_variant(item).startswith("OBJECT")
-    return lines.withColumn("item", F.when(is_object, item))
+    """Lines with a VARIANT ``item``; null where the line is not one JSON object.
+
+    The parser ignores what follows a complete value. Text behind the object would have
+    to close or continue both a list and an object to go unseen, which no text can.
+    A repeated key makes a line invalid.
+    """
+    line = strip_blanks(F.col(col))
+    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"item":'), line, F.lit("}")))
+    whole = F.when(
+        in_list.isNotNull(), F.try_variant_get(in_object, "$.item", "variant")
+    )
+    is_object = F.schema_of_variant(F.col("item")).startswith("OBJECT")
+    return lines.withColumn("item", whole).withColumn("item", F.when(is_object, F.col("item")))
 
 
 def has_field(item: Column, name: str) -> Column:

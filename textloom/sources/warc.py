@@ -1,6 +1,6 @@
 """Web archive files as a Python data source: ``spark.read.format("warc")``.
 
-One task reads one file as a stream, so memory holds one record at a time however
+A task reads its files one by one as streams, so memory holds one record at a time however
 large the file is. Files may be plain or gzip with one member per record. A damaged record
 is returned with ``error`` set and reading goes on at the next record start.
 """
@@ -18,12 +18,14 @@ SCHEMA = (
     "body binary, error string"
 )
 CHUNK = 1 << 20
+TASK_BYTES = 128 << 20  # small files share a task up to this size
+FILE_COST = 4 << 20  # opening a file counts like reading this much
 
 
-class WarcFile(InputPartition):
-    def __init__(self, uri: str):
-        super().__init__(uri)
-        self.uri = uri
+class WarcFiles(InputPartition):
+    def __init__(self, uris: list[str]):
+        super().__init__(uris)
+        self.uris = uris
 
 
 def _plain_chunks(stream) -> Iterator[bytes]:
@@ -151,7 +153,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path if "://" in path or path.startswith("file:") else f"file://{path}"
 
-    def partitions(self) -> list[WarcFile]:
+    def partitions(self) -> list[WarcFiles]:
         filesystem, root = pafs.FileSystem.from_uri(self.path)
         scheme = self.path.split("://")[0] if "://" in self.path else "file"
         info = filesystem.get_file_info(root)
@@ -159,16 +161,23 @@ class WarcReader(DataSourceReader):
             pafs.FileSelector(root, recursive=True)
         )
         prefix = self.path[: self.path.rstrip("/").rfind(root.rstrip("/"))] or f"{scheme}://"
-        return [
-            WarcFile(prefix + f.path) for f in sorted(files, key=lambda f: f.path)
-            if f.is_file and not f.base_name.startswith((".", "_"))
-        ]
-
-    def read(self, partition: WarcFile) -> Iterator[tuple]:
-        filesystem, path = pafs.FileSystem.from_uri(partition.uri)
-        with filesystem.open_input_file(path) as stream:
-            for number, (kind, uri, status, body, error) in enumerate(read_records(stream)):
-                yield partition.uri, number, kind, uri, status, body, error
+        groups, size = [], TASK_BYTES
+        for f in sorted(files, key=lambda f: f.path):
+            if not f.is_file or f.base_name.startswith((".", "_")):
+                continue
+            if size + f.size > TASK_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append(prefix + f.path)
+            size += f.size + FILE_COST
+        return [WarcFiles(uris) for uris in groups]
+
+    def read(self, partition: WarcFiles) -> Iterator[tuple]:
+        for file in partition.uris:
+            filesystem, path = pafs.FileSystem.from_uri(file)
+            with filesystem.open_input_stream(path, compression=None) as stream:
+                for number, (kind, uri, status, body, error) in enumerate(read_records(stream)):
+                    yield file, number, kind, uri, status, body, error
 
 
 class WarcSource(DataSource):
