@@ -48,8 +48,8 @@ def page_text(html: str) -> str:
         rf"|<{t}(?:\s[^>]*)?>.*?</{t}\s*>" for t in NON_CONTENT_TAGS)
     tags = "(?s)</?[a-zA-Z][^>]*>|<!(?i:doctype)[^>]*>"
     text = f"regexp_replace(regexp_replace({html}, {S.lit(blocks)}, chr(1), 'g'), {S.lit(tags)}, chr(1), 'g')"
-    for entity, char in H.ENTITIES.items():
-        text = f"replace({text}, {S.lit(entity)}, {S.lit(char)})"
+    for entity, char in H.ENTITIES.items():  # a cut title may lack the semicolon
+        text = f"regexp_replace({text}, {S.lit(entity + '?')}, {S.lit(char)}, 'g')"
     return (f"array_to_string(list_filter(list_transform(string_split({text}, chr(1)),"
             f" lambda n: {S.strip('n')}), lambda n: n <> ''), chr(10))")
 
@@ -74,7 +74,8 @@ def _(spark, sf):
 def pieces(table: str, key: str, text: str, *more: str) -> str:
     """Trigram rows of a text column."""
     keep = ", ".join((key, *more))
-    return f"""SELECT {keep}, c[i] || c[i + 1] || c[i + 2] AS gram FROM (
+    return f"""SELECT {keep}, unicode(c[i])::BIGINT * 4398046511104 + unicode(c[i + 1])::BIGINT * 2097152
+        + unicode(c[i + 2])::BIGINT AS gram FROM (
       SELECT {keep}, c, unnest(range(1, len(c) - 1)) AS i FROM (
         SELECT {keep}, string_split(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g'), ' ') || ' ', '') AS c
         FROM {table}))"""

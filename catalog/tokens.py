@@ -11,6 +11,7 @@ from textloom.functions.text import blank_words
 from textloom.operators import chat, vocab
 from textloom.operators.batches import shard_batches
 from textloom.operators.spread import spread
+from textloom.operators.storage import cut
 
 QUERIES, ORACLE = {}, {}
 VOCAB_SIZE, MODEL_SIZE, MAX_LENGTH = 2000, 1500, 64
@@ -189,7 +190,7 @@ full_rows AS (SELECT key, np, len(ids) AS n, {padded('ids')} AS x FROM cut)""")
 def _(spark, sf):
     pairs = sft_pairs(spark, sf).select(
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"), "instruction", "output")
-    words = corpus_vocab(spark, sf)
+    words = cut(corpus_vocab(spark, sf))
     prompt = vocab.token_ids(pairs, blank_words(P.sft_prompt(F.col("instruction"))), words, "prompt_ids", "key", model_size=MODEL_SIZE)
     both = vocab.token_ids(prompt, blank_words(F.col("output")), words, "output_ids", "key", model_size=MODEL_SIZE)
     return flat_example(both.select("key", E.sft_example(F.col("prompt_ids"), F.col("output_ids"), MAX_LENGTH).alias("x")), "key")

@@ -4,11 +4,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
+
 IGNORE = -100  # label value the training loss skips
 
 
 def pad_right(ids: Column, length: int, pad: int) -> Column:
-    missing = F.greatest(F.lit(0), F.lit(length) - F.size(ids))
+    missing = F.lit(length) - F.size(ids)  # not above 0: nothing is repeated
     return F.concat(ids, F.array_repeat(F.lit(pad), missing))
 
 
@@ -19,12 +21,14 @@ def attention_mask(ids: Column, pad: int) -> Column:
 
 def pretrain_example(ids: Column, max_length: int, pad: int = 0) -> Column:
     """STRUCT(input_ids, attention_mask, labels), each of exactly ``max_length``."""
-    padded = pad_right(F.slice(ids, 1, max_length), max_length, pad)
-    labels = F.transform(padded, lambda i: F.when(i == pad, F.lit(IGNORE)).otherwise(i))
-    return F.struct(
-        padded.alias("input_ids"), attention_mask(padded, pad).alias("attention_mask"),
-        labels.alias("labels"),
-    )
+    def example(padded: Column) -> Column:
+        labels = F.transform(padded, lambda i: F.when(i == pad, F.lit(IGNORE)).otherwise(i))
+        return F.struct(
+            padded.alias("input_ids"), attention_mask(padded, pad).alias("attention_mask"),
+            labels.alias("labels"),
+        )
+
+    return let(F.slice(ids, 1, max_length), lambda cut: let(pad_right(cut, max_length, pad), example))
 
 
 def sft_example(prompt: Column, output: Column, max_length: int, pad: int = 0,
@@ -34,29 +38,33 @@ def sft_example(prompt: Column, output: Column, max_length: int, pad: int = 0,
     Too long sequences are cut and closed by the end mark. Labels are hidden on
     the prompt and on pad ids, except a final end mark behind the prompt.
     """
-    whole = F.concat(prompt, output, F.array(F.lit(eos)))
-    cut = F.when(
-        F.size(whole) > max_length,
-        F.concat(F.slice(whole, 1, max_length - 1), F.array(F.lit(eos))),
-    ).otherwise(whole)
-    return labelled_example(cut, F.size(prompt), max_length, pad, eos)
+    def cut(whole: Column) -> Column:
+        return F.when(
+            F.size(whole) > max_length,
+            F.concat(F.slice(whole, 1, max_length - 1), F.array(F.lit(eos))),
+        ).otherwise(whole)
+
+    whole = let(F.concat(prompt, output, F.array(F.lit(eos))), cut)
+    return labelled_example(whole, F.size(prompt), max_length, pad, eos)
 
 
 def labelled_example(ids: Column, prompt_length: Column, max_length: int, pad: int,
                      eos: int) -> Column:
     """Pad ``ids`` and hide the labels of the first ``prompt_length`` positions."""
-    size = F.size(ids)
-    hidden = F.least(prompt_length, size)
-    padded = pad_right(ids, max_length, pad)
 
-    def label(i: Column, pos: Column) -> Column:
-        closing = (pos == size - 1) & (i == eos) & (hidden < size)
-        return F.when(closing, i).when((pos < hidden) | (i == pad), F.lit(IGNORE)).otherwise(i)
+    def example(ids: Column, size: Column, hidden: Column) -> Column:
+        def label(i: Column, pos: Column) -> Column:
+            closing = (pos == size - 1) & (i == eos) & (hidden < size)
+            return F.when(closing, i).when((pos < hidden) | (i == pad), F.lit(IGNORE)).otherwise(i)
 
-    return F.struct(
-        padded.alias("input_ids"), attention_mask(padded, pad).alias("attention_mask"),
-        F.transform(padded, label).alias("labels"),
-    )
+        return let(pad_right(ids, max_length, pad), lambda padded: F.struct(
+            padded.alias("input_ids"), attention_mask(padded, pad).alias("attention_mask"),
+            F.transform(padded, label).alias("labels"),
+        ))
+
+    return let(ids, lambda i: let(F.size(i), lambda size: let(
+        F.least(prompt_length, size), lambda hidden: example(i, size, hidden)
+    )))
 
 
 def prepend_bos(ids: Column, bos: int = 1) -> Column:

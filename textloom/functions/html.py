@@ -8,6 +8,9 @@ Arrow UDF; for all other rows the UDF receives null.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import NON_CONTENT_TAGS
-from textloom.functions.text import strip_blanks
+from textloom.functions.text import let, strip_blanks
 
 MARK = "\x01"  # separates text nodes; newlines inside a node must survive
 BLOCKS = r"(?is)<!--.*?-->" + "".join(
@@ -28,6 +31,9 @@ ENTITIES = {
 }
 _OTHER_ENTITY = "&(?!" + "|".join(e[1:] for e in ENTITIES) + ")[A-Za-z#]"
 _SPECIAL = r"(?i)<(template|rt|rp|textarea|plaintext|xmp|iframe|noembed|noframes|noscript)\b|\x01"
+_HALF_BLOCK = r"(?i)</?(" + "|".join(NON_CONTENT_TAGS) + r")[\s/>]"
+_OPAQUE = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+_CONTAINERS = "html body main article section div span table tr td ul ol li form p a".split()
 _VOID = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input "
     "isindex keygen link menuitem meta nextid param source spacer track wbr".split()
@@ -39,7 +45,7 @@ class _TextNodes(HTMLParser):
     """Collects text nodes outside the dropped elements."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=False)
         self.nodes, self.buffer = [], []
         self.open, self.counts = [], Counter()
 
@@ -52,6 +58,12 @@ class _TextNodes(HTMLParser):
     def handle_data(self, data):
         self.buffer.append(data)
 
+    def handle_charref(self, name):
+        self.buffer.append(unescape(f"&#{name};"))
+
+    def handle_entityref(self, name):
+        self.buffer.append(html5.get(f"{name};", f"&{name}"))
+
     def handle_starttag(self, tag, attrs):
         self.flush()
         if tag not in _VOID:
@@ -91,15 +103,29 @@ def _parse_batch(html: pd.Series) -> pd.Series:
     return html.map(parse_visible_text, na_action="ignore")
 
 
-def marked(html: Column) -> Column:
-    """The page with dropped blocks, comments and tags replaced by one mark each."""
-    return F.regexp_replace(F.regexp_replace(html, BLOCKS, MARK), TAGS, MARK)
+def without_blocks(html: Column) -> Column:
+    """The page with comments and dropped elements replaced by one mark each."""
+    return F.regexp_replace(html, BLOCKS, MARK)
+
+
+def _closes_outside(block: Column) -> Column:
+    """True where a dropped element closes an element opened before it, which ends both."""
+    bare = F.regexp_replace(block, _OPAQUE, "")
+    return let(bare, lambda b: reduce(lambda x, y: x | y, [
+        F.regexp_count(b, F.lit(rf"(?i)</{tag}\s*>")) > F.regexp_count(b, F.lit(rf"(?i)<{tag}[\s/>]"))
+        for tag in _CONTAINERS
+    ]))
 
 
-def needs_parser(html: Column, marked_html: Column) -> Column:
+def needs_parser(html: Column, blocked: Column, marked: Column) -> Column:
     """True where the native expressions could differ from a parser."""
-    leftover = marked_html.rlike(r"<[A-Za-z/!?]")
-    return leftover | html.rlike(_OTHER_ENTITY) | html.rlike(_SPECIAL)
+    blocks = F.filter(
+        F.regexp_extract_all(html, F.lit(BLOCKS), F.lit(0)), lambda b: ~b.rlike("(?i)^<(!--|script|style)")
+    )
+    return (
+        marked.rlike(r"<[A-Za-z/!?]") | blocked.rlike(_HALF_BLOCK) | html.rlike(_OTHER_ENTITY)
+        | html.rlike(_SPECIAL) | F.exists(blocks, _closes_outside)
+    )
 
 
 def marked_text(marked_html: Column) -> Column:
@@ -118,15 +144,18 @@ def html_to_text(df: DataFrame, html_col: str, out_col: str = "text",
     parse = F.pandas_udf(_parse_batch, "string")
     if engine == "parser":
         return df.withColumn(out_col, parse(html))
-    staged = df.withColumn("_marked", marked(html))
+    staged = df.withColumn("_blocked", without_blocks(html)).withColumn(
+        "_marked", F.regexp_replace("_blocked", TAGS, MARK)
+    )
     text = marked_text(F.col("_marked"))
     if engine == "auto":
-        staged = staged.withColumn("_hard", needs_parser(html, F.col("_marked")))
+        hard = needs_parser(html, F.col("_blocked"), F.col("_marked"))
+        staged = staged.withColumn("_hard", hard)
         parsed = parse(F.when(F.col("_hard"), html))
         text = F.when(F.col("_hard"), parsed).otherwise(text)
     elif engine != "native":
         raise ValueError(f"unknown engine {engine!r}: use auto, native or parser")
-    return staged.withColumn(out_col, text).drop("_marked", "_hard")
+    return staged.withColumn(out_col, text).drop("_blocked", "_marked", "_hard")
 
 
 def decode_body(body: Column) -> Column:

@@ -18,14 +18,19 @@ def _rehang(pairs: DataFrame, total: int, hot_rows: int) -> DataFrame:
     return join_per_key(pairs, low, ["node"], "degree", total, hot_rows)
 
 
-def _fingerprint(edges: DataFrame):
-    """Edge count and an order-free checksum; decimal sums cannot overflow here."""
-    row = edges.agg(
-        F.count("*"),
-        F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")),
-        F.bit_xor(F.xxhash64("dst", "src")),
-    ).first()
-    return tuple(row)
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """(edges, nodes that keep them from being stars around one least node each).
+
+    In a star forest every node hangs below one node, and that one below none.
+    """
+    ends = edges.select(F.col("src").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(
+        edges.select("dst", F.lit(0), F.lit(1))
+    )
+    per_node = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return tuple(per_node.agg(
+        F.coalesce(F.sum("below"), F.lit(0)),
+        F.count_if((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("above") > 0))),
+    ).first())
 
 
 def connected_components(
@@ -37,36 +42,33 @@ def connected_components(
     smaller neighbours (the large-star and small-star steps), which halves long chains
     instead of walking them. Only minima and counts are aggregated, so a node with
     a third of all edges combines map-side; its rows are joined by broadcast. Rounds
-    end when the edge set no longer changes, or in an error after ``max_rounds``.
+    end when only stars are left, which often holds at once, or in an error after
+    ``max_rounds``.
     """
     current = cut(
         edges.select(
             F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
         ).where("src <> dst").distinct()
     )
-    state = _fingerprint(current)
-    for _ in range(max_rounds):
-        if state[0] == 0:
+    for round_no in range(max_rounds + 1):
+        total, tangled = _state(current)
+        if not tangled:
             break
+        if round_no == max_rounds:
+            raise RuntimeError(f"no stars yet after {max_rounds} rounds")
         both = current.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(
             current.select(F.col("dst").alias("node"), F.col("src").alias("other"))
         )
         large = (
-            _rehang(both, 2 * state[0], hot_rows)
+            _rehang(both, 2 * total, hot_rows)
             .where("other > node")
             .select(F.col("other").alias("node"), F.col("low").alias("other"))
-            .distinct()
         )
-        small = _rehang(large, 2 * state[0], hot_rows)
+        small = _rehang(large, 2 * total, hot_rows)
         hung = small.select(F.col("other").alias("src"), F.col("low").alias("dst")).union(
             small.select(F.col("node").alias("src"), F.col("low").alias("dst"))
         )
         current = cut(hung.where("src <> dst").distinct())
-        previous, state = state, _fingerprint(current)
-        if state == previous:
-            break
-    else:
-        raise RuntimeError(f"components still changing after {max_rounds} rounds")
     return (
         current.select(F.col("src").alias("node"), F.col("dst").alias("component"))
         .union(current.select("dst", "dst"))

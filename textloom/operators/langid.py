@@ -1,36 +1,53 @@
 """Language identification by character trigrams of words.
 
 The model is a table of integer log-probabilities, so sums are exact and do not depend
-on row order. Scoring explodes the trigrams of a text, joins the model and sums within
+on row order. Scoring counts the trigrams of a text, joins the model and sums within
 the scan task; only one row per text leaves it.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import let
 from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.spread import spread
+from textloom.operators.storage import cut
 
 SCALE = 10_000  # log-probabilities are kept as integers of 1/SCALE
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_LANGUAGES = 500
 
 
-def trigrams(text: Column) -> Column:
-    """Overlapping three-character pieces of the lower-cased text, blanks squeezed."""
-    letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    padded = F.split(F.concat(F.lit(" "), F.trim(letters), F.lit(" ")), "")
-
-    def pieces(chars: Column) -> Column:
-        joined = F.transform(
-            F.sequence(F.lit(0), F.size(chars) - 3),
-            lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)),
+def _count_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Distinct trigrams of each text as 63-bit codes, 21 bits a character, with counts."""
+    for batch in batches:
+        grams, times, ends = [], [], [0]
+        for text in batch.to_pylist():
+            c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            found, n = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+            grams.append(found)
+            times.append(n)
+            ends.append(ends[-1] + len(found))
+        pairs = pa.StructArray.from_arrays(
+            [np.concatenate(grams or [[]]).astype(np.int64), np.concatenate(times or [[]]).astype(np.int64)],
+            ["gram", "times"],
         )
-        return F.when(F.size(chars) >= 3, joined).otherwise(F.array().cast("array<string>"))
+        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
 
-    return let(padded, pieces)
+def trigram_counts(text: Column) -> Column:
+    """ARRAY of (gram, times): three-character pieces of the lower-cased text.
+
+    What is not a letter becomes one blank, and a blank stands at both ends. A gram is its
+    three code points in one BIGINT, which keeps the exploded rows short.
+    """
+    letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    count = F.arrow_udf(_count_codes, "array<struct<gram: bigint, times: bigint>>")
+    return count(F.concat(F.lit(" "), letters, F.lit(" ")))
 
 
 def train_language_model(
@@ -38,16 +55,16 @@ def train_language_model(
 ) -> DataFrame:
     """(lang, gram, logp): add-one smoothed log-probability of each trigram.
 
-    The row with a null gram holds what a trigram unseen in that language gets.
+    The counts, one row per language and trigram, are cut to storage. The row with a null gram holds what a trigram unseen in that language gets.
     """
-    counts = (
+    counts = cut(
         spread(df.select(id_col, lang_col, text_col), id_col)
-        .select(F.col(lang_col).alias("lang"), F.explode(trigrams(F.col(text_col))).alias("gram"))
+        .select(F.col(lang_col).alias("lang"), F.inline(trigram_counts(F.col(text_col))))
         .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("times").alias("n"))
     )
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    rows = counts.unionByName(totals.select("lang", F.lit(None).cast("string").alias("gram"), F.lit(0).alias("n")))
+    rows = counts.unionByName(totals.select("lang", F.lit(None).cast("long").alias("gram"), F.lit(0).alias("n")))
     logp = F.log((F.col("n") + 1.0) / (F.col("total") + F.col("kinds") + 1.0))
     return rows.join(F.broadcast(totals), "lang").select(
         "lang", "gram", F.round(logp * SCALE).cast("long").alias("logp")
@@ -80,17 +97,18 @@ def lang_scores(
         ]).na.fill(0)
     )
     texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    pieces = texts.select("id", F.explode_outer(trigrams(F.col("text"))).alias("gram"))
+    pieces = texts.select("id", F.inline_outer(trigram_counts(F.col("text")))).withColumn(
+        "times", F.coalesce("times", F.lit(1))  # a text without trigrams scores the bases
+    )
     if gains.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         scored = pieces.join(F.broadcast(gains), "gram", "left").groupBy("id").agg(*[
-            F.sum(F.coalesce(f"s_{lang}", F.lit(0)) + F.lit(base)).alias(lang)
+            F.sum(F.col("times") * (F.coalesce(f"s_{lang}", F.lit(0)) + F.lit(base))).alias(lang)
             for lang, base in bases.items()
         ])
     else:
-        counted = pieces.groupBy("id", "gram").agg(F.count("*").alias("times"))
-        spread_of = counted.groupBy("gram").agg(F.count("*").alias("texts"))
-        known = join_per_key(counted, gains.join(spread_of, "gram"), ["gram"], "texts", hot_rows=hot_rows)
-        parts = counted.select(
+        spread_of = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
+        known = join_per_key(pieces, gains.join(spread_of, "gram"), ["gram"], "texts", hot_rows=hot_rows)
+        parts = pieces.select(
             "id", *[(F.col("times") * base).alias(lang) for lang, base in bases.items()]
         ).unionByName(known.select(
             "id", *[(F.col("times") * F.col(f"s_{lang}")).alias(lang) for lang in bases]

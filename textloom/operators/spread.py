@@ -9,12 +9,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A table below one scan split per core may sit in one file with one row group, where
     an expensive expression would run on one core. Larger tables already fill
-    the cores, so their rows are not moved. The decision uses the plan's size estimate.
+    the cores, so their rows are not moved. The decision uses the size estimates of
+    the plan's inputs.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= cores * split:
+    inputs = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(inputs.apply(i).stats().sizeInBytes())) for i in range(inputs.size()))
+    if size >= cores * split:
         return df
     return df.repartition(cores, *keys)

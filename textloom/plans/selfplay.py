@@ -11,13 +11,14 @@ from textloom.functions.scoring import (
 from textloom.functions.validation import validate_solution, validate_task
 from textloom.operators.diversity import closest_earlier_task
 from textloom.operators.gating import force_accept_solutions, force_accept_tasks
+from textloom.operators.spread import spread
 from textloom.operators.storage import cut
 
 
 def validated_tasks(tasks: DataFrame, force: bool = True, **thresholds) -> DataFrame:
     """Tasks with ``validation``, forced acceptance included."""
     execution = F.col("execution_score") if "execution_score" in tasks.columns else None
-    scored = tasks.withColumns({
+    scored = spread(tasks, "iteration", "seq").withColumns({
         "_complexity": complexity_score(F.col("task")), "_clarity": clarity_score(F.col("task")),
     }).withColumn("validation", validate_task(
         F.col("task"), F.col("is_placeholder"), F.col("from_seed"),
@@ -49,7 +50,7 @@ def score_tasks(tasks: DataFrame, force: bool = True, keys: list[str] = R.TASK_R
 def validated_solutions(solutions: DataFrame, **thresholds) -> DataFrame:
     """Solutions with ``validation``; ``executed`` is used where the column exists."""
     executed = F.col("executed") if "executed" in solutions.columns else None
-    return solutions.withColumns({
+    return spread(solutions, "iteration", "seq").withColumns({
         "_coherence": coherence_score(F.col("solution")),
         "_relevance": relevance_score(F.col("task"), F.col("solution")),
         "_structure": structure_score(F.col("raw_generation")),

@@ -1,29 +1,41 @@
 """JSON Lines inputs with counted rejects."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import TASK_TYPES
-from textloom.functions.text import blank_words, strip_blanks
+from textloom.functions.text import blank_words, let, strip_blanks
 
 
 
-def _parsed(lines: DataFrame, col: str) -> DataFrame:
-    """Lines with a VARIANT ``item``; null where the line is not one JSON object.
+def _item(line: Column) -> Column:
+    """VARIANT of a line that is one JSON object, else null.
 
     The parser ignores what follows a complete value. Text behind the object would have
     to close or continue both a list and an object to go unseen, which no text can.
     A repeated key makes a line invalid.
     """
-    line = strip_blanks(F.col(col))
-    in_list = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
-    in_object = F.try_parse_json(F.concat(F.lit('{"item":'), line, F.lit("}")))
-    whole = F.when(
-        in_list.isNotNull(), F.try_variant_get(in_object, "$.item", "variant")
-    )
-    is_object = F.schema_of_variant(F.col("item")).startswith("OBJECT")
-    return lines.withColumn("item", whole).withColumn("item", F.when(is_object, F.col("item")))
+    def parse(bare: Column) -> Column:
+        in_list = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
+        in_object = F.try_parse_json(F.concat(F.lit('{"item":'), bare, F.lit("}")))
+        return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.item", "variant"))
+
+    def objects(value: Column) -> Column:
+        return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+
+    return let(let(strip_blanks(line), parse), objects)
+
+
+def _rows(lines: DataFrame, col: str, keep: tuple[str, ...], wanted: Callable[[Column], Column],
+          fields: Callable[[Column], list[Column]]) -> DataFrame:
+    """Fields of the wanted objects. A generator parses once, where a filter would twice."""
+    row = let(_item(F.col(col)), lambda item: F.when(
+        item.isNotNull() & wanted(item), F.array(F.struct(*fields(item)))
+    ))
+    return lines.select(*keep, F.inline(row))
 
 
 def has_field(item: Column, name: str) -> Column:
@@ -53,27 +65,26 @@ def scan_jsonl_pretrain(lines: DataFrame, col: str = "value", *keep: str) -> Dat
     ``tokens`` are the blank-separated words of a string, or the elements of a list as
     strings; ``ids`` are set instead when the list holds integers.
     """
-    item = F.col("item")
-    ids = F.try_variant_get(item, "$.text", "array<int>")
-    listed = F.try_variant_get(item, "$.text", "array<string>")
-    is_list = F.schema_of_variant(F.try_variant_get(item, "$.text", "variant")).startswith("ARRAY")
-    all_integers = F.schema_of_variant(F.try_variant_get(item, "$.text", "variant")) == "ARRAY<BIGINT>"
-    text = F.when(~is_list, text_field(item, "text"))
-    return _parsed(lines, col).where(has_field(item, "text")).select(
-        *keep, text.alias("text"),
-        F.when(is_list, listed).otherwise(blank_words(text)).alias("tokens"),
-        F.when(all_integers, ids).alias("ids"),
-        text_field(item, "image").alias("image"), text_field(item, "label").alias("label"),
-    )
+    def fields(item: Column) -> list[Column]:
+        value = F.try_variant_get(item, "$.text", "variant")
+        kind = F.schema_of_variant(value)
+        text = F.when(~kind.startswith("ARRAY"), text_field(item, "text"))
+        listed = F.try_variant_get(item, "$.text", "array<string>")
+        return [
+            text.alias("text"), F.coalesce(blank_words(text), listed).alias("tokens"),
+            F.when(kind == "ARRAY<BIGINT>", F.try_variant_get(item, "$.text", "array<int>")).alias("ids"),
+            text_field(item, "image").alias("image"), text_field(item, "label").alias("label"),
+        ]
+
+    return _rows(lines, col, keep, lambda item: has_field(item, "text"), fields)
 
 
 def scan_jsonl_sft(lines: DataFrame, col: str = "value", *keep: str) -> DataFrame:
     """Rows that parse and have both ``instruction`` and ``output``."""
-    item = F.col("item")
-    return _parsed(lines, col).where(
-        has_field(item, "instruction") & has_field(item, "output")
-    ).select(*keep, text_field(item, "instruction").alias("instruction"),
-             text_field(item, "output").alias("output"))
+    return _rows(
+        lines, col, keep, lambda item: has_field(item, "instruction") & has_field(item, "output"),
+        lambda item: [text_field(item, n).alias(n) for n in ("instruction", "output")],
+    )
 
 
 def scan_seed_tasks(lines: DataFrame, col: str = "value", *keep: str,
@@ -82,20 +93,24 @@ def scan_seed_tasks(lines: DataFrame, col: str = "value", *keep: str,
 
     Rows stay rows: three types would otherwise be three cells holding the whole table.
     """
-    item = F.col("item")
-    return _parsed(lines, col).where(
-        text_field(item, "type").isin(types) & has_field(item, "task")
-    ).select(*keep, text_field(item, "type").alias("type"), text_field(item, "task").alias("task"))
+    return _rows(
+        lines, col, keep,
+        lambda item: text_field(item, "type").isin(types) & has_field(item, "task"),
+        lambda item: [text_field(item, n).alias(n) for n in ("type", "task")],
+    )
 
 
 def line_rejects(lines: DataFrame, required: list[str], col: str = "value") -> DataFrame:
     """One row: lines read, lines that are no JSON object, objects without a required field."""
-    item = F.col("item")
-    whole = F.lit(True)
-    for name in required:
-        whole = whole & has_field(item, name)
-    return _parsed(lines, col).agg(
+    def verdict(item: Column) -> Column:
+        whole = F.lit(True)
+        for name in required:
+            whole = whole & has_field(item, name)
+        return F.when(item.isNull(), "bad_json").when(~whole, "missing_field").otherwise("read")
+
+    verdicts = lines.select(let(_item(F.col(col)), verdict).alias("verdict"))
+    return verdicts.agg(
         F.count("*").alias("lines"),
-        F.count_if(item.isNull()).alias("bad_json"),
-        F.count_if(item.isNotNull() & ~whole).alias("missing_field"),
+        F.count_if(F.col("verdict") == "bad_json").alias("bad_json"),
+        F.count_if(F.col("verdict") == "missing_field").alias("missing_field"),
     )
