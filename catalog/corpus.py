@@ -110,7 +110,8 @@ def _(spark, sf):
 
 @query("lang_identify", S.with_(MODEL, scored("documents", "doc_id", "text")) + "SELECT doc_id, predicted FROM predicted")
 def _(spark, sf):
-    return langid.lang_identify(B.table(spark, sf, "documents"), language_model(spark, sf))
+    docs = documents(spark, sf)
+    return langid.lang_identify(docs, language_model(spark, sf)).select("doc_id", "predicted")
 
 
 @query("top1_language", S.with_(MODEL, scored("conversations", "conv_id", "text").replace(

@@ -10,7 +10,7 @@ from catalog.tokens import PAIRS, sft_pairs
 from textloom.functions.prompts import by_type
 from textloom.functions.text import blank_words
 from textloom.operators.spread import spread
-from textloom.operators.storage import scratch_path
+from textloom.operators.storage import cut, scratch_path
 from textloom.sources import jsonl, manifest, sinks, warc
 
 QUERIES, ORACLE = {}, {}
@@ -208,7 +208,7 @@ def _(spark, sf):
 @query("sink_task_records", S.with_(S.TASKS, S.VALIDATED_TASKS, S.ACCEPTED_TASKS)
        + "SELECT iteration, seq, task, is_valid FROM gated")
 def _(spark, sf):
-    records = scoring.checked_tasks(spark, sf).select("iteration", "seq", "task", "validation")
+    records = cut(scoring.checked_tasks(spark, sf).select("iteration", "seq", "task", "validation"))
     path = written(spark, records, "records", sinks.sink_task_records)
     back = spark.read.schema(
         "iteration long, seq long, task string, validation struct<is_valid: boolean>, timestamp string").json(path)

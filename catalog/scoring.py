@@ -385,7 +385,7 @@ def _(spark, sf):
   'task_' || lpad((count(*) OVER w)::VARCHAR, 6 , '0') AS record FROM gated
   WINDOW w AS (ORDER BY iteration, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
-    return M.running_task_metrics(checked_tasks(spark, sf))
+    return M.running_task_metrics(cut(checked_tasks(spark, sf)))
 
 
 SUMMARY = S.with_(S.TASKS, S.VALIDATED_TASKS, S.ACCEPTED_TASKS, S.TASK_REWARDS, S.ACCEPTED_SOLUTIONS,

@@ -228,8 +228,9 @@ def test_languages(spark):
     small = {r.doc_id: r.predicted for r in lang_identify(new, model).collect()}
     assert small[1] == "en" and small[2] == "de" and len(small) == 4
     from textloom.operators import langid
-    scores, languages = langid.lang_scores(new, model, max_broadcast_rows=0, hot_rows=1)
+    scores, languages = langid.lang_scores(new, model, hot_rows=1)
     assert {r.doc_id: r.predicted for r in langid.top1_language(scores, languages).collect()} == small
+    assert {r.doc_id: r.predicted for r in lang_identify(new, model, max_cells=1).collect()} == small
     assert filter_language(df, F.col("lang"), []).count() == 10
     assert filter_language(df, F.col("lang"), ["de"]).count() == 5
 

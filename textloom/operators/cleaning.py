@@ -51,7 +51,5 @@ def clean_documents(
         return texts
     if model is None:
         raise ValueError("a language whitelist needs a language model")
-    keep = filter_language(
-        lang_identify(texts, model, id_col, "text"), F.col("predicted"), whitelist
-    )
-    return texts.join(keep.select(id_col), id_col, "left_semi")
+    named = lang_identify(texts, model, id_col, "text")
+    return filter_language(named, F.col("predicted"), whitelist).select(id_col, "text")

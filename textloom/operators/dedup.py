@@ -16,7 +16,7 @@ from textloom.functions.minhash import band_layout, lsh_bands, minhash_signature
 from textloom.functions.text import jaccard, shingle_words
 from textloom.operators.graph import MAX_ROUNDS, connected_components
 from textloom.operators.positions import with_position
-from textloom.operators.skew import HOT_ROWS, join_per_key
+from textloom.operators.skew import HOT_ROWS, join_ids, join_per_key
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut
 
@@ -91,14 +91,16 @@ def edge_similarity(
 ) -> DataFrame:
     """Exact Jaccard similarity of the word sets at both ends of each edge.
 
-    Anchors may have very many edges, so the edge count per end decides which
-    documents go by broadcast of bounded size; see ``join_per_key``.
+    Only documents with an edge are read into word sets. Anchors may have very many
+    edges, so the edge count per anchor decides how it is joined; see ``join_per_key``.
     """
-    words = df.select(
+    edges = cut(edges)
+    ends = edges.select(F.explode(F.array("src", "dst")).alias(id_col)).distinct()
+    words = cut(spread(join_ids(df.select(id_col, text_col), ends, id_col, "left_semi"), id_col).select(
         F.col(id_col).alias("id"), shingle_words(F.col(text_col), unicode).alias("words")
-    )
-    ends = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    left = words.join(ends, words.id == ends.src).select("src", "degree", F.col("words").alias("a"))
+    ))
+    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
+    left = words.join(degrees, words.id == degrees.src).select("src", "degree", F.col("words").alias("a"))
     right = words.select(F.col("id").alias("dst"), F.col("words").alias("b"))
     return (
         join_per_key(edges.join(right, "dst"), left, ["src"], "degree")
@@ -116,7 +118,7 @@ class Duplicates:
         self.df, self.id_col = df, id_col
         self.signed = cut(signed(df, id_col, text_col, num_perm, threshold, bands, rows, unicode))
         self.total = self.signed.count()
-        self.nodes = one_per_signature(self.signed)
+        self.nodes = cut(one_per_signature(self.signed))
         n_bands = layout(threshold, num_perm, bands, rows)[0]
         self.edges = lsh_candidates(self.nodes, self.total * n_bands, hot_rows)
         if verify:
@@ -144,7 +146,7 @@ class Duplicates:
 
     def kept(self) -> DataFrame:
         """Rows of the table that are the first of their component or have no copy."""
-        return self.df.join(self.dropped(), self.id_col, "left_anti")
+        return join_ids(self.df, self.dropped(), self.id_col, "left_anti")
 
 
 def dedup_documents(df: DataFrame, **options) -> DataFrame:
@@ -158,13 +160,13 @@ def dedup_documents(df: DataFrame, **options) -> DataFrame:
 def unclustered(found: Duplicates) -> DataFrame:
     """Rows without any copy."""
     ids = found.clusters().select(F.col("id").alias(found.id_col))
-    return found.df.join(ids, found.id_col, "left_anti")
+    return join_ids(found.df, ids, found.id_col, "left_anti")
 
 
 def representatives(found: Duplicates) -> DataFrame:
     """One row per cluster: the one with the least id."""
     first = found.clusters().where("id = component").select(F.col("id").alias(found.id_col))
-    return found.df.join(first, found.id_col)
+    return join_ids(found.df, first, found.id_col, "left_semi")
 
 
 def sorted_clusters(clusters: DataFrame) -> DataFrame:

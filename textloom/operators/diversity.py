@@ -21,7 +21,7 @@ from textloom.functions.text import blank_words, jaccard, word_ngrams
 from textloom.operators.skew import HOT_ROWS, join_per_key
 
 NGRAM_WEIGHTS = (0.2, 0.4, 0.4)
-BUNDLE = 64
+BUNDLE = 256
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -56,7 +56,8 @@ def _best(members: Column, others: Column, weights: Sequence[float]) -> Column:
 
 def closest_earlier_task(
     tasks: DataFrame, iteration: str = "iteration", seq: str = "seq", text: str = "task",
-    weights: Sequence[float] = NGRAM_WEIGHTS, bundle: int = BUNDLE, hot_rows: int = HOT_ROWS,
+    weights: Sequence[float] = NGRAM_WEIGHTS, bundle: int = BUNDLE,
+    total_rows: int | None = None, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(iteration, seq, max_similarity, closest_seq); nulls for an iteration's first task.
 
@@ -82,7 +83,7 @@ def closest_earlier_task(
         word_ngrams(F.col("listed"), n).alias(f"g{n}") for n in range(1, len(weights) + 1)
     ])
     bundles = (
-        join_per_key(firsts, blocks, ["iteration"], "tasks", hot_rows=hot_rows)
+        join_per_key(firsts, blocks, ["iteration"], "tasks", total_rows, hot_rows)
         .withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks")))
         .withColumn("listed", listed)
         .groupBy("iteration", "block", "blocks")
@@ -108,7 +109,7 @@ def closest_earlier_task(
                 (-F.col("best.order")).alias("closest_seq"))
     )
     first_of = firsts.select("iteration", "words", "first", "copies")
-    copies = join_per_key(rows, first_of, ["iteration", "words"], "copies", hot_rows=hot_rows).where(
+    copies = join_per_key(rows, first_of, ["iteration", "words"], "copies", total_rows, hot_rows).where(
         F.col("seq") > F.col("first")
     ).select(
         "iteration", "seq", F.lit(float(sum(weights))).alias("max_similarity"),

@@ -96,7 +96,7 @@ def seed_or_generate(
     another draw. Draw and seed number are the join key, so no type is a hot key.
     """
     keys = [F.lit(seed), F.col(iteration), F.col(seq)]
-    numbered = numbered_seeds(seeds, seed_key)
+    numbered = numbered_seeds(seeds.where(F.col("type").isin(list(types))), seed_key)
     counts = numbered.groupBy("type").agg(F.max("seeds").alias("seeds"))
     drawn = draws.withColumn("type", draw_type(uniform(F.lit("type"), *keys), types, weights))
     sized = drawn.join(F.broadcast(counts), "type", "left").withColumn("seed_no", F.when(

@@ -1,12 +1,11 @@
 """Language identification by character trigrams of words.
 
 The model is a table of integer log-probabilities, so sums are exact and do not depend
-on row order. Scoring counts the trigrams of a text, joins the model and sums within
-the scan task; only one row per text leaves it.
+on row order. A model that fits a worker scores each text where it is read.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,36 +17,39 @@ from textloom.operators.spread import spread
 from textloom.operators.storage import cut
 
 SCALE = 10_000  # log-probabilities are kept as integers of 1/SCALE
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_MODEL_CELLS = 4_000_000  # 32 MB
 MAX_LANGUAGES = 500
 
 
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text as 63-bit codes, 21 bits a character, with counts."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+
+
 def _count_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Distinct trigrams of each text as 63-bit codes, 21 bits a character, with counts."""
     for batch in batches:
-        grams, times, ends = [], [], [0]
-        for text in batch.to_pylist():
-            c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-            found, n = np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
-            grams.append(found)
-            times.append(n)
-            ends.append(ends[-1] + len(found))
-        pairs = pa.StructArray.from_arrays(
-            [np.concatenate(grams or [[]]).astype(np.int64), np.concatenate(times or [[]]).astype(np.int64)],
-            ["gram", "times"],
-        )
+        found = [_codes(text or "") for text in batch.to_pylist()]
+        grams = np.concatenate([g for g, _ in found] or [[]]).astype(np.int64)
+        times = np.concatenate([n for _, n in found] or [[]]).astype(np.int64)
+        ends = np.cumsum([0] + [len(g) for g, _ in found])
+        pairs = pa.StructArray.from_arrays([grams, times], ["gram", "times"])
         yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
 
 
+def _padded_letters(text: Column) -> Column:
+    letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
+    return F.concat(F.lit(" "), letters, F.lit(" "))
+
+
 def trigram_counts(text: Column) -> Column:
     """ARRAY of (gram, times): three-character pieces of the lower-cased text.
 
     What is not a letter becomes one blank, and a blank stands at both ends. A gram is its
     three code points in one BIGINT, which keeps the exploded rows short.
     """
-    letters = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " "))
     count = F.arrow_udf(_count_codes, "array<struct<gram: bigint, times: bigint>>")
-    return count(F.concat(F.lit(" "), letters, F.lit(" ")))
+    return count(_padded_letters(text))
 
 
 def train_language_model(
@@ -79,42 +81,59 @@ def language_bases(model: DataFrame) -> dict[str, int]:
     return {r.lang: r.logp for r in sorted(rows)}
 
 
-def lang_scores(
-    df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
-) -> tuple[DataFrame, list[str]]:
+def _gains(model: DataFrame, bases: dict[str, int]) -> DataFrame:
+    """(gram, one column per language): what knowing the trigram adds to the base."""
+    return model.where("gram is not null").groupBy("gram").agg(*[
+        F.max(F.when(F.col("lang") == lang, F.col("logp") - F.lit(base))).alias(f"s_{lang}")
+        for lang, base in bases.items()
+    ]).na.fill(0)
+
+
+def lang_scores(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                hot_rows: int = HOT_ROWS) -> tuple[DataFrame, list[str]]:
     """(id, one score column per language) and the languages in name order.
 
-    A score is the sum of logp over the text's trigrams, repeats included. The model is
-    broadcast when its row count allows; otherwise per-text trigram counts are joined
-    to it by shuffle, with frequent trigrams handled as hot keys.
+    A score is the sum of logp over the text's trigrams, repeats included. Trigram rows
+    are shuffled to the model, frequent trigrams as hot keys, so neither side has to fit
+    a worker.
     """
     bases = language_bases(model)
-    gains = (
-        model.where("gram is not null").groupBy("gram").agg(*[
-            F.max(F.when(F.col("lang") == lang, F.col("logp") - F.lit(base))).alias(f"s_{lang}")
-            for lang, base in bases.items()
-        ]).na.fill(0)
-    )
     texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     pieces = texts.select("id", F.inline_outer(trigram_counts(F.col("text")))).withColumn(
         "times", F.coalesce("times", F.lit(1))  # a text without trigrams scores the bases
     )
-    if gains.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        scored = pieces.join(F.broadcast(gains), "gram", "left").groupBy("id").agg(*[
-            F.sum(F.col("times") * (F.coalesce(f"s_{lang}", F.lit(0)) + F.lit(base))).alias(lang)
-            for lang, base in bases.items()
-        ])
-    else:
-        spread_of = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
-        known = join_per_key(pieces, gains.join(spread_of, "gram"), ["gram"], "texts", hot_rows=hot_rows)
-        parts = pieces.select(
-            "id", *[(F.col("times") * base).alias(lang) for lang, base in bases.items()]
-        ).unionByName(known.select(
-            "id", *[(F.col("times") * F.col(f"s_{lang}")).alias(lang) for lang in bases]
-        ))
-        scored = parts.groupBy("id").agg(*[F.sum(lang).alias(lang) for lang in bases])
-    return scored.withColumnRenamed("id", id_col), list(bases)
+    texts_of = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
+    known = join_per_key(
+        pieces, _gains(model, bases).join(texts_of, "gram"), ["gram"], "texts", hot_rows=hot_rows
+    )
+    parts = pieces.select(
+        "id", *[(F.col("times") * base).alias(lang) for lang, base in bases.items()]
+    ).unionByName(known.select(
+        "id", *[(F.col("times") * F.col(f"s_{lang}")).alias(lang) for lang in bases]
+    ))
+    scored = parts.groupBy(F.col("id").alias(id_col)).agg(*[F.sum(lang).alias(lang) for lang in bases])
+    return scored, list(bases)
+
+
+def _predictor(rows: list, bases: dict[str, int]) -> Callable[[Column], Column]:
+    """Arrow UDF from padded letters to the language, with the model as sorted arrays."""
+    table = np.array(rows, np.int64).reshape(-1, 1 + len(bases))
+    table = table[np.argsort(table[:, 0])]
+    names, base = list(bases), np.array(list(bases.values()), np.int64)
+    known, gain = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1:])
+
+    def best(text: str) -> str:
+        grams, times = _codes(text)
+        at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+        hit = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+        score = times[hit] @ gain[at[hit]] + max(1, times.sum()) * base
+        return names[int(np.argmax(score))]
+
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([best(text or "") for text in batch.to_pylist()], pa.string())
+
+    return F.arrow_udf(predict, "string")
 
 
 def top1_language(scores: DataFrame, languages: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -126,10 +145,21 @@ def top1_language(scores: DataFrame, languages: list[str], id_col: str = "doc_id
     return scores.select(id_col, F.array_max(ranked)["lang"].alias("predicted"))
 
 
-def lang_identify(df: DataFrame, model: DataFrame, id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """(id, predicted) for every text."""
-    return top1_language(*lang_scores(df, model, id_col, text_col), id_col)
+def lang_identify(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  out_col: str = "predicted", max_cells: int = MAX_MODEL_CELLS) -> DataFrame:
+    """Add the language of the highest score, the first by name on ties.
+
+    A model of at most ``max_cells`` numbers travels to the workers, and texts are scored
+    where they are, without a shuffle. A larger one is joined by shuffle.
+    """
+    bases = language_bases(model)
+    gains = _gains(model, bases)
+    rows = gains.limit(max_cells // max(1, len(bases)) + 1).collect()
+    if len(rows) * len(bases) <= max_cells:
+        return df.withColumn(out_col, _predictor(rows, bases)(_padded_letters(F.col(text_col))))
+    scores, languages = lang_scores(df, model, id_col, text_col)
+    found = top1_language(scores, languages, id_col).withColumnRenamed("predicted", out_col)
+    return df.join(found, id_col, "left")
 
 
 def filter_language(df: DataFrame, lang: Column, whitelist: list[str]) -> DataFrame:

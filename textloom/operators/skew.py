@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.storage import cut
+
 # A key with more rows than this is "hot". N rows hold at most N / HOT_ROWS hot keys,
 # so the broadcast of hot keys stays below a million short rows up to 10^12 rows.
 HOT_ROWS = 1_000_000
@@ -34,3 +36,20 @@ def join_per_key(
     return rows.join(hot, keys).unionByName(rows.join(cold, keys))
 
 
+
+
+# Ids up to this many go to every executor; a long string id keeps that below 100 MB.
+BROADCAST_IDS = 200_000
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str,
+             broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """Semi or anti join of wide rows with a table of distinct ids.
+
+    The ids are cut to storage and counted. Few of them are broadcast and the rows do not
+    move; otherwise both sides are shuffled and the ids, the narrow side, are hashed, so
+    that the wide rows need not be sorted.
+    """
+    stored = cut(ids.select(key))
+    few = stored.count() <= broadcast_ids
+    return rows.join(stored.hint("broadcast" if few else "shuffle_hash"), key, how)

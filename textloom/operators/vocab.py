@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import blank_words
+from textloom.operators.positions import with_position
 from textloom.operators.spread import spread
 
 MAX_IN_MEMORY = 2_000_000  # vocabulary entries a worker may hold; larger ones are joined
@@ -25,14 +26,15 @@ def build_vocab(df: DataFrame, text_col: str, size: int, id_col: str = "doc_id")
         .where(~F.col("token").isin(SPECIAL_TOKENS))
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-    top = counts.orderBy(F.desc("n"), "token").limit(size - len(SPECIAL_TOKENS))
-    ordered = top.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "token"))).alias("ranked")
+    ranked = with_position(counts.select((-F.col("n")).alias("rank"), "token"), ["rank", "token"])
+    first = len(SPECIAL_TOKENS)
+    words = ranked.where(F.col("pos") < size - first).select(
+        "token", (F.col("pos") + first).cast("int").alias("id")
     )
-    tokens = ordered.select(F.concat(
-        F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("ranked.token")
-    ).alias("tokens"))
-    return tokens.select(F.posexplode("tokens").alias("id", "token")).select("token", "id")
+    special = df.sparkSession.createDataFrame(
+        [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int"
+    )
+    return special.unionByName(words)
 
 
 def scan_vocab(df: DataFrame, json_col: str = "value") -> DataFrame:

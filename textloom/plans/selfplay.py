@@ -36,7 +36,9 @@ def score_tasks(tasks: DataFrame, force: bool = True, keys: list[str] = R.TASK_R
     """
     checked = cut(validated_tasks(tasks, force))
     accepted = checked.where("validation.is_valid")
-    closest = closest_earlier_task(accepted).select("iteration", "seq", "max_similarity")
+    closest = closest_earlier_task(accepted, total_rows=checked.count()).select(
+        "iteration", "seq", "max_similarity"
+    )
     rewards = R.reward_map({
         "clarity": R.reward_linear(F.col("validation.clarity")),
         "complexity": R.reward_complexity(F.col("validation.complexity")),

@@ -29,13 +29,15 @@ def sink_tokens(df: DataFrame, path: str, output_format: str = "parquet") -> Non
     df.write.mode("overwrite").parquet(path)
 
 
-def sink_task_records(records: DataFrame, path: str, partition_by: str = "iteration") -> None:
+def sink_task_records(records: DataFrame, path: str, partition_by: str = "iteration",
+                      order: str = "seq") -> None:
     """JSON Lines of whole records with a write stamp, one folder per iteration.
 
-    Rows are gathered per iteration range first, so a folder does not get one file per task.
+    Rows are gathered by ranges of iteration and number first, so a folder does not get one
+    file per task, and a very large iteration is written by several tasks.
     """
     stamped = records.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    stamped.repartitionByRange(partition_by, F.rand(0)).write.mode("overwrite").partitionBy(
+    stamped.repartitionByRange(partition_by, order).write.mode("overwrite").partitionBy(
         partition_by
     ).json(path)
 
