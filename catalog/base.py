@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textloom.functions.prompts import (
     expand_short_task, extract_answer, extract_task, placeholder_solution, placeholder_task,
 )
+from textloom.functions.text import with_once
 from textloom.operators.gating import draw_type, uniform
 from textloom.operators.spread import spread
 
@@ -52,7 +53,7 @@ def typed_turns(spark: SparkSession, sf: str) -> DataFrame:
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:
     """Tasks read from the generations; failed generations become placeholders."""
-    found = typed_turns(spark, sf).withColumn("found", extract_task(F.col("raw")))
+    found = with_once(typed_turns(spark, sf), found=extract_task(F.col("raw")))
     return found.select(
         "conv_id", "turn", "iteration", "seq", "type", "raw", "found",
         F.coalesce(expand_short_task(F.col("found"), F.col("type")), placeholder_task(F.col("type"))).alias("task"),
@@ -82,7 +83,7 @@ def solutions(spark: SparkSession, sf: str, of: DataFrame | None = None) -> Data
     joined = raw_solutions(spark, sf).join(
         of.select("conv_id", "turn", "iteration", "seq", "type", "task"), ["conv_id", "turn"]
     )
-    read = joined.withColumn("answer", extract_answer(F.col("raw_generation")))
+    read = with_once(joined, answer=extract_answer(F.col("raw_generation")))
     return read.select(
         "conv_id", "turn", "iteration", "seq", "type", "task",
         F.coalesce("answer", placeholder_solution(F.col("task"), F.col("type"))).alias("solution"),

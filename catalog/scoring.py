@@ -113,7 +113,7 @@ def _(spark, sf):
   SELECT unnest({S.words('text')}) AS w FROM documents) GROUP BY w""")
 def _(spark, sf):
     docs = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    words = docs.select(F.explode(blank_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    words = docs.select(F.explode_outer(blank_words(F.col("text"))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     return words.withColumn("syllables", C.syllables(F.col("word")).cast("long"))
 
 

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import NON_CONTENT_TAGS
-from textloom.functions.text import let, strip_blanks
+from textloom.functions.text import let, strip_blanks, with_once
 
 MARK = "\x01"  # separates text nodes; newlines inside a node must survive
-BLOCKS = r"(?is)<!--.*?-->" + "".join(
-    rf"|<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in NON_CONTENT_TAGS
-)
-TAGS = r"""(?s)</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<!(?i:doctype)[^>]*>"""
+BLOCKS = r"(?is)<(?:!--.*?-->" + "".join(
+    rf"|{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in NON_CONTENT_TAGS
+) + ")"
+TAGS = r"""(?s)<(?:/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|!(?i:doctype)[^>]*>)"""
 ENTITIES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'",
     "&nbsp;": "\xa0", "&copy;": "\xa9", "&middot;": "\xb7", "&amp;": "&",
@@ -32,7 +32,7 @@ ENTITIES = {
 _OTHER_ENTITY = "&(?!" + "|".join(e[1:] for e in ENTITIES) + ")[A-Za-z#]"
 _SPECIAL = r"(?i)<(template|rt|rp|textarea|plaintext|xmp|iframe|noembed|noframes|noscript)\b|\x01"
 _HALF_BLOCK = r"(?i)</?(" + "|".join(NON_CONTENT_TAGS) + r")[\s/>]"
-_OPAQUE = r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>"
+_OPAQUE = r"(?is)<(?:!--.*?-->|script(?:\s[^>]*)?>.*?</script\s*>|style(?:\s[^>]*)?>.*?</style\s*>)"
 _CONTAINERS = "html body main article section div span table tr td ul ol li form p a".split()
 _VOID = frozenset(
     "area base basefont bgsound br col command embed frame hr image img input "
@@ -143,7 +143,7 @@ def html_to_text(df: DataFrame, html_col: str, out_col: str = "text",
     html = F.col(html_col)
     parse = F.pandas_udf(_parse_batch, "string")
     if engine == "parser":
-        return df.withColumn(out_col, parse(html))
+        return with_once(df, **{out_col: parse(html)})
     staged = df.withColumn("_blocked", without_blocks(html)).withColumn(
         "_marked", F.regexp_replace("_blocked", TAGS, MARK)
     )
@@ -155,7 +155,7 @@ def html_to_text(df: DataFrame, html_col: str, out_col: str = "text",
         text = F.when(F.col("_hard"), parsed).otherwise(text)
     elif engine != "native":
         raise ValueError(f"unknown engine {engine!r}: use auto, native or parser")
-    return staged.withColumn(out_col, text).drop("_blocked", "_marked", "_hard")
+    return with_once(staged, **{out_col: text}).drop("_blocked", "_marked", "_hard")
 
 
 def decode_body(body: Column) -> Column:

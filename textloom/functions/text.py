@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import BLANK, BLANK_CHARS
@@ -18,6 +18,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, whatever is done with them later.
+
+    Catalyst moves a filter on a plain column below it and repeats the expression there. A
+    generated column stays where it is: the filter runs above it, on the value.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[c for c in df.columns if c not in columns], made)
+
+
 def strip_blanks(text: Column) -> Column:
     """Remove leading and trailing Unicode blanks in linear time."""
     return F.btrim(text, F.lit(BLANK_CHARS))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import blank_words, jaccard, word_ngrams
 from textloom.operators.skew import HOT_ROWS, join_per_key
+from textloom.operators.storage import cut
 
 NGRAM_WEIGHTS = (0.2, 0.4, 0.4)
 BUNDLE = 256
@@ -54,6 +55,39 @@ def _best(members: Column, others: Column, weights: Sequence[float]) -> Column:
     return F.transform(members, closest)
 
 
+def _bundles(listed: DataFrame, keys: Sequence[str], longest: int) -> DataFrame:
+    """One row per key with its members: first sequence number and n-gram sets."""
+    member = F.struct(F.col("first").alias("seq"), *[
+        word_ngrams(F.col("listed"), n).alias(f"g{n}") for n in range(1, longest + 1)
+    ])
+    return listed.groupBy(*keys).agg(F.collect_list(member).alias("members"))
+
+
+# The outer generators keep Catalyst from testing the size of an array it would have to
+# compute twice for that; no bundle is empty.
+def _within(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """Members of each bundle compared with each other."""
+    found = _best(F.col("members"), F.col("members"), weights)
+    return bundles.select("iteration", F.inline_outer(found)).select(
+        "iteration", "seq", F.col("similarity").alias("max_similarity"), F.col("prev").alias("closest_seq")
+    )
+
+
+def _across(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """Bundles of large iterations: each visits every block of its iteration."""
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    visiting = bundles.select("iteration", "members", F.explode(every).alias("block"))
+    hosts = bundles.select("iteration", "block", F.col("members").alias("others"))
+    met = visiting.join(hosts, ["iteration", "block"])
+    return (
+        met.select("iteration", F.inline_outer(_best(F.col("members"), F.col("others"), weights)))
+        .groupBy("iteration", "seq")
+        .agg(F.max(F.struct("similarity", (-F.col("prev")).alias("order"))).alias("best"))
+        .select("iteration", "seq", F.col("best.similarity").alias("max_similarity"),
+                (-F.col("best.order")).alias("closest_seq"))
+    )
+
+
 def closest_earlier_task(
     tasks: DataFrame, iteration: str = "iteration", seq: str = "seq", text: str = "task",
     weights: Sequence[float] = NGRAM_WEIGHTS, bundle: int = BUNDLE,
@@ -71,50 +105,37 @@ def closest_earlier_task(
         F.col(iteration).alias("iteration"), F.col(seq).alias("seq"),
         F.array_join(words, " ").alias("words"),
     )
-    firsts = rows.groupBy("iteration", "words").agg(
+    firsts = cut(rows.groupBy("iteration", "words").agg(
         F.min("seq").alias("first"), F.count("*").alias("copies")
+    ))
+    sizes = firsts.groupBy("iteration").agg(
+        F.count("*").alias("tasks"), F.max("copies").alias("copies")
     )
-    blocks = firsts.groupBy("iteration").agg(F.count("*").alias("tasks")).select(
-        "iteration", "tasks", F.ceil(F.col("tasks") / bundle).alias("blocks")
-    )
-    split = F.split("words", " ")
-    listed = F.when(F.col("words") == "", F.array().cast("array<string>")).otherwise(split)
-    member = F.struct(F.col("first").alias("seq"), *[
-        word_ngrams(F.col("listed"), n).alias(f"g{n}") for n in range(1, len(weights) + 1)
-    ])
-    bundles = (
-        join_per_key(firsts, blocks, ["iteration"], "tasks", total_rows, hot_rows)
-        .withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks")))
-        .withColumn("listed", listed)
-        .groupBy("iteration", "block", "blocks")
-        .agg(F.collect_list(member).alias("members"))
-    )
-    # Bundles of one block meet themselves; the others meet every block of their iteration.
-    alone = bundles.where("blocks = 1").select(
-        "iteration", _best(F.col("members"), F.col("members"), weights).alias("found")
-    )
-    crossed = bundles.where("blocks > 1")
-    visiting = crossed.select(
-        "iteration", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
-    )
-    hosts = crossed.select("iteration", "block", F.col("members").alias("others"))
-    met = visiting.join(hosts, ["iteration", "block"]).select(
-        "iteration", _best(F.col("members"), F.col("others"), weights).alias("found")
-    )
-    best = (
-        alone.unionByName(met).select("iteration", F.inline("found"))
-        .groupBy("iteration", F.col("seq").alias("first"))
-        .agg(F.max(F.struct("similarity", (-F.col("prev")).alias("order"))).alias("best"))
-        .select("iteration", "first", F.col("best.similarity").alias("max_similarity"),
-                (-F.col("best.order")).alias("closest_seq"))
-    )
-    first_of = firsts.select("iteration", "words", "first", "copies")
-    copies = join_per_key(rows, first_of, ["iteration", "words"], "copies", total_rows, hot_rows).where(
-        F.col("seq") > F.col("first")
-    ).select(
-        "iteration", "seq", F.lit(float(sum(weights))).alias("max_similarity"),
-        F.col("first").alias("closest_seq"),
-    )
-    return best.withColumnRenamed("first", "seq").unionByName(copies).withColumnsRenamed(
-        {"iteration": iteration, "seq": seq}
-    )
+    largest, most_copies = sizes.agg(F.max("tasks"), F.max("copies")).first()
+    listed = firsts.withColumn("listed", F.when(
+        F.col("words") == "", F.array().cast("array<string>")
+    ).otherwise(F.split("words", " ")))
+    if (largest or 0) <= bundle:
+        best = _within(_bundles(listed, ["iteration"], len(weights)), weights)
+    else:
+        blocks = sizes.select(
+            "iteration", "tasks", F.ceil(F.col("tasks") / bundle).alias("blocks")
+        )
+        placed = join_per_key(listed, blocks, ["iteration"], "tasks", total_rows, hot_rows)
+        bundles = _bundles(
+            placed.withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks"))),
+            ["iteration", "block", "blocks"], len(weights),
+        )
+        best = _within(bundles.where("blocks = 1"), weights).unionByName(
+            _across(bundles.where("blocks > 1"), weights)
+        )
+    if (most_copies or 0) > 1:
+        first_of = firsts.where("copies > 1")
+        copies = join_per_key(
+            rows, first_of, ["iteration", "words"], "copies", total_rows, hot_rows
+        ).where(F.col("seq") > F.col("first"))
+        best = best.unionByName(copies.select(
+            "iteration", "seq", F.lit(float(sum(weights))).alias("max_similarity"),
+            F.col("first").alias("closest_seq"),
+        ))
+    return best.withColumnsRenamed({"iteration": iteration, "seq": seq})

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import blank_words
-from textloom.operators.positions import with_position
 from textloom.operators.spread import spread
 
 MAX_IN_MEMORY = 2_000_000  # vocabulary entries a worker may hold; larger ones are joined
@@ -22,19 +21,15 @@ def build_vocab(df: DataFrame, text_col: str, size: int, id_col: str = "doc_id")
     """(token, id): the four special tokens, then the most frequent words, ties by word."""
     counts = (
         spread(df.select(id_col, text_col), id_col)
-        .select(F.explode(blank_words(F.col(text_col))).alias("token"))
-        .where(~F.col("token").isin(SPECIAL_TOKENS))
+        .select(F.explode_outer(blank_words(F.col(text_col))).alias("token"))
+        .where(~F.col("token").isin(SPECIAL_TOKENS))  # also drops the null of an empty text
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-    ranked = with_position(counts.select((-F.col("n")).alias("rank"), "token"), ["rank", "token"])
     first = len(SPECIAL_TOKENS)
-    words = ranked.where(F.col("pos") < size - first).select(
-        "token", (F.col("pos") + first).cast("int").alias("id")
-    )
-    special = df.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int"
-    )
-    return special.unionByName(words)
+    top = counts.orderBy(F.desc("n"), "token").limit(size - first)  # a vocabulary fits one task
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "token"))).alias("ranked"))
+    tokens = F.concat(F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("ranked.token"))
+    return ranked.select(F.posexplode(tokens).alias("id", "token")).select("token", "id")
 
 
 def scan_vocab(df: DataFrame, json_col: str = "value") -> DataFrame:
@@ -129,7 +124,8 @@ def token_ids(
         return df.withColumn(out_col, _id_lookup(table, miss)(tokens))
     unknown = clamped.where("token = '<unk>'").agg(F.coalesce(F.max("id"), F.lit(unk)).alias("miss"))
     salted = clamped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.select(F.col(id_col).alias("_id"), F.posexplode(tokens).alias("pos", "token"))
+    rows = df.select(F.col(id_col).alias("_id"), F.posexplode_outer(tokens).alias("pos", "token"))
+    rows = rows.where("pos is not null")
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
     found = rows.join(salted, ["token", "salt"], "left").withColumn(
         "id", F.coalesce("id", unknown.scalar()).cast("int")

@@ -8,6 +8,7 @@ from textloom.functions import rewards as R
 from textloom.functions.scoring import (
     clarity_score, coherence_score, complexity_score, relevance_score, structure_score,
 )
+from textloom.functions.text import with_once
 from textloom.functions.validation import validate_solution, validate_task
 from textloom.operators.diversity import closest_earlier_task
 from textloom.operators.gating import force_accept_solutions, force_accept_tasks
@@ -18,9 +19,10 @@ from textloom.operators.storage import cut
 def validated_tasks(tasks: DataFrame, force: bool = True, **thresholds) -> DataFrame:
     """Tasks with ``validation``, forced acceptance included."""
     execution = F.col("execution_score") if "execution_score" in tasks.columns else None
-    scored = spread(tasks, "iteration", "seq").withColumns({
-        "_complexity": complexity_score(F.col("task")), "_clarity": clarity_score(F.col("task")),
-    }).withColumn("validation", validate_task(
+    scored = with_once(
+        spread(tasks, "iteration", "seq"),
+        _complexity=complexity_score(F.col("task")), _clarity=clarity_score(F.col("task")),
+    ).withColumn("validation", validate_task(
         F.col("task"), F.col("is_placeholder"), F.col("from_seed"),
         F.col("_complexity"), F.col("_clarity"), execution, **thresholds,
     )).drop("_complexity", "_clarity")
@@ -52,11 +54,12 @@ def score_tasks(tasks: DataFrame, force: bool = True, keys: list[str] = R.TASK_R
 def validated_solutions(solutions: DataFrame, **thresholds) -> DataFrame:
     """Solutions with ``validation``; ``executed`` is used where the column exists."""
     executed = F.col("executed") if "executed" in solutions.columns else None
-    return spread(solutions, "iteration", "seq").withColumns({
-        "_coherence": coherence_score(F.col("solution")),
-        "_relevance": relevance_score(F.col("task"), F.col("solution")),
-        "_structure": structure_score(F.col("raw_generation")),
-    }).withColumn("validation", validate_solution(
+    return with_once(
+        spread(solutions, "iteration", "seq"),
+        _coherence=coherence_score(F.col("solution")),
+        _relevance=relevance_score(F.col("task"), F.col("solution")),
+        _structure=structure_score(F.col("raw_generation")),
+    ).withColumn("validation", validate_solution(
         F.col("solution"), F.col("is_placeholder"), F.col("_coherence"), F.col("_relevance"),
         F.col("_structure"), executed, **thresholds,
     )).drop("_coherence", "_relevance", "_structure")

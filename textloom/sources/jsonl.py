@@ -56,7 +56,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def scan_text_lines(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
     """One row per line of a text column, column ``value``, like a line-based reader."""
     lines = F.split(F.regexp_replace(F.col(text_col), "\r\n?", "\n"), "\n")
-    return df.select(*keep, F.posexplode(lines).alias("line_no", "value"))
+    exploded = df.select(*keep, F.posexplode_outer(lines).alias("line_no", "value"))
+    return exploded.where("value is not null")
 
 
 def scan_jsonl_pretrain(lines: DataFrame, col: str = "value", *keep: str) -> DataFrame:
