@@ -8,7 +8,7 @@ becomes a row:
 * the others are packed into bundles of bounded size, and each bundle is compared inside one
   expression that returns only the best earlier task per member;
 * an iteration too large for one bundle is cut into blocks, and its bundles meet
-  pairwise, spread over as many tasks as there are blocks.
+  pairwise, each pair of blocks under a key of its own.
 """
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import blank_words, jaccard, word_ngrams
+from textloom.functions.text import blank_words, let, word_ngrams
 from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.storage import cut
 
@@ -26,8 +26,10 @@ BUNDLE = 256
 
 
 def set_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two sets; 1 when both are empty."""
-    return F.coalesce(jaccard(a, b), F.lit(1.0))
+    """Jaccard similarity of two sets in lambda variables; 1 when both are empty."""
+    return let(F.size(F.array_intersect(a, b)), lambda shared: F.coalesce(
+        F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(1.0)
+    ))
 
 
 def task_similarity(a: Column, b: Column, weights: Sequence[float] = NGRAM_WEIGHTS) -> Column:
@@ -74,11 +76,19 @@ def _within(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
 
 
 def _across(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Bundles of large iterations: each visits every block of its iteration."""
-    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    visiting = bundles.select("iteration", "members", F.explode(every).alias("block"))
-    hosts = bundles.select("iteration", "block", F.col("members").alias("others"))
-    met = visiting.join(hosts, ["iteration", "block"])
+    """Bundles of large iterations: every block of an iteration meets every other.
+
+    Each pair of blocks is a key of its own, so a single huge iteration fills all tasks.
+    The partition number is given, because few bytes mean much work here and the
+    adaptive planner would merge them into one task.
+    """
+    partitions = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    stored = cut(bundles)
+    visiting = stored.select("iteration", "members", F.col("block").alias("guest"), every.alias("host"))
+    hosts = stored.select("iteration", F.col("members").alias("others"), F.col("block").alias("host"), every.alias("guest"))
+    pair = ["iteration", "guest", "host"]
+    met = visiting.repartition(partitions, *pair).join(hosts, pair)
     return (
         met.select("iteration", F.inline_outer(_best(F.col("members"), F.col("others"), weights)))
         .groupBy("iteration", "seq")
