@@ -146,6 +146,9 @@ def test_draws(spark):
     df = spark.range(4000).select(F.lit(1).alias("iteration"), F.col("id").alias("seq"))
     seeds = spark.createDataFrame([("deduction", f"d{i}", i) for i in range(5)], "type string, task string, k int")
     rows = G.seed_or_generate(df, seeds, "k").collect()
+    hot = G.seed_or_generate(df, seeds, "k", hot_rows=30).select(*df.columns, "type", "seed_task").collect()
+    assert sorted(map(str, hot)) == sorted(
+        str(r) for r in G.seed_or_generate(df, seeds, "k").select(*df.columns, "type", "seed_task").collect())
     share = {t: sum(r.type == t for r in rows) / 4000 for t in ("abduction", "deduction", "induction")}
     assert share == pytest.approx({"abduction": 0.3, "deduction": 0.3, "induction": 0.4}, abs=0.04)
     seeded = [r for r in rows if r.from_seed]

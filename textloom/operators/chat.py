@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.prompts import chat_line
+from textloom.operators.skew import join_per_key
 
 BLOCK_TURNS = 1000
 
@@ -17,8 +18,10 @@ def chat_prompt(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     ``Assistant:`` line. Lines are first joined per block of turns, so no task sorts
     a whole conversation; the prompt itself is one value by nature.
     """
-    last = df.where(F.col(role) == "user").groupBy(conv).agg(F.max(turn).alias("last"))
-    lines = df.join(last, conv).where(F.col(turn) <= F.col("last"))
+    last = df.groupBy(conv).agg(
+        F.max(F.when(F.col(role) == "user", F.col(turn))).alias("last"), F.count("*").alias("turns")
+    ).where("last is not null")
+    lines = join_per_key(df, last, [conv], "turns").where(F.col(turn) <= F.col("last"))
     blocks = lines.groupBy(conv, "last", F.floor(F.col(turn) / BLOCK_TURNS).alias("block")).agg(
         F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct(turn, chat_line(F.col(role), F.col(text)).alias("line")))),

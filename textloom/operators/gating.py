@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import TASK_TYPE_WEIGHTS, TASK_TYPES
 from textloom.operators.positions import with_position, with_running_totals
+from textloom.operators.skew import HOT_ROWS, join_per_key
 
 FORCE_ITERATIONS = 10
 FORCE_SOLUTIONS_UNTIL = 20
@@ -89,11 +90,12 @@ def seed_or_generate(
     draws: DataFrame, seeds: DataFrame, seed_key: str, seed: int = 0,
     iteration: str = "iteration", seq: str = "seq", probability: float = 0.2,
     types: Sequence[str] = TASK_TYPES, weights: Sequence[float] = TASK_TYPE_WEIGHTS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``type``, ``from_seed`` and ``seed_task`` to each draw.
 
     A seed task is used with the given probability where the type has any; which one is
-    another draw. Draw and seed number are the join key, so no type is a hot key.
+    another draw. A seed task that very many draws pick is joined as a hot key.
     """
     keys = [F.lit(seed), F.col(iteration), F.col(seq)]
     numbered = numbered_seeds(seeds.where(F.col("type").isin(list(types))), seed_key)
@@ -103,7 +105,13 @@ def seed_or_generate(
         (F.col("seeds") > 0) & (uniform(F.lit("seed"), *keys) < probability),
         F.floor(uniform(F.lit("pick"), *keys) * F.col("seeds")),
     )).drop("seeds")
-    picked = numbered.select("type", "seed_no", F.col("task").alias("seed_task"))
-    return sized.join(picked, ["type", "seed_no"], "left").withColumn(
-        "from_seed", F.col("seed_no").isNotNull()
+    seeded = sized.where("seed_no is not null")
+    draws_of = seeded.groupBy("type", "seed_no").agg(F.count("*").alias("draws"))
+    picked = numbered.select("type", "seed_no", F.col("task").alias("seed_task")).join(
+        draws_of, ["type", "seed_no"]
     )
+    found = join_per_key(seeded, picked, ["type", "seed_no"], "draws", hot_rows=hot_rows)
+    generated = sized.where("seed_no is null").select(
+        "*", F.lit(None).cast("string").alias("seed_task"), F.lit(False).alias("from_seed")
+    )
+    return found.drop("draws").withColumn("from_seed", F.lit(True)).unionByName(generated)

@@ -68,7 +68,7 @@ def train_language_model(
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     rows = counts.unionByName(totals.select("lang", F.lit(None).cast("long").alias("gram"), F.lit(0).alias("n")))
     logp = F.log((F.col("n") + 1.0) / (F.col("total") + F.col("kinds") + 1.0))
-    return rows.join(F.broadcast(totals), "lang").select(
+    return rows.join(totals, "lang").select(
         "lang", "gram", F.round(logp * SCALE).cast("long").alias("logp")
     )
 

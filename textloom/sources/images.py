@@ -90,7 +90,9 @@ def image_join(df: DataFrame, images: DataFrame, image_dir: str | None, image_co
         F.regexp_replace("path", "^file:/+", "/").alias("_path"), "pixel_values"
     )
     blank = F.array_repeat(F.lit(0.0).cast("float"), 3 * size * size)
-    joined = df.withColumn("_path", F.regexp_replace(full, "^file:/+", "/")).join(keyed, "_path", "left")
-    return joined.withColumn(
-        "pixel_values", F.when(name.isNotNull(), F.coalesce("pixel_values", blank))
+    named = df.where(name.isNotNull()).withColumn("_path", F.regexp_replace(full, "^file:/+", "/"))
+    joined = named.join(keyed, "_path", "left").withColumn(
+        "pixel_values", F.coalesce("pixel_values", blank)
     ).drop("_path")
+    # Rows without an image would all be one join key.
+    return joined.unionByName(df.where(name.isNull()), allowMissingColumns=True)

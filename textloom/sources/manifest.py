@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import shutil
 import urllib.request
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import strip_blanks
 from textloom.operators.positions import with_position
 
+# Fixed value: where listed archive paths are fetched from by default.
 BASE_URL = "https://data.commoncrawl.org/"
 CHUNK = 1 << 20
 TIMEOUT = 60
@@ -54,9 +56,12 @@ def _open(uri: str):
 
 
 def _copy(source: str, target: str) -> int:
-    """Stream one file to shared storage; the final name appears only when complete."""
+    """Stream one file to shared storage; the final name appears only when complete.
+
+    Attempts running at the same time write under names of their own.
+    """
     filesystem, path = pafs.FileSystem.from_uri(target)
-    partial = f"{path}.partial"
+    partial = f"{path}.{uuid.uuid4().hex}.partial"
     with _open(source) as stream, filesystem.open_output_stream(partial) as out:
         shutil.copyfileobj(stream, out, CHUNK)
     size = filesystem.get_file_info(partial).size
