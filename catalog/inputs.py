@@ -12,6 +12,7 @@ from textloom.functions.text import blank_words
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut, scratch_path
 from textloom.sources import jsonl, manifest, sinks, warc
+from textloom.sources.files import file_system
 
 QUERIES, ORACLE = {}, {}
 
@@ -81,9 +82,8 @@ def write_files(files, path):
     """Write (name, content) rows as files below a shared folder; returns (name, bytes)."""
     def put(batches):
         import pandas as pd
-        import pyarrow.fs as pafs
 
-        filesystem, root = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        filesystem, root = file_system(path)
         filesystem.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
@@ -123,7 +123,6 @@ def _(spark, sf):
 def _(spark, sf):
     pages = spread(B.table(spark, sf, "pages").select("page_id", "html"), "page_id")
     root = scratch_path(spark, "fetch")
-    root = root if "://" in root or root.startswith("file:") else f"file://{root}"
     name = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
     write_files(pages.select(name.alias("name"), F.col("html").cast("binary").alias("content")),
                 f"{root}/pages").agg(F.sum("bytes")).collect()

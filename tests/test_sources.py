@@ -266,3 +266,11 @@ def test_stages(spark, tmp_path, tokenizer):
     cfg.stages, cfg.deduplicate.input_dir = ("deduplicate",), str(tmp_path / "missing")
     with pytest.raises(Exception):
         corpus.run_corpus(spark, cfg)
+
+
+def test_file_uris():
+    from textloom.sources.files import file_system
+
+    for uri in ("/a/b", "file:/a/b", "file:///a/b"):
+        system, path = file_system(uri)
+        assert system.type_name == "local" and path == "/a/b"

@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import strip_blanks
 from textloom.operators.positions import with_position
+from textloom.sources.files import file_system
 
 # Fixed value: where listed archive paths are fetched from by default.
 BASE_URL = "https://data.commoncrawl.org/"
@@ -51,8 +51,8 @@ def local_name(path):
 def _open(uri: str):
     if uri.startswith(("http://", "https://")):
         return urllib.request.urlopen(uri, timeout=TIMEOUT)
-    filesystem, path = pafs.FileSystem.from_uri(uri)
-    return filesystem.open_input_stream(path)
+    filesystem, path = file_system(uri)
+    return filesystem.open_input_stream(path, compression=None)
 
 
 def _copy(source: str, target: str) -> int:
@@ -60,9 +60,9 @@ def _copy(source: str, target: str) -> int:
 
     Attempts running at the same time write under names of their own.
     """
-    filesystem, path = pafs.FileSystem.from_uri(target)
+    filesystem, path = file_system(target)
     partial = f"{path}.{uuid.uuid4().hex}.partial"
-    with _open(source) as stream, filesystem.open_output_stream(partial) as out:
+    with _open(source) as stream, filesystem.open_output_stream(partial, compression=None) as out:
         shutil.copyfileobj(stream, out, CHUNK)
     size = filesystem.get_file_info(partial).size
     filesystem.move(partial, path)

@@ -13,6 +13,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from textloom.sources.files import file_system
+
 SCHEMA = (
     "path string, rec_no int, rec_type string, uri string, http_status string, "
     "body binary, error string"
@@ -23,9 +25,9 @@ FILE_COST = 4 << 20  # opening a file counts like reading this much
 
 
 class WarcFiles(InputPartition):
-    def __init__(self, uris: list[str]):
-        super().__init__(uris)
-        self.uris = uris
+    def __init__(self, paths: list[str]):
+        super().__init__(paths)
+        self.paths = paths
 
 
 def _plain_chunks(stream) -> Iterator[bytes]:
@@ -150,17 +152,15 @@ def read_records(stream) -> Iterator[tuple]:
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    def __init__(self, uri: str):
+        self.uri = uri
 
     def partitions(self) -> list[WarcFiles]:
-        filesystem, root = pafs.FileSystem.from_uri(self.path)
-        scheme = self.path.split("://")[0] if "://" in self.path else "file"
+        filesystem, root = file_system(self.uri)
         info = filesystem.get_file_info(root)
         files = [info] if info.is_file else filesystem.get_file_info(
             pafs.FileSelector(root, recursive=True)
         )
-        prefix = self.path[: self.path.rstrip("/").rfind(root.rstrip("/"))] or f"{scheme}://"
         groups, size = [], TASK_BYTES
         for f in sorted(files, key=lambda f: f.path):
             if not f.is_file or f.base_name.startswith((".", "_")):
@@ -168,16 +168,16 @@ class WarcReader(DataSourceReader):
             if size + f.size > TASK_BYTES:
                 groups.append([])
                 size = 0
-            groups[-1].append(prefix + f.path)
+            groups[-1].append(f.path)
             size += f.size + FILE_COST
-        return [WarcFiles(uris) for uris in groups]
+        return [WarcFiles(paths) for paths in groups]
 
     def read(self, partition: WarcFiles) -> Iterator[tuple]:
-        for file in partition.uris:
-            filesystem, path = pafs.FileSystem.from_uri(file)
+        filesystem, _ = file_system(self.uri)
+        for path in partition.paths:
             with filesystem.open_input_stream(path, compression=None) as stream:
                 for number, (kind, uri, status, body, error) in enumerate(read_records(stream)):
-                    yield file, number, kind, uri, status, body, error
+                    yield path, number, kind, uri, status, body, error
 
 
 class WarcSource(DataSource):
