@@ -4,14 +4,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from textloom.llm.exact_dedup import exact_groups
+from textloom.llm.packing import pack_documents
 from textloom.llm.repetition import repetition_rules
+from textloom.llm.token_files import file_positions, with_checksums, write_token_files
+from textloom.operators.storage import scratch_path
+
+# Ends each document in token files and packed sequences.
+END_ID = 2
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op3_token_orc(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "token-orc")
+    write_token_files(documents(spark, sf), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return file_positions(spark, path)
+
+
+def op4_vector_packing(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = pack_documents(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return with_checksums(pieces, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"])
+
+
 def op6_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return repetition_rules(documents(spark, sf))
 
@@ -22,7 +41,7 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op6_repetition_coverage, op9_exact_dedup,
+    op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup,
 )}
 
 ORACLE = {
