@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.packing import pack_documents
 from textloom.llm.repetition import repetition_rules
@@ -40,8 +41,17 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = encode_bpe(documents(spark, sf), ranks, public_tokenizers.PATTERN)
+    return decode_bpe(encoded, ranks).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup,
+    op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
