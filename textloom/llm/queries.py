@@ -9,6 +9,7 @@ import public_tokenizers
 from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.packing import pack_documents
+from textloom.llm.quality import fit_quality, held_out, score_quality
 from textloom.llm.repetition import repetition_rules
 from textloom.llm.token_files import file_positions, with_checksums, write_token_files
 from textloom.operators.storage import scratch_path
@@ -21,6 +22,17 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def quality_scores(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """Scores of ``docs`` by a machine fitted on labelled documents that are not held out."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~held_out())
+    return score_quality(docs, fit_quality(documents(spark, sf), labels))
+
+
+def op1_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_scores(spark, documents(spark, sf), sf).select(
+        "doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op3_token_orc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-orc")
     write_token_files(documents(spark, sf), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -51,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup, op10_byte_bpe,
+    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
