@@ -9,6 +9,7 @@ import public_tokenizers
 from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.packing import pack_documents
+from textloom.llm.pseudonyms import pseudonymise
 from textloom.llm.quality import fit_quality, held_out, score_quality
 from textloom.llm.repetition import repetition_rules
 from textloom.llm.token_files import file_positions, with_checksums, write_token_files
@@ -18,6 +19,11 @@ from textloom.operators.storage import scratch_path
 END_ID = 2
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms; a deployment sets its own."""
+    return spark.conf.get("spark.textloom.pseudonymKey", "no secret: set spark.textloom.pseudonymKey")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
@@ -48,6 +54,11 @@ def op6_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return repetition_rules(documents(spark, sf))
 
 
+def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudonymise(documents(spark, sf), pseudonym_key(spark), count_col="n_replaced").select(
+        "doc_id", "text", "n_replaced")
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(documents(spark, sf)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -63,7 +74,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op6_repetition_coverage, op9_exact_dedup, op10_byte_bpe,
+    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op6_repetition_coverage, op7_feistel_pseudonyms, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
