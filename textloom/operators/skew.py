@@ -23,19 +23,23 @@ def join_per_key(
 ) -> DataFrame:
     """Inner join of ``rows`` with ``per_key``, which has one row per key.
 
-    ``size_col`` of ``per_key`` is the number of ``rows`` of that key. Hot keys are
-    joined by a broadcast whose size is bounded by ``total rows / hot_rows``, so their
-    rows never move; all other keys are shuffled, at most ``hot_rows`` rows per key.
-    When ``total_rows`` shows that no key can be hot, a plain join is planned.
+    ``size_col`` of ``per_key`` is the number of ``rows`` of that key. The hot keys are
+    taken once, stored and broadcast, at most ``total rows / hot_rows`` of them. That
+    join marks the rows of hot keys, which are finished where they lie; only unmarked rows
+    are shuffled, so no task gets more than ``hot_rows`` rows of one key. Without hot keys, which
+    ``total_rows`` may rule out beforehand, a plain join is planned. ``rows`` is
+    read once for each kind of key: store it first if it is dear to compute.
     """
     keys = list(keys)
     if total_rows is not None and total_rows <= hot_rows:
         return rows.join(per_key, keys)
-    hot = F.broadcast(per_key.where(F.col(size_col) > hot_rows))
-    cold = per_key.where(F.col(size_col) <= hot_rows)
-    return rows.join(hot, keys).unionByName(rows.join(cold, keys))
-
-
+    hot = cut(per_key.where(F.col(size_col) > hot_rows).withColumn("_hot", F.lit(True)))
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    cold = marked.where("_hot is null").select(*rows.columns).join(
+        per_key.where(F.col(size_col) <= hot_rows), keys)
+    return marked.where("_hot").drop("_hot").unionByName(cold)
 
 
 # Ids up to this many go to every executor; a long string id keeps that below 100 MB.
