@@ -8,6 +8,7 @@ import public_tokenizers
 
 from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
+from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.packing import pack_documents
 from textloom.llm.pseudonyms import pseudonymise
 from textloom.llm.quality import fit_quality, held_out, score_quality
@@ -50,6 +51,11 @@ def op4_vector_packing(spark: SparkSession, sf: str) -> DataFrame:
     return with_checksums(pieces, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"])
 
 
+def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf), lines_col="n_lines", removed_col="n_removed").select(
+        "doc_id", "text", "n_lines", "n_removed")
+
+
 def op6_repetition_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return repetition_rules(documents(spark, sf))
 
@@ -74,10 +80,32 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op6_repetition_coverage, op7_feistel_pseudonyms, op9_exact_dedup, op10_byte_bpe,
+    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op5_line_windows, op6_repetition_coverage, op7_feistel_pseudonyms, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
+    "op5_line_windows": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
+            FROM documents WHERE text IS NOT NULL),
+        three AS (
+            SELECT doc_id, pos, line, lead(line) OVER d AS line2, lead(line, 2) OVER d AS line3
+            FROM lines WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+        later AS (
+            SELECT doc_id, pos FROM (
+                SELECT doc_id, pos, row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, pos) AS k
+                FROM three WHERE line3 IS NOT NULL AND trim(line || line2 || line3, ' ' || chr(9) || chr(13)) <> '')
+            WHERE k > 1),
+        gone AS (SELECT DISTINCT doc_id, pos + step AS pos FROM later, (VALUES (0), (1), (2)) AS steps(step)),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone.pos IS NULL) AS text,
+                   count(*) AS n_lines, count(gone.pos) AS n_removed
+            FROM lines LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text,
+               coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN kept USING (doc_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
