@@ -1,59 +1,11 @@
 """Exact duplicates with frequent digests split off: found by Misra-Gries, joined by broadcast."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import stored
-
-# Counters of a summary. A digest with more than rows / (COUNTERS + 1) copies is always found,
-# so no other group is larger, and a broadcast never holds more than COUNTERS rows.
-COUNTERS = 4096
-
-
-def _summary(values: np.ndarray, counts: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``counters`` values: sum per value, less the next largest count, positive ones only."""
-    unique, at = np.unique(values, return_inverse=True)
-    sums = np.bincount(at, weights=counts, minlength=len(unique)).astype(np.int64)
-    if len(unique) > counters:
-        sums = sums - np.partition(sums, len(sums) - counters - 1)[len(sums) - counters - 1]
-        unique, sums = unique[sums > 0], sums[sums > 0]
-    return unique, sums
-
-
-def frequent_values(df: DataFrame, column: str, counters: int = COUNTERS) -> DataFrame:
-    """(value): every binary value held by more than rows / (counters + 1) rows, and perhaps others.
-
-    One Misra-Gries summary per partition, batch by batch; summaries are merged by adding
-    the counts of a value and taking off the largest count left out, which keeps the error
-    bound of the whole. At most ``counters`` rows.
-    """
-    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, values, counts = None, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            rows = batch.column(0).to_pylist()
-            width = width or len(rows[0])
-            new = np.array(rows, f"V{width}")
-            values = new if values is None else np.concatenate([values, new])
-            counts = np.ones(len(new), np.int64) if counts is None else np.concatenate(
-                [counts, np.ones(len(new), np.int64)])
-            values, counts = _summary(values, counts, counters)
-        if values is not None and len(values):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([v.tobytes() for v in values], pa.binary()), pa.array(counts)], ["value", "n"])
-
-    sums = df.select(column).mapInArrow(summaries, "value binary, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "value").limit(counters + 1)
-    ranked = top.select("value", "n", F.min("n").over(Window.partitionBy()).alias("least"),
-                        F.count("*").over(Window.partitionBy()).alias("size"))
-    return ranked.where((F.col("size") <= counters) | (F.col("n") > F.col("least"))).select("value")
-
+from textloom.llm.heavy import COUNTERS, with_group
 
 def exact_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS
@@ -74,13 +26,5 @@ def exact_groups(
         F.col(id_col).alias("doc_id"),
         F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"),
     ), "digests")
-    found = stored(frequent_values(digests, "digest", counters), "frequent")
-    hot = digests.join(F.broadcast(found.withColumnRenamed("value", "digest")), "digest").groupBy("digest").agg(
-        F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    winners = stored(hot.where("group_size > 1"), "winners")
-    marked = digests.join(F.broadcast(winners), "digest", "left")
-    group = Window.partitionBy("digest")
-    cold = marked.where("group_size is null").select(
-        "doc_id", "digest", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"))
-    decided = marked.where("group_size is not null").select(*cold.columns).unionByName(cold)
+    decided = with_group(digests, "digest", {"keep_id": F.max("doc_id")}, counters=counters).withColumnRenamed("n", "group_size")
     return decided.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))

@@ -1,10 +1,11 @@
 """Registered queries of the operators of this package and their DuckDB counterparts."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import hashlib
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
@@ -13,6 +14,7 @@ from textloom.llm.packing import pack_documents
 from textloom.llm.pseudonyms import pseudonymise
 from textloom.llm.quality import fit_quality, held_out, score_quality
 from textloom.llm.repetition import repetition_rules
+from textloom.llm.substring_dedup import joined_words, remove_repeats
 from textloom.llm.token_files import file_positions, with_checksums, write_token_files
 from textloom.operators.storage import scratch_path
 
@@ -65,6 +67,14 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "text", "n_replaced")
 
 
+def op8_seed_and_extend(spark: SparkSession, sf: str) -> DataFrame:
+    def digest(words: list[bytes]) -> bytes:
+        return hashlib.sha256(joined_words(words)).hexdigest().encode()
+
+    return remove_repeats(documents(spark, sf), finish=digest).select(
+        "doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_groups(documents(spark, sf)).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -80,7 +90,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op5_line_windows, op6_repetition_coverage, op7_feistel_pseudonyms, op9_exact_dedup, op10_byte_bpe,
+    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op5_line_windows, op6_repetition_coverage, op7_feistel_pseudonyms, op8_seed_and_extend, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
