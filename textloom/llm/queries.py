@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.byte_bpe import decode_bpe, encode_bpe
 from textloom.llm.exact_dedup import exact_groups
+from textloom.llm.jaccard import JaccardRule, jaccard_components
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.packing import pack_documents
 from textloom.llm.pseudonyms import pseudonymise
@@ -42,6 +43,11 @@ def op1_factorisation_machine(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_heavy_light_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf), JaccardRule(words=3, percent=90)).select(
+        "doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op3_token_orc(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "token-orc")
     write_token_files(documents(spark, sf), path, public_tokenizers.path("word_bpe_49k.json"), END_ID)
@@ -90,7 +96,7 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_factorisation_machine, op3_token_orc, op4_vector_packing, op5_line_windows, op6_repetition_coverage, op7_feistel_pseudonyms, op8_seed_and_extend, op9_exact_dedup, op10_byte_bpe,
+    op1_factorisation_machine, op2_heavy_light_join, op3_token_orc, op4_vector_packing, op5_line_windows, op6_repetition_coverage, op7_feistel_pseudonyms, op8_seed_and_extend, op9_exact_dedup, op10_byte_bpe,
 )}
 
 ORACLE = {
