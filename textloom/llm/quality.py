@@ -5,10 +5,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import text_blocks
+from textloom.llm.blocks import BLOCK_BYTES, split, text_blocks
 from textloom.llm.hashing import flat_words
 
 # Labelled texts that the model is fitted on, at most; chosen by a hash of the id.
@@ -148,7 +149,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
         .agg(F.avg("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
-    joined = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
+    joined = docs.select("doc_id", "text", F.col("n_chars").cast("bigint").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
         doc, feature, value = features(batch.column("text").to_pylist(), batch.column("n_chars").to_pylist())
@@ -159,7 +160,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = text_blocks(joined, block, f"doc_id {kind}, quality double, features array<int>, values array<float>",
-                        extra=(F.col("n_chars").cast("bigint").alias("n_chars"), "quality")).toArrow()
+                        extra=("n_chars", "quality")).toArrow()
     table = table.sort_by("doc_id")
     rows = [(np.asarray(f.values), np.asarray(v.values)) for f, v in zip(table["features"], table["values"])]
     return fit(rows, np.asarray(table["quality"].to_numpy()) >= .5)
@@ -189,3 +190,28 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = .7) -> D
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a document's labels are kept for tests: a quarter of the ids."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def keep_quality(docs: DataFrame, machine: Machine, threshold: float = .7) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns.
+
+    Scored and filtered in one pass over each partition, without a join; rows as in
+    ``score_quality``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def batches(given):
+        for batch in given:
+            if batch.num_rows == 0:
+                continue
+            # Text as UTF-8 bytes, null as empty, next to the row's own columns.
+            text = pc.fill_null(batch.column(text_at).cast(pa.binary()), b"")
+            with_text = pa.RecordBatch.from_arrays(
+                [text, pa.array(np.arange(batch.num_rows)), batch.column(chars_at)], ["text", "row", "n_chars"])
+            for block in split(with_text, BLOCK_BYTES):
+                rows = features(block.column("text").to_pylist(), block.column("n_chars").to_pylist())
+                score = 1 / (1 + np.exp(-sent.value.raw(*rows, block.num_rows).astype(np.float64)))
+                yield batch.take(block.column("row").filter(pa.array(score >= threshold)))
+
+    text_at, chars_at = docs.columns.index("text"), docs.columns.index("n_chars")
+    return docs.mapInArrow(batches, docs.schema)
