@@ -110,7 +110,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, factors:
     gw, gv = np.full(FEATURES, 1e-2, np.float32), np.full((FEATURES, factors), 1e-2, np.float32)
     bias, gb = 0.0, 1e-2
     if not len(labels):
-        return Machine(bias, w, v)
+        return Machine(20.0, w, np.zeros_like(v))  # nothing is known against any text
     for _ in range(epochs):
         order = draw.permutation(len(labels))
         for start in range(0, len(order), batch):
@@ -143,7 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     The rows are those with the least hash of their id. Their features are made in Spark tasks; the
     driver gets about 2 kB per row. Null ids and labels are left out, repeated
-    labels of an id are averaged; without labels the machine scores 1/2 throughout.
+    labels of an id are averaged; without labels every text scores (nearly) 1.
     """
     chosen = (
         labels.where("doc_id is not null and quality is not null").groupBy("doc_id")
