@@ -15,6 +15,10 @@ from textloom.llm.queries import END_ID, pseudonym_key
 from textloom.operators.skew import join_ids
 
 
+# Added by one stage and dropped again; no input column has this name.
+REMOVED = "_lines_removed_by_line_dedup"
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     """n_chars again the length of the text."""
     return docs.withColumn("n_chars", F.length("text").cast("bigint"))
@@ -28,9 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated passages of lines, and documents of which nothing but blanks is left."""
-    lean = dedup_lines(docs, removed_col="_removed")
-    emptied = (F.col("_removed") > 0) & ~F.col("text").rlike(r"\S")
-    return _measured(lean.where(F.col("text").isNull() | ~emptied).drop("_removed"))
+    lean = dedup_lines(docs, removed_col=REMOVED)
+    emptied = (F.col(REMOVED) > 0) & ~F.col("text").rlike(r"\S")
+    return _measured(lean.where(F.col("text").isNull() | ~emptied).drop(REMOVED))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
