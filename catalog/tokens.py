@@ -14,7 +14,9 @@ from textloom.operators.spread import spread
 from textloom.operators.storage import cut
 
 QUERIES, ORACLE = {}, {}
-VOCAB_SIZE, MODEL_SIZE, MAX_LENGTH = 2000, 1500, 64
+# The length examples are cut to by default; the short sizes serve the queries about cuts.
+MAX_LENGTH = 2048
+SHORT_VOCAB, SHORT_MODEL, SHORT_LENGTH = 2000, 1500, 64
 
 
 def query(name: str, sql: str | None = None):
@@ -30,23 +32,28 @@ def joined(ids):
     return F.array_join(ids.cast("array<string>"), " ")
 
 
-# The vocabulary is the special tokens and the most frequent words of all documents.
-VOCAB = f"""word_counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS token FROM documents)
+# The vocabulary is the special tokens and the words of all documents, most frequent first.
+def vocab_sql(size: int | None = None) -> str:
+    cut_off = f"QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {size - 4}" if size else ""
+    return f"""word_counts AS (SELECT token, count(*) AS n FROM (SELECT unnest({S.words('text')}) AS token FROM documents)
   WHERE token NOT IN ('<pad>', '<bos>', '<eos>', '<unk>') GROUP BY token),
 vocab AS MATERIALIZED (
-  SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT AS id FROM word_counts
-  QUALIFY row_number() OVER (ORDER BY n DESC, token) <= {VOCAB_SIZE - 4}
+  SELECT token, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT AS id FROM word_counts {cut_off}
   UNION ALL SELECT unnest(['<pad>', '<bos>', '<eos>', '<unk>']), unnest([0, 1, 2, 3]))"""
 
 
-def corpus_vocab(spark, sf):
-    return vocab.build_vocab(B.table(spark, sf, "documents"), "text", VOCAB_SIZE)
+VOCAB, SMALL_VOCAB = vocab_sql(), vocab_sql(SHORT_VOCAB)
 
 
-def ids_of(source: str, key: str, tokens: str, name: str = "ids") -> str:
+def corpus_vocab(spark, sf, size=None):
+    return vocab.build_vocab(B.table(spark, sf, "documents"), "text", size)
+
+
+def ids_of(source: str, key: str, tokens: str, name: str = "ids", model_size: int | None = None) -> str:
     """CTE with the id list of each row: unknown and too large ids are 3."""
+    known = f"CASE WHEN v.id < {model_size} THEN v.id END" if model_size else "v.id"
     return f"""{name} AS MATERIALIZED (
-  SELECT s.{key}, coalesce(list(CASE WHEN coalesce(v.id, 3) >= {MODEL_SIZE} THEN 3 ELSE coalesce(v.id, 3) END ORDER BY pos)
+  SELECT s.{key}, coalesce(list(coalesce({known}, 3) ORDER BY pos)
       FILTER (pos IS NOT NULL), []::BIGINT[]) AS ids
   FROM (SELECT {key} FROM {source}) s LEFT JOIN (
     SELECT {key}, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM (SELECT {key}, {tokens} AS t FROM {source})) w USING ({key})
@@ -54,11 +61,12 @@ def ids_of(source: str, key: str, tokens: str, name: str = "ids") -> str:
 
 
 DOC_IDS = S.with_(VOCAB, ids_of("documents", "doc_id", S.words("text")))
+SHORT_IDS = S.with_(SMALL_VOCAB, ids_of("documents", "doc_id", S.words("text"), model_size=SHORT_MODEL))
 
 
 def doc_ids(spark, sf):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf), model_size=MODEL_SIZE).drop("text")
+    return vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf)).drop("text")
 
 
 @query("build_vocab", S.with_(VOCAB) + "SELECT token, id FROM vocab")
@@ -66,9 +74,10 @@ def _(spark, sf):
     return corpus_vocab(spark, sf).select("token", F.col("id").cast("long").alias("id"))
 
 
-@query("scan_vocab", S.with_(VOCAB) + "SELECT token, id, 'list' AS form FROM vocab UNION ALL SELECT token, id * 2, 'map' FROM vocab")
+@query("scan_vocab", S.with_(SMALL_VOCAB) + "SELECT token, id, 'list' AS form FROM vocab UNION ALL SELECT token, id * 2, 'map' FROM vocab")
 def _(spark, sf):
-    words = corpus_vocab(spark, sf)
+    # A vocabulary file is one JSON value, so this one holds the most frequent words only.
+    words = cut(corpus_vocab(spark, sf, SHORT_VOCAB))
     listed = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("tokens"))
     mapped = words.agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("id") * 2))).alias("m"))
     return vocab.scan_vocab(listed.select(F.to_json(F.struct("tokens")).alias("value"))).withColumn("form", F.lit("list")).unionByName(
@@ -89,14 +98,22 @@ def _(spark, sf):
 @query("vocab_lookup_join", DOC_IDS + "SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
 def _(spark, sf):
     docs = B.table(spark, sf, "documents").select("doc_id", "text")
-    found = vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf), model_size=MODEL_SIZE, max_in_memory=0)
+    found = vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf), max_in_memory=0)
     return found.select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
 @query("tokenize_vocab", DOC_IDS + f"SELECT doc_id, array_to_string(ids[1:{MAX_LENGTH}], ' ') AS input_ids FROM ids")
 def _(spark, sf):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    out = vocab.tokenize_vocab(docs, "text", corpus_vocab(spark, sf), MAX_LENGTH, model_size=MODEL_SIZE)
+    out = vocab.tokenize_vocab(docs, "text", corpus_vocab(spark, sf), MAX_LENGTH)
+    return out.select("doc_id", joined(F.col("input_ids")).alias("input_ids"))
+
+
+@query("tokenize_vocab_short", SHORT_IDS + f"SELECT doc_id, array_to_string(ids[1:{SHORT_LENGTH}], ' ') AS input_ids FROM ids")
+def _(spark, sf):
+    # A small vocabulary, a model smaller still, and short sequences.
+    docs = spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    out = vocab.tokenize_vocab(docs, "text", corpus_vocab(spark, sf, SHORT_VOCAB), SHORT_LENGTH, model_size=SHORT_MODEL)
     return out.select("doc_id", joined(F.col("input_ids")).alias("input_ids"))
 
 
@@ -113,21 +130,27 @@ def _(spark, sf):
 def _(spark, sf):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     marked = docs.withColumn("text", F.when(F.col("lang") == "en", F.concat(F.lit("<bos> "), "text")).otherwise(F.col("text")))
-    found = vocab.vocab_lookup(marked, "text", corpus_vocab(spark, sf), model_size=MODEL_SIZE)
+    found = vocab.vocab_lookup(marked, "text", corpus_vocab(spark, sf))
     return found.select("doc_id", joined(E.prepend_bos(F.col("ids"))).alias("ids"))
 
 
 @query("detokenize", S.with_(VOCAB, ids_of("documents", "doc_id", S.words("text")), """
-half AS (SELECT * FROM vocab WHERE id < 1000),
+half AS (SELECT * FROM vocab WHERE id % 3 <> 1),
 spoken AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ids)""") + """
   SELECT i.doc_id, coalesce(string_agg(coalesce(h.token, '[<UNK>_ID:' || s.id || ']'), ' ' ORDER BY s.pos)
     FILTER (s.id NOT IN (0, 1, 2)), '') AS text FROM ids i LEFT JOIN spoken s USING (doc_id) LEFT JOIN half h ON h.id = s.id GROUP BY i.doc_id""")
 def _(spark, sf):
-    # Ids of the whole vocabulary read with its smaller half, so that unknown ids show.
-    partial = corpus_vocab(spark, sf).where("id < 1000")
+    # Ids of the whole vocabulary read with two thirds of it, so that unknown ids show.
+    partial = corpus_vocab(spark, sf).where("id % 3 <> 1")
     return vocab.detokenize(doc_ids(spark, sf), "ids", partial).select("doc_id", "text")
 
 
+@query("detokenize_join", ORACLE["detokenize"])
+def _(spark, sf):
+    partial = corpus_vocab(spark, sf).where("id % 3 <> 1")
+    return vocab.detokenize(doc_ids(spark, sf), "ids", partial, max_in_memory=0).select("doc_id", "text")
+
+
 # --- examples --------------------------------------------------------------------------
 
 
@@ -191,8 +214,8 @@ def _(spark, sf):
     pairs = sft_pairs(spark, sf).select(
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"), "instruction", "output")
     words = cut(corpus_vocab(spark, sf))
-    prompt = vocab.token_ids(pairs, blank_words(P.sft_prompt(F.col("instruction"))), words, "prompt_ids", "key", model_size=MODEL_SIZE)
-    both = vocab.token_ids(prompt, blank_words(F.col("output")), words, "output_ids", "key", model_size=MODEL_SIZE)
+    prompt = vocab.token_ids(pairs, blank_words(P.sft_prompt(F.col("instruction"))), words, "prompt_ids")
+    both = vocab.token_ids(prompt, blank_words(F.col("output")), words, "output_ids")
     return flat_example(both.select("key", E.sft_example(F.col("prompt_ids"), F.col("output_ids"), MAX_LENGTH).alias("x")), "key")
 
 

@@ -64,13 +64,30 @@ def test_lookup(spark, in_memory):
     assert ids({"this": 4}, unk=9) == [[4, 9, 9], [], [9, 9], None]
 
 
+def test_size_of_a_vocabulary_changes_nothing(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, ["a", None, "z"]), (2, ["a"]), (2, ["z", "z"]), (None, ["a", "a"]), (3, None), (4, [])]
+    df = spark.createDataFrame(rows, "doc_id int, t array<string>").repartition(3)
+    entries = [("a", 4), ("b", None), (None, 5), ("c", 6), ("c", 9), ("<unk>", 7)]
+    table = spark.createDataFrame(entries, "token string, id long")
+    def both(run):
+        got = [sorted(map(repr, run(limit).collect())) for limit in (1000, 0)]
+        assert got[0] == got[1]
+        return got[0]
+    ids = both(lambda limit: T.token_ids(df, F.col("t"), table, max_in_memory=limit).select("doc_id", "ids"))
+    assert sorted(ids) == sorted(map(repr, T.token_ids(df, F.col("t"), table).select("doc_id", "ids").collect()))
+    assert "Row(doc_id=1, ids=[4, 7, 7])" in ids and "Row(doc_id=None, ids=[4, 4])" in ids and "Row(doc_id=2, ids=[7, 7])" in ids
+    spoken = spark.createDataFrame([(1, [4, 9, 0, 12]), (1, [4]), (None, [9]), (2, None), (3, [])], "doc_id int, ids array<int>")
+    both(lambda limit: T.detokenize(spoken, "ids", table, max_in_memory=limit).select("doc_id", "text"))
+
+
 def test_vocab_checks(spark):
     def scan(text):
         return T.scan_vocab(spark.createDataFrame([(text,)], "value string"))
     assert {r.token: r.id for r in scan('{"tokens": ["a", "b", "a"]}').collect()} == {"a": 2, "b": 1}
     assert T.check_vocab(scan('{"a": 0, "b": 7}')) == 8
     assert T.check_vocab(scan("{}")) == 0
-    for bad in ('{"a": 1, "b": 1}', '{"a": -1}', '{"a": "x"}'):
+    for bad in ('{"a": 1, "b": 1}', '{"a": -1}', '{"a": "x"}', '{"a": "5"}', '{"a": 1.5}'):
         with pytest.raises(ValueError):
             T.check_vocab(scan(bad))
 

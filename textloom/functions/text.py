@@ -86,8 +86,3 @@ def count_substring(text: Column, needle: str) -> Column:
     """Non-overlapping occurrences of a fixed string."""
     without = F.length(F.replace(text, F.lit(needle), F.lit("")))
     return ((F.length(text) - without) / F.lit(len(needle))).cast("int")
-
-
-def explode_lines(text: Column) -> Column:
-    """One element per line, as a line-based text reader would return them."""
-    return F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")

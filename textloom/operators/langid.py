@@ -99,9 +99,10 @@ def lang_scores(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_co
     """
     bases = language_bases(model)
     texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
-    pieces = texts.select("id", F.inline_outer(trigram_counts(F.col("text")))).withColumn(
+    # Stored, as three plans read them: trigrams are made once.
+    pieces = cut(texts.select("id", F.inline_outer(trigram_counts(F.col("text")))).withColumn(
         "times", F.coalesce("times", F.lit(1))  # a text without trigrams scores the bases
-    )
+    ))
     texts_of = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
     known = join_per_key(
         pieces, _gains(model, bases).join(texts_of, "gram"), ["gram"], "texts", hot_rows=hot_rows
@@ -115,9 +116,9 @@ def lang_scores(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_co
     return scored, list(bases)
 
 
-def _predictor(rows: list, bases: dict[str, int]) -> Callable[[Column], Column]:
+def _predictor(rows: pa.Table, bases: dict[str, int]) -> Callable[[Column], Column]:
     """Arrow UDF from padded letters to the language, with the model as sorted arrays."""
-    table = np.array(rows, np.int64).reshape(-1, 1 + len(bases))
+    table = np.stack([c.to_numpy() for c in rows.columns], axis=1).astype(np.int64).reshape(-1, 1 + len(bases))
     table = table[np.argsort(table[:, 0])]
     names, base = list(bases), np.array(list(bases.values()), np.int64)
     known, gain = np.ascontiguousarray(table[:, 0]), np.ascontiguousarray(table[:, 1:])
@@ -154,7 +155,7 @@ def lang_identify(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_
     """
     bases = language_bases(model)
     gains = _gains(model, bases)
-    rows = gains.limit(max_cells // max(1, len(bases)) + 1).collect()
+    rows = gains.limit(max_cells // max(1, len(bases)) + 1).toArrow()
     if len(rows) * len(bases) <= max_cells:
         return df.withColumn(out_col, _predictor(rows, bases)(_padded_letters(F.col(text_col))))
     scores, languages = lang_scores(df, model, id_col, text_col)

@@ -1,10 +1,11 @@
 """Counters and averages over scored tasks and solutions."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.operators.positions import with_running_totals
+from textloom.operators.storage import cut
 
 VALID = "validation.is_valid"
 
@@ -60,39 +61,51 @@ def running_task_metrics(df: DataFrame, iteration: str = "iteration", seq: str =
     ))
 
 
+def _tally(df: DataFrame, iteration: str, rewards: str, type_col: str | None, is_valid: str) -> DataFrame:
+    """(kind, key, n, values, total): rows per iteration and type, and sums per reward key.
+
+    One scan and one aggregation with map-side sums; the few rows that come out are stored.
+    """
+    def fact(kind: str, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+
+    facts = [fact("iteration", F.col(iteration), F.coalesce(F.col(is_valid), F.lit(False)).cast("int"))]
+    if type_col:
+        facts.append(fact("type", F.coalesce(F.col(type_col), F.lit("unknown")), F.lit(0)))
+    of_rewards = F.transform(F.map_entries(rewards), lambda e: fact("reward", e["key"], e["value"]))
+    every = F.when(F.col(rewards).isNull(), F.array(*facts)).otherwise(F.concat(F.array(*facts), of_rewards))
+    return cut(df.select(F.inline(every)).groupBy("kind", "key").agg(
+        F.count("*").alias("n"), F.count("value").alias("values"), F.sum("value").alias("total")))
+
+
 def run_summary(tasks: DataFrame, solutions: DataFrame, iteration: str = "iteration",
-                rewards: str = "rewards") -> DataFrame:
+                rewards: str = "rewards", type_col: str = "type", is_valid: str = VALID) -> DataFrame:
     """(metric, value): counts, rates, counts per type and mean rewards of a whole run.
 
-    Metrics of nested groups have dotted names such as ``task_types.induction``.
+    Metrics of nested groups have dotted names such as ``task_types.induction``. Each
+    table is read once; all metrics come from its sums.
     """
-    def named(df: DataFrame, name, value) -> DataFrame:
+    def named(df: DataFrame, name: Column, value: Column) -> DataFrame:
         return df.select(name.alias("metric"), value.cast("double").alias("value"))
 
-    def counts(df: DataFrame, one: str, many: str) -> DataFrame:
-        row = task_counts(df)
-        return row.select(F.inline(F.array(*[
-            F.struct(F.lit(name).alias("metric"), F.col(c).cast("double").alias("value"))
-            for name, c in ((f"{many}_generated", "generated"), (f"{many}_valid", "valid"),
-                            (f"{one}_valid_rate", "rate"))
-        ])))
-
-    per_task = iteration_rates(tasks, iteration)
-    per_solution = iteration_rates(solutions, iteration)
-    iterations = per_task.select(iteration)
-    parts = [
-        named(iterations.agg(F.count("*").alias("n")), F.lit("iterations"), F.col("n")),
-        counts(tasks, "task", "tasks"),
-        counts(solutions, "solution", "solutions"),
-        named(task_type_counts(tasks), F.concat(F.lit("task_types."), "type"), F.col("n")),
-        named(avg_rewards_by_key(tasks, rewards), F.concat(F.lit("avg_task_rewards."), "key"),
-              F.col("average")),
-        named(avg_rewards_by_key(solutions, rewards), F.concat(F.lit("avg_solution_rewards."), "key"),
-              F.col("average")),
-        named(mean_iteration_rate(per_task), F.lit("avg_validation_rates.tasks"), F.col("mean_rate")),
-        named(mean_iteration_rate(per_solution, iterations, iteration),
-              F.lit("avg_validation_rates.solutions"), F.col("mean_rate")),
-    ]
+    of_tasks = _tally(tasks, iteration, rewards, type_col, is_valid)
+    of_solutions = _tally(solutions, iteration, rewards, None, is_valid)
+    iterations = of_tasks.where("kind = 'iteration'")
+    parts = [named(iterations.agg(F.count("*").alias("n")), F.lit("iterations"), F.col("n"))]
+    for tally, one in ((of_tasks, "task"), (of_solutions, "solution")):
+        rows = tally.where("kind = 'iteration'")
+        sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("valid"))
+        parts.append(sums.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("metric"), value.cast("double").alias("value")) for name, value in (
+                (f"{one}s_generated", F.col("n")), (f"{one}s_valid", F.col("valid")),
+                (f"{one}_valid_rate", F.col("valid") / F.greatest(F.lit(1), F.col("n"))))]))))
+        parts.append(named(tally.where("kind = 'reward' and values > 0"), F.concat(F.lit(f"avg_{one}_rewards."), "key"),
+                           F.col("total") / F.col("values")))
+        # Iterations without attempts count 0.
+        rates = iterations.select("key").join(rows.select("key", (F.col("total") / F.col("n")).alias("rate")), "key", "left")
+        parts.append(named(rates.agg(F.coalesce(F.avg(F.coalesce("rate", F.lit(0.0))), F.lit(0.0)).alias("rate")),
+                           F.lit(f"avg_validation_rates.{one}s"), F.col("rate")))
+    parts.append(named(of_tasks.where("kind = 'type'"), F.concat(F.lit("task_types."), "key"), F.col("n")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -51,9 +51,8 @@ def join_ids(rows: DataFrame, ids: DataFrame, key: str, how: str,
     """Semi or anti join of wide rows with a table of distinct ids.
 
     The ids are cut to storage and counted. Few of them are broadcast and the rows do not
-    move; otherwise both sides are shuffled and the ids, the narrow side, are hashed, so
-    that the wide rows need not be sorted.
+    move; otherwise both sides are shuffled and sorted, which spills where it must.
     """
     stored = cut(ids.select(key))
     few = stored.count() <= broadcast_ids
-    return rows.join(stored.hint("broadcast" if few else "shuffle_hash"), key, how)
+    return rows.join(stored.hint("broadcast" if few else "merge"), key, how)

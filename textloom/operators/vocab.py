@@ -4,12 +4,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import blank_words
+from textloom.operators.positions import with_position
 from textloom.operators.spread import spread
+from textloom.operators.storage import cut
 
 MAX_IN_MEMORY = 2_000_000  # vocabulary entries a worker may hold; larger ones are joined
 SALTS = 64
@@ -17,19 +20,24 @@ SPECIAL_TOKENS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 
 
-def build_vocab(df: DataFrame, text_col: str, size: int, id_col: str = "doc_id") -> DataFrame:
-    """(token, id): the four special tokens, then the most frequent words, ties by word."""
+def build_vocab(df: DataFrame, text_col: str, size: int | None = None, id_col: str = "doc_id") -> DataFrame:
+    """(token, id): the four special tokens, then the most frequent words, ties by word.
+
+    ``size`` counts the special tokens too; without it every word gets an id. Ids come
+    from positions in a distributed sort, so no task holds the whole vocabulary.
+    """
     counts = (
         spread(df.select(id_col, text_col), id_col)
         .select(F.explode_outer(blank_words(F.col(text_col))).alias("token"))
         .where(~F.col("token").isin(SPECIAL_TOKENS))  # also drops the null of an empty text
-        .groupBy("token").agg(F.count("*").alias("n"))
+        .groupBy("token").agg((-F.count("*")).alias("rank"))
     )
     first = len(SPECIAL_TOKENS)
-    top = counts.orderBy(F.desc("n"), "token").limit(size - first)  # a vocabulary fits one task
-    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("rank"), "token"))).alias("ranked"))
-    tokens = F.concat(F.array(*[F.lit(t) for t in SPECIAL_TOKENS]), F.col("ranked.token"))
-    return ranked.select(F.posexplode(tokens).alias("id", "token")).select("token", "id")
+    if size is not None:
+        counts = counts.orderBy("rank", "token").limit(size - first)
+    words = with_position(counts, ["rank", "token"], "pos").select("token", (F.col("pos") + first).cast("int").alias("id"))
+    special = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).alias("id")) for i, t in enumerate(SPECIAL_TOKENS)]))
+    return df.sparkSession.range(1).select(special.alias("s")).select("s.token", "s.id").unionByName(words)
 
 
 def scan_vocab(df: DataFrame, json_col: str = "value") -> DataFrame:
@@ -39,15 +47,17 @@ def scan_vocab(df: DataFrame, json_col: str = "value") -> DataFrame:
     """
     parsed = df.select(
         F.from_json(json_col, "tokens array<string>")["tokens"].alias("listed"),
-        F.from_json(json_col, "map<string,string>").alias("mapped"),
+        F.from_json(json_col, "map<string,variant>").alias("mapped"),
     )
     listed = (
         parsed.where("listed is not null")
         .select(F.posexplode("listed").alias("id", "token"))
-        .groupBy("token").agg(F.max("id").cast("string").alias("id"))
+        .groupBy("token").agg(F.max("id").cast("bigint").alias("id"))
     )
-    mapped = parsed.where("listed is null").select(F.explode("mapped").alias("token", "id"))
-    return listed.unionByName(mapped).select("token", F.col("id").try_cast("bigint").alias("id"))
+    mapped = parsed.where("listed is null").select(F.explode("mapped").alias("token", "value"))
+    # Only JSON integers are ids; text such as "5" is not.
+    whole = F.when(F.schema_of_variant("value") == "BIGINT", F.try_variant_get("value", "$", "bigint"))
+    return listed.unionByName(mapped.select("token", whole.alias("id")))
 
 
 def vocab_size(vocab: DataFrame) -> DataFrame:
@@ -69,29 +79,39 @@ def check_vocab(vocab: DataFrame) -> int:
     return row.size
 
 
-def _in_memory(vocab: DataFrame, limit: int) -> dict[str, int] | None:
-    """The vocabulary as a dict, or None when it has more than ``limit`` entries."""
-    rows = vocab.select("token", "id").limit(limit + 1).collect()
-    return None if len(rows) > limit else {r[0]: int(r[1]) for r in rows}
+def _in_memory(vocab: DataFrame, limit: int) -> pa.Table | None:
+    """The vocabulary's (token, id) rows as Arrow, or None when it has more than ``limit`` entries.
+
+    A row without token or id says nothing and is left out.
+    """
+    known = vocab.where("token is not null and id is not null")
+    rows = known.select("token", F.col("id").cast("bigint").alias("id")).limit(limit + 1).toArrow()
+    return None if len(rows) > limit else rows
 
 
-def _id_lookup(table: dict[str, int], miss: int) -> Column:
-    """Arrow UDF from token lists to id lists; the table travels once per task."""
+def _id_lookup(table: pa.Table, miss: int) -> Column:
+    """Arrow UDF from token lists to id lists; the table is sorted once and searched per batch."""
+    table = table.group_by("token").aggregate([("id", "max")]).sort_by("token")
+    tokens = table["token"].combine_chunks()
+    ids = table["id_max"].combine_chunks().cast(pa.int32())
 
     def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
         import pyarrow.compute as pc
 
-        tokens = pa.array(list(table), pa.string())
-        ids = pa.array(list(table.values()), pa.int32())
+        # One index for all batches of a task; words of a batch are looked up once each.
+        index = dict(zip(tokens.to_pylist(), ids.to_pylist()))
         for batch in batches:
             lists = batch.cast(pa.list_(pa.string()))
             words = lists.flatten().dictionary_encode()
-            found = ids.take(pc.index_in(words.dictionary, value_set=tokens)).fill_null(miss)
+            found = np.array([index.get(w, miss) for w in words.dictionary.to_pylist()] + [miss], np.int32)
+            # A null token is unknown, too: the last entry.
+            at = words.indices.fill_null(len(found) - 1).to_numpy(zero_copy_only=False)
             lengths = pc.list_value_length(lists)
             offsets = pa.concat_arrays([
                 pa.array([0], pa.int32()), pc.cumulative_sum(lengths.fill_null(0)),
             ])
-            yield pa.ListArray.from_arrays(offsets, found.take(words.indices), mask=lengths.is_null())
+            yield pa.ListArray.from_arrays(offsets, pa.array(found[at]), mask=lengths.is_null())
 
     return F.arrow_udf(lookup, T.ArrayType(T.IntegerType()))
 
@@ -101,44 +121,42 @@ def token_ids(
     tokens: Column,
     vocab: DataFrame,
     out_col: str = "ids",
-    id_col: str = "doc_id",
     unk: int = UNK,
     model_size: int | None = None,
     max_in_memory: int = MAX_IN_MEMORY,
 ) -> DataFrame:
     """Add ``out_col``: the id of every token, in order.
 
-    An unknown token gets the id of ``<unk>`` in the vocabulary, or ``unk`` without one;
-    an id not below ``model_size`` becomes ``unk``. A vocabulary that fits a worker is
-    looked up without moving rows; a larger one is joined by shuffle, with frequent
-    tokens spread over ``SALTS`` partitions, and the lists rebuilt by position.
+    An unknown or null token gets the id of ``<unk>`` in the vocabulary, or ``unk`` without
+    one; an id not below ``model_size`` becomes ``unk``. A token that the vocabulary
+    repeats has its largest id, and entries without token or id are left out. A
+    vocabulary that fits a worker is looked up without moving rows; a larger one is joined
+    by shuffle, with frequent tokens spread over ``SALTS`` partitions, and the lists
+    are rebuilt by position under a row number of their own. Both give the same lists.
     """
     clamped = vocab if model_size is None else vocab.select(
-        "token", F.when(F.col("id") < model_size, F.col("id")).otherwise(unk).alias("id")
+        "token", F.when(F.col("id") < model_size, F.col("id")).when(F.col("id").isNotNull(), unk).alias("id")
     )
     table = _in_memory(clamped, max_in_memory)
     if table is not None:
-        miss = table.get("<unk>", unk)
-        if model_size is not None and miss >= model_size:
-            miss = unk
-        return df.withColumn(out_col, _id_lookup(table, miss)(tokens))
-    unknown = clamped.where("token = '<unk>'").agg(F.coalesce(F.max("id"), F.lit(unk)).alias("miss"))
-    salted = clamped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = df.select(F.col(id_col).alias("_id"), F.posexplode_outer(tokens).alias("pos", "token"))
-    rows = rows.where("pos is not null")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("_id", "pos"), F.lit(SALTS)).cast("int"))
+        marks = table.filter(pa.compute.equal(table["token"], "<unk>"))["id"].to_pylist()
+        return df.withColumn(out_col, _id_lookup(table, max(marks, default=unk))(tokens))
+    known = clamped.where("token is not null and id is not null").groupBy("token").agg(F.max("id").alias("id"))
+    unknown = known.where("token = '<unk>'").agg(F.coalesce(F.max("id"), F.lit(unk)).alias("miss"))
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    numbered = cut(df.withColumn("_tokens", tokens).withColumn("_row", F.monotonically_increasing_id()))
+    rows = numbered.select("_row", F.posexplode("_tokens").alias("pos", "token"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(SALTS)).cast("int"))
     found = rows.join(salted, ["token", "salt"], "left").withColumn(
         "id", F.coalesce("id", unknown.scalar()).cast("int")
     )
-    lists = found.groupBy("_id").agg(F.transform(
+    lists = found.groupBy("_row").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "id"))),
         lambda x: x["id"],
-    ).alias(out_col))
-    empty = F.when(tokens.isNotNull(), F.array().cast("array<int>"))
-    return (
-        df.join(lists, df[id_col] == lists["_id"], "left").drop("_id")
-        .withColumn(out_col, F.coalesce(F.col(out_col), empty))
-    )
+    ).alias("_ids"))
+    empty = F.when(F.col("_tokens").isNotNull(), F.array().cast("array<int>"))
+    joined = numbered.join(lists, "_row", "left").withColumn("_ids", F.coalesce("_ids", empty))
+    return joined.withColumn(out_col, F.col("_ids")).drop("_row", "_tokens", "_ids")
 
 
 def vocab_lookup(df: DataFrame, text_col: str, vocab: DataFrame, **options) -> DataFrame:
@@ -177,27 +195,37 @@ def detokenize(
 ) -> DataFrame:
     """Words of an id list joined by blanks; special ids skipped, unknown ids shown.
 
-    Ids are positions in a bounded table, so a vocabulary above ``max_in_memory`` is
-    refused; no model has one.
+    A vocabulary of at most ``max_in_memory`` entries is looked up in the tasks, a larger one
+    joined by shuffle; both give the same text. An id that the vocabulary repeats has its
+    last token in sort order.
     """
+    kept = F.filter(ids_col, lambda i: ~i.isin(*skip)) if skip else F.col(ids_col)
     table = _in_memory(vocab, max_in_memory)
     if table is None:
-        raise ValueError(f"vocabulary has more than {max_in_memory} entries")
+        known = vocab.where("token is not null and id is not null").groupBy("id").agg(F.max("token").alias("token"))
+        numbered = cut(df.withColumn("_kept", kept).withColumn("_row", F.monotonically_increasing_id()))
+        rows = numbered.select("_row", F.posexplode("_kept").alias("pos", "id")).withColumn(
+            "salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(SALTS)).cast("int"))
+        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        shown = F.coalesce("token", F.concat(F.lit("[<UNK>_ID:"), F.col("id").cast("string"), F.lit("]")))
+        spoken = rows.join(salted, ["id", "salt"], "left").groupBy("_row").agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("pos", shown.alias("word")))), lambda x: x["word"]), " ").alias("_text"))
+        whole = numbered.join(spoken, "_row", "left").withColumn(
+            "_text", F.when(F.col("_kept").isNotNull(), F.coalesce("_text", F.lit(""))))
+        return whole.withColumn(out_col, F.col("_text")).drop("_row", "_kept", "_text")
+    table = table.group_by("id").aggregate([("token", "max")])
 
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow.compute as pc
 
-        tokens = pa.array(list(table), pa.string())
-        known = pa.array(list(table.values()), pa.int64())
+        index = dict(zip(table["id"].to_pylist(), table["token_max"].to_pylist()))
         for batch in batches:
             lists = batch.cast(pa.list_(pa.int64()))
-            ids = lists.flatten()
-            shown = pc.binary_join_element_wise("[<UNK>_ID:", ids.cast(pa.string()), "]", "")
-            found = pc.coalesce(tokens.take(pc.index_in(ids, value_set=known)), shown)
+            ids = lists.flatten().dictionary_encode()
+            shown = pa.array([index.get(i, f"[<UNK>_ID:{i}]") for i in ids.dictionary.to_pylist()], pa.string())
             ends = pc.cumulative_sum(pc.list_value_length(lists).fill_null(0))
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            spoken = pa.ListArray.from_arrays(offsets, found, mask=lists.is_null())
+            spoken = pa.ListArray.from_arrays(offsets, shown.take(ids.indices), mask=lists.is_null())
             yield pc.binary_join(spoken, " ")
 
-    kept = F.filter(ids_col, lambda i: ~i.isin(*skip)) if skip else F.col(ids_col)
     return df.withColumn(out_col, F.arrow_udf(words, "string")(kept))
