@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 from catalog import base as B
 from catalog import scoring
 from catalog import sql as S
+from catalog import tokens
 from catalog.tokens import PAIRS, sft_pairs
+from textloom.functions.examples import pretrain_example
 from textloom.functions.prompts import by_type
 from textloom.functions.text import blank_words
+from textloom.operators import vocab
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut, scratch_path
 from textloom.sources import jsonl, manifest, sinks, warc
@@ -149,15 +152,18 @@ def json_lines(spark, sf):
         "1": F.to_json(F.struct(F.col("text").alias("body"))),
         "2": F.to_json(F.struct(blank_words(F.col("text")).alias("text"))),
         "3": F.to_json(F.struct(F.array("doc_id", F.lit(7)).alias("text"))),
+        "6": F.concat(F.lit('{"text": ['), F.col("doc_id").cast("string"), F.lit(', "7", "of", 4]}')),
+        "7": F.lit('{"text": 5}'),
         "4": F.concat(F.lit("["), whole, F.lit("]")),
         "5": F.lit('{"text": null}'),
     }, F.concat(F.lit(" "), whole, F.lit(" ")))
     return docs.select("doc_id", line.alias("value"))
 
 
-@query("scan_jsonl_pretrain", f"""SELECT doc_id, CASE WHEN h NOT IN ('2', '3', '5') THEN text END AS text,
-  CASE WHEN h = '5' THEN NULL WHEN h = '3' THEN doc_id || ' 7' ELSE array_to_string({S.words('text')}, ' ') END AS tokens,
-  CASE WHEN h = '3' THEN doc_id || ' 7' END AS ids, CASE WHEN h NOT IN ('2', '3', '5') THEN source END AS label
+@query("scan_jsonl_pretrain", f"""SELECT doc_id, CASE WHEN h NOT IN ('2', '3', '5', '6', '7') THEN text END AS text,
+  CASE WHEN h IN ('5', '7') THEN NULL WHEN h = '3' THEN '' WHEN h = '6' THEN '7 of' ELSE array_to_string({S.words('text')}, ' ') END AS tokens,
+  CASE WHEN h = '3' THEN doc_id || ' 7' WHEN h = '6' THEN doc_id || ' 4' WHEN h = '2' THEN '' END AS ids,
+  CASE WHEN h NOT IN ('2', '3', '5', '6', '7') THEN source END AS label
   FROM (SELECT *, {JSON_TEXT} AS h FROM documents) WHERE h NOT IN ('0', '1', '4')""")
 def _(spark, sf):
     out = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
@@ -165,6 +171,32 @@ def _(spark, sf):
                       F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "label")
 
 
+def _given(value: str) -> str:
+    return f"CASE WHEN {value} < {tokens.SHORT_MODEL} THEN {value} ELSE 3 END"
+
+
+def _word_id(word: str) -> str:
+    return (f"(SELECT coalesce(max(CASE WHEN id < {tokens.SHORT_MODEL} THEN id END), 3) FROM vocab"
+            f" WHERE token = '{word}')")
+
+
+@query("pretrain_from_json", tokens.SHORT_IDS + f"""SELECT doc_id, array_to_string(x, ' ') AS input_ids,
+  array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 END), ' ') AS attention_mask,
+  array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN -100 ELSE i END), ' ') AS labels
+  FROM (SELECT doc_id, {tokens.padded(f'given[1:{tokens.MAX_LENGTH}]')} AS x FROM (
+    SELECT doc_id, CASE WHEN h IN ('5', '7') THEN []::BIGINT[] WHEN h = '3' THEN [{_given('doc_id')}, 7::BIGINT]
+      WHEN h = '6' THEN [{_given('doc_id')}, {_word_id('7')}, {_word_id('of')}, 4::BIGINT] ELSE ids END AS given
+    FROM (SELECT doc_id, {JSON_TEXT} AS h FROM documents) JOIN ids USING (doc_id) WHERE h NOT IN ('0', '1', '4')))""")
+def _(spark, sf):
+    # Lines to examples: words are looked up, integers of a list are ids already.
+    rows = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
+    words = tokens.corpus_vocab(spark, sf, tokens.SHORT_VOCAB)
+    found = vocab.token_ids(rows, F.col("tokens"), words, "found", model_size=tokens.SHORT_MODEL)
+    ids = vocab.with_given_ids(F.col("found"), F.col("ids"), tokens.SHORT_MODEL)
+    ids = F.coalesce(ids, F.array().cast("array<int>"))
+    return tokens.flat_example(found.select("doc_id", pretrain_example(ids, tokens.MAX_LENGTH).alias("x")), "doc_id")
+
+
 @query("jsonl_rejects", f"""SELECT count(*) AS lines, count(*) FILTER ({JSON_TEXT} IN ('0', '4')) AS bad_json,
   count(*) FILTER ({JSON_TEXT} = '1') AS missing_field FROM documents""")
 def _(spark, sf):

@@ -118,12 +118,19 @@ def test_pretrain_lines(spark):
     assert sorted(rows) == [0, 1, 2, 3, 10]
     assert rows[0].text == "a  b" and rows[0].tokens == ["a", "b"]
     assert rows[1].text is None and rows[1].tokens is None
-    assert rows[2].text is None and rows[2].tokens == ["x", "y z"] and rows[2].ids is None
-    assert rows[3].ids == [4, 5]
+    assert rows[2].text is None and rows[2].tokens == ["x", "y z"] and rows[2].ids == [None, None]
+    assert rows[3].ids == [4, 5] and rows[3].tokens == [None, None] and rows[0].ids is None
     assert (rows[10].text, rows[10].label, rows[10].image) == ("é", "l", "i.png")
     assert jsonl.line_rejects(lines(spark, LINES), ["text"]).first().asDict() == {"lines": 13, "bad_json": 7, "missing_field": 1}
 
 
+def test_values_keep_their_kind(spark):
+    texts = ['{"text": 5}', '{"text": [1, "a", 2.5, null]}', '{"text": {"a": 1}}', '{"text": []}']
+    rows = jsonl.scan_jsonl_pretrain(lines(spark, texts), "value", "i").orderBy("i").collect()
+    assert [(r.text, r.tokens, r.ids) for r in rows] == [
+        (None, None, None), (None, [None, "a", "2.5", None], [1, None, None, None]), (None, None, None), (None, [], [])]
+
+
 def test_sft_and_seed_lines(spark):
     texts = ['{"instruction": "i", "output": "o"}', '{"instruction": "i"}', '{"instruction": "", "output": null}']
     assert [tuple(r) for r in jsonl.scan_jsonl_sft(lines(spark, texts)).collect()] == [("i", "o"), ("", None)]

@@ -164,9 +164,14 @@ def vocab_lookup(df: DataFrame, text_col: str, vocab: DataFrame, **options) -> D
     return token_ids(df, blank_words(F.col(text_col)), vocab, **options)
 
 
-def checked_ids(ids: Column, model_size: int, unk: int = UNK) -> Column:
-    """Token ids given as integers: those not below the model's size become ``unk``."""
-    return F.transform(ids, lambda i: F.when(i >= model_size, F.lit(unk)).otherwise(i))
+def with_given_ids(found: Column, given: Column, model_size: int, unk: int = UNK) -> Column:
+    """Looked-up ids with the ids that the input gave itself at their places.
+
+    Given ids not below the model's size become ``unk``; without a list of given ids all
+    looked-up ids stay.
+    """
+    return F.when(given.isNull(), found).otherwise(F.zip_with(found, given, lambda f, g: F.when(
+        g.isNull(), f).when((g < model_size) & (g >= 0), g).otherwise(unk)))
 
 
 def tokenize_vocab(df: DataFrame, text_col: str, vocab: DataFrame, max_length: int = 2048,

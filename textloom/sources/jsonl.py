@@ -61,19 +61,24 @@ def scan_text_lines(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def scan_jsonl_pretrain(lines: DataFrame, col: str = "value", *keep: str) -> DataFrame:
-    """Rows that parse and have ``text``: text, tokens, image, label.
+    """Rows that parse and have ``text``: text, tokens, ids, image, label.
 
-    ``tokens`` are the blank-separated words of a string, or the elements of a list as
-    strings; ``ids`` are set instead when the list holds integers.
+    ``tokens`` are the blank-separated words of a string. Of a list, ``tokens`` holds the texts
+    and ``ids`` the integers, each at its place, with null in the other; other values
+    are unknown words. A number or an object has neither; its row stays.
     """
     def fields(item: Column) -> list[Column]:
         value = F.try_variant_get(item, "$.text", "variant")
-        kind = F.schema_of_variant(value)
-        text = F.when(~kind.startswith("ARRAY"), text_field(item, "text"))
-        listed = F.try_variant_get(item, "$.text", "array<string>")
+        text = F.when(F.schema_of_variant(value) == "STRING", text_field(item, "text"))
+        listed = F.try_variant_get(item, "$.text", "array<variant>")
+
+        def whole(e: Column) -> Column:
+            return F.when(F.schema_of_variant(e) == "BIGINT", F.try_variant_get(e, "$", "int"))
+
+        words = F.transform(listed, lambda e: F.when(F.schema_of_variant(e) != "BIGINT", F.try_variant_get(e, "$", "string")))
         return [
-            text.alias("text"), F.coalesce(blank_words(text), listed).alias("tokens"),
-            F.when(kind == "ARRAY<BIGINT>", F.try_variant_get(item, "$.text", "array<int>")).alias("ids"),
+            text.alias("text"), F.coalesce(blank_words(text), words).alias("tokens"),
+            F.transform(listed, whole).alias("ids"),
             text_field(item, "image").alias("image"), text_field(item, "label").alias("label"),
         ]
 
