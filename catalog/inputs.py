@@ -47,6 +47,16 @@ def entries(spark, sf):
 
 
 @query("scan_manifest", ENTRIES)
+def _(spark, sf):
+    # Several files in page order, one of their lines with blanks around the entry.
+    pages = B.table(spark, sf, "pages").repartitionByRange(3, "page_id").sortWithinPartitions("page_id")
+    lines = pages.select(F.concat(F.lit(" "), "url", F.lit("\t")).alias("value"))
+    path = scratch_path(spark, "manifest")
+    lines.write.option("compression", "gzip").text(path)
+    return manifest.scan_manifest(spark, path)
+
+
+@query("manifest_entries", ENTRIES)
 def _(spark, sf):
     return entries(spark, sf)
 

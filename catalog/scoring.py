@@ -161,7 +161,9 @@ def _(spark, sf):
 
 # --- validation and gating -------------------------------------------------------------
 
-TASK_FIELDS = "iteration, seq, is_valid, round(complexity, 6) AS complexity, round(clarity, 6) AS clarity, reason"
+# No task here has a run, so every one with scores is executable.
+TASK_FIELDS = ("iteration, seq, is_valid, round(complexity, 6) AS complexity, round(clarity, 6) AS clarity,"
+               " CASE WHEN complexity IS NOT NULL THEN 1.0::DOUBLE END AS executability, reason")
 
 
 def flat(df, *keys):
@@ -171,7 +173,7 @@ def flat(df, *keys):
 @query("validate_task", S.with_(S.TASKS, S.VALIDATED_TASKS) + f"SELECT {TASK_FIELDS} FROM validated")
 def _(spark, sf):
     out = flat(validated_tasks(B.tasks(spark, sf), force=False), "iteration", "seq")
-    return rounded(out.drop("executability"), "complexity", "clarity")
+    return rounded(out, "complexity", "clarity")
 
 
 @query("force_accept_tasks", S.with_(S.TASKS, S.VALIDATED_TASKS, S.ACCEPTED_TASKS)
@@ -182,14 +184,14 @@ def _(spark, sf):
 
 
 # A code block's run is a row of a given table; here a digest decides how the run ended.
-RUNS = f"""blocks AS (SELECT seq, unnest(range(1, len({S.code_blocks('raw_generation')}) + 1)) AS block_no
+RUNS = f"""blocks AS (SELECT seq, unnest(range(1, len({S.code_blocks('solution')}) + 1)) AS block_no
     FROM solutions),
 runs AS (SELECT seq, block_no, substr(md5('x:' || seq || ':' || block_no), 1, 1) NOT IN ('0', '1', '2', '3', '4', '5') AS success
     FROM blocks)"""
 
 
 def code_runs(sol):
-    blocks = sol.select("seq", F.posexplode(P.extract_code_blocks(F.col("raw_generation"))).alias("pos", "code"))
+    blocks = sol.select("seq", F.posexplode(P.extract_code_blocks(F.col("solution"))).alias("pos", "code"))
     numbered = blocks.select("seq", (F.col("pos") + 1).alias("block_no"))
     return numbered.withColumn(
         "success", ~F.substring(B.digest("x", "seq", "block_no"), 1, 1).isin(*"012345"))
@@ -222,9 +224,7 @@ adjusted AS (SELECT * REPLACE (
 def _(spark, sf):
     sol = B.solutions(spark, sf)
     ran = execution_outcome(sol, code_runs(sol), ["seq"])
-    executed = F.when((F.col("type") == "induction") & ~F.col("is_placeholder"), F.col("executed"))
-    checked = validated_solutions(ran.withColumn("executed", executed))
-    return rounded(flat(checked, "seq"), *SCORES)
+    return rounded(flat(validated_solutions(ran), "seq"), *SCORES)
 
 
 def checked_tasks(spark, sf):
@@ -326,7 +326,7 @@ def _(spark, sf):
     out = score_tasks(B.tasks(spark, sf))
     keys = ("clarity", "complexity", "diversity", "total")
     return rounded(out.select("iteration", "seq", "validation.*", *[
-        r6(F.col("rewards")[k]).alias(f"r_{k}") for k in keys]).drop("executability"), "complexity", "clarity")
+        r6(F.col("rewards")[k]).alias(f"r_{k}") for k in keys]), "complexity", "clarity")
 
 
 SOL_REWARD_NAMES = ("accuracy", "coherence", "relevance", "structure")

@@ -43,15 +43,17 @@ def valid_before(tasks: DataFrame, iteration: str = "iteration", is_valid: str =
 
 def force_accept_solutions(df: DataFrame, tasks: DataFrame, validation: str = "validation",
                            iteration: str = "iteration", threshold: int = FORCE_SOLUTIONS_UNTIL,
-                           enabled: bool = True) -> DataFrame:
+                           enabled: bool = True, valid_at_start: int = 0) -> DataFrame:
     """Accept solutions while at most ``threshold`` tasks were accepted before the iteration.
 
+    ``valid_at_start`` counts the accepted tasks of the runs that this one resumes.
+
     The counts never fall, so the iterations concerned are those up to one number, a
     scalar of the plan.
     """
     if not enabled:
         return df
-    last = valid_before(tasks, iteration).where(F.col("valid_before") <= threshold).agg(
+    last = valid_before(tasks, iteration).where(F.col("valid_before") + valid_at_start <= threshold).agg(
         F.max(iteration).alias("last")
     )
     force = F.coalesce(F.col(iteration) <= last.scalar(), F.lit(False))

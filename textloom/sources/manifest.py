@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import strip_blanks
 from textloom.operators.positions import with_position
+from textloom.operators.storage import cut
 from textloom.sources.files import file_system
 
 # Fixed value: where listed archive paths are fetched from by default.
@@ -28,14 +29,16 @@ def manifest_entries(df: DataFrame, line: str = "value", order: list[str] | None
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, path) of a text file, gzip included, one entry per line in file order.
+    """(pos, path) of text files, gzip included: one entry per line, by file name and line.
 
-    A manifest file is one unsplittable task, so its row counter is the position.
+    Large files are read in splits, which tasks pack in any order; the place of a line is its
+    file, the start of its split and its number there.
     """
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("pos"), strip_blanks(F.col("value")).alias("path")
+        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    return lines
+    return manifest_entries(cut(lines), order=["file", "block", "row"])
 
 
 def manifest_head(manifest: DataFrame, n: int) -> DataFrame:
@@ -88,6 +91,7 @@ def fetch_report(manifest: DataFrame, output_dir: str, base_url: str = BASE_URL,
             yield pd.DataFrame(rows, columns=["path", "status", "bytes", "error"]).astype({"bytes": "Int64"})
 
     named = manifest.select("path", local_name(F.col("path")).alias("name"))
-    return named.repartition(num_partitions, "path").mapInPandas(
+    # Stored, so that a second action on the report does not fetch again.
+    return cut(named.repartition(num_partitions, "path").mapInPandas(
         fetch, "path string, status string, bytes long, error string"
-    )
+    ))
