@@ -13,6 +13,7 @@ from textloom.llm import queries
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.hashing import window_hashes
 from textloom.llm.heavy import _summary, frequent_values, with_group
+from textloom.llm import jaccard
 from textloom.llm.jaccard import JaccardRule, choose_boundary, jaccard_components, odd_sketch, sketch_distance
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.repetition import measure, repetition_rules
@@ -244,6 +245,17 @@ def test_groups_of_near_copies_without_and_with_rounds(spark):
         assert got == want
 
 
+def test_groups_in_blocks_of_long_lists(spark, monkeypatch):
+    """Every list counts as long and has several blocks."""
+    monkeypatch.setattr(jaccard, "LONG_LIST", 1)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 3)
+    rows = [(k, " ".join(f"c{i}" for i in range(k * 3, k * 3 + 60 + 40 * (k % 3)))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    rule = JaccardRule(3, 80)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, rule, rounds=0).collect()}
+    assert got == groups_by_hand(rows, rule)
+
+
 def test_group_query(spark, sf, texts):
     want = groups_by_hand(list(texts.items()), JaccardRule(3, 90))
     got = {r.doc_id: r.component_id for r in queries.op2_heavy_light_join(spark, sf).collect()}

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ from textloom.llm import queries
 from textloom.llm.byte_bpe import (
     RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, load_ranks, merge_long,
 )
-from textloom.llm.packing import Packer, PackLimits, pack_documents
+from textloom.llm.packing import Packer, PackLimits, id_array, pack_documents
 from textloom.llm.subwords import SubwordEncoder
 from textloom.llm.token_files import file_positions, read_token_files, write_token_files
 
@@ -54,7 +55,8 @@ def test_chunks_give_the_ids_of_whole_texts(text, remembered):
         test_chunks_give_the_ids_of_whole_texts.t, test_chunks_give_the_ids_of_whole_texts.own = t, own
     t = test_chunks_give_the_ids_of_whole_texts.t
     text = text + " <|endoftext|>"
-    got = np.frombuffer(own.encode([text.encode("utf-8", "replace")])[0], "<u4").tolist()
+    flat, starts = own.encode(pa.array([b"", text.encode("utf-8", "replace"), b"x"]))
+    got = flat[starts[1]:starts[2]].tolist()
     assert got == t.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
 
 
@@ -111,15 +113,21 @@ def test_pieces_cover_every_id_once(edges, library, limits):
     pieces = defaultdict(list)
     for r in rows:
         pieces[r.doc_id, r.doc_tokens].append(r)
-        assert 0 < r.length == len(r.ids) and r.start + r.length <= r.doc_tokens
+        assert 0 < r.length == len(r.ids) // 4 and r.start + r.length <= r.doc_tokens
         assert sum(x.length for x in by[r.sequence_id]) <= min(limits.tokens, limits.loss)
     for i, ids in whole:
         if whole[i, ids] == 1 and [k for k in whole if k[0] == i] == [(i, ids)]:
             parts = sorted(pieces[i, len(ids) // 4], key=lambda r: r.start)
-            assert np.array([x for p in parts for x in p.ids], "<u4").tobytes() == ids
+            assert b"".join(bytes(p.ids) for p in parts) == ids
     assert sum(r.length for r in rows) == sum(len(library(t)) for _, t in edge_rows())
 
 
+def test_ids_as_arrays(spark):
+    values = [[], [1], [0, 49407, 2, 65536, 2**31 - 1]]
+    df = spark.createDataFrame([(v, np.array(v, "<u4").tobytes()) for v in values], "v array<int>, b binary")
+    assert all(r.v == r.a for r in df.select("v", id_array(F.col("b")).alias("a")).collect())
+
+
 def test_packing_leaves_little_room(spark, sf):
     rows = queries.op4_vector_packing(spark, sf).collect()
     used = sum(r.length for r in rows)
@@ -209,6 +217,8 @@ def test_chunks_keep_matches(text):
     import regex
     splitter = WordSplitter(P.PATTERN)
     whole = splitter._words.findall(text)
-    assert [w.decode() for c in splitter.chunks(text.encode()) for w in splitter.words(c)] == whole
+    assert [w.decode() for c in splitter.chunks(text.encode()) for w in splitter.words(c.encode())] == whole
+    listed = splitter.chunk_lists(pa.array([b"x  y", text.encode(), b"", b"a b\nc"])).to_pylist()
+    assert [w.decode() for c in listed[1] for w in splitter.words(c)] == whole
     if "\x1c" not in text:
         assert whole == regex.findall(P.PATTERN, text)

@@ -6,6 +6,7 @@ import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +18,21 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from textloom.functions.text import let
 from textloom.llm.blocks import split, stored
+from textloom.llm.subwords import STEP, runs, valid_utf8
 from textloom.llm.token_files import id_lists
 
 # Words of the dictionary that every task holds; the most frequent ones. At most so many
 # entries and so many bytes of words, which bounds the broadcast for any corpus.
 DICTIONARY_WORDS, DICTIONARY_BYTES = 400_000, 32 << 20
 # Texts of one block: its distinct words outside the dictionary are encoded once.
-BLOCK = 8 << 20
+BLOCK = 16 << 20
 # Longer words (no language has them) are merged with a heap, as a fold takes quadratic time.
 FOLD_BYTES = 128
-NONE = 2**31 - 1
 
-#: The code points that count as white space in the published split pattern.
+#: The code points that count as white space in the published split pattern,
+#: all and without space and line end.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+ODD_WHITE = "\t\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,15 +77,17 @@ class RankMap:
         self.slots = slots
 
     def lookup(self) -> Callable[[Column, Column], Column]:
-        """A function of two token ids that gives the rank of their pair, or ``NONE``."""
+        """A function of two token ids: the rank of their pair, or a number of ``size`` or more.
+
+        A slot less its key times size is the rank where the key is the pair's own; any other
+        difference is negative or too large, and without its sign bit always too large.
+        """
         slots, shift = _literal(self.slots), _literal(self.shift)
 
         def rank(a: Column, b: Column) -> Column:
-            def of(key: Column) -> Column:
-                slot = (key % self.p2 + F.get(shift, (key % self.p1).cast("int"))) % self.p2
-                return let(F.get(slots, slot.cast("int")), lambda found: F.when(
-                    F.floor(found / self.size) == key, (found % self.size).cast("int")).otherwise(F.lit(NONE)))
-            return let(a.cast("bigint") * self.size + b, of)
+            key = a * self.size + b
+            slot = (key % self.p2 + F.get(shift, (key % self.p1).cast("int"))) % self.p2
+            return (F.get(slots, slot.cast("int")) - key * self.size).bitwiseAND(F.lit(2**63 - 1))
         return rank
 
 
@@ -104,32 +109,28 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
     leftmost pair of least rank and looks up the two pairs that it makes new; after the
     last merge the state stays as it is.
     """
-    rank = ranks.lookup()
-    start = F.transform(word, lambda b: F.get(F.from_json(F.lit(json.dumps(ranks.bytes)), "array<int>"), b.cast("int")))
+    rank, none = ranks.lookup(), F.array().cast("array<bigint>")
+    start = F.transform(word, lambda b: F.get(F.from_json(F.lit(json.dumps(ranks.bytes)), "array<bigint>"), b.cast("int")))
 
-    def step(state: Column, best: Column) -> Column:
+    def next_state(state: Column, _: Column) -> Column:
         t, r = state["t"], state["r"]
 
         def merge(p: Column) -> Column:
-            n = F.size(t)
-            left = F.when(p > 1, F.array(rank(F.get(t, p - 2), best))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 1 < n, F.array(rank(best, F.get(t, p + 1)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(t, 1, p - 1), F.array(best), F.slice(t, p + 2, n)).alias("t"),
-                F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, n)).alias("r"),
-            )
-        return let(F.array_position(r, best).cast("int"), merge)
-
-    def next_state(state: Column, _: Column) -> Column:
-        return let(F.array_min(state["r"]), lambda best: F.when(
-            best < NONE, step(state, best)).otherwise(state))
+            best = F.get(r, p - 1)
+            left = F.when(p > 1, F.array(rank(F.get(t, p - 2), best))).otherwise(none)
+            right = F.when(p < F.size(r), F.array(rank(best, F.get(t, p + 1)))).otherwise(none)
+            return F.when(best >= ranks.size, state).otherwise(F.struct(
+                F.concat(F.slice(t, 1, p - 1), F.array(best), F.slice(t, p + 2, F.size(t))).alias("t"),
+                F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(t))).alias("r"),
+            ))
+        return F.when(F.size(r) == 0, state).otherwise(let(F.array_position(r, F.array_min(r)).cast("int"), merge))
 
     def fold(t: Column) -> Column:
         pairs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), rank)
         state = F.struct(t.alias("t"), pairs.alias("r"))
         return F.aggregate(F.sequence(F.lit(2), F.size(t)), state, next_state, lambda s: s["t"])
 
-    return let(start, lambda t: F.when(F.size(t) < 2, t).otherwise(fold(t)))
+    return let(start, lambda t: F.when(F.size(t) < 2, t).otherwise(fold(t))).cast("array<int>")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -176,8 +177,23 @@ class WordSplitter:
     def chunks(self, text: bytes) -> list[str]:
         return self._chunks.findall(text.decode("utf-8", "replace"))
 
-    def words(self, chunk: str) -> list[bytes]:
-        return [w.encode() for w in self._words.findall(chunk)]
+    def words(self, chunk: bytes) -> list[bytes]:
+        if chunk[1:].isalpha() and chunk[:1] == b" ":  # ASCII letters: the common case
+            return [chunk]
+        return [w.encode() for w in self._words.findall(chunk.decode())]
+
+    def chunk_lists(self, texts: pa.Array) -> pa.ListArray:
+        """The chunks of each text, cut in Arrow where white space is single spaces and line ends.
+
+        The byte that marks the cuts is in no UTF-8 text.
+        """
+        texts = valid_utf8(texts)
+        marked = pc.replace_substring(pc.replace_substring(texts.cast(pa.large_binary()), b" ", b"\xff "), b"\n", b"\xff\n")
+        odd = pc.match_substring_regex(texts, f"[ \\n][ \\n]|[{ODD_WHITE}]")
+        if pc.any(odd).as_py():
+            cut = [b"\xff".join(c.encode() for c in self._chunks.findall(t)) for t in texts.filter(odd).to_pylist()]
+            marked = pc.replace_with_mask(marked, odd, pa.array(cut, pa.large_binary()))
+        return pc.split_pattern(marked, b"\xff")
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -189,20 +205,18 @@ def _byte_lists(words: list[bytes]) -> pa.ListArray:
 def frequent_words(docs: DataFrame, pattern: str, words: int, text_col: str) -> DataFrame:
     """(word): the most frequent words, by counts summed over blocks of texts.
 
-    A block leaves out words it holds once; that only makes rare words rarer.
+    A block leaves out chunks it holds once; that only makes rare words rarer.
     """
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = WordSplitter(pattern)
         for batch in batches:
             for block in split(batch, BLOCK):
-                found = Counter()
-                for text in block.column("text").to_pylist():
-                    found.update(splitter.chunks(text))
+                found = splitter.chunk_lists(block.column("text")).values.value_counts()
+                often = found.filter(pc.greater(found.field("counts"), 1))
                 per_word = Counter()
-                for chunk, n in found.items():
-                    if n > 1:
-                        for word in splitter.words(chunk):
-                            per_word[word] += n
+                for chunk, n in zip(often.field("values").to_pylist(), often.field("counts").to_pylist()):
+                    for word in splitter.words(chunk):
+                        per_word[word] += n
                 kept = [(w, n) for w, n in per_word.items() if len(w) <= FOLD_BYTES]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
@@ -212,6 +226,12 @@ def frequent_words(docs: DataFrame, pattern: str, words: int, text_col: str) ->
     return sums.orderBy(F.desc("n"), "word").limit(words).select("word")
 
 
+# One block of texts between its two passes: which words each chunk has and which chunks each text
+# has, as positions (int32); ids of words that are known already; bytes of the others.
+_CODED = ("id array<{kind}>, texts binary, chunks binary, chunk_words binary, words binary, "
+          "sizes binary, known binary, unknown array<array<smallint>>")
+
+
 def encode_bpe(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
     dictionary_words: int = DICTIONARY_WORDS,
@@ -220,8 +240,8 @@ def encode_bpe(
 
     1. Frequent distinct words are counted, encoded by ``fold_merges`` and broadcast, up
        to ``dictionary_words`` entries and 32 MB, whatever the corpus.
-    2. Each block of texts becomes one row with its distinct words outside that dictionary,
-       which the same fold encodes.
+    2. Each block of texts becomes one row: its distinct words as positions, those outside
+       the dictionary as bytes, which the same fold encodes.
     3. Each text takes the ids of its words in order. No text and no occurrence is shuffled.
 
     A null or empty text has no ids. Bytes that are not UTF-8 count as U+FFFD. Null ids stay
@@ -239,69 +259,82 @@ def encode_bpe(
     table = as_bytes.select("word", fold_merges(F.col("bytes"), rank_map).alias("ids")).toArrow()
     size = np.cumsum(pc.binary_length(table.column("word")).to_numpy())
     table = table.slice(0, int(np.searchsorted(size, DICTIONARY_BYTES, "right")))
-    known = spark.sparkContext.broadcast((table.column("word").to_pylist(), [
+    sent = spark.sparkContext.broadcast((table.column("word").to_pylist(), [
         np.array(ids, "<u4").tobytes() for ids in table.column("ids").to_pylist()]))
-
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per block: its ids and texts, and the words that the dictionary lacks."""
-        splitter, dictionary = WordSplitter(pattern), set(known.value[0])
-        seen: set[str] = set()  # chunks made of dictionary words only
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, dictionary = WordSplitter(pattern), _dictionary(sent)
         for batch in batches:
             for block in split(batch, BLOCK):
-                texts = block.column("text").to_pylist()
-                missing: set[bytes] = set()
-                for text in texts:
-                    for chunk in set(splitter.chunks(text)) - seen:
-                        new = [w for w in splitter.words(chunk) if w not in dictionary]
-                        missing.update(new)
-                        if not new and len(seen) < len(dictionary):
-                            seen.add(chunk)
-                words = sorted(w for w in missing if len(w) <= FOLD_BYTES)
+                lists = splitter.chunk_lists(block.column("text"))
+                coded = lists.values.dictionary_encode()
+                of_chunk = list(map(splitter.words, coded.dictionary.to_pylist()))
+                place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(of_chunk)))}
+                found = [dictionary.get(w) or (merge_long_bytes(w, ranks) if len(w) > FOLD_BYTES else b"") for w in place]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block.column("id").to_pylist()], pa.list_(block.column("id").type)),
-                    pa.array([texts], pa.list_(pa.binary())), pa.array([words], pa.list_(pa.binary())),
-                    pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), _byte_lists(words)),
-                ], ["id", "text", "words", "bytes"])
+                    *[pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in (
+                        np.diff(lists.offsets.to_numpy()), coded.indices.to_numpy(), list(map(len, of_chunk)),
+                        [place[w] for ws in of_chunk for w in ws], [len(f) // 4 for f in found])],
+                    pa.array([b"".join(found)], pa.binary()),
+                    _one(_byte_lists([w for w, f in zip(place, found) if not f])),
+                ], ["id", "texts", "chunks", "chunk_words", "words", "sizes", "known", "unknown"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, dictionary = WordSplitter(pattern), dict(zip(*known.value))
-        of_chunk: dict[str, bytes] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                found = batch.column("found")[row].values  # one list of ids per word
-                at, flat = found.offsets.to_numpy(), found.values.to_numpy(zero_copy_only=False).astype("<u4")
-                own = {w: flat[a:b].tobytes() for w, a, b in zip(batch.column("words")[row].as_py(), at[:-1], at[1:])}
-                here: dict[str, bytes] = {}
-                out = []
-                for text in batch.column("text")[row].as_py():
-                    chunks = splitter.chunks(text)
-                    for chunk in set(chunks):
-                        if chunk in of_chunk or chunk in here:
-                            continue
-                        parts, common = [], True
-                        for word in splitter.words(chunk):
-                            ids = dictionary.get(word)
-                            if ids is None:
-                                common = False
-                                ids = own.get(word)
-                                if ids is None:
-                                    ids = np.array(merge_long(word, ranks), "<u4").tobytes()
-                            parts.append(ids)
-                        room = common and len(of_chunk) < len(dictionary)
-                        (of_chunk if room else here)[chunk] = b"".join(parts)
-                    out.append(b"".join([of_chunk[c] if c in of_chunk else here[c] for c in chunks]))
+                texts, chunks, chunk_words, words, sizes, known = (
+                    np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in (
+                        "texts", "chunks", "chunk_words", "words", "sizes", "known"))
+                folded = batch.column("found")[row].values  # one list of ids per unknown word
+                sizes = sizes.astype(np.int64)
+                missing = np.flatnonzero(sizes == 0)
+                lengths = folded.value_lengths().to_numpy(zero_copy_only=False)
+                # Ids of each word: of known ones from the dictionary, of the others from the fold.
+                begins = np.cumsum(sizes) - sizes
+                begins[missing], sizes[missing] = len(known) + np.cumsum(lengths) - lengths, lengths
+                pool = np.concatenate([known, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+                per_chunk, size = gathered(pool, begins[words], sizes[words], chunk_words)
+                ids, size = gathered(per_chunk, (np.cumsum(size) - size)[chunks], size[chunks], texts)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[row].values, id_lists(out)], ["doc_id", "ids"])
+                    [batch.column("id")[row].values, id_lists(ids, np.concatenate([[0], np.cumsum(size)]))], ["doc_id", "ids"])
 
     given = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    blocks = given.mapInArrow(unknown, f"id array<{kind}>, text array<binary>, words array<binary>, bytes array<array<smallint>>")
-    folded = blocks.select("id", "text", "words", F.transform("bytes", lambda w: fold_merges(w, rank_map)).alias("found"))
+    blocks = given.mapInArrow(code, _CODED.format(kind=kind))
+    folded = blocks.withColumn("found", F.transform("unknown", lambda w: fold_merges(w, rank_map))).drop("unknown")
     return folded.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
 
 
+def gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of the pool one after the other, how much each group of ``groups`` runs holds)."""
+    parts = [pool[:0]]
+    for at in range(0, len(begins), STEP):
+        parts.append(pool[runs(begins[at:at + STEP], sizes[at:at + STEP])])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return np.concatenate(parts), np.diff(ends[np.concatenate([[0], np.cumsum(groups)])])
+
+
+def merge_long_bytes(word: bytes, ranks: dict[bytes, int]) -> bytes:
+    return np.array(merge_long(word, ranks), "<u4").tobytes()
+
+
+def _one(lists: pa.ListArray) -> pa.ListArray:
+    """The whole array as a single row."""
+    return pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)
+
+
+_HELD: dict = {}
+
+
+def _dictionary(sent) -> dict[bytes, bytes]:
+    """The broadcast words as a dict, built once per Python worker; only the latest is held."""
+    if _HELD.get("of") is not sent.value:
+        _HELD.update(of=sent.value, words=dict(zip(*sent.value)))
+    return _HELD["words"]
+
+
 def decode_bpe(rows: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids, the tokens' binary pieces put together.
 
@@ -316,15 +349,16 @@ def decode_bpe(rows: DataFrame, rank_file: str, ids: str = "ids", out: str = "de
         pieces = pa.array(tokens, pa.large_binary())
         for batch in given:
             lists = batch.column(batch.schema.names.index(ids))
-            decoded = []
-            for row in lists:
-                if row.values is None:
-                    decoded.append(None)
-                    continue
-                taken = pieces.take(row.values)
-                if taken.null_count:
-                    raise ValueError("an id has no token")
-                decoded.append(b"".join(taken.to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, out])
+            # The tokens of all rows lie one after the other; only the cuts between rows matter.
+            taken = pieces.take(lists.flatten())
+            if taken.null_count:
+                raise ValueError("an id has no token")
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+            cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+            whole = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(lists), [None, pa.py_buffer(cuts.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
+            decoded = pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, out])
 
     return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField(out, BinaryType())]))

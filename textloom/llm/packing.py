@@ -7,12 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import BLOCK_BYTES, split, stored
-from textloom.llm.subwords import encoder
-from textloom.llm.token_files import id_lists
+from textloom.llm.blocks import split, stored
+from textloom.llm.subwords import BLOCK, encoder
 
 # Partitions whose last, unfinished sequences are repacked together.
 REPACKED = 512
@@ -107,7 +106,10 @@ def pack_documents(
     cut: bool = True, id_col: str = "doc_id", text_col: str = "text", loss_col: str | None = None,
     repacked: int = REPACKED,
 ) -> DataFrame:
-    """Pieces of documents: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    """Pieces of documents: doc_id, start, length, ids, doc_tokens, loss, sequence_id, offset.
+
+    ``ids`` are the piece's ids as little-endian unsigned 32-bit integers; ``id_array`` turns
+    them into a list.
 
     Every scan partition encodes and packs its own documents block by block, so neither text
     nor ids are shuffled. Only its last, unfinished sequence is left over; these pieces
@@ -125,7 +127,7 @@ def pack_documents(
     """
     limits = limits or PackLimits()
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = (f"doc_id {kind}, start bigint, length bigint, ids array<int>, doc_tokens bigint, loss bigint, "
+    schema = (f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, loss bigint, "
               "sequence_id bigint, `offset` bigint, part bigint, unfinished boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,18 +135,18 @@ def pack_documents(
         packer, held = Packer(limits, cut), []
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for block in split(batch, BLOCK_BYTES):
-                encoded = encoder(tokenizer, end_id).encode(block.column("text").to_pylist())
+            for block in split(batch, BLOCK):
+                flat, starts = encoder(tokenizer, end_id).encode(block.column("text"))
                 ids = block.column("id").to_pylist()
-                n = np.array([len(e) // 4 for e in encoded], np.int64)
+                n = np.diff(starts)
                 loss = n if loss_col is None else np.array(
                     [min(a, b) if b is not None else a for a, b in zip(n, block.column("loss").to_pylist())], np.int64)
                 before = len(packer.open)  # pieces of earlier blocks, already in ``held``
                 done = []
                 for k, (i, start, length, sequence, offset) in enumerate(packer.pack(n, loss)):
-                    done.append(held[k] if k < before else _piece(ids, encoded, n, loss, i, start, length, sequence, offset))
+                    done.append(held[k] if k < before else _piece(ids, flat, starts, loss, i, start, length, sequence, offset))
                 fresh = packer.open if done else packer.open[before:]
-                rest = [_piece(ids, encoded, n, loss, *p) for p in fresh]
+                rest = [_piece(ids, flat, starts, loss, *p) for p in fresh]
                 held = rest if done else held + rest
                 if done:
                     yield _batch(done, part, False, id_type)
@@ -171,14 +173,25 @@ def pack_documents(
     return pieces.where("not unfinished").unionByName(left).drop("part", "unfinished")
 
 
-def _piece(ids, encoded, n, loss, i, start, length, sequence, offset) -> tuple:
-    bears = max(0, start + length - max(start, int(n[i] - loss[i])))
-    return ids[i], start, length, encoded[i][4 * start:4 * (start + length)], int(n[i]), bears, sequence, offset
+def id_array(ids: Column) -> Column:
+    """A piece's ids as an array of integers."""
+    code = F.hex(ids)
+    at = F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1).cast("array<int>")
+    # Little endian: the bytes of a number are read from the last to the first.
+    return F.when(F.octet_length(ids) > 0, F.transform(at, lambda i: F.conv(F.concat(*[
+        F.substr(code, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("int"))).otherwise(
+        F.array().cast("array<int>"))
+
+
+def _piece(ids, flat, starts, loss, i, start, length, sequence, offset) -> tuple:
+    first, total = int(starts[i]), int(starts[i + 1] - starts[i])
+    bears = max(0, start + length - max(start, int(total - loss[i])))
+    return ids[i], start, length, flat[first + start:first + start + length].tobytes(), total, bears, sequence, offset
 
 
 def _batch(pieces: list[tuple], part: int, unfinished: bool, id_type: pa.DataType) -> pa.RecordBatch:
     doc, start, length, ids, total, bears, sequence, offset = zip(*pieces)
-    whole = [pa.array(doc, id_type), *map(pa.array, (start, length)), id_lists(list(ids)), *map(pa.array, (total, bears)),
+    whole = [pa.array(doc, id_type), *map(pa.array, (start, length)), pa.array(ids, pa.binary()), *map(pa.array, (total, bears)),
              pa.array([part << 33 | s for s in sequence]), pa.array(offset),
              pa.array([part] * len(doc)), pa.array([unfinished] * len(doc))]
     return pa.RecordBatch.from_arrays(whole, [

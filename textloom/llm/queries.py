@@ -16,7 +16,7 @@ from textloom.llm.pseudonyms import pseudonymise
 from textloom.llm.quality import fit_quality, held_out, score_quality
 from textloom.llm.repetition import repetition_rules
 from textloom.llm.substring_dedup import joined_words, remove_repeats
-from textloom.llm.token_files import file_positions, with_checksums, write_token_files
+from textloom.llm.token_files import file_positions, write_token_files
 from textloom.operators.storage import scratch_path
 
 # Ends each document in token files and packed sequences.
@@ -56,7 +56,7 @@ def op3_token_orc(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_vector_packing(spark: SparkSession, sf: str) -> DataFrame:
     pieces = pack_documents(documents(spark, sf), public_tokenizers.path("word_bpe_49k.json"), END_ID)
-    return with_checksums(pieces, ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"])
+    return pieces.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", F.crc32("ids").alias("ids_crc32"))
 
 
 def op5_line_windows(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,12 +2,23 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Chunks a Python worker remembers. Later ones are kept only for their own block of texts.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+# Chunks given to the library in one string: it takes as long for a string as for some words.
+TOGETHER = 32
+# Larger blocks than elsewhere, as a block encodes its rare words once.
+BLOCK = 16 << 20
+
+
+# Occurrences whose ids are put together at a time, which bounds the memory for positions.
+STEP = 1 << 18
 
 
 class SubwordEncoder:
@@ -22,23 +33,97 @@ class SubwordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-        self._known: dict[str, bytes] = {}
+        self._end = end_id
+        # Remembered chunks, and where the ids of each begin and end in the pool.
+        self._known = pa.array([""], pa.large_string())
+        self._pool, self._begins, self._sizes = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self._remembered = remembered
+        # Tokens that end a word.
+        suffix = getattr(self._tokenizer.model, "end_of_word_suffix", None)
+        self._ends = np.zeros(self._tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self._ends[[i for t, i in self._tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text starts); an end id closes each text."""
+        lists = pc.split_pattern(_simpler(valid_utf8(texts)), " ")
+        coded = lists.values.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self._known)
+        new = coded.dictionary.filter(place.is_null())
+        pool, begins, sizes = self._pool, self._begins, self._sizes
+        if len(new):
+            ids, size = self._encode_chunks(new.to_pylist())
+            pool = np.concatenate([pool, ids])
+            begins = np.concatenate([begins, len(self._pool) + np.cumsum(size) - size])
+            sizes = np.concatenate([sizes, size])
+            place = place.to_numpy(zero_copy_only=False)
+            place[np.isnan(place)] = len(self._known) + np.arange(len(new))
+            place = place.astype(np.int64)
+            if len(self._known) < self._remembered:
+                self._known = pa.concat_arrays([self._known, new])
+                self._pool, self._begins, self._sizes = pool, begins, sizes
+        else:
+            place = place.to_numpy(zero_copy_only=False)
+        at = place[coded.indices.to_numpy()]
+        # Ids of every occurrence: a run of the pool for each chunk, and the end id after each text.
+        flat = np.concatenate([pool[:0]] + [
+            pool[runs(begins[part], sizes[part])] for part in np.array_split(at, len(at) // STEP + 1)])
+        ends = np.concatenate([[0], np.cumsum(sizes[at])])
+        starts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        if self._end is not None:
+            flat = np.insert(flat, starts[1:], self._end)
+            starts = starts + np.arange(len(starts))
+        return flat, starts
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has). A word of letters ends with the first token
+        that ends a word, so such words are encoded together."""
+        letters = np.fromiter(map(str.isalpha, chunks), bool, len(chunks)) & self._ends.any()
+        words, alone = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
+        sizes, order, pool = np.zeros(len(chunks), np.int64), [], [np.empty(0, np.uint32)]
+        for start in range(0, len(words), TOGETHER * 1000):
+            part = words[start:start + TOGETHER * 1000]
+            joined = [" ".join([chunks[k] for k in part[i:i + TOGETHER]]) for i in range(0, len(part), TOGETHER)]
+            found = self._tokenizer.encode_batch(joined, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+            ends = np.flatnonzero(self._ends[flat]) + 1
+            if len(ends) != len(part):  # a letter unknown to the library: one by one
+                alone += part
+                continue
+            sizes[part] = np.diff(ends, prepend=0)
+            order += part
+            pool.append(flat)
+        for k, e in zip(alone, self._tokenizer.encode_batch([chunks[k] for k in alone], add_special_tokens=False)):
+            sizes[k] = len(e.ids)
+            order.append(k)
+            pool.append(np.array(e.ids, np.uint32))
+        # From the order of encoding to that of the chunks.
+        begins = np.zeros(len(sizes), np.int64)
+        begins[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate(pool)[runs(begins, sizes)], sizes
+
+
+def runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The positions of all runs that begin at ``begins``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _simpler(texts: pa.Array) -> pa.Array:
+    """Texts with the same ids and fewer distinct chunks: a space before marks that follow a
+    letter, as they are a word of their own, and small ASCII letters, unless a letter could
+    combine with an accent after it (U+0300 to U+037F, whose first byte is 0xCC or 0xCD)."""
+    texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"(\pL)([!-&(-/:-@\[-`{-~])", r"\1 \2")
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    return texts if ((data == 0xCC) | (data == 0xCD)).any() else pc.ascii_lower(texts)
+
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian unsigned 32-bit integers."""
-        chunks = [t.decode("utf-8", "replace").replace("\n", " ").split(" ") for t in texts]
-        distinct = set().union(*chunks) if chunks else set()
-        ids = self._known
-        if new := [c for c in distinct if c not in ids]:
-            if len(ids) >= self._remembered:
-                ids = dict(ids) if len(distinct) > len(ids) else {c: ids[c] for c in distinct if c in ids}
-            for start in range(0, len(new), 50_000):
-                part = new[start:start + 50_000]
-                for chunk, found in zip(part, self._tokenizer.encode_batch(part, add_special_tokens=False)):
-                    ids[chunk] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([ids[c] for c in cs]) + self._end for cs in chunks]
+def valid_utf8(texts: pa.Array) -> pa.Array:
+    """Binary texts as strings; bytes that are not UTF-8 become U+FFFD."""
+    try:
+        return texts.cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.large_string())
 
 
 _ENCODERS: dict[tuple, SubwordEncoder] = {}

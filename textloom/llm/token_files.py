@@ -10,21 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import stored, text_blocks
-from textloom.llm.subwords import encoder
+from textloom.llm.subwords import BLOCK, encoder
 
 # Stripes of 64 MB with an index entry per 10,000 rows; ids as run-length encoded integers.
 ORC_OPTIONS = {
     "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000", "orc.create.index": "true",
-    "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "zstd",
+    "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "lz4",
 }
 
 
-def id_lists(encoded: list[bytes]) -> pa.ListArray:
-    """Encoded texts as one list of int32 per text, without copying values one by one."""
-    offsets = np.zeros(len(encoded) + 1, np.int32)
-    np.cumsum([len(e) // 4 for e in encoded], out=offsets[1:])
-    values = np.frombuffer(b"".join(encoded), "<i4")
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
+def id_lists(flat: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """Ids as one list of int32 per text, without copying values one by one."""
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype("<i4", copy=False)))
 
 
 def encode_documents(
@@ -32,12 +29,12 @@ def encode_documents(
 ) -> DataFrame:
     """(doc_id, n_tokens, ids): ids of every whole text and the end id, in the order of the rows."""
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = id_lists(encoder(tokenizer, end_id).encode(batch.column("text").to_pylist()))
+        ids = id_lists(*encoder(tokenizer, end_id).encode(batch.column("text")))
         return pa.RecordBatch.from_arrays(
             [batch.column("id"), ids.value_lengths().cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return text_blocks(docs, block, f"doc_id {kind}, n_tokens bigint, ids array<int>", id_col, text_col)
+    return text_blocks(docs, block, f"doc_id {kind}, n_tokens bigint, ids array<int>", id_col, text_col, block_bytes=BLOCK)
 
 
 def write_token_files(
