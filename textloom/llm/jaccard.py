@@ -11,7 +11,8 @@ threshold share at least two shingles within the first ``size - least overlap +
 Equal sets are one node. Lists hold links of whole groups, so a list is not paired up at
 once: its rows are first compared with one central row of the list, in rounds, and only rows of
 groups that are still apart are compared with each other. No link is lost that way, and a
-group of near copies costs a few comparisons per copy instead of the square.
+group of near copies costs a few comparisons per copy instead of the square. Rows of long lists that are
+still apart are compared by sketches inside tasks, block against block, and only close pairs become rows.
 """
 from __future__ import annotations
 
@@ -33,10 +34,12 @@ from textloom.operators.skew import join_ids
 FREQUENT = 500_000
 # A shingle counts as frequent if some block of texts (8 MB) holds it so often.
 LOCAL_COUNT = 3
-# Rounds of comparisons with central rows; then the rows still apart are paired up.
+# Rounds of comparisons with central rows, at most; then the rows still apart are compared.
 ROUNDS = 6
-# Pairing up starts as soon as it makes at most so many pairs per row of a shared list.
-PAIRS_PER_ROW = 2
+# Rounds end once so few pairs are left per row, or when one leaves more than this share.
+PAIRS_PER_ROW, PAIRS_LEFT = 2, .8
+# Lists with more rows are compared inside tasks, in blocks of so many rows, without a row per pair.
+LONG_LIST, LIST_BLOCK = 24, 512
 # What comparing a candidate costs, in rows of a list.
 PAIR_COST = 8
 # Rows compared with one set in one task.
@@ -172,6 +175,8 @@ def choose_boundary(sizes: dict[int, int], list_length: float, rule: JaccardRule
 def _lists(nodes: DataFrame, rule: JaccardRule, boundary: int) -> DataFrame:
     """(key, id, size): the rows of all lists that a set is in."""
     size, prefix = F.col("size"), F.col("prefix")
+    # A set so small that every set it could link with is equal to it is in no list.
+    nodes = nodes.where(F.floor(100 * size / rule.percent) > size)
     deciding = size - F.floor((rule.percent * size + 99) / 100).cast("int") + 1
     single = F.transform(F.slice(prefix, 1, deciding), lambda x: F.xxhash64(F.lit(1), x))
     small = size <= boundary
@@ -187,6 +192,61 @@ def _may_link(size_a: Column, size_b: Column, rule: JaccardRule) -> Column:
     return 100 * F.least(size_a, size_b) >= rule.percent * F.greatest(size_a, size_b)
 
 
+def _fold(sketches: np.ndarray) -> np.ndarray:
+    half = sketches.shape[1] // 2
+    return sketches[:, :half] ^ sketches[:, half:]
+
+
+def close_pairs(sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray, sides: np.ndarray | None,
+                rule: JaccardRule) -> list[tuple[int, int]]:
+    """Rows (i, j) of different groups, and different sides if given, whose sketches allow a link.
+
+    Sketches of one length are compared as a matrix; longer ones are folded to that length.
+    """
+    out = []
+    lengths = np.array([len(s) for s in sketches])
+    by_length = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths)}
+    for n, rows in by_length.items():
+        matrix = np.stack([np.frombuffer(sketches[i], np.uint64) for i in rows])
+        others = [(rows, matrix)]
+        for longer in (cols for m, cols in by_length.items() if m > n):
+            folded = np.stack([np.frombuffer(sketches[i], np.uint64) for i in longer])
+            while folded.shape[1] > matrix.shape[1]:
+                folded = _fold(folded)
+            others.append((longer, folded))
+        for cols, against in others:
+            for k, i in enumerate(rows):
+                least = np.bitwise_count(against ^ matrix[k]).sum(axis=1).astype(np.int64)
+                fits = rule.links((sizes[i] + sizes[cols] - least) // 2, sizes[i], sizes[cols]) & (groups[cols] != groups[i])
+                if cols is rows:
+                    fits[:k + 1] = False
+                if sides is not None:
+                    fits &= sides[cols] != sides[i]
+                out += [(int(i), int(j)) for j in cols[fits]]
+    return out
+
+
+def _long_lists(rows: DataFrame, nodes: DataFrame, rule: JaccardRule, kind: str) -> DataFrame:
+    """(id_a, id_b) of close rows in long lists; every pair of blocks of a list is one group."""
+    blocks = F.ceil(F.col("rows") / LIST_BLOCK).cast("int")
+    placed = rows.join(nodes.select("id", "sketch"), "id").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+        "id", "size", "grp", "own", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own = table.column("id"), table.column("own").to_numpy()
+        groups = table.column("grp").to_pylist()
+        codes = {g: k for k, g in enumerate(set(groups))}
+        found = close_pairs(
+            table.column("size").to_numpy().astype(np.int64), table.column("sketch").to_pylist(),
+            np.array([codes[g] for g in groups]), own if table.column("low")[0] != table.column("high")[0] else None, rule)
+        a, b = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+        return pa.table({"id_a": ids.take(a).combine_chunks(), "id_b": ids.take(b).combine_chunks()})
+
+    return spread.groupBy("key", "low", "high").applyInArrow(compare, f"id_a {kind}, id_b {kind}")
+
+
 class _Verifier:
     """Pairs of nodes that link: first by sketches, then by their whole sets."""
 
@@ -292,33 +352,35 @@ def jaccard_components(
     if not ties.isEmpty():
         groups = _merged(groups, ties)
     made = None
+    before = None
     for number in range(rounds + 1):
         placed = stored(shared.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id")), "placed")
         per_group = placed.groupBy("key", "grp").agg(F.count("*").alias("m"))
-        apart = per_group.groupBy("key").agg(
+        apart = stored(per_group.groupBy("key").agg(
             F.sum("m").alias("rows"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs"),
-        ).where("pairs > 0")
-        apart = stored(apart, "apart")
+        ).where("pairs > 0"), "apart")
         rows, pairs = apart.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
         if not pairs:
             break
         open_rows = placed.join(apart.select("key", "rows"), "key")
-        last = number == rounds or pairs <= PAIRS_PER_ROW * rows
+        last = number == rounds or pairs <= PAIRS_PER_ROW * rows or (before is not None and pairs > PAIRS_LEFT * before)
+        before = pairs
         if last:
-            a, b = (open_rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "grp")]) for s in "ab")
+            short = open_rows.where(F.col("rows") <= LONG_LIST)
+            a, b = (short.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "size", "grp")]) for s in "ab")
             candidates = a.join(b, "key").where(
-                (F.col("grp_a") < F.col("grp_b")) & _may_link(F.col("size_a"), F.col("size_b"), rule))
+                (F.col("grp_a") < F.col("grp_b")) & _may_link(F.col("size_a"), F.col("size_b"), rule)
+            ).select("id_a", "id_b").unionByName(_long_lists(open_rows.where(F.col("rows") > LONG_LIST), nodes, rule, kind))
         else:
             # The row that shares most is likely the text the others were copied from.
             score = open_rows.groupBy("id").agg(F.sum(F.log2("rows")).alias("score"))
             scored = open_rows.join(score, "id")
-            turn = F.when(F.lit(number % 2 == 0), F.col("score")).otherwise(F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)).cast("double"))
+            turn = F.col("score") if number % 2 == 0 else F.pmod(F.xxhash64("id", F.lit(number)), F.lit(1 << 20)).cast("double")
             centre = scored.groupBy("key").agg(F.max(F.struct(turn.alias("t"), "id", "size", "grp")).alias("c"))
-            candidates = scored.join(centre, "key").select(
-                F.col("id").alias("id_b"), F.col("size").alias("size_b"), F.col("grp").alias("grp_b"),
-                F.col("c.id").alias("id_a"), F.col("c.size").alias("size_a"), F.col("c.grp").alias("grp_a"),
-            ).where((F.col("grp_a") != F.col("grp_b")) & _may_link(F.col("size_a"), F.col("size_b"), rule))
-        links = stored(verify.links(candidates.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()).distinct(), "links")
+            candidates = scored.join(centre, "key").where(
+                (F.col("c.grp") != F.col("grp")) & _may_link(F.col("c.size"), F.col("size"), rule)
+            ).select(F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
+        links = stored(verify.links(candidates.toDF("a", "b").distinct()).distinct(), "links")
         made = links if made is None else made.unionByName(links)
         groups = _merged(groups, links)
         if last:
