@@ -237,3 +237,33 @@ def test_closest_earlier_task(spark, bundle, hot):
 def likeness_of(rows, it, seq, other):
     text = {(i, s): t or "" for i, s, t in rows}
     return likeness(text[(it, seq)], text[(it, other)])
+
+
+def test_settings_and_outcomes_of_a_run(spark):
+    from textloom.plans.selfplay import RunSettings, score_solutions, score_tasks
+    task = "If every even number above 12 is the sum of two primes, then which pairs give 48, and why?"
+    rows = [(11, i, task + f" Case {i}.", kind, False, False, score) for i, (kind, score) in enumerate(
+        [("induction", 0.0), ("deduction", 0.0), ("induction", None)])]
+    tasks = spark.createDataFrame(rows, "iteration int, seq int, task string, type string, from_seed boolean, "
+                                  "is_placeholder boolean, execution_score double")
+    settings = RunSettings(weights={"clarity": 2.0, "diversity": 0.0}, task_limits={"min_clarity": 0.0, "min_complexity": 0.0})
+    plain = {r.seq: r for r in score_tasks(tasks, settings=RunSettings(task_limits=settings.task_limits)).collect()}
+    weighed = {r.seq: r for r in score_tasks(tasks, settings=settings).collect()}
+    assert [plain[i].validation.executability for i in range(3)] == [0.0, 1.0, 1.0]
+    assert weighed[0].rewards["clarity"] == 2 * plain[0].rewards["clarity"] and weighed[0].rewards["diversity"] == 0
+    # Iterations of a resumed run count on.
+    strict = {"min_clarity": 1.1}
+    assert not score_tasks(tasks, settings=RunSettings(task_limits=strict)).first().validation.is_valid
+    early = tasks.withColumn("iteration", F.lit(1))
+    assert score_tasks(early, settings=RunSettings(task_limits=strict)).first().validation.is_valid
+    assert not score_tasks(early, settings=RunSettings(task_limits=strict, iterations_before=10)).first().validation.is_valid
+    words = " ".join(["word"] * 20)
+    solutions = spark.createDataFrame(
+        [(1, i, "task", kind, words, words, False, ran) for i, (kind, ran) in enumerate([("induction", True), ("deduction", True), ("induction", False)])],
+        "iteration int, seq int, task string, type string, solution string, raw_generation string, is_placeholder boolean, executed boolean")
+    checked = score_tasks(tasks)
+    got = {r.seq: r.validation for r in score_solutions(solutions, checked, settings=RunSettings(force_solutions=False)).collect()}
+    assert got[0].is_valid and not got[1].is_valid and got[2].reason == "Execution failed, heuristic score penalized"
+    # More tasks accepted before than the limit: nothing is forced any more.
+    assert score_solutions(solutions, checked).where("seq = 1").first().validation.is_valid
+    assert not score_solutions(solutions, checked, settings=RunSettings(valid_tasks_before=21)).where("seq = 1").first().validation.is_valid
