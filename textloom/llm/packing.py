@@ -176,7 +176,7 @@ def pack_documents(
 def id_array(ids: Column) -> Column:
     """A piece's ids as an array of integers."""
     code = F.hex(ids)
-    at = F.sequence(F.lit(0), F.octet_length(ids) / 4 - 1).cast("array<int>")
+    at = F.sequence(F.lit(0), F.floor(F.octet_length(ids) / 4).cast("int") - 1)
     # Little endian: the bytes of a number are read from the last to the first.
     return F.when(F.octet_length(ids) > 0, F.transform(at, lambda i: F.conv(F.concat(*[
         F.substr(code, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]), 16, 10).cast("int"))).otherwise(
