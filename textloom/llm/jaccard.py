@@ -69,21 +69,17 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     """(text, hash) of the distinct shingles, sorted. A-Z are lower-cased; a text with fewer words
     than a shingle has its whole sequence as the only one, and none without words."""
     flat, starts = flat_words([t.lower() for t in texts])
-    sizes = np.diff(starts)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    full = inside(starts, words)
-    docs, hashes = [doc[:len(full)][full]], [window_hashes(flat, words)[full]]
-    for size in range(1, words):
-        short = np.flatnonzero(sizes == size)
-        if len(short):
-            docs.append(short)
-            hashes.append(mixed(window_hashes(flat, size)[starts[short]] + np.uint64(size)))
-    d, h = np.concatenate(docs), np.concatenate(hashes)
-    order = np.lexsort((h, d))
-    d, h = d[order], h[order]
-    new = np.ones(len(d), bool)
-    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
-    return d[new], h[new]
+    windows, parts = window_hashes(flat, words), []
+    # Text by text: short runs sort far faster than one long array.
+    for first, last in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        size = last - first
+        if size >= words:
+            own = np.sort(windows[first:last - words + 1])
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        else:
+            own = mixed(window_hashes(flat[first:last], size) + np.uint64(size)) if size else flat[:0]
+        parts.append(own)
+    return np.repeat(np.arange(len(texts)), [len(p) for p in parts]), np.concatenate(parts) if parts else flat[:0]
 
 
 def odd_sketch(hashes: np.ndarray) -> bytes:
@@ -110,12 +106,12 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 def frequent_shingles(docs: DataFrame, rule: JaccardRule, most: int) -> np.ndarray:
     """Hashes of the ``most`` most frequent shingles, least frequent first.
 
-    Every block counts all its texts; what it holds once or twice is left out, which only
-    concerns rare shingles. The order matters for speed, not for results.
+    Every block counts all its texts, repeats inside a text included; what it holds once or twice is
+    left out, which only concerns rare shingles. The order matters for speed, not for results.
     """
     def counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, hashes = shingle_sets(batch.column("text").to_pylist(), rule.words)
-        value, n = np.unique(hashes, return_counts=True)
+        flat, starts = flat_words([t.lower() for t in batch.column("text").to_pylist()])
+        value, n = np.unique(window_hashes(flat, rule.words)[inside(starts, rule.words)], return_counts=True)
         often = n >= LOCAL_COUNT
         return pa.RecordBatch.from_arrays([pa.array(value[often].view(np.int64)), pa.array(n[often])], ["value", "n"])
 
@@ -139,16 +135,20 @@ def _describe(docs: DataFrame, rule: JaccardRule, frequent: np.ndarray, kind: st
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = known[at] == hashes
             key[hit] = np.uint64(1 << 63) + rank[at[hit]].astype(np.uint64)
-        order = np.lexsort((key, doc))
         want = np.where(sizes > 0, np.minimum(rule.prefix(sizes) + 1, sizes), 0)
         offsets = np.concatenate([[0], np.cumsum(want)])
-        take = np.repeat(starts[:-1] - offsets[:-1], want) + np.arange(offsets[-1])
+        prefix = [hashes[:0]]
+        for first, last, n_first in zip(starts[:-1].tolist(), starts[1:].tolist(), want.tolist()):
+            if n_first:
+                own = key[first:last]
+                least = np.argpartition(own, n_first - 1)[:n_first]
+                prefix.append(hashes[first + least[np.argsort(own[least])]])
         two = [mixed(hashes + np.uint64(1)), mixed(hashes ^ np.uint64(0xA0761D6478BD642F))]
         sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in two]
         halves = np.stack([s[starts[1:]] - s[starts[:-1]] for s in sums], axis=1)
         return pa.RecordBatch.from_arrays([
             batch.column("id"), pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in halves], pa.binary()),
-            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(hashes[order][take].view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64))),
             pa.array([odd_sketch(hashes[a:b]) if b > a else b"" for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
         ], ["id", "size", "digest", "prefix", "sketch"])
 
