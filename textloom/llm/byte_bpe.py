@@ -23,9 +23,9 @@ from textloom.llm.token_files import id_lists
 
 # Words of the dictionary that every task holds; the most frequent ones. At most so many
 # entries and so many bytes of words, which bounds the broadcast for any corpus.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 400_000, 32 << 20
+DICTIONARY_WORDS, DICTIONARY_BYTES = 250_000, 32 << 20
 # Texts of one block: its distinct words outside the dictionary are encoded once.
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 # Longer words (no language has them) are merged with a heap, as a fold takes quadratic time.
 FOLD_BYTES = 128
 
@@ -76,14 +76,12 @@ class RankMap:
             self.shift[row] = shift
         self.slots = slots
 
-    def lookup(self) -> Callable[[Column, Column], Column]:
+    def lookup(self, slots: Column, shift: Column) -> Callable[[Column, Column], Column]:
         """A function of two token ids: the rank of their pair, or a number of ``size`` or more.
 
         A slot less its key times size is the rank where the key is the pair's own; any other
         difference is negative or too large, and without its sign bit always too large.
         """
-        slots, shift = _literal(self.slots), _literal(self.shift)
-
         def rank(a: Column, b: Column) -> Column:
             key = a * self.size + b
             slot = (key % self.p2 + F.get(shift, (key % self.p1).cast("int"))) % self.p2
@@ -109,7 +107,13 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
     leftmost pair of least rank and looks up the two pairs that it makes new; after the
     last merge the state stays as it is.
     """
-    rank, none = ranks.lookup(), F.array().cast("array<bigint>")
+    # Bound outside the fold, so that the plan holds each array once.
+    return let(_literal(ranks.slots), lambda slots: let(_literal(ranks.shift), lambda shift: _folded(
+        word, ranks, ranks.lookup(slots, shift))))
+
+
+def _folded(word: Column, ranks: RankMap, rank: Callable[[Column, Column], Column]) -> Column:
+    none = F.array().cast("array<bigint>")
     start = F.transform(word, lambda b: F.get(F.from_json(F.lit(json.dumps(ranks.bytes)), "array<bigint>"), b.cast("int")))
 
     def next_state(state: Column, _: Column) -> Column:
@@ -259,12 +263,12 @@ def encode_bpe(
     table = as_bytes.select("word", fold_merges(F.col("bytes"), rank_map).alias("ids")).toArrow()
     size = np.cumsum(pc.binary_length(table.column("word")).to_numpy())
     table = table.slice(0, int(np.searchsorted(size, DICTIONARY_BYTES, "right")))
-    sent = spark.sparkContext.broadcast((table.column("word").to_pylist(), [
-        np.array(ids, "<u4").tobytes() for ids in table.column("ids").to_pylist()]))
+    sent = spark.sparkContext.broadcast({w: np.array(ids, "<u4").tobytes() for w, ids in zip(
+        table.column("word").to_pylist(), table.column("ids").to_pylist())})
     kind = docs.schema[id_col].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, dictionary = WordSplitter(pattern), _dictionary(sent)
+        splitter, dictionary = WordSplitter(pattern), sent.value
         for batch in batches:
             for block in split(batch, BLOCK):
                 lists = splitter.chunk_lists(block.column("text"))
@@ -325,16 +329,6 @@ def _one(lists: pa.ListArray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)
 
 
-_HELD: dict = {}
-
-
-def _dictionary(sent) -> dict[bytes, bytes]:
-    """The broadcast words as a dict, built once per Python worker; only the latest is held."""
-    if _HELD.get("of") is not sent.value:
-        _HELD.update(of=sent.value, words=dict(zip(*sent.value)))
-    return _HELD["words"]
-
-
 def decode_bpe(rows: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids, the tokens' binary pieces put together.
 
