@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # Chunks a Python worker remembers. Later ones are kept only for their own block of texts.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 # Chunks given to the library in one string: it takes as long for a string as for some words.
 TOGETHER = 32
 # Larger blocks than elsewhere, as a block encodes its rare words once.

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from textloom.llm.blocks import stored, text_blocks
 from textloom.llm.subwords import BLOCK, encoder
 
-# Stripes of 64 MB with an index entry per 10,000 rows; ids as run-length encoded integers.
+# Stripes of 64 MB with an index entry per 10,000 rows; ids as run-length encoded integers, which
+# a general compressor hardly makes smaller.
 ORC_OPTIONS = {
     "orc.stripe.size": str(64 << 20), "orc.row.index.stride": "10000", "orc.create.index": "true",
-    "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "lz4",
+    "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "compression": "none",
 }
 
 
@@ -34,7 +35,7 @@ def encode_documents(
             [batch.column("id"), ids.value_lengths().cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return text_blocks(docs, block, f"doc_id {kind}, n_tokens bigint, ids array<int>", id_col, text_col, block_bytes=BLOCK)
+    return text_blocks(docs, block, f"doc_id {kind}, n_tokens bigint, ids array<int>", id_col, text_col, block_bytes=2 * BLOCK)
 
 
 def write_token_files(
