@@ -39,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of every group of near-duplicates."""
-    groups = jaccard_components(docs, JaccardRule(words=5, percent=80))
+    groups = jaccard_components(docs, JaccardRule(words=5, percent=80), count_links=False)
     copies = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return join_ids(docs, copies, "doc_id", "left_anti")
 

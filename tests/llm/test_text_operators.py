@@ -8,13 +8,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.conftest import edge_rows
+from tests.llm.conftest import edge_rows, words
 from textloom.llm import queries
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.hashing import window_hashes
 from textloom.llm.heavy import _summary, frequent_values, with_group
 from textloom.llm import jaccard
-from textloom.llm.jaccard import JaccardRule, choose_boundary, jaccard_components, odd_sketch, sketch_distance
+from textloom.llm.jaccard import JaccardRule, choose_boundary, common_members, jaccard_components, jaccard_join, odd_sketch, sketch_distance
 from textloom.llm.line_dedup import dedup_lines
 from textloom.llm.repetition import measure, repetition_rules
 from textloom.llm.substring_dedup import remove_repeats
@@ -262,6 +262,71 @@ def test_group_query(spark, sf, texts):
     assert got == want
 
 
+def links_by_hand(rows, rule):
+    """Other ids with an equal or a linking set, per id."""
+    sets = [(i, shingles(t, rule.words)) for i, t in rows if i is not None]
+    out = {i: set() for i, _ in sets}
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if i != j and a and b and 100 * len(a & b) >= rule.percent * len(a | b):
+                out[i].add(j)
+                out[j].add(i)
+    return {i: len(x) for i, x in out.items()}
+
+
+def near_copies():
+    """A hub, 60 spokes that all link with it and few with each other, exact copies, and ids with several sets."""
+    base = [f"b{i}" for i in range(200)]
+    rows = [(5, " ".join(base)), (6, " ".join(base).upper()), (7, " ".join(base))]
+    for k in range(60):
+        spoke = list(base)
+        spoke[3 * k] = f"s{k % 30}"
+        spoke[(3 * k + 90) % 200] = f"t{k % 30}"
+        rows += [(100 + k, " ".join(spoke))] * (1 + k % 2) + [(200 + k, " ".join(spoke))] * (k % 3 == 0)
+    rows += [(300 + k, " ".join(f"c{i}" for i in range(k * 2, k * 2 + 80))) for k in range(20)]
+    return rows
+
+
+@pytest.mark.parametrize("several, block", [(False, 64), (True, 4)])
+def test_all_links_are_counted(spark, monkeypatch, several, block):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    rows = near_copies()
+    if several:  # ids with linking sets, with sets of two groups, and with a set of its own
+        rows += [(5, rows[3][1]), (100, rows[-1][1]), (300, rows[-2][1]), (319, words(5, 50)), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    rule = JaccardRule(3, 90)
+    want = links_by_hand(rows, rule)
+    for rounds in (0, 3):
+        got = {r.doc_id: r.n_links for r in jaccard_components(docs, rule, rounds=rounds).collect() if r.doc_id is not None}
+        assert got == want
+    assert max(want.values()) > 60
+
+
+def test_links_themselves(spark):
+    rows = near_copies()
+    rule = JaccardRule(3, 90)
+    found = jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rule)
+    has = {r.id: r.digest for r in found.members.collect()}
+    pairs = {(bytes(r.a), bytes(r.b)) for r in found.pairs.collect()}
+    sets = {i: shingles(t, 3) for i, t in rows}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            assert (100 * len(a & b) >= 90 * len(a | b)) == (has[i] == has[j] or (bytes(has[i]), bytes(has[j])) in pairs)
+
+
+def test_link_counts_of_the_query(spark, sf, texts, edges):
+    want = links_by_hand(list(texts.items()), JaccardRule(3, 90))
+    assert {r.doc_id: r.n_links for r in queries.op2_heavy_light_join(spark, sf).collect()} == want
+    want = links_by_hand(edge_rows(), JaccardRule(3, 90))
+    assert {r.doc_id: r.n_links for r in jaccard_components(edges, JaccardRule(3, 90)).where("doc_id is not null").collect()} == want
+
+
+def test_common_members():
+    draw = np.random.default_rng(3)
+    left, right = ([np.unique(draw.integers(0, 9000, n)) for n in sizes] for sizes in ((0, 3000, 10, 5000), (4000, 1, 0)))
+    assert common_members(left, right).tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+
+
 def test_groups_empty(empty):
     assert jaccard_components(empty).count() == 0
 

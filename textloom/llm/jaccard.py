@@ -13,6 +13,10 @@ once: its rows are first compared with one central row of the list, in rounds, a
 groups that are still apart are compared with each other. No link is lost that way, and a
 group of near copies costs a few comparisons per copy instead of the square. Rows of long lists that are
 still apart are compared by sketches inside tasks, block against block, and only close pairs become rows.
+
+The groups are known then, and every link lies inside one. Their sets are compared once more, each
+with each, block against block inside tasks, and tasks return the number of links of each set: a group of
+n near copies has up to n * n / 2 links, but no pair becomes a row.
 """
 from __future__ import annotations
 
@@ -44,6 +48,9 @@ LONG_LIST, LIST_BLOCK = 24, 512
 PAIR_COST = 8
 # Rows compared with one set in one task.
 TOGETHER = 256
+# Links are counted in blocks of so many sets, more in groups that would have over LINK_BLOCKS of them, and
+# of about so many shingles at most; columns of one product of matrices.
+LINK_BLOCK, MOST_LINK_BLOCK, LINK_BLOCKS, LINK_SHINGLES, LINK_COLUMNS = 64, 1024, 16, 1 << 20, 2048
 
 
 @dataclass(frozen=True)
@@ -82,6 +89,13 @@ def shingle_sets(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(texts)), [len(p) for p in parts]), np.concatenate(parts) if parts else flat[:0]
 
 
+def digests(hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """16 bytes of every set, equal for equal sets."""
+    two = [mixed(hashes + np.uint64(1)), mixed(hashes ^ np.uint64(0xA0761D6478BD642F))]
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in two]
+    return [x.tobytes() for x in np.stack([s[starts[1:]] - s[starts[:-1]] for s in sums], axis=1)]
+
+
 def odd_sketch(hashes: np.ndarray) -> bytes:
     """Bits that each member flips; as many as the set has members, up to a power of two.
 
@@ -143,11 +157,8 @@ def _describe(docs: DataFrame, rule: JaccardRule, frequent: np.ndarray, kind: st
                 own = key[first:last]
                 least = np.argpartition(own, n_first - 1)[:n_first]
                 prefix.append(hashes[first + least[np.argsort(own[least])]])
-        two = [mixed(hashes + np.uint64(1)), mixed(hashes ^ np.uint64(0xA0761D6478BD642F))]
-        sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in two]
-        halves = np.stack([s[starts[1:]] - s[starts[:-1]] for s in sums], axis=1)
         return pa.RecordBatch.from_arrays([
-            batch.column("id"), pa.array(sizes.astype(np.int32)), pa.array([x.tobytes() for x in halves], pa.binary()),
+            batch.column("id"), pa.array(sizes.astype(np.int32)), pa.array(digests(hashes, starts), pa.binary()),
             pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64))),
             pa.array([odd_sketch(hashes[a:b]) if b > a else b"" for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
         ], ["id", "size", "digest", "prefix", "sketch"])
@@ -311,21 +322,206 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return stored(joined.join(components, "old", "left").select("id", F.coalesce("new", "old").alias("grp")), "groups")
 
 
+def common_members(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set on the left shares with each on the right, by products of 0/1 matrices."""
+    sides = [np.repeat(np.arange(len(sets)), [len(x) for x in sets]) for sets in (left, right)]
+    values, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    columns = [column[:len(sides[0])], column[len(sides[0]):]]
+    both = np.logical_and(*[np.bincount(c, minlength=len(values)) > 0 for c in columns])
+    at = np.cumsum(both) - 1
+    total = np.zeros((len(left), len(right)), np.float32)  # exact up to 2 ** 24
+    entries = []
+    for rows, cols in zip(sides, columns):
+        kept = both[cols]
+        rows, cols = rows[kept], at[cols[kept]]
+        order = np.argsort(cols, kind="stable")
+        entries.append((rows[order], cols[order]))
+    for first in range(0, int(both.sum()), LINK_COLUMNS):
+        parts = []
+        for (rows, cols), sets in zip(entries, (left, right)):
+            a, b = np.searchsorted(cols, [first, first + LINK_COLUMNS])
+            part = np.zeros((len(sets), LINK_COLUMNS), np.float32)
+            part[rows[a:b], cols[a:b] - first] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total.astype(np.int64)
+
+
+def _linked_sets(table: pa.Table, rule: JaccardRule) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, other rows, matrix of links) of every group and pair of blocks in the table.
+
+    A set that came with several texts counts once. Inside one block a pair of rows stands in
+    the matrix in both orders, across blocks in one.
+    """
+    keys = list(zip(*[table.column(c).to_pylist() for c in ("grp", "low", "high")]))
+    own, digest = table.column("own").to_pylist(), table.column("digest").to_pylist()
+    column = table.column("members").combine_chunks()
+    flat, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    groups: dict[tuple, dict[bytes, int]] = {}
+    for row, key in enumerate(keys):
+        groups.setdefault(key, {})[digest[row]] = row
+    for (_, low, high), found in groups.items():
+        rows = [np.array([r for r in found.values() if own[r] == block], np.int64) for block in (low, high)]
+        if not len(rows[0]) or not len(rows[1]):
+            continue
+        sets = [[flat[offsets[r]:offsets[r + 1]] for r in side] for side in rows]
+        sizes = [np.array([len(x) for x in side], np.int64) for side in sets]
+        linked = rule.links(common_members(*sets), sizes[0][:, None], sizes[1][None, :])
+        if low == high:
+            np.fill_diagonal(linked, False)
+        yield rows[0], rows[1], linked
+
+
+@dataclass(frozen=True)
+class JaccardJoin:
+    """``documents`` as ``jaccard_components`` returns them; ``members`` (id, digest) says which sets
+    an id has, and ``pairs`` (a, b) has every link between different sets, by digest and in both orders.
+
+    Documents link where they have the same set or sets that are a pair. ``pairs`` is computed when read,
+    and has as many rows as links: for a group of near copies, the square of its size.
+    """
+
+    documents: DataFrame
+    members: DataFrame
+    pairs: DataFrame
+
+
+class _Links:
+    """All links inside groups: counted, or as pairs."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, groups: DataFrame, rule: JaccardRule, kind: str):
+        self.rule = rule
+        found = stored(classes.select("id", "digest", "node", "size").distinct(), "members")
+        several = stored(found.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("several")), "several")
+        self.repeated = not several.isEmpty()
+        self.members = stored(found.join(several, "id", "left"), "marked") if self.repeated else found.withColumn(
+            "several", F.lit(None).cast("boolean"))
+        self.members = self.members.withColumn("several", F.coalesce("several", F.lit(False)))
+        nodes = self.members.groupBy("digest", "node", "size").agg(
+            F.count_if(~F.col("several")).alias("weight"), F.bool_or("several").alias("several"))
+        nodes = nodes.join(groups.toDF("node", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+        # Hashes that meet only make blocks smaller: a task tells groups apart.
+        placed = with_group(stored(nodes.withColumn("key", F.xxhash64("grp")), "link_nodes"), "key", {"volume": F.sum("size")}, smallest=2)
+        block = F.least(F.greatest(F.col("n") / LINK_BLOCKS, F.lit(LINK_BLOCK)), F.lit(MOST_LINK_BLOCK))
+        placed = stored(placed.select("digest", F.col("node").alias("id"), "grp", "weight", "several", "size", F.greatest(
+            F.ceil(F.col("n") / block), F.ceil(F.col("volume") / LINK_SHINGLES)).cast("int").alias("blocks")), "link_blocks")
+
+        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+            doc, hashes = shingle_sets(batch.column("text").to_pylist(), rule.words)
+            at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(digests(hashes, at), pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))], ["id", "digest", "members"])
+
+        # Small groups share tasks.
+        rows, volume = placed.where("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        buckets = F.lit(1 + max(rows // LINK_BLOCK, volume // LINK_SHINGLES))
+        texts = join_ids(docs, placed.select("id").distinct(), "id", "left_semi")
+        whole = text_blocks(texts, sets, f"id {kind}, digest binary, members array<bigint>", "id").join(placed, ["id", "digest"])
+        own = whole.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            "grp", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "own", "blocks", "digest", "weight", "several", "members")
+        self.rows = spread.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("grp"), buckets)).otherwise(
+            F.xxhash64("grp", "low", "high")))
+
+    def degrees(self) -> DataFrame:
+        """(digest, links): ids with one set only, by the sets that link with a set, partly summed."""
+        rule = self.rule
+
+        def count(table: pa.Table) -> pa.Table:
+            weight = table.column("weight").to_numpy()
+            total = np.zeros(table.num_rows, np.int64)
+            for a, b, linked in _linked_sets(table, rule):
+                total[a] += linked @ weight[b]
+                if a[0] != b[0]:
+                    total[b] += linked.T @ weight[a]
+            some = np.flatnonzero(total)
+            return pa.table({"digest": table.column("digest").take(some).combine_chunks(), "links": pa.array(total[some])})
+
+        return self.rows.groupBy("bucket").applyInArrow(count, "digest binary, links bigint")
+
+    def pairs(self, only_several: bool = False) -> DataFrame:
+        """(a, b): digests of sets that link, in both orders; or only those where an id of one has several sets."""
+        rule = self.rule
+
+        def find(table: pa.Table) -> pa.Table:
+            several = np.array(table.column("several").to_pylist(), bool)
+            out = [[np.empty(0, np.int64)], [np.empty(0, np.int64)]]
+            for a, b, linked in _linked_sets(table, rule):
+                if only_several:
+                    linked = linked & (several[a][:, None] | several[b][None, :])
+                i, j = np.nonzero(linked)
+                out[0].append(a[i])
+                out[1].append(b[j])
+                if a[0] != b[0]:
+                    out[0].append(b[j])
+                    out[1].append(a[i])
+            digest = table.column("digest")
+            return pa.table({c: digest.take(np.concatenate(x)).combine_chunks() for c, x in zip("ab", out)})
+
+        return self.rows.groupBy("bucket").applyInArrow(find, "a binary, b binary")
+
+    def per_id(self) -> DataFrame:
+        """(id, n_links): other ids with a set that equals or links with one of the id's sets."""
+        one = F.lit(None).cast(self.members.schema["id"].dataType)
+        rows = self.members.select("id", "digest", "several", F.lit(0).cast("bigint").alias("links")).unionByName(
+            self.degrees().select(one.alias("id"), "digest", F.lit(True).alias("several"), "links"))
+        # Equal sets in any number: their totals are found without moving them to one task.
+        summed = with_group(stored(rows, "degrees"), "digest", {
+            "links_in_all": F.sum("links"), "weight": F.count_if(~F.col("several"))})
+        alone = summed.where("id is not null and not several").select(
+            "id", "digest", (F.col("links_in_all") + F.col("weight") - 1).alias("n_links"))
+        if not self.repeated:
+            return alone.select("id", "n_links")
+        # Ids with several sets count once, whichever of their sets link.
+        many = self.members.where("several").select("id", "digest")
+        sets = many.select("digest").distinct()
+        reach = stored(self.pairs(only_several=True).unionByName(sets.select(F.col("digest").alias("a"), F.col("digest").alias("b"))).distinct(), "reach")
+        met = reach.join(many.toDF("other", "b"), "b")
+        more = met.groupBy(F.col("a").alias("digest")).agg(F.count_distinct("other").alias("more"))
+        first = alone.join(more, "digest", "left").select("id", (F.col("n_links") + F.coalesce("more", F.lit(0))).alias("n_links"))
+        reached = many.join(reach.withColumnRenamed("a", "digest"), "digest").select("id", "b").distinct()
+        weights = self.members.where(~F.col("several")).groupBy(F.col("digest").alias("b")).agg(F.count("*").alias("weight"))
+        plain = reached.join(weights, "b").groupBy("id").agg(F.sum("weight").alias("plain"))
+        again = reached.join(many.toDF("other", "b"), "b").groupBy("id").agg(F.count_distinct("other").alias("again"))
+        return first.unionByName(again.join(plain, "id", "left").select(
+            "id", (F.coalesce("plain", F.lit(0)) + F.col("again") - 1).alias("n_links")))
+
+
 def jaccard_components(
     docs: DataFrame, rule: JaccardRule | None = None, id_col: str = "doc_id", text_col: str = "text",
-    frequent: int = FREQUENT, rounds: int = ROUNDS, boundary: int | None = None,
+    frequent: int = FREQUENT, rounds: int = ROUNDS, boundary: int | None = None, count_links: bool = True,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     ``component_id`` is the least id that links lead to, the document itself included;
-    ``n_shingles`` the size of the set; ``n_links`` the verified links of the set's node that were needed
-    to connect its group. ``boundary`` overrides the size chosen by cost.
+    ``n_shingles`` the size of the set; ``n_links`` the number of other ids that the document links with,
+    those with an equal set included; without ``count_links`` there is no such column.
+    ``boundary`` overrides the size chosen by cost.
 
     Texts without words have no set and link with nothing, also not with each other. Null
     texts are empty. Rows that repeat an id are one document, connected to whatever any of
     them links with. A null id has no component. An empty table gives no rows; other columns
     are not read.
     """
+    documents, _ = _joined(docs, rule, id_col, text_col, frequent, rounds, boundary, count_links)
+    return documents
+
+
+def jaccard_join(
+    docs: DataFrame, rule: JaccardRule | None = None, id_col: str = "doc_id", text_col: str = "text",
+    frequent: int = FREQUENT, rounds: int = ROUNDS, boundary: int | None = None,
+) -> JaccardJoin:
+    """``jaccard_components`` with the links themselves, all of them."""
+    documents, links = _joined(docs, rule, id_col, text_col, frequent, rounds, boundary, True)
+    return JaccardJoin(documents, links.members.select("id", "digest"), links.pairs())
+
+
+def _joined(
+    docs: DataFrame, rule: JaccardRule | None, id_col: str, text_col: str, frequent: int, rounds: int,
+    boundary: int | None, count_links: bool,
+) -> tuple[DataFrame, _Links | None]:
     rule = rule or JaccardRule()
     kind = docs.schema[id_col].dataType.simpleString()
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -333,7 +529,7 @@ def jaccard_components(
 
     # Equal sets: the least id stands for all.
     full = sets.where("id is not null and size > 0")
-    classes = stored(with_group(full.select("id", "digest"), "digest", {"node": F.min("id")}).select("id", "node"), "classes")
+    classes = stored(with_group(full.select("id", "digest", "size"), "digest", {"node": F.min("id")}).select("id", "digest", "size", "node"), "classes")
     per_id = classes.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     # An id with several sets ties their nodes together.
     ties = per_id.where("low <> high").join(classes, "id").where("node <> low").select(
@@ -351,7 +547,6 @@ def jaccard_components(
     groups = nodes.where(F.lit(False)).select("id", F.col("id").alias("grp"))
     if not ties.isEmpty():
         groups = _merged(groups, ties)
-    made = None
     before = None
     for number in range(rounds + 1):
         placed = stored(shared.join(groups, "id", "left").withColumn("grp", F.coalesce("grp", "id")), "placed")
@@ -381,20 +576,18 @@ def jaccard_components(
                 (F.col("c.grp") != F.col("grp")) & _may_link(F.col("c.size"), F.col("size"), rule)
             ).select(F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
         links = stored(verify.links(candidates.toDF("a", "b").distinct()).distinct(), "links")
-        made = links if made is None else made.unionByName(links)
         groups = _merged(groups, links)
         if last:
             break
-    ends = made.select(F.col("a").alias("node")).union(made.select("b")) if made is not None else nodes.select(F.col("id").alias("node")).limit(0)
-    degree = ends.groupBy("node").agg(F.count("*").alias("n_links"))
     node_of = per_id.select("id", F.col("low").alias("node"))
-    result = (
-        node_of.join(groups.toDF("node", "grp"), "node", "left").join(degree, "node", "left")
-        .select("id", F.coalesce("grp", "node").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    )
-    return sets.select("id", "size").join(result, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    result = node_of.join(groups.toDF("node", "grp"), "node", "left").select("id", F.coalesce("grp", "node").alias("component_id"))
+    whole = sets.select("id", "size").join(result, "id", "left")
+    columns = [F.col("id").alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
+    if not count_links:
+        return whole.select(*columns), None
+    links = _Links(given, classes, groups, rule, kind)
+    counted = whole.join(links.per_id(), "id", "left")
+    return counted.select(*columns, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")), links
 
 
 def _histogram(nodes: DataFrame) -> dict[int, int]:
