@@ -116,6 +116,26 @@ def test_values_change_inside_their_format_and_come_back(spark):
                 assert luhn(re.sub(r"\D", "", new)) and new[0] == values[i][0]
 
 
+def test_whole_secrets_change(spark):
+    """Values far above 200 characters, with a late digit, of dotted parts, and with an equals sign inside."""
+    long = ("Zq7" * 334)[:1000]
+    values = [long, "x" * 300 + "1" + "y" * 699, "eyJhbGci2i.eyJzdWIiOiIx.SflKxwRJSM", "onlyletters.hereandthere.abc9defg", "abcd1234=efghIJKL56==", "k" * 60_000 + "7"]
+    rows = [(i, f"token = '{v}'. rest") for i, v in enumerate(values)] + [(99, "token = abcdefgh..1 and secret: only.letters.here.")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    made = pseudonymise(docs, KEY, count_col="n")
+    found = {r.doc_id: r for r in made.collect()}
+    for i, v in enumerate(values):
+        new = re.fullmatch(r"token = '(.*)'\. rest", found[i].text)[1]
+        assert len(new) == len(v) and found[i].n == 1
+        for a in range(0, len(v) - 7):  # no stretch of eight stays where it was
+            assert new[a:a + 8] != v[a:a + 8]
+            if a > 2000:
+                break
+        assert [k for k, c in enumerate(v) if c in ".="] == [k for k, c in enumerate(new) if c in ".="]
+    assert found[99].text == rows[-1][1] and found[99].n == 0
+    assert {r.doc_id: r.text for r in pseudonymise(made.drop("n"), KEY, inverse=True).collect()} == dict(rows)
+
+
 def test_equal_values_stay_linked(spark):
     docs = spark.createDataFrame([(1, "x 4111111111111111"), (2, "4111 1111 1111 1111 y 2020-01-02"), (3, "02.01.2020")], "doc_id bigint, text string")
     text = {r.doc_id: r.text for r in pseudonymise(docs, KEY).collect()}

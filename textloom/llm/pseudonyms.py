@@ -19,9 +19,12 @@ HEX = "0123456789abcdef"
 #: Dates are permuted among the days from this one on; 200 years.
 FIRST_DAY, DAYS = "1900-01-01", 73_049
 
+# Longer halves enter the digests of a round by their own digest; cards, dates, mail addresses and the like are shorter.
+LONG_HALF = 100
+
 # Shapes of personal data and of secrets, in order of preference.
 SHAPES = {
-    "secret": r"""\b(?i:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?=[A-Za-z+/_\-]{0,200}\d)[A-Za-z0-9+/_\-]{8,200}""",
+    "secret": r"""\b(?i:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?=(?:\.?[A-Za-z0-9+/_=\-]){8})(?=[A-Za-z+/_=\-]*+(?:\.[A-Za-z+/_=\-]++)*+\.?\d)[A-Za-z0-9+/_=\-]++(?:\.[A-Za-z0-9+/_=\-]++)*+""",
     "access": r"\bAKIA[0-9A-Z]{16}\b",
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -52,14 +55,15 @@ def feistel(text: Column, alphabets: list[str], key: str, tweak: str, inverse: b
     bases, sizes = (F.array(*[F.lit(x) for x in values]) for values in (base, size))
 
     def numbers(half: Column, round_no: Column, count: Column) -> Column:
-        """16 bits of the keyed digest per character, four hex digits each."""
-        seed = F.concat(F.lit(f"{key}|{tweak}|"), round_no.cast("string"), F.lit("|"), F.array_join(half, ""), F.lit("|"))
+        """Keyed digests, 16 bits or four hex digits per character, 32 characters each."""
+        text = let(F.array_join(half, ""), lambda t: F.when(F.size(half) > LONG_HALF, F.sha2(t, 512)).otherwise(t))
+        seed = F.concat(F.lit(f"{key}|{tweak}|"), round_no.cast("string"), F.lit("|"), text, F.lit("|"))
         blocks = F.sequence(F.lit(0), F.floor(count / 32).cast("int"))
-        return F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat(seed, i.cast("string")), 512)), "")
+        return let(seed, lambda start: F.transform(blocks, lambda i: F.sha2(F.concat(start, i.cast("string")), 512)))
 
     def shifted(half: Column, stream: Column) -> Column:
         def char(c: Column, i: Column) -> Column:
-            step = F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
+            step = F.conv(F.substr(F.get(stream, F.floor(i / 32).cast("int")), i % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int")
             return let(F.position(c, F.lit(every)), lambda at: F.when(at == 0, c).otherwise(F.substr(
                 F.lit(every),
                 F.get(bases, at - 1) + 1 + F.pmod(
@@ -261,7 +265,7 @@ def pseudonymise(
 
     Found and checked: card numbers (Luhn), bank accounts (mod 97), social security
     numbers (ranges), calendar dates, IPv4 addresses (octets), phone numbers, e-mail addresses (the part
-    before the at sign), access keys, and values labelled as password, token or key. Values that
+    before the at sign), access keys, and values of any length, with dots inside too, labelled as password, token or key. Values that
     fail their check stay. ``inverse`` undoes it with the same key. One pass over
     each text in its own partition: no shuffle, no state, no Python.
 
