@@ -258,6 +258,15 @@ def _(spark, sf):
         "iteration", "seq", "closest_seq", r6(F.col("max_similarity")).alias("similarity"))
 
 
+@query("diversity_pairs_large", S.with_(S.TASKS, S.closest("(SELECT * REPLACE (CAST(1 AS BIGINT) AS iteration) FROM tasks)"))
+       + "SELECT iteration, seq, closest_seq, round(max_similarity, 6) AS similarity FROM closest")
+def _(spark, sf):
+    """The whole table as one iteration, searched by inverted lists."""
+    tasks = B.tasks(spark, sf).withColumn("iteration", F.lit(1).cast("bigint"))
+    return D.closest_earlier_task(tasks, bundle=64).select(
+        "iteration", "seq", "closest_seq", r6(F.col("max_similarity")).alias("similarity"))
+
+
 @query("max_prior_similarity", ACCEPTED + "SELECT iteration, seq, round(max_similarity, 6) AS max_similarity FROM closest")
 def _(spark, sf):
     return rounded(closest(spark, sf).drop("closest_seq"), "max_similarity")

@@ -1,5 +1,6 @@
 """Scores against small mirrors written from their definitions."""
 import math
+import random
 import re
 
 import pytest
@@ -10,7 +11,9 @@ from textloom.functions import prompts as P
 from textloom.functions import rewards as R
 from textloom.functions import scoring as C
 from textloom.functions.validation import validate_solution, validate_task
-from textloom.operators.diversity import closest_earlier_task
+from textloom.functions.text import word_ngrams
+from textloom.operators.diversity import NGRAM_WEIGHTS, closest_earlier_task
+from textloom.operators.nearest import nearest_earlier
 
 TEXTS = [
     "", " ", "one two three four", "Is a <= b, and if b != 3.5 then what is 2 + 3 * 4 = 14?",
@@ -209,8 +212,8 @@ def likeness(a, b):
     return total
 
 
-@pytest.mark.parametrize("bundle, hot", [(64, 1000), (2, 1), (1, 3)])
-def test_closest_earlier_task(spark, bundle, hot):
+@pytest.mark.parametrize("bundle, hot, short, block", [(64, 1000, 32, 4096), (2, 1, 32, 4096), (1, 3, 2, 5), (1, 1000, 4, 7)])
+def test_closest_earlier_task(spark, bundle, hot, short, block):
     words = ["red", "blue", "green", "up", "down", "left"]
     rows = []
     for i in range(40):
@@ -223,7 +226,7 @@ def test_closest_earlier_task(spark, bundle, hot):
         best = max(earlier) if earlier else None
         want[(it, seq)] = best
     df = spark.createDataFrame(rows, "iteration int, seq int, task string")
-    got = closest_earlier_task(df, bundle=bundle, hot_rows=hot).collect()
+    got = closest_earlier_task(df, bundle=bundle, hot_rows=hot, short=short, block=block).collect()
     assert len(got) == len(rows)
     for r in got:
         best = want[(r.iteration, r.seq)]
@@ -234,6 +237,33 @@ def test_closest_earlier_task(spark, bundle, hot):
             assert likeness_of(rows, r.iteration, r.seq, r.closest_seq) == pytest.approx(best[0])
 
 
+def variants(groups):
+    """Members of one group: texts of rare and common words, each followed by near copies of it."""
+    draw, rows = random.Random(groups), []
+    for g in range(groups):
+        text = [f"r{g}x{k}" if draw.random() < .4 else draw.choice("the of and to in is it for on as at by".split()) for k in range(25)]
+        for _ in range(4):
+            copy = list(text)
+            copy[draw.randrange(25)] = draw.choice(["the", "of", "new"])
+            rows.append((1, len(rows), " ".join(copy)))
+    return rows
+
+
+def test_comparisons_stay_flat_as_an_iteration_grows(spark):
+    """Ten times the tasks: as many comparisons a task, and the same results as bundles give."""
+    per_task = []
+    for groups in (40, 400):
+        df = spark.createDataFrame(variants(groups), "grp bigint, place bigint, words string").dropDuplicates(["words"])
+        sets = [word_ngrams(F.split("words", " "), n).alias(f"g{n}") for n in (1, 2, 3)]
+        found = nearest_earlier(df.select("*", *sets), NGRAM_WEIGHTS).cache()
+        per_task.append(found.agg(F.avg("compared")).first()[0])
+        if groups == 40:
+            want = closest_earlier_task(df, "grp", "place", "words", bundle=10_000).collect()
+            got = {r.place: (r.similarity, r.prev) for r in found.collect()}
+            assert got == {r.place: (r.max_similarity, r.closest_seq) for r in want}
+    assert 0 < per_task[1] < 1.2 * per_task[0] < 12
+
+
 def likeness_of(rows, it, seq, other):
     text = {(i, s): t or "" for i, s, t in rows}
     return likeness(text[(it, seq)], text[(it, other)])

@@ -1,14 +1,12 @@
 """How alike each task is to the closest earlier task of its iteration.
 
 Likeness is .2, .4 and .4 times the Jaccard similarity of the word 1-, 2- and 3-grams; two
-empty sets count as equal. The result needs every earlier task, but no pair ever
-becomes a row:
-
-* tasks with the same words are collapsed first: all but the first of them score 1;
-* the others are packed into bundles of bounded size, and each bundle is compared inside one
-  expression that returns only the best earlier task per member;
-* an iteration too large for one bundle is cut into blocks, and its bundles meet
-  pairwise, each pair of blocks under a key of its own.
+empty sets count as equal.
+
+* Tasks with the same words are collapsed first: all but the first of them score 1.
+* Iterations of few tasks are packed into one bundle each and compared inside one
+  expression that returns only the best earlier task per member.
+* Larger iterations are searched by inverted lists of n-grams (``nearest.py``).
 """
 from __future__ import annotations
 
@@ -18,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import blank_words, let, word_ngrams
+from textloom.operators.nearest import BLOCK, SHORT, nearest_earlier
 from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.storage import cut
 
@@ -75,38 +74,17 @@ def _within(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
     )
 
 
-def _across(bundles: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Bundles of large iterations: every block of an iteration meets every other.
-
-    Each pair of blocks is a key of its own, so a single huge iteration fills all tasks.
-    The partition number is given, because few bytes mean much work here and the
-    adaptive planner would merge them into one task.
-    """
-    partitions = int(bundles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    stored = cut(bundles)
-    visiting = stored.select("iteration", "members", F.col("block").alias("guest"), every.alias("host"))
-    hosts = stored.select("iteration", F.col("members").alias("others"), F.col("block").alias("host"), every.alias("guest"))
-    pair = ["iteration", "guest", "host"]
-    met = visiting.repartition(partitions, *pair).join(hosts, pair)
-    return (
-        met.select("iteration", F.inline_outer(_best(F.col("members"), F.col("others"), weights)))
-        .groupBy("iteration", "seq")
-        .agg(F.max(F.struct("similarity", (-F.col("prev")).alias("order"))).alias("best"))
-        .select("iteration", "seq", F.col("best.similarity").alias("max_similarity"),
-                (-F.col("best.order")).alias("closest_seq"))
-    )
-
-
 def closest_earlier_task(
     tasks: DataFrame, iteration: str = "iteration", seq: str = "seq", text: str = "task",
     weights: Sequence[float] = NGRAM_WEIGHTS, bundle: int = BUNDLE,
-    total_rows: int | None = None, hot_rows: int = HOT_ROWS,
+    total_rows: int | None = None, hot_rows: int = HOT_ROWS, short: int = SHORT, block: int = BLOCK,
 ) -> DataFrame:
     """(iteration, seq, max_similarity, closest_seq); nulls for an iteration's first task.
 
     ``closest_seq`` is the earliest of the most similar tasks. Weights must not be
-    negative, so that equal word lists are never beaten.
+    negative, so that equal word lists are never beaten. Iterations of more than ``bundle``
+    different tasks are searched by inverted lists, with ``short`` and ``block`` of
+    ``nearest_earlier``; the result is the same.
     """
     if min(weights) < 0:
         raise ValueError("n-gram weights must not be negative")
@@ -128,17 +106,15 @@ def closest_earlier_task(
     if (largest or 0) <= bundle:
         best = _within(_bundles(listed, ["iteration"], len(weights)), weights)
     else:
-        blocks = sizes.select(
-            "iteration", "tasks", F.ceil(F.col("tasks") / bundle).alias("blocks")
-        )
-        placed = join_per_key(listed, blocks, ["iteration"], "tasks", total_rows, hot_rows)
-        bundles = _bundles(
-            placed.withColumn("block", F.pmod(F.xxhash64("first"), F.col("blocks"))),
-            ["iteration", "block", "blocks"], len(weights),
-        )
-        best = _within(bundles.where("blocks = 1"), weights).unionByName(
-            _across(bundles.where("blocks > 1"), weights)
-        )
+        placed = join_per_key(listed, sizes.select("iteration", "tasks"), ["iteration"], "tasks", total_rows, hot_rows)
+        grams = [word_ngrams(F.col("listed"), n).alias(f"g{n}") for n in range(1, len(weights) + 1)]
+        found = nearest_earlier(
+            placed.where(F.col("tasks") > bundle).select(
+                F.col("iteration").alias("grp"), F.col("first").alias("place"), "words", *grams),
+            weights, short, block, total_rows, hot_rows)
+        best = _within(_bundles(placed.where(F.col("tasks") <= bundle), ["iteration"], len(weights)), weights).unionByName(
+            found.select(F.col("grp").alias("iteration"), F.col("place").alias("seq"), F.col("similarity").alias("max_similarity"),
+                         F.col("prev").alias("closest_seq")))
     if (most_copies or 0) > 1:
         first_of = firsts.where("copies > 1")
         copies = join_per_key(
