@@ -166,15 +166,20 @@ def json_lines(spark, sf):
         "7": F.lit('{"text": 5}'),
         "4": F.concat(F.lit("["), whole, F.lit("]")),
         "5": F.lit('{"text": null}'),
+        # The last of repeated keys counts; NaN is a number, and so an unknown word inside a list.
+        "8": F.concat(F.lit('{"text": "first", '), F.substring(whole, F.lit(2), F.length(whole))),
+        "9": F.lit('{"text": NaN}'),
+        "a": F.concat(F.lit('{"score": [NaN, -Infinity], "more": {"a": 1, "a": 2}, '), F.substring(whole, F.lit(2), F.length(whole))),
+        "b": F.concat(F.lit('{"score": INF, '), F.substring(whole, F.lit(2), F.length(whole))),
     }, F.concat(F.lit(" "), whole, F.lit(" ")))
     return docs.select("doc_id", line.alias("value"))
 
 
-@query("scan_jsonl_pretrain", f"""SELECT doc_id, CASE WHEN h NOT IN ('2', '3', '5', '6', '7') THEN text END AS text,
-  CASE WHEN h IN ('5', '7') THEN NULL WHEN h = '3' THEN '' WHEN h = '6' THEN '7 of' ELSE array_to_string({S.words('text')}, ' ') END AS tokens,
+@query("scan_jsonl_pretrain", f"""SELECT doc_id, CASE WHEN h NOT IN ('2', '3', '5', '6', '7', '9') THEN text END AS text,
+  CASE WHEN h IN ('5', '7', '9') THEN NULL WHEN h = '3' THEN '' WHEN h = '6' THEN '7 of' ELSE array_to_string({S.words('text')}, ' ') END AS tokens,
   CASE WHEN h = '3' THEN doc_id || ' 7' WHEN h = '6' THEN doc_id || ' 4' WHEN h = '2' THEN '' END AS ids,
-  CASE WHEN h NOT IN ('2', '3', '5', '6', '7') THEN source END AS label
-  FROM (SELECT *, {JSON_TEXT} AS h FROM documents) WHERE h NOT IN ('0', '1', '4')""")
+  CASE WHEN h NOT IN ('2', '3', '5', '6', '7', '9') THEN source END AS label
+  FROM (SELECT *, {JSON_TEXT} AS h FROM documents) WHERE h NOT IN ('0', '1', '4', 'b')""")
 def _(spark, sf):
     out = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
     return out.select("doc_id", "text", F.array_join("tokens", " ").alias("tokens"),
@@ -194,9 +199,9 @@ def _word_id(word: str) -> str:
   array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 END), ' ') AS attention_mask,
   array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN -100 ELSE i END), ' ') AS labels
   FROM (SELECT doc_id, {tokens.padded(f'given[1:{tokens.MAX_LENGTH}]')} AS x FROM (
-    SELECT doc_id, CASE WHEN h IN ('5', '7') THEN []::BIGINT[] WHEN h = '3' THEN [{_given('doc_id')}, 7::BIGINT]
+    SELECT doc_id, CASE WHEN h IN ('5', '7', '9') THEN []::BIGINT[] WHEN h = '3' THEN [{_given('doc_id')}, 7::BIGINT]
       WHEN h = '6' THEN [{_given('doc_id')}, {_word_id('7')}, {_word_id('of')}, 4::BIGINT] ELSE ids END AS given
-    FROM (SELECT doc_id, {JSON_TEXT} AS h FROM documents) JOIN ids USING (doc_id) WHERE h NOT IN ('0', '1', '4')))""")
+    FROM (SELECT doc_id, {JSON_TEXT} AS h FROM documents) JOIN ids USING (doc_id) WHERE h NOT IN ('0', '1', '4', 'b')))""")
 def _(spark, sf):
     # Lines to examples: words are looked up, integers of a list are ids already.
     rows = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
@@ -207,7 +212,7 @@ def _(spark, sf):
     return tokens.flat_example(found.select("doc_id", pretrain_example(ids, tokens.MAX_LENGTH).alias("x")), "doc_id")
 
 
-@query("jsonl_rejects", f"""SELECT count(*) AS lines, count(*) FILTER ({JSON_TEXT} IN ('0', '4')) AS bad_json,
+@query("jsonl_rejects", f"""SELECT count(*) AS lines, count(*) FILTER ({JSON_TEXT} IN ('0', '4', 'b')) AS bad_json,
   count(*) FILTER ({JSON_TEXT} = '1') AS missing_field FROM documents""")
 def _(spark, sf):
     return jsonl.line_rejects(json_lines(spark, sf), ["text"])
@@ -218,7 +223,10 @@ def _(spark, sf):
 def _(spark, sf):
     h = F.substring(B.digest("j", "conv_id", "turn"), 1, 1)
     whole = F.to_json(F.struct("instruction", "output"))
-    line = by_type(h, {"0": F.concat(whole, F.lit("}")), "1": F.to_json(F.struct("instruction"))}, whole)
+    line = by_type(h, {
+        "0": F.concat(whole, F.lit("}")), "1": F.to_json(F.struct("instruction")),
+        "2": F.concat(F.lit('{"output": "none", "reward": NaN, '), F.substring(whole, F.lit(2), F.length(whole))),
+    }, whole)
     pairs = sft_pairs(spark, sf).select("conv_id", "turn", line.alias("value"))
     return jsonl.scan_jsonl_sft(pairs, "value", "conv_id", "turn")
 
@@ -229,10 +237,12 @@ def _(spark, sf):
 def _(spark, sf):
     h = F.substring(B.digest("j", "item_id"), 1, 1)
     seeds = scoring.seeds(spark, sf)
+    known = F.to_json(F.struct("type", "task"))
     line = by_type(h, {
         "0": F.lit("{broken"), "1": F.to_json(F.struct("type")),
         "2": F.to_json(F.struct(F.lit("guessing").alias("type"), "task")),
-    }, F.to_json(F.struct("type", "task")))
+        "3": F.concat(F.lit('{"type": "guessing", "task": {"a": 1, "a": 2}, "limit": Infinity, '), F.substring(known, F.lit(2), F.length(known))),
+    }, known)
     return jsonl.scan_seed_tasks(seeds.select("item_id", line.alias("value")), "value", "item_id")
 
 

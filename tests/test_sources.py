@@ -131,6 +131,20 @@ def test_values_keep_their_kind(spark):
         (None, None, None), (None, [None, "a", "2.5", None], [1, None, None, None]), (None, None, None), (None, [], [])]
 
 
+def test_repeated_keys_and_numbers_outside_the_standard(spark):
+    """Like a reader that keeps the last of repeated keys and knows NaN and infinities."""
+    texts = ['{"text": "a", "text": "b"}', '{"text": NaN, "label": "l"}', '{"text": ["a", NaN, 3, -Infinity]}', '{"m": {"a": 1, "a": 2}, "text": "x"}',
+             '{"text": "x", "text": {"a": 1, "a": 2}}', '{"text": {"a": 1, "a": 2}, "text": "x"}', '{"text": null, "text": null}',
+             '{"text": "a", "v": INF}', '{"text": "a", "text": "b"} {"text": "c"}', '{"text": "a", "text": "b"},{"text": "c"}',
+             '{"text": "a", "text": "b"}] [1', '{"label": "a", "label": "b"}', '{"text": "a", "v": NaN']
+    rows = {r.i: (r.text, r.tokens, r.ids, r.label) for r in jsonl.scan_jsonl_pretrain(lines(spark, texts), "value", "i").collect()}
+    nothing = (None, None, None, None)
+    assert rows == {
+        0: ("b", ["b"], None, None), 1: (None, None, None, "l"), 2: (None, ["a", "NaN", None, "-Infinity"], [None, None, 3, None], None),
+        3: ("x", ["x"], None, None), 4: nothing, 5: ("x", ["x"], None, None), 6: nothing}
+    assert jsonl.line_rejects(lines(spark, texts), ["text"]).first().asDict() == {"lines": 13, "bad_json": 5, "missing_field": 1}
+
+
 def test_sft_and_seed_lines(spark):
     texts = ['{"instruction": "i", "output": "o"}', '{"instruction": "i"}', '{"instruction": "", "output": null}']
     assert [tuple(r) for r in jsonl.scan_jsonl_sft(lines(spark, texts)).collect()] == [("i", "o"), ("", None)]

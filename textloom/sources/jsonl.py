@@ -1,7 +1,7 @@
 """JSON Lines inputs with counted rejects."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,29 +10,59 @@ from textloom.functions.fixed_values import TASK_TYPES
 from textloom.functions.text import blank_words, let, strip_blanks
 
 
+def _enclosed(bare: Column) -> tuple[Column, Column]:
+    """The line as the one element of a list and of an object.
 
-def _item(line: Column) -> Column:
-    """VARIANT of a line that is one JSON object, else null.
+    The parsers ignore what follows a complete value. Text behind the line's object would
+    have to close or continue both to go unseen, which no text can.
+    """
+    return F.concat(F.lit("["), bare, F.lit("]")), F.concat(F.lit('{"item":'), bare, F.lit("}"))
+
+
+def _by_variant(bare: Column, names: Sequence[str]) -> Column:
+    """Wanted fields of a line without repeated keys, NaN and Infinity; the others are null."""
+    in_list, in_object = _enclosed(bare)
+    parsed = F.when(F.try_parse_json(in_list).isNotNull(), F.try_variant_get(F.try_parse_json(in_object), "$.item", "variant"))
+    return let(parsed, lambda value: F.when(F.schema_of_variant(value).startswith("OBJECT"), F.struct(*[
+        F.try_variant_get(value, f"$.{n}", "variant").alias(n) for n in names])))
+
+
+def _by_schema(bare: Column, names: Sequence[str]) -> Column:
+    """Wanted fields of a line that the first parser refuses.
 
-    The parser ignores what follows a complete value. Text behind the object would have
-    to close or continue both a list and an object to go unseen, which no text can.
-    A repeated key makes a line invalid.
+    Here the last of repeated keys counts, NaN and infinities are numbers, and fields that nobody wants
+    are passed over whatever they hold. Each wanted field is parsed by itself, as a string too,
+    which tells its last value from an earlier one that could be read; a last value that is an
+    object with repeated keys counts as an empty object, as no reader looks into it.
     """
-    def parse(bare: Column) -> Column:
-        in_list = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
-        in_object = F.try_parse_json(F.concat(F.lit('{"item":'), bare, F.lit("}")))
-        return F.when(in_list.isNotNull(), F.try_variant_get(in_object, "$.item", "variant"))
+    in_list, in_object = _enclosed(bare)
+    corrupt = {"columnNameOfCorruptRecord": "_bad"}
+    lone = F.size(F.from_json(in_list, f"array<struct<{names[0]}: string>>")) == 1
+    whole = F.from_json(in_object, f"item struct<{names[0]}: string>, _bad string", corrupt)
 
-    def objects(value: Column) -> Column:
-        return F.when(F.schema_of_variant(value).startswith("OBJECT"), value)
+    def field(name: str) -> Column:
+        found = F.from_json(in_object, f"item struct<{name}: variant>, _bad string", corrupt)
+        last = F.from_json(in_object, f"item struct<{name}: string>")["item"][name]
+        return let(found, lambda row: F.when(
+            row["_bad"].isNull() | (F.try_variant_get(row["item"][name], "$", "string") == last), row["item"][name]
+        ).otherwise(F.parse_json(F.lit("{}"))))
 
-    return let(let(strip_blanks(line), parse), objects)
+    valid = let(whole, lambda row: row["item"].isNotNull() & row["_bad"].isNull())
+    return F.when(lone & valid, F.struct(*[field(n).alias(n) for n in names]))
+
+
+def _item(line: Column, names: Sequence[str]) -> Column:
+    """Struct of the wanted fields, as VARIANT, of a line that is one JSON object, else null.
+
+    Null in a field means that the object lacks it; a JSON null is a VARIANT null.
+    """
+    return let(strip_blanks(line), lambda bare: F.coalesce(_by_variant(bare, names), _by_schema(bare, names)))
 
 
-def _rows(lines: DataFrame, col: str, keep: tuple[str, ...], wanted: Callable[[Column], Column],
+def _rows(lines: DataFrame, col: str, keep: tuple[str, ...], names: Sequence[str], wanted: Callable[[Column], Column],
           fields: Callable[[Column], list[Column]]) -> DataFrame:
     """Fields of the wanted objects. A generator parses once, where a filter would twice."""
-    row = let(_item(F.col(col)), lambda item: F.when(
+    row = let(_item(F.col(col), names), lambda item: F.when(
         item.isNotNull() & wanted(item), F.array(F.struct(*fields(item)))
     ))
     return lines.select(*keep, F.inline(row))
@@ -40,12 +70,11 @@ def _rows(lines: DataFrame, col: str, keep: tuple[str, ...], wanted: Callable[[C
 
 def has_field(item: Column, name: str) -> Column:
     """True where the object has the field, a JSON null included."""
-    # A missing path gives SQL NULL; an explicit JSON null gives a VARIANT null.
-    return F.try_variant_get(item, f"$.{name}", "variant").isNotNull()
+    return item[name].isNotNull()
 
 
 def text_field(item: Column, name: str) -> Column:
-    return F.try_variant_get(item, f"$.{name}", "string")
+    return F.try_variant_get(item[name], "$", "string")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,9 +97,9 @@ def scan_jsonl_pretrain(lines: DataFrame, col: str = "value", *keep: str) -> Dat
     are unknown words. A number or an object has neither; its row stays.
     """
     def fields(item: Column) -> list[Column]:
-        value = F.try_variant_get(item, "$.text", "variant")
+        value = item["text"]
         text = F.when(F.schema_of_variant(value) == "STRING", text_field(item, "text"))
-        listed = F.try_variant_get(item, "$.text", "array<variant>")
+        listed = F.try_variant_get(value, "$", "array<variant>")
 
         def whole(e: Column) -> Column:
             return F.when(F.schema_of_variant(e) == "BIGINT", F.try_variant_get(e, "$", "int"))
@@ -82,13 +111,13 @@ def scan_jsonl_pretrain(lines: DataFrame, col: str = "value", *keep: str) -> Dat
             text_field(item, "image").alias("image"), text_field(item, "label").alias("label"),
         ]
 
-    return _rows(lines, col, keep, lambda item: has_field(item, "text"), fields)
+    return _rows(lines, col, keep, ("text", "image", "label"), lambda item: has_field(item, "text"), fields)
 
 
 def scan_jsonl_sft(lines: DataFrame, col: str = "value", *keep: str) -> DataFrame:
     """Rows that parse and have both ``instruction`` and ``output``."""
     return _rows(
-        lines, col, keep, lambda item: has_field(item, "instruction") & has_field(item, "output"),
+        lines, col, keep, ("instruction", "output"), lambda item: has_field(item, "instruction") & has_field(item, "output"),
         lambda item: [text_field(item, n).alias(n) for n in ("instruction", "output")],
     )
 
@@ -100,7 +129,7 @@ def scan_seed_tasks(lines: DataFrame, col: str = "value", *keep: str,
     Rows stay rows: three types would otherwise be three cells holding the whole table.
     """
     return _rows(
-        lines, col, keep,
+        lines, col, keep, ("type", "task"),
         lambda item: text_field(item, "type").isin(types) & has_field(item, "task"),
         lambda item: [text_field(item, n).alias(n) for n in ("type", "task")],
     )
@@ -114,7 +143,7 @@ def line_rejects(lines: DataFrame, required: list[str], col: str = "value") -> D
             whole = whole & has_field(item, name)
         return F.when(item.isNull(), "bad_json").when(~whole, "missing_field").otherwise("read")
 
-    verdicts = lines.select(let(_item(F.col(col)), verdict).alias("verdict"))
+    verdicts = lines.select(let(_item(F.col(col), required), verdict).alias("verdict"))
     return verdicts.agg(
         F.count("*").alias("lines"),
         F.count_if(F.col("verdict") == "bad_json").alias("bad_json"),
