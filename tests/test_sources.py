@@ -64,18 +64,63 @@ def test_small_chunks(monkeypatch):
     assert read(b"".join(gzip.compress(r) for r in RECORDS)) == WANT
 
 
-def test_archive_source(spark, tmp_path):
+@pytest.mark.parametrize("split", [warc.SPLIT_BYTES, 150, 1])
+def test_archive_source(spark, tmp_path, split):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in RECORDS))
     (tmp_path / "sub" / "b.warc").write_bytes(b"".join(RECORDS))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(RECORDS)))
     (tmp_path / "_SUCCESS").write_bytes(b"")
-    rows = warc.scan_web_archive(spark, str(tmp_path)).collect()
-    assert len(rows) == 16 and sum(r.error is not None for r in rows) == 2
-    for name in ("a.warc.gz", "sub/b.warc"):
-        mine = sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.rec_no)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.scan_web_archive(spark, str(tmp_path), split_bytes=split).collect()
+    assert len(rows) == 24 and sum(r.error is not None for r in rows) == 3
+    for name in ("a.warc.gz", "sub/b.warc", "c.warc.gz"):
+        mine = sorted((r for r in rows if r.path.endswith(name)), key=lambda r: (r.offset, r.rec_no))
         assert [(r.rec_type, r.http_status, None if r.body is None else bytes(r.body)) for r in mine if r.rec_type == "response"] == WANT
 
 
+def stored_member(data):
+    """A gzip member that holds the data as it is."""
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+@pytest.mark.parametrize("split", [40, 97, 100_000])
+def test_archives_inside_bodies_are_no_records(spark, tmp_path, split):
+    inner = b"".join(gzip.compress(r) for r in RECORDS)
+    outer = [record("response", f"http://o/{i}", response(200, inner)) for i in range(3)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(stored_member, outer)))
+    plain = [record("response", f"http://p/{i}", response(200, b"\n" + b"".join(RECORDS))) for i in range(3)]
+    (tmp_path / "b.warc").write_bytes(b"".join(plain))
+    rows = warc.scan_web_archive(spark, str(tmp_path), split_bytes=split).collect()
+    assert sorted(r.uri for r in rows) == [f"http://{f}/{i}" for f in "op" for i in range(3)]
+    assert {bytes(r.body) for r in rows} == {inner, b"\n" + b"".join(RECORDS)}
+
+
+def test_damaged_members_and_cut_files(spark, tmp_path):
+    members = [bytearray(gzip.compress(r)) for r in RECORDS]
+    members[3][12:20] = b"\xff" * 8
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(bytes, members)))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(bytes, members[4:]))[:-5])
+    got = warc.scan_web_archive(spark, str(tmp_path), "rec_type = 'response'").collect()
+    assert sorted(r.uri for r in got) == sorted([f"http://a/{i}" for i in (1, 3, 4, 5, 6)] + [f"http://a/{i}" for i in (3, 4, 5)])
+
+
+def test_one_large_archive_fills_several_tasks_and_filters_run_on_the_index(spark, tmp_path):
+    records = [record(kind, f"http://x/{i}", response(200 + i % 2, b"%d " % i * 300)) for i in range(400) for kind in ("request", "response")]
+    (tmp_path / "big.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    index = warc.archive_index(spark, str(tmp_path), 8192)
+    assert index.count() == 800 and index.inputFiles()
+    rows = warc.scan_web_archive(spark, str(tmp_path), "rec_type = 'response' and http_status = '200'", index=index, split_bytes=8192)
+    plan = rows._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(rec_type), IsNotNull(http_status), EqualTo(rec_type,response), EqualTo(http_status,200)]" in plan
+    found = rows.select("uri", "body", F.spark_partition_id().alias("task")).collect()
+    assert len(found) == 200 and len({r.task for r in found}) > 3
+    assert {(r.uri, bytes(r.body)) for r in found} == {(f"http://x/{i}", b"%d " % i * 300) for i in range(0, 400, 2)}
+    heads = warc.scan_web_archive(spark, str(tmp_path), "http_status = '201'", bodies=False, index=index)
+    assert "body" not in heads.columns and heads.count() == 200
+
+
 def test_binary(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"\x00\x01")
     assert [(r.length, bytes(r.content)) for r in warc.scan_binary(spark, str(tmp_path)).collect()] == [(2, b"\x00\x01")]

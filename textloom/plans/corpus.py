@@ -76,8 +76,9 @@ def run_download(spark: SparkSession, cfg: DownloadConfig) -> dict[str, int]:
 
 
 def run_clean(spark: SparkSession, cfg: CleanConfig) -> None:
-    records = scan_web_archive(spark, cfg.input_dir).where("error is null").select(
-        F.concat_ws("#", "path", F.lpad(F.col("rec_no").cast("string"), 10, "0")).alias("doc_id"),
+    found = scan_web_archive(spark, cfg.input_dir, "error is null and rec_type = 'response' and http_status = '200'")
+    records = found.where("error is null").select(
+        F.concat_ws("#", "path", F.lpad(F.col("offset").cast("string"), 16, "0"), F.lpad(F.col("rec_no").cast("string"), 6, "0")).alias("doc_id"),
         "rec_type", "http_status",
         decode_body(F.col("body")).alias("body"),
     )
