@@ -1,9 +1,12 @@
 """Queries over sources and sinks; files are written to the shared folder and read back."""
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import functions as F
 
 from catalog import base as B
+from catalog import corpus
 from catalog import scoring
 from catalog import sql as S
 from catalog import tokens
@@ -14,6 +17,7 @@ from textloom.functions.text import blank_words
 from textloom.operators import vocab
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut, scratch_path
+from textloom.plans import corpus as plans
 from textloom.sources import jsonl, manifest, sinks, warc
 from textloom.sources.files import file_system
 
@@ -112,25 +116,93 @@ def http_block(html, status):
     return F.concat(head.cast("binary"), html.cast("binary"))
 
 
-@query("scan_web_archive", """SELECT url AS uri, 'response' AS rec_type, '200' AS http_status, md5(html) AS digest FROM pages
-  UNION ALL SELECT url, 'request', NULL, md5('GET ' || url) FROM pages""")
+def write_archives(records, path, order="page_id"):
+    """(uri, rec_type, block) rows as gzip archives with one member per record, in the order of a column."""
+    def put(batches):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        filesystem, root = file_system(path)
+        filesystem.create_dir(root, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
+        with filesystem.open_output_stream(f"{root}/{name}", compression=None) as out:
+            for batch in batches:
+                for uri, kind, block in zip(batch["uri"], batch["rec_type"], batch["block"]):
+                    head = (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: {uri}\r\n"
+                            f"Content-Type: application/http; msgtype={kind}\r\nContent-Length: {len(block)}\r\n\r\n")
+                    out.write(gzip.compress(head.encode() + block + b"\r\n\r\n", 1))
+        yield pd.DataFrame({"name": [name]})
+
+    ordered = records.repartitionByRange(2, order).sortWithinPartitions(order, "rec_type")
+    return ordered.mapInPandas(put, "name string")
+
+
+# Far below the size of a split in use, so that one archive of the small tables fills several tasks.
+SMALL_SPLIT = 1 << 17
+
+
+def page_archives(spark, sf):
+    """All pages with a request each, in a few archives."""
+    pages = B.table(spark, sf, "pages").select("page_id", F.col("url").alias("uri"), "html")
+    answers = pages.select("page_id", "uri", F.lit("response").alias("rec_type"), http_block(F.col("html"), F.lit("200")).alias("block"))
+    requests = pages.select("page_id", "uri", F.lit("request").alias("rec_type"), F.concat(F.lit("GET "), "uri").cast("binary").alias("block"))
+    return written(spark, answers.unionByName(requests), "archive", lambda df, path: write_archives(df, path).collect())
+
+
+ARCHIVED = """SELECT url AS uri, 'response' AS rec_type, '200' AS http_status, md5(html) AS digest FROM pages
+  UNION ALL SELECT url, 'request', NULL, md5('GET ' || url) FROM pages"""
+
+
+@query("scan_web_archive", ARCHIVED)
 def _(spark, sf):
-    pages = spread(B.table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
-    kinds = [("response", "application/http; msgtype=response", http_block(F.col("html"), F.lit("200"))),
-             ("request", "application/http; msgtype=request", F.concat(F.lit("GET "), "url").cast("binary"))]
-    records = [F.concat(
-        F.concat(F.lit(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: "), "url",
-                 F.lit(f"\r\nContent-Type: {mime}\r\nContent-Length: "), F.octet_length(block).cast("string"),
-                 F.lit("\r\n\r\n")).cast("binary"),
-        block, F.lit("\r\n\r\n").cast("binary")) for kind, mime, block in kinds]
-    path = scratch_path(spark, "archive")
-    files = pages.select(F.concat(F.lit("part-"), F.col("page_id").cast("string"), F.lit(".warc")).alias("name"),
-                         F.concat(*records).alias("content"))
-    write_files(files, path).agg(F.sum("bytes")).collect()
-    return warc.scan_web_archive(spark, path).where("error is null").select(
+    return warc.scan_web_archive(spark, page_archives(spark, sf), split_bytes=SMALL_SPLIT).where("error is null").select(
         "uri", "rec_type", "http_status", F.md5("body").alias("digest"))
 
 
+@query("scan_web_archive_responses", f"SELECT uri, digest FROM ({ARCHIVED}) WHERE rec_type = 'response' AND http_status = '200'")
+def _(spark, sf):
+    """The filter runs on the index, so that no byte of other records is read again."""
+    found = warc.scan_web_archive(spark, page_archives(spark, sf), "rec_type = 'response' AND http_status = '200'", split_bytes=SMALL_SPLIT)
+    return found.select("uri", F.md5("body").alias("digest"))
+
+
+@query("archive_index", f"SELECT uri, rec_type, http_status FROM ({ARCHIVED})")
+def _(spark, sf):
+    return warc.archive_index(spark, page_archives(spark, sf), SMALL_SPLIT).select("uri", "rec_type", "http_status")
+
+
+def _of(sql: str, table: str) -> str:
+    return sql.replace("documents", table)
+
+
+PIPELINE = "WITH RECURSIVE " + ",\n".join((
+    corpus.RECORDS, corpus.MODEL,
+    f"""texts AS MATERIALIZED (SELECT page_id, text FROM (SELECT page_id, {corpus.page_text('body')} AS text FROM answered)
+  WHERE length(text) BETWEEN 256 AND 100000)""", corpus.scored("texts", "page_id", "text"),
+    "cleaned AS MATERIALIZED (SELECT page_id AS doc_id, text FROM texts JOIN predicted USING (page_id) WHERE predicted IN ('en', 'de'))",
+    _of(corpus.SIGNATURES, "cleaned"), corpus.EDGES, corpus.COMPONENTS,
+    "firsts AS MATERIALIZED (SELECT doc_id, text FROM cleaned JOIN components ON node = doc_id WHERE node = component)",
+    _of(tokens.vocab_sql(), "firsts"), tokens.ids_of("firsts", "doc_id", S.words("text"))))
+
+
+@query("run_pipeline", PIPELINE + f" SELECT array_to_string(ids[1:{tokens.MAX_LENGTH}], ' ') AS input_ids FROM ids")
+def _(spark, sf):
+    """All stages from archives of pages to token ids, each finished once."""
+    root = scratch_path(spark, "corpus")
+    records = B.web_records(spark, sf).select(
+        "page_id", F.col("url").alias("uri"), "rec_type",
+        http_block(F.col("body"), F.coalesce("http_status", F.lit("none"))).alias("block"))
+    names = write_archives(records, f"{root}/web").collect()
+    spark.createDataFrame(names, "value string").coalesce(1).write.text(f"{root}/paths")
+    model = written(spark, corpus.language_model(spark, sf), "model", lambda df, path: df.write.parquet(path))
+    plans.run_corpus(spark, plans.CorpusConfig(
+        plans.DownloadConfig(f"{root}/paths", f"{root}/web/", len(names), f"{root}/raw", 4),
+        plans.CleanConfig(f"{root}/raw", f"{root}/clean", language_model=model, language_whitelist=["en", "de"]),
+        plans.DedupConfig(f"{root}/clean", f"{root}/unique"),
+        plans.TokenizeConfig(f"{root}/unique", f"{root}/tokens", max_length=tokens.MAX_LENGTH)))
+    return spark.read.parquet(f"{root}/tokens").select(tokens.joined(F.col("input_ids")).alias("input_ids"))
+
+
 @query("fetch_report", "SELECT 'pages/' || page_id || '.html' AS path, 'SUCCESS' AS status, strlen(html) AS bytes FROM pages"
        " UNION ALL SELECT 'pages/missing.html', 'FAILURE', NULL")
 def _(spark, sf):

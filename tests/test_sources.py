@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.langid import filter_language, lang_identify, train_language_model
 from textloom.plans import corpus
+from textloom.plans.ledger import committed, run_once
 from textloom.sources import images, jsonl, manifest, sinks, subword, warc
 
 
@@ -301,7 +302,8 @@ def test_languages(spark):
     assert filter_language(df, F.col("lang"), ["de"]).count() == 5
 
 
-def test_stages(spark, tmp_path, tokenizer):
+@pytest.fixture
+def corpus_config(tmp_path):
     texts = ["hi there yes " * 30, "no there hi " * 30, "hi there yes " * 30, "tiny"]
     pages = [f"<html><nav>menu</nav><p>{t}</p></html>".encode() for t in texts]
     source = tmp_path / "web" / "seg"
@@ -309,22 +311,26 @@ def test_stages(spark, tmp_path, tokenizer):
     archive = [gzip.compress(record("response", f"http://p/{i}", response(200 if i < 4 else 500, p))) for i, p in enumerate(pages + pages[:1])]
     (source / "one.warc.gz").write_bytes(b"".join(archive))
     (tmp_path / "paths.gz").write_bytes(gzip.compress(b"seg/one.warc.gz\nseg/two.warc.gz\n"))
-    (tmp_path / "raw").mkdir()
-    cfg = corpus.CorpusConfig(
+    return corpus.CorpusConfig(
         corpus.DownloadConfig(str(tmp_path / "paths.gz"), f"file://{tmp_path}/web/", 10, f"file://{tmp_path}/raw", 2),
         corpus.CleanConfig(str(tmp_path / "raw"), str(tmp_path / "clean"), language_whitelist=[]),
         corpus.DedupConfig(str(tmp_path / "clean"), str(tmp_path / "unique")),
-        corpus.TokenizeConfig(str(tmp_path / "unique"), str(tmp_path / "tokens"), tokenizer, 16),
+        corpus.TokenizeConfig(str(tmp_path / "unique"), str(tmp_path / "tokens"), max_length=16),
     )
-    assert corpus.run_download(spark, cfg.download) == {"SUCCESS": 1, "FAILURE": 1}
-    cfg.stages = ("tokenize", "clean", "deduplicate")  # run in their fixed order
-    corpus.run_corpus(spark, cfg)
+
+
+def test_stages(spark, tmp_path, corpus_config):
+    cfg = corpus_config
+    assert corpus.run_corpus(spark, cfg) == list(corpus.STAGES)
+    assert committed(spark, str(tmp_path / "raw"))["counts"] == {"SUCCESS": 1, "FAILURE": 1}
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 3
     tokens = spark.read.parquet(str(tmp_path / "tokens")).collect()
     assert len(tokens) == 2 and all(len(r.input_ids) == 16 for r in tokens)
-    cfg.stages = ("deduplicate",)
+    assert {tuple(r.input_ids[:3]) for r in tokens} == {(4, 5, 7), (6, 5, 4)}
+    assert corpus.run_corpus(spark, cfg) == []
+    cfg.stages = ("tokenize", "deduplicate")  # run in their fixed order
     cfg.deduplicate.unit = "line"
-    corpus.run_corpus(spark, cfg)
+    assert corpus.run_corpus(spark, cfg) == ["deduplicate", "tokenize"]
     assert spark.read.parquet(str(tmp_path / "unique")).count() == 2
     cfg.stages = ("publish",)
     with pytest.raises(ValueError):
@@ -334,6 +340,39 @@ def test_stages(spark, tmp_path, tokenizer):
         corpus.run_corpus(spark, cfg)
 
 
+def test_a_killed_run_goes_on_after_its_last_finished_stage(spark, tmp_path, corpus_config, monkeypatch):
+    cfg, whole = corpus_config, corpus.sink_documents
+
+    def half(df, path):
+        whole(df.limit(1), path)
+        raise KeyboardInterrupt
+
+    cfg.stages = ("download", "clean")
+    assert corpus.run_corpus(spark, cfg) == ["download", "clean"]
+    cfg.stages = corpus.STAGES
+    monkeypatch.setattr(corpus, "sink_documents", half)
+    with pytest.raises(KeyboardInterrupt):
+        corpus.run_corpus(spark, cfg)
+    # The half-written stage left no output, and the finished ones are as they were.
+    assert not (tmp_path / "unique").exists() and committed(spark, str(tmp_path / "clean"))
+    monkeypatch.setattr(corpus, "sink_documents", whole)
+    assert corpus.run_corpus(spark, cfg) == ["deduplicate", "tokenize"]
+    assert spark.read.parquet(str(tmp_path / "unique")).count() == 2
+    # A new input file starts the run over from the stage that reads it.
+    (tmp_path / "raw" / "more.warc.gz").write_bytes(gzip.compress(record("response", "http://q", response(200, b"<p>" + b"new words here " * 30))))
+    cfg.stages = ("clean", "deduplicate", "tokenize")
+    assert corpus.run_corpus(spark, cfg) == ["clean", "deduplicate", "tokenize"]
+    assert spark.read.parquet(str(tmp_path / "tokens")).count() == 3
+
+
+def test_folders_of_others_are_not_replaced(spark, tmp_path):
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "precious").write_text("x")
+    with pytest.raises(FileExistsError):
+        run_once(spark, "s", {}, [], str(tmp_path / "out"), lambda folder: None)
+    assert (tmp_path / "out" / "precious").read_text() == "x"
+
+
 def test_file_uris():
     from textloom.sources.files import file_system
 
