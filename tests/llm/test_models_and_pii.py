@@ -116,6 +116,27 @@ def test_values_change_inside_their_format_and_come_back(spark):
                 assert luhn(re.sub(r"\D", "", new)) and new[0] == values[i][0]
 
 
+NEIGHBOURS = [
+    ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("4111 1111 1111 1111 123", "4111 1111 1111 1111"),
+    ("7 4111 1111 1111 1111", "4111 1111 1111 1111"), ("12-4111-1111-1111-1111", "4111-1111-1111-1111"),
+    ("378282246310005 12/27", "378282246310005"), ("3782 822463 10005 99", "3782 822463 10005"),
+    ("386-555-3733 100 Main", "386-555-3733"), ("2024 386-555-3733", "386-555-3733"), ("386-555-3733 212-555-0199", "386-555-3733"),
+    ("386-555-3733 212-555-0199", "212-555-0199"), ("4111 1111 1111 1111 386-555-3733", "4111 1111 1111 1111"),
+    ("4111 1111 1111 1111 386-555-3733", "386-555-3733"), ("4111111111111111, 5500-0000-0000-0004", "5500-0000-0000-0004"),
+    ("6304 0000 0000 0000 000", "6304 0000 0000 0000 000"), ("josé@example.org", "josé@"), ("jürgen.müller@bücher.example", "jürgen.müller@"),
+]
+
+
+def test_values_beside_other_digits_change(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NEIGHBOURS)], "doc_id bigint, text string")
+    for key in ("k1", "k2", "k3"):
+        made = pseudonymise(docs, key)
+        found = {r.doc_id: r.text for r in made.collect()}
+        for i, (text, value) in enumerate(NEIGHBOURS):
+            assert value not in found[i] and len(found[i]) == len(text), (text, found[i])
+        assert {r.doc_id: r.text for r in pseudonymise(made, key, inverse=True).collect()} == dict(enumerate(t for t, _ in NEIGHBOURS))
+
+
 def test_whole_secrets_change(spark):
     """Values far above 200 characters, with a late digit, of dotted parts, and with an equals sign inside."""
     long = ("Zq7" * 334)[:1000]

@@ -22,17 +22,21 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 # Longer halves enter the digests of a round by their own digest; cards, dates, mail addresses and the like are shorter.
 LONG_HALF = 100
 
+# A number inside a longer row of groups of digits is read by its own layout, wherever the row starts.
+_PHONE = r"(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)"
+_CARDS = r"(?:\d{4}(?:[ \-]\d{4}){3}(?:[ \-]\d{3}(?![ .\-]?\d))?|\d{4}[ \-]\d{6}[ \-]\d{4,5}|\d{13,19})(?!\d)"
+
 # Shapes of personal data and of secrets, in order of preference.
 SHAPES = {
     "secret": r"""\b(?i:password|passwd|pwd|token|secret|api[_-]?key)["']?\s{0,3}[=:]\s{0,3}["']?(?=(?:\.?[A-Za-z0-9+/_=\-]){8})(?=[A-Za-z+/_=\-]*+(?:\.[A-Za-z+/_=\-]++)*+\.?\d)[A-Za-z0-9+/_=\-]++(?:\.[A-Za-z0-9+/_=\-]++)*+""",
     "access": r"\bAKIA[0-9A-Z]{16}\b",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})+",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]{1,64}+@[\p{L}\p{M}\p{N}\-]{1,63}(?:\.[\p{L}\p{M}\p{N}\-]{1,63})+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "address": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "date": r"(?<![\d/.\-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/\-])",
     "social": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "card": r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)",
+    "phone": rf"(?<![\w+])(?:\+\d{{1,3}}[ .\-]?)?{_PHONE}|(?<![\w+])\+\d{{1,3}}(?:[ .\-]?\d{{2,4}}){{2,4}}(?!\d)",
+    "card": rf"(?<!\d){_CARDS}|(?<!\d)(?!(?:\d+[ \-])+(?:{_PHONE}|{_CARDS}))\d(?:[ \-]?\d){{12,18}}(?!\d)",
 }
 PATTERN = "|".join(f"(?:{p})" for p in SHAPES.values())
 
@@ -124,11 +128,22 @@ def _mod97(text: Column) -> Column:
 
 
 def _card(m: Column, key: str, inverse: bool) -> Column:
-    def of(digits: Column) -> Column:
+    def moved(digits: Column) -> Column:
         body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel(
             F.substr(digits, F.lit(2), F.length(digits) - 2), [DIGITS], key, "card", inverse))
-        made = let(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-        return F.when((_luhn_sum(digits) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$"), _laid_out(m, made)).otherwise(m)
+        return let(body, lambda b: F.concat(b, F.pmod(-_luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+
+    def checked(digits: Column) -> Column:
+        return (_luhn_sum(digits) % 10 == 0) & ~digits.rlike(r"^(\d)\1*$")
+
+    def of(digits: Column) -> Column:
+        # Sixteen digits with three more behind them, which may be another number: the whole is
+        # read first, and a pseudonym of the sixteen never makes the whole pass its check.
+        first, rest = F.substr(digits, F.lit(1), F.lit(16)), F.substr(digits, F.lit(17), F.lit(3))
+        inner = F.concat(_walk(first, moved, lambda x: _luhn_sum(F.concat(x, rest)) % 10 != 0), rest)
+        two = m.rlike(r"^\d{4}(?:[ \-]\d{4}){3}[ \-]\d{3}$")
+        return F.when(checked(digits), _laid_out(m, moved(digits))).when(
+            two & checked(first), _laid_out(m, inner)).otherwise(m)
     return let(_digits(m), of)
 
 
@@ -228,7 +243,7 @@ def _access(m: Column, key: str, inverse: bool) -> Column:
 
 
 _MAKERS = {"secret": _secret, "access": _access, "email": _email, "iban": _iban, "address": _address,
-           "date": _date, "social": _social, "card": _card, "phone": _phone}
+           "date": _date, "social": _social, "phone": _phone, "card": _card}
 
 
 def pseudonym(match: Column, key: str, inverse: bool = False) -> Column:

@@ -9,12 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import BLOCK_BYTES, split, text_blocks
+from textloom.llm.blocks import split, text_blocks
 from textloom.llm.hashing import flat_words
 
 # Labelled texts that the model is fitted on, at most; chosen by a hash of the id.
 FIT_ROWS = 12_000
 SLOTS = 1 << 17
+# Bytes of text whose features are made at once; they take some twenty times as much memory.
+BLOCK = 2 << 20
 STATS = ("words", "word_length", "symbols", "capitals", "digits", "exclaims", "pipes", "punctuation",
          "lines", "repeated_words", "repeated_lines", "n_chars")
 BINS = 24
@@ -160,7 +162,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = text_blocks(joined, block, f"doc_id {kind}, quality double, features array<int>, values array<float>",
-                        extra=("n_chars", "quality")).toArrow()
+                        extra=("n_chars", "quality"), block_bytes=BLOCK).toArrow()
     table = table.sort_by("doc_id")
     rows = [(np.asarray(f.values), np.asarray(v.values)) for f, v in zip(table["features"], table["values"])]
     return fit(rows, np.asarray(table["quality"].to_numpy()) >= .5)
@@ -184,7 +186,7 @@ def score_quality(docs: DataFrame, machine: Machine, threshold: float = .7) -> D
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return text_blocks(docs, block, f"doc_id {kind}, score double, predicted int",
-                       extra=(F.col("n_chars").cast("bigint").alias("n_chars"),))
+                       extra=(F.col("n_chars").cast("bigint").alias("n_chars"),), block_bytes=BLOCK)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -208,7 +210,7 @@ def keep_quality(docs: DataFrame, machine: Machine, threshold: float = .7) -> Da
             text = pc.fill_null(batch.column(text_at).cast(pa.binary()), b"")
             with_text = pa.RecordBatch.from_arrays(
                 [text, pa.array(np.arange(batch.num_rows)), batch.column(chars_at)], ["text", "row", "n_chars"])
-            for block in split(with_text, BLOCK_BYTES):
+            for block in split(with_text, BLOCK):
                 rows = features(block.column("text").to_pylist(), block.column("n_chars").to_pylist())
                 score = 1 / (1 + np.exp(-sent.value.raw(*rows, block.num_rows).astype(np.float64)))
                 yield batch.take(block.column("row").filter(pa.array(score >= threshold)))
