@@ -114,6 +114,16 @@ def _(spark, sf):
     return langid.lang_identify(docs, language_model(spark, sf)).select("doc_id", "predicted")
 
 
+@query("lang_identify_join", S.with_(MODEL, scored("documents", "doc_id", "text"))
+       + "SELECT CASE WHEN doc_id % 5 > 0 THEN doc_id // 3 END AS key, md5(text) AS digest, predicted FROM documents JOIN predicted USING (doc_id)")
+def _(spark, sf):
+    """A model joined by shuffle, with ids that are null or repeated."""
+    docs = documents(spark, sf).select(
+        F.when(F.col("doc_id") % 5 > 0, F.floor(F.col("doc_id") / 3)).alias("key"), F.md5("text").alias("digest"), "text")
+    found = langid.lang_identify(docs, language_model(spark, sf), "key", max_cells=0)
+    return found.select("key", "digest", "predicted")
+
+
 @query("top1_language", S.with_(MODEL, scored("conversations", "conv_id", "text").replace(
     "conv_id", "key").replace("FROM conversations", "FROM (SELECT conv_id * 1000000 + turn AS key, text FROM conversations)"))
     + "SELECT key, predicted FROM predicted")

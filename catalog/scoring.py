@@ -456,3 +456,20 @@ sized AS (SELECT d.*, CASE WHEN s.seeds > 0 AND u < 0.2 THEN floor(p * s.seeds):
 def _(spark, sf):
     draws = B.tasks(spark, sf).select("iteration", "seq")
     return G.seed_or_generate(draws, seeds(spark, sf), "item_id", seed=7).drop("seed_no")
+
+
+@query("seed_fallback", S.with_(S.TASKS, SEEDS, f"""
+sizes AS (SELECT type, max(seeds) AS seeds FROM numbered WHERE type <> 'abduction' GROUP BY type),
+drawn AS (SELECT iteration, seq, found, {S.draw_type(S.uniform("'type'", "'7'", "iteration", "seq"))} AS type,
+  {S.uniform("'seed'", "'7'", "iteration", "seq")} AS u, {S.uniform("'pick'", "'7'", "iteration", "seq")} AS p FROM tasks),
+sized AS (SELECT d.*, CASE WHEN s.seeds > 0 AND (u < 0.2 OR found IS NULL) THEN floor(p * s.seeds)::BIGINT END AS seed_no
+  FROM drawn d LEFT JOIN sizes s USING (type))""") + f"""
+  SELECT iteration, seq, s.type, s.seed_no IS NOT NULL AS from_seed, s.seed_no IS NULL AND found IS NULL AS is_placeholder,
+    coalesce(n.task, {S.short_task('found', 's.type')}, {S.placeholder_task('s.type')}) AS task
+  FROM sized s LEFT JOIN numbered n ON n.type = s.type AND n.seed_no = s.seed_no""")
+def _(spark, sf):
+    """Generations, some of them failed; one type has no seeds, so that its failures end as placeholders."""
+    draws = B.tasks(spark, sf).select("iteration", "seq", "found")
+    known = seeds(spark, sf).where("type <> 'abduction'")
+    return G.seed_or_generate(draws, known, "item_id", seed=7, generated="found").select(
+        "iteration", "seq", "type", "from_seed", "is_placeholder", "task")

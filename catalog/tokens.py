@@ -9,7 +9,7 @@ from textloom.functions import examples as E
 from textloom.functions import prompts as P
 from textloom.functions.text import blank_words
 from textloom.operators import chat, vocab
-from textloom.operators.batches import shard_batches
+from textloom.operators.batches import ROUNDS, epoch_batches, number_rows, shard_batches
 from textloom.operators.spread import spread
 from textloom.operators.storage import cut
 
@@ -247,6 +247,39 @@ def _(spark, sf):
     return batches(spark, sf, batch_size=16, world_size=3, shuffle=False)
 
 
+def permuted_sql(total: str, seed: int, epoch: int, bits: str, x: str) -> str:
+    """One step of the keyed bijection below 2^bits."""
+    out = x
+    for i in range(ROUNDS):
+        digest = f"md5('{seed}:{epoch}:{i}')"
+        factor = f"(('0x' || substr({digest}, 1, 5))::BIGINT | 1)"
+        summand = f"(('0x' || substr({digest}, 6, 10))::BIGINT % (1::BIGINT << {bits}))"
+        moved = f"(({out} * {factor} + {summand}) & ((1::BIGINT << {bits}) - 1))"
+        out = f"xor({moved}, {moved} >> (({bits} + 1) // 2))"
+    return out
+
+
+# Every number walks along its cycle until it is below n.
+EPOCHS = "WITH RECURSIVE sized AS (SELECT count(*) AS n, greatest(1, ceil(log2(count(*))))::BIGINT AS bits FROM documents),\n" + ",\n".join(f"""walk{e} AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS x, 0 AS step FROM documents
+  UNION ALL SELECT doc_id, {permuted_sql('n', 3, e, 'bits', 'x')}, step + 1 FROM walk{e}, sized WHERE step = 0 OR x >= n)""" for e in (1, 2)) + """
+  SELECT epoch, doc_id, pos, (pos % 3)::INTEGER AS rank, pos // 3 // 16 AS batch, (pos // 3 % 16)::INTEGER AS slot FROM (
+    SELECT 1 AS epoch, doc_id, arg_max(x, step) AS pos FROM walk1 GROUP BY doc_id UNION ALL SELECT 2, doc_id, arg_max(x, step) FROM walk2 GROUP BY doc_id)
+  WHERE pos // 3 // 16 < (SELECT (n + 2) // 3 FROM sized) // 16
+  UNION ALL SELECT epoch, doc_id, pos + n, ((pos + n) % 3)::INTEGER, (pos + n) // 3 // 16, ((pos + n) // 3 % 16)::INTEGER FROM (
+    SELECT 1 AS epoch, doc_id, arg_max(x, step) AS pos FROM walk1 GROUP BY doc_id UNION ALL SELECT 2, doc_id, arg_max(x, step) FROM walk2 GROUP BY doc_id), sized
+  WHERE pos + n < (n + 2) // 3 * 3 AND (pos + n) // 3 // 16 < (n + 2) // 3 // 16"""
+
+
+@query("epoch_batches", EPOCHS)
+def _(spark, sf):
+    """Two epochs over rows that are numbered once."""
+    numbered = number_rows(B.table(spark, sf, "documents").select("doc_id"), "doc_id")
+    total = numbered.count()
+    epochs = [epoch_batches(numbered, total, 16, 3, epoch, seed=3).withColumn("epoch", F.lit(epoch)) for epoch in (1, 2)]
+    return epochs[0].unionByName(epochs[1]).select("epoch", "doc_id", "pos", "rank", "batch", "slot")
+
+
 @query("chat_prompt", """WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id)
   SELECT l.conv_id, l.turn, string_agg(upper(c.role[1]) || lower(substr(c.role, 2)) || ': ' || c.text, chr(10) ORDER BY c.turn)
     || chr(10) || 'Assistant:' AS prompt

@@ -1,4 +1,5 @@
 """Positions, batches, gating, metrics and a scored run."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +7,7 @@ from textloom.functions import examples as E
 from textloom.operators import gating as G
 from textloom.operators import metrics as M
 from textloom.operators import vocab as T
-from textloom.operators.batches import shard_batches
+from textloom.operators.batches import epoch_batches, number_rows, permuted, shard_batches
 from textloom.operators.chat import chat_pairs, chat_prompt
 from textloom.operators.positions import with_position, with_running_totals
 from textloom.plans.selfplay import score_solutions, score_tasks
@@ -44,6 +45,28 @@ def test_batches(spark, n, world, size):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 9, 1000, 4097])
+def test_epochs_are_permutations(spark, n):
+    got = spark.range(n).select("id", *[permuted(F.col("id"), n, 5, e).alias(f"e{e}") for e in range(3)]).collect()
+    for e in range(3):
+        assert sorted(r[f"e{e}"] for r in got) == list(range(n))
+    if n > 100:
+        moved = [[r[f"e{e}"] for r in got] for e in range(3)]
+        assert moved[0] != moved[1] and abs(np.corrcoef(range(n), moved[0])[0, 1]) < .1
+        assert sum(b == a + 1 for a, b in zip(moved[0], moved[0][1:])) < n / 50
+
+
+def test_epochs_share_one_sort(spark):
+    numbered = number_rows(spark.range(100).withColumn("text", F.lit("x")), "id")
+    for epoch in (0, 1):
+        out = epoch_batches(numbered, 100, 4, 3, epoch)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        # Only the row counts of the partitions are brought together, never the rows.
+        assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning(_part") == plan.count("Exchange hashpartitioning")
+        assert sorted(out.groupBy("rank").count().collect()) == [(0, 32), (1, 32), (2, 32)]
+    assert epoch_batches(number_rows(spark.range(0), "id"), 0, 4, 2).count() == 0
+
+
 # --- vocabulary and examples
 
 VOCAB = {"<pad>": 0, "<bos>": 1, "<eos>": 2, "<unk>": 3, "this": 4, "is": 5, "a": 6, "test": 7, "big": 90}
@@ -173,6 +196,21 @@ def test_draws(spark):
     assert len(seeded) / (0.3 * 4000) == pytest.approx(0.2, abs=0.05)
 
 
+def test_failed_generations_fall_back_to_seeds(spark):
+    df = spark.range(600).select(F.lit(1).alias("iteration"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, "What is the sum of two and two here?").alias("made"))
+    seeds = spark.createDataFrame([("deduction", f"d{i}", i) for i in range(5)], "type string, task string, k int")
+    rows = G.seed_or_generate(df, seeds, "k", generated="made", hot_rows=30).collect()
+    assert len(rows) == 600 and {(r.from_seed, r.is_placeholder) for r in rows} == {(False, False), (True, False), (False, True)}
+    for r in rows:
+        if r.from_seed:
+            assert r.type == "deduction" and r.task == r.seed_task
+        elif r.made is None:
+            assert r.type != "deduction" and r.is_placeholder and r.task.startswith(f"Create a simple {r.type} reasoning problem")
+        else:
+            assert r.task == r.made and not r.is_placeholder
+    assert all(r.from_seed for r in rows if r.type == "deduction" and r.made is None)
+
+
 def test_metrics_of_nothing(spark):
     empty = checked(spark, []).withColumn("rewards", F.create_map(F.lit("total"), F.lit(0.0)))
     got = {r.metric: r.value for r in M.run_summary(empty, empty).collect()}

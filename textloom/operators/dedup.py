@@ -85,25 +85,34 @@ def lsh_candidates(
     )
 
 
+# Edges of one anchor that meet one copy of its words.
+EDGES_PER_PART = 1000
+
+
 def edge_similarity(
     edges: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    unicode: bool = False,
+    unicode: bool = False, edges_per_part: int = EDGES_PER_PART,
 ) -> DataFrame:
     """Exact Jaccard similarity of the word sets at both ends of each edge.
 
-    Only documents with an edge are read into word sets. Anchors may have very many
-    edges, so the edge count per anchor decides how it is joined; see ``join_per_key``.
+    Only documents with an edge are read into word sets. The words of an anchor are copied
+    to one part for every ``EDGES_PER_PART`` of its edges, which are dealt to these parts, so that no task gets
+    more of one anchor and no set of words, of whatever size, is broadcast.
     """
     edges = cut(edges)
     ends = edges.select(F.explode(F.array("src", "dst")).alias(id_col)).distinct()
     words = cut(spread(join_ids(df.select(id_col, text_col), ends, id_col, "left_semi"), id_col).select(
         F.col(id_col).alias("id"), shingle_words(F.col(text_col), unicode).alias("words")
     ))
-    degrees = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    left = words.join(degrees, words.id == degrees.src).select("src", "degree", F.col("words").alias("a"))
+    degrees = cut(edges.groupBy("src").agg(F.count("*").alias("degree")).withColumn(
+        "parts", F.ceil(F.col("degree") / edges_per_part).cast("bigint")))
+    left = words.join(degrees, words.id == degrees.src).select(
+        "src", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.col("words").alias("a"))
     right = words.select(F.col("id").alias("dst"), F.col("words").alias("b"))
+    dealt = join_per_key(edges, degrees, ["src"], "degree").select(
+        "src", "dst", F.pmod(F.xxhash64("dst"), F.col("parts")).alias("part"))
     return (
-        join_per_key(edges.join(right, "dst"), left, ["src"], "degree")
+        dealt.join(right.hint("merge"), "dst").join(left.hint("merge"), ["src", "part"])
         .select("src", "dst", jaccard(F.col("a"), F.col("b")).alias("jaccard"))
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.fixed_values import TASK_TYPE_WEIGHTS, TASK_TYPES
+from textloom.functions.prompts import expand_short_task, placeholder_task
 from textloom.operators.positions import with_position, with_running_totals
 from textloom.operators.skew import HOT_ROWS, join_per_key
 
@@ -92,19 +93,26 @@ def seed_or_generate(
     draws: DataFrame, seeds: DataFrame, seed_key: str, seed: int = 0,
     iteration: str = "iteration", seq: str = "seq", probability: float = 0.2,
     types: Sequence[str] = TASK_TYPES, weights: Sequence[float] = TASK_TYPE_WEIGHTS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS, generated: str | None = None,
 ) -> DataFrame:
     """Add ``type``, ``from_seed`` and ``seed_task`` to each draw.
 
     A seed task is used with the given probability where the type has any; which one is
     another draw. A seed task that very many draws pick is joined as a hot key.
+
+    ``generated`` names a column with the text a generation gave, null where it failed. A
+    failed one takes a seed task of the drawn type too, by the same draw, and where the type
+    has none a placeholder. Then ``task`` and ``is_placeholder`` are added as well.
     """
     keys = [F.lit(seed), F.col(iteration), F.col(seq)]
     numbered = numbered_seeds(seeds.where(F.col("type").isin(list(types))), seed_key)
     counts = numbered.groupBy("type").agg(F.max("seeds").alias("seeds"))
     drawn = draws.withColumn("type", draw_type(uniform(F.lit("type"), *keys), types, weights))
+    wanted = uniform(F.lit("seed"), *keys) < probability
+    if generated is not None:
+        wanted = wanted | F.col(generated).isNull()
     sized = drawn.join(F.broadcast(counts), "type", "left").withColumn("seed_no", F.when(
-        (F.col("seeds") > 0) & (uniform(F.lit("seed"), *keys) < probability),
+        (F.col("seeds") > 0) & wanted,
         F.floor(uniform(F.lit("pick"), *keys) * F.col("seeds")),
     )).drop("seeds")
     seeded = sized.where("seed_no is not null")
@@ -113,7 +121,12 @@ def seed_or_generate(
         draws_of, ["type", "seed_no"]
     )
     found = join_per_key(seeded, picked, ["type", "seed_no"], "draws", hot_rows=hot_rows)
-    generated = sized.where("seed_no is null").select(
+    others = sized.where("seed_no is null").select(
         "*", F.lit(None).cast("string").alias("seed_task"), F.lit(False).alias("from_seed")
     )
-    return found.drop("draws").withColumn("from_seed", F.lit(True)).unionByName(generated)
+    chosen = found.drop("draws").withColumn("from_seed", F.lit(True)).unionByName(others)
+    if generated is None:
+        return chosen
+    made = F.coalesce(F.col("seed_task"), expand_short_task(F.col(generated), F.col("type")))
+    return chosen.withColumn("task", F.coalesce(made, placeholder_task(F.col("type")))).withColumn(
+        "is_placeholder", ~F.col("from_seed") & F.col(generated).isNull())

@@ -151,16 +151,19 @@ def lang_identify(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_
     """Add the language of the highest score, the first by name on ties.
 
     A model of at most ``max_cells`` numbers travels to the workers, and texts are scored
-    where they are, without a shuffle. A larger one is joined by shuffle.
+    where they are, without a shuffle. A larger one is joined by shuffle under a row number of
+    its own, so that null and repeated ids are rows like any other. Both give the same languages.
     """
     bases = language_bases(model)
     gains = _gains(model, bases)
     rows = gains.limit(max_cells // max(1, len(bases)) + 1).toArrow()
     if len(rows) * len(bases) <= max_cells:
         return df.withColumn(out_col, _predictor(rows, bases)(_padded_letters(F.col(text_col))))
-    scores, languages = lang_scores(df, model, id_col, text_col)
-    found = top1_language(scores, languages, id_col).withColumnRenamed("predicted", out_col)
-    return df.join(found, id_col, "left")
+    # Stored, so that the numbers stay with their rows.
+    rows = cut(spread(df.drop(out_col), id_col).withColumn("_row", F.monotonically_increasing_id()))
+    scores, languages = lang_scores(rows, model, "_row", text_col)
+    found = top1_language(scores, languages, "_row").withColumnRenamed("predicted", out_col)
+    return rows.join(found, "_row", "left").drop("_row")
 
 
 def filter_language(df: DataFrame, lang: Column, whitelist: list[str]) -> DataFrame:
