@@ -258,28 +258,32 @@ def _(spark, sf):
                       F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "label")
 
 
+# Every id of the vocabulary, and so every id that a list may give, is below this.
+MODEL_SIZE = "(SELECT max(id) + 1 FROM vocab)"
+
+
 def _given(value: str) -> str:
-    return f"CASE WHEN {value} < {tokens.SHORT_MODEL} THEN {value} ELSE 3 END"
+    return f"CASE WHEN {value} < {MODEL_SIZE} THEN {value} ELSE 3 END"
 
 
 def _word_id(word: str) -> str:
-    return (f"(SELECT coalesce(max(CASE WHEN id < {tokens.SHORT_MODEL} THEN id END), 3) FROM vocab"
-            f" WHERE token = '{word}')")
+    return f"(SELECT coalesce(max(id), 3) FROM vocab WHERE token = '{word}')"
 
 
-@query("pretrain_from_json", tokens.SHORT_IDS + f"""SELECT doc_id, array_to_string(x, ' ') AS input_ids,
+@query("pretrain_from_json", tokens.DOC_IDS + f"""SELECT doc_id, array_to_string(x, ' ') AS input_ids,
   array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 END), ' ') AS attention_mask,
   array_to_string(list_transform(x, lambda i: CASE WHEN i = 0 THEN -100 ELSE i END), ' ') AS labels
   FROM (SELECT doc_id, {tokens.padded(f'given[1:{tokens.MAX_LENGTH}]')} AS x FROM (
-    SELECT doc_id, CASE WHEN h IN ('5', '7', '9') THEN []::BIGINT[] WHEN h = '3' THEN [{_given('doc_id')}, 7::BIGINT]
-      WHEN h = '6' THEN [{_given('doc_id')}, {_word_id('7')}, {_word_id('of')}, 4::BIGINT] ELSE ids END AS given
+    SELECT doc_id, CASE WHEN h IN ('5', '7', '9') THEN []::BIGINT[] WHEN h = '3' THEN [{_given('doc_id')}, {_given('7')}]
+      WHEN h = '6' THEN [{_given('doc_id')}, {_word_id('7')}, {_word_id('of')}, {_given('4')}] ELSE ids END AS given
     FROM (SELECT doc_id, {JSON_TEXT} AS h FROM documents) JOIN ids USING (doc_id) WHERE h NOT IN ('0', '1', '4', 'b')))""")
 def _(spark, sf):
-    # Lines to examples: words are looked up, integers of a list are ids already.
+    """Lines to examples with every word of the documents; integers of a list are ids already."""
     rows = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
-    words = tokens.corpus_vocab(spark, sf, tokens.SHORT_VOCAB)
-    found = vocab.token_ids(rows, F.col("tokens"), words, "found", model_size=tokens.SHORT_MODEL)
-    ids = vocab.with_given_ids(F.col("found"), F.col("ids"), tokens.SHORT_MODEL)
+    words = cut(tokens.corpus_vocab(spark, sf))
+    size = vocab.vocab_size(words).first()["size"]
+    found = vocab.token_ids(rows, F.col("tokens"), words, "found")
+    ids = vocab.with_given_ids(F.col("found"), F.col("ids"), size)
     ids = F.coalesce(ids, F.array().cast("array<int>"))
     return tokens.flat_example(found.select("doc_id", pretrain_example(ids, tokens.MAX_LENGTH).alias("x")), "doc_id")
 
@@ -321,11 +325,13 @@ def _(spark, sf):
 # --- sinks -----------------------------------------------------------------------------
 
 
-@query("sink_tokens", f"SELECT doc_id, len({S.words('text')})::INTEGER AS n FROM documents")
+@query("sink_tokens", tokens.DOC_IDS + "SELECT doc_id, array_to_string(ids, ' ') AS input_ids FROM ids")
 def _(spark, sf):
-    tokens = B.table(spark, sf, "documents").select("doc_id", blank_words(F.col("text")).alias("input_ids"))
-    path = written(spark, tokens, "tokens", sinks.sink_tokens)
-    return spark.read.parquet(path).select("doc_id", F.size("input_ids").alias("n"))
+    """Ids of whole texts written and read back, compared by value."""
+    ids = tokens.doc_ids(spark, sf).withColumnRenamed("ids", "input_ids")
+    path = written(spark, ids, "tokens", sinks.sink_tokens)
+    return spark.read.schema("doc_id bigint, input_ids array<int>").parquet(path).select(
+        "doc_id", tokens.joined(F.col("input_ids")).alias("input_ids"))
 
 
 @query("sink_task_records", S.with_(S.TASKS, S.VALIDATED_TASKS, S.ACCEPTED_TASKS)

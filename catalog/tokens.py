@@ -1,6 +1,8 @@
 """Queries over vocabularies, token ids, examples, batches and chat prompts."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import base as B
@@ -11,7 +13,9 @@ from textloom.functions.text import blank_words
 from textloom.operators import chat, vocab
 from textloom.operators.batches import ROUNDS, epoch_batches, number_rows, shard_batches
 from textloom.operators.spread import spread
-from textloom.operators.storage import cut
+from textloom.operators.storage import cut, shared_dir
+from textloom.sources.files import file_system
+from textloom.sources.vocab_file import scan_vocab_file
 
 QUERIES, ORACLE = {}, {}
 # The length examples are cut to by default; the short sizes serve the queries about cuts.
@@ -74,14 +78,39 @@ def _(spark, sf):
     return corpus_vocab(spark, sf).select("token", F.col("id").cast("long").alias("id"))
 
 
-@query("scan_vocab", S.with_(SMALL_VOCAB) + "SELECT token, id, 'list' AS form FROM vocab UNION ALL SELECT token, id * 2, 'map' FROM vocab")
+def write_vocab(words, path, listed):
+    """(token, id) rows with ids from 0 on as one JSON file, written as a stream in the order of ids."""
+    def put(batches):
+        import json
+
+        import pandas as pd
+
+        filesystem, place = file_system(path)
+        with filesystem.open_output_stream(place, compression=None) as out:
+            out.write(b'{"note": "all words", "tokens": [' if listed else b"{")
+            mark = ""
+            for batch in batches:
+                items = [json.dumps(t) if listed else f"{json.dumps(t)}: {i}" for t, i in zip(batch["token"], batch["id"])]
+                if items:
+                    out.write((mark + ", ".join(items)).encode())
+                    mark = ", "
+            out.write(b"]}" if listed else b"}")
+        yield pd.DataFrame({"path": [path]})
+
+    words.repartition(1).sortWithinPartitions("id").mapInPandas(put, "path string").collect()
+
+
+@query("scan_vocab", S.with_(VOCAB) + "SELECT token, id, 'list' AS form FROM vocab UNION ALL SELECT token, id * 2, 'map' FROM vocab")
 def _(spark, sf):
-    # A vocabulary file is one JSON value, so this one holds the most frequent words only.
-    words = cut(corpus_vocab(spark, sf, SHORT_VOCAB))
-    listed = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("tokens"))
-    mapped = words.agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("id") * 2))).alias("m"))
-    return vocab.scan_vocab(listed.select(F.to_json(F.struct("tokens")).alias("value"))).withColumn("form", F.lit("list")).unionByName(
-        vocab.scan_vocab(mapped.select(F.to_json("m").alias("value"))).withColumn("form", F.lit("map")))
+    """Two files that hold every word of the documents."""
+    words = cut(corpus_vocab(spark, sf).select("token", F.col("id").cast("bigint").alias("id")))
+    root = shared_dir(spark).rstrip("/")
+    found = []
+    for form in ("list", "map"):
+        path = f"{root}/vocab-{uuid.uuid4().hex}.json"
+        write_vocab(words if form == "list" else words.withColumn("id", F.col("id") * 2), path, form == "list")
+        found.append(scan_vocab_file(spark, path).withColumn("form", F.lit(form)))
+    return found[0].unionByName(found[1])
 
 
 @query("vocab_size", S.with_(VOCAB) + """SELECT max(id) + 1 AS size, 0::BIGINT AS not_integer, 0::BIGINT AS negative,

@@ -1,6 +1,7 @@
 """Files in and out, and the corpus stages over generated archives."""
 import gzip
 import io
+import json
 import struct
 import zlib
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from textloom.operators.langid import filter_language, lang_identify, train_language_model
 from textloom.plans import corpus
 from textloom.plans.ledger import committed, run_once
+from textloom.sources.vocab_file import scan_vocab_file, vocab_rows
 from textloom.sources import images, jsonl, manifest, sinks, subword, warc
 
 
@@ -198,6 +200,34 @@ def test_sft_and_seed_lines(spark):
     assert [tuple(r) for r in jsonl.scan_seed_tasks(lines(spark, texts)).collect()] == [("induction", "t")]
 
 
+# --- vocabulary files
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_vocabulary_in_pieces(chunk):
+    def rows(text):
+        return [(t, i) for _, _, t, i in vocab_rows(io.BytesIO(text.encode()), chunk) if t is not None]
+
+    assert rows('{"tokens": ["a", "é\\n\\u00e9", "日本", "a"] , "n": 12345}') == [("a", 0), ("é\né", 1), ("日本", 2), ("a", 3), ("n", 12345)]
+    assert rows(' { "a" : 0 , "b" :12,"c": "5", "d": 1.5, "e": [1, {"x": 2}], "f": true} ') == [
+        ("a", 0), ("b", 12), ("c", None), ("d", None), ("e", None), ("f", None)]
+    assert rows("{}") == rows('{"tokens": []}') == []
+    for bad in ('{"a": 1', '["a"]', '{"a": 1} x', '{"tokens": ["a"', "", '{"a" 1}'):
+        with pytest.raises(ValueError):
+            rows(bad)
+
+
+def test_vocabulary_files(spark, tmp_path):
+    def scan(text):
+        (tmp_path / "v.json").write_text(text)
+        return {r.token: r.id for r in scan_vocab_file(spark, str(tmp_path / "v.json")).collect()}
+
+    assert scan('{"x": 9, "tokens": ["a", "b", "a"], "y": 3}') == {"a": 2, "b": 1}
+    assert scan('{"a": 1, "b": 7, "a": 3, "tokens": 5}') == {"a": 3, "b": 7, "tokens": 5}
+    assert scan('{"tokens": [], "a": 1}') == {} == scan("{}")
+    many = {f"w{i}": i for i in range(70_000)}
+    assert scan(json.dumps(many)) == many
+
+
 # --- images
 
 
