@@ -103,6 +103,17 @@ def language_model(spark, sf):
     return cut(langid.train_language_model(B.table(spark, sf, "documents")))
 
 
+# References of every kind and elements without text, put behind every paragraph mark.
+DRESS = "<p>&mdash;&eacute;&#8212;&#x20AC;&unknown; <noscript>n&hellip;</noscript><template><i>gone</i></template>"
+DRESSED_TEXT = page_text("replace(html, '<p>', '<p>\u2014\xe9\u2014\u20ac&unknown <b>n\u2026</b>')")
+
+
+@query("html_to_text_references", f"SELECT page_id, {DRESSED_TEXT} AS text FROM pages")
+def _(spark, sf):
+    pages = spread(B.table(spark, sf, "pages").select("page_id", F.replace("html", F.lit("<p>"), F.lit(DRESS)).alias("html")), "page_id")
+    return H.html_to_text(pages, "html").select("page_id", "text")
+
+
 @query("train_language_model", S.with_(MODEL) + "SELECT lang, gram, gain + base AS logp FROM gains JOIN bases USING (lang)")
 def _(spark, sf):
     return langid.train_language_model(B.table(spark, sf, "documents")).where("gram is not null")

@@ -62,6 +62,12 @@ HTML = {
     "line one\n  line two <br>three": "line one\n  line two\nthree",
     "<template>t</template>u<ruby>v<rt>w</rt></ruby>": "u\nv",
     "<navx>kept</navx>": "kept",
+    "caf&eacute; &mdash; &#8364;&#x20ac; &#128; &#65a &#; &copy. &notit; &amp;lt; &lt&gt;": "caf\xe9 \u2014 \u20ac\u20ac \u20ac &#65a &#; &copy. &notit & lt;".replace("& lt;", "&lt; <>"),
+    "&#0; &#xD800; &#x110000; &#99999999999; &#1; &#x1F600; &NotEqualTilde;.": "\ufffd \ufffd \ufffd \ufffd  \U0001F600 \u2242\u0338.",
+    "<noscript>seen<p>too</noscript>!<template><p>t</p></template>": "seen\ntoo\n!",
+    "x<ruby>v<rp>(</rp><rt>w</rt><rp>)</rp></ruby>": "x\nv",
+    "<template><template>a</template>b</template>c": "c",
+    "tail &eacute": "tail &eacute",
     "<div><nav></div>x</nav>y": "x\ny",
     "<nav><script>'</div>'</script><!-- </p> --></nav>y": "y",
 }
@@ -88,5 +94,16 @@ def test_html_engines_agree(spark):
     assert pages.where(hard).count() < 0.1 * pages.count()
 
 
+def test_references_and_silent_elements_need_no_parser(spark):
+    """Pages dressed with references of every kind and with elements no page shows."""
+    dress = "<p>&mdash;&eacute;&nbsp;&#8212;&#x20AC;&unknown; <noscript>n&hellip;</noscript><template><i>gone</i></template>"
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select(F.replace("html", F.lit("<p>"), F.lit(dress)).alias("html"))
+    both = H.html_to_text(H.html_to_text(pages, "html", "a", "auto"), "html", "p", "parser")
+    assert both.where("a <> p").count() == 0 and both.where("contains(a, '\u2026')").count() > 100
+    blocked = H.without_blocks(F.col("html"))
+    hard = H.needs_parser(F.col("html"), blocked, F.regexp_replace(blocked, H.TAGS, H.MARK))
+    assert pages.where(hard).count() < 0.05 * pages.count()
+
+
 def test_null_page_is_null(spark):
     assert texts(spark, [None, "<p>a"], "auto") == [None, "a"]
