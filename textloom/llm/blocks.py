@@ -49,8 +49,21 @@ def split(batch: pa.RecordBatch, block_bytes: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+# Spark then removes the shuffle files of a query when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet below the shared folder and read back; cuts the lineage."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows written as Parquet below the shared folder and read back; cuts the lineage.
+
+    What the write shuffled is removed once the table is there, since nothing reads it again.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
