@@ -27,6 +27,7 @@ def edge_rows() -> list[tuple]:
         (16, "x\n\n\n\n\n\ny"), (17, words(8, 40)), (17, words(8, 40)), (18, words(9, 40)), (18, words(10, 40)), (None, words(11, 40)),
         (None, None), (19, "don't  stop   at 12,345.67 !!! 　 \x1c x\x85y 日本語テキスト " + "z" * 700 + " " + "\U0001F600" * 5),
         (20, "a" * 3000 + "b" * 500), (21, "### spam $$$ ### buy $$$ ### spam $$$"),
+        (22, "a <|endoftext|> b<|startoftext|>"),
     ]
     return rows
 

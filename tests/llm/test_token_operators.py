@@ -29,7 +29,6 @@ WORDS, RANKS = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
 
@@ -45,19 +44,26 @@ def reference(ranks):
 
 # --- subwords and token files --------------------------------------------------------------
 
+@pytest.fixture(scope="module")
+def encoders():
+    """Per switch: the library as it is or with marks as text, and encoders that remember 0 to 3 chunks."""
+    out = {}
+    for as_text in (False, True):
+        t = Tokenizer.from_file(WORDS)
+        if as_text:
+            t.encode_special_tokens = True
+        out[as_text] = t, [SubwordEncoder(WORDS, None, n, special_as_text=as_text) for n in range(4)]
+    return out
+
+
 @settings(max_examples=150, deadline=None)
-@given(st.text(max_size=60), st.integers(0, 3))
-def test_chunks_give_the_ids_of_whole_texts(text, remembered):
-    t = Tokenizer.from_file(WORDS) if not hasattr(test_chunks_give_the_ids_of_whole_texts, "t") else None
-    own = SubwordEncoder(WORDS, None, remembered) if t else test_chunks_give_the_ids_of_whole_texts.own
-    if t:
-        t.encode_special_tokens = True
-        test_chunks_give_the_ids_of_whole_texts.t, test_chunks_give_the_ids_of_whole_texts.own = t, own
-    t = test_chunks_give_the_ids_of_whole_texts.t
-    text = text + " <|endoftext|>"
-    flat, starts = own.encode(pa.array([b"", text.encode("utf-8", "replace"), b"x"]))
-    got = flat[starts[1]:starts[2]].tolist()
-    assert got == t.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+@given(st.text(max_size=60), st.integers(0, 3), st.booleans(), st.sampled_from(["", " <|endoftext|>", "<|startoftext|>x", "<|ENDOFTEXT|>", "<|"]))
+def test_chunks_give_the_ids_of_whole_texts(encoders, text, remembered, as_text, mark):
+    library, own = encoders[as_text]
+    text = (text + mark).encode("utf-8", "replace")
+    flat, starts = own[remembered].encode(pa.array([b"", text, b"x"]))
+    assert flat[starts[1]:starts[2]].tolist() == library.encode(text.decode(), add_special_tokens=False).ids
+    assert flat[starts[2]:starts[3]].tolist() == library.encode("x", add_special_tokens=False).ids
 
 
 def test_token_files_round_trip(spark, edges, library, tmp_path):

@@ -26,13 +26,21 @@ class SubwordEncoder:
 
     Such tokenizers (white space is dropped before words are split) give a text the ids of
     its chunks between spaces and line ends, one after the other; a chunk is therefore
-    encoded once and then looked up. Strings of special tokens are ordinary text.
+    encoded once and then looked up. Texts that hold the string of an added token are
+    given to the library whole, which finds these tokens first; with ``special_as_text``
+    such strings are ordinary text.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, remembered: int = REMEMBERED):
+    def __init__(self, path: str, end_id: int | None = None, remembered: int = REMEMBERED, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        # Added tokens, in lower case where the library looks for them in normalised text.
+        added = [] if special_as_text else list(self._tokenizer.get_added_tokens_decoder().values())
+        self._added = [a.content for a in added]
+        self._folded = any(a.normalized for a in added)
+        self._prefix = os.path.commonprefix(self._added).encode()
+        self._whole = Tokenizer.from_file(path)
         self._end = end_id
         # Remembered chunks, and where the ids of each begin and end in the pool.
         self._known = pa.array([""], pa.large_string())
@@ -46,7 +54,29 @@ class SubwordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, where each text starts); an end id closes each text."""
-        lists = pc.split_pattern(_simpler(valid_utf8(texts)), " ")
+        texts = valid_utf8(texts)
+        marked = self._with_added_tokens(texts)
+        if not len(marked):
+            return self._encode(texts)
+        flat, starts = self._encode(pc.if_else(pa.array(np.isin(np.arange(len(texts)), marked)), "", texts))
+        parts = np.split(flat, starts[1:-1])
+        for i in marked:
+            ids = self._whole.encode(texts[i].as_py(), add_special_tokens=False).ids
+            parts[i] = np.array(ids + ([] if self._end is None else [self._end]), flat.dtype)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _with_added_tokens(self, texts: pa.Array) -> np.ndarray:
+        """The texts that hold the string of an added token; mostly one search over all bytes finds none."""
+        buffer = texts.buffers()[2]
+        if not self._added or buffer is None or (not self._folded and memoryview(buffer).tobytes().find(self._prefix) < 0):
+            return np.empty(0, np.int64)
+        found = np.zeros(len(texts), bool)
+        for token in self._added:
+            found |= pc.match_substring(texts, token, ignore_case=self._folded).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(found)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(_simpler(texts), " ")
         coded = lists.values.dictionary_encode()
         place = pc.index_in(coded.dictionary, value_set=self._known)
         new = coded.dictionary.filter(place.is_null())
