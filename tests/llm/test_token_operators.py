@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from tests.llm.conftest import edge_rows
 from textloom.llm import queries
 from textloom.llm.byte_bpe import (
-    RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, load_ranks, merge_long,
+    RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, frequent_words, load_ranks, merge_long, word_counts,
 )
 from textloom.llm.packing import Packer, PackLimits, id_array, pack_documents
 from textloom.llm.subwords import SubwordEncoder
@@ -194,6 +194,21 @@ def test_bpe_query(spark, sf, texts, reference):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_decoded_beside_the_ids(spark):
+    docs = spark.createDataFrame([(1, "some text"), (1, "some text"), (None, ""), (2, None), (3, "a" * 300)], "doc_id long, text string")
+    rows = decode_bpe(encode_bpe(docs, RANKS, P.PATTERN, decoded="both"), RANKS, out="again").collect()
+    assert len(rows) == 5 and all(r.both == r.again for r in rows)
+    assert sorted(bytes(r.both).decode() for r in rows) == sorted(r.text or "" for r in docs.collect())
+
+
+def test_frequent_words_by_classes_of_counts(spark):
+    docs = spark.createDataFrame([(1, " b b b c c d e"), (2, " b c f")], "doc_id long, text string")
+    counted = word_counts(docs, P.PATTERN)
+    assert {bytes(r.word): r.n for r in counted.collect()} == {b" b": 4, b" c": 3, b" d": 1, b" e": 1, b" f": 1}
+    for limit, found in ((0, 0), (1, 1), (2, 2), (4, 2), (5, 5)):
+        assert frequent_words(counted, limit).count() == found
+
+
 def test_bpe_of_an_empty_table(empty):
     assert decode_bpe(encode_bpe(empty, RANKS, P.PATTERN), RANKS).count() == 0
 

@@ -23,7 +23,9 @@ from textloom.llm.token_files import id_lists
 
 # Words of the dictionary that every task holds; the most frequent ones. At most so many
 # entries and so many bytes of words, which bounds the broadcast for any corpus.
-DICTIONARY_WORDS, DICTIONARY_BYTES = 250_000, 32 << 20
+DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 32 << 20
+# Words are ranked by classes of their count, so many to each doubling.
+COUNT_CLASSES = 64
 # Texts of one block: its distinct words outside the dictionary are encoded once.
 BLOCK = 6 << 20
 # Longer words (no language has them) are merged with a heap, as a fold takes quadratic time.
@@ -77,16 +79,16 @@ class RankMap:
         self.slots = slots
 
     def lookup(self, slots: Column, shift: Column) -> Callable[[Column, Column], Column]:
-        """A function of two token ids: the rank of their pair, or a number of ``size`` or more.
+        """A function of two token ids: the rank of their pair, or ``size`` for no pair or no token.
 
         A slot less its key times size is the rank where the key is the pair's own; any other
         difference is negative or too large, and without its sign bit always too large.
         """
-        def rank(a: Column, b: Column) -> Column:
-            key = a * self.size + b
+        def at(key: Column) -> Column:
             slot = (key % self.p2 + F.get(shift, (key % self.p1).cast("int"))) % self.p2
-            return (F.get(slots, slot.cast("int")) - key * self.size).bitwiseAND(F.lit(2**63 - 1))
-        return rank
+            found = (F.get(slots, slot.cast("int")) - key * self.size).bitwiseAND(F.lit(2**63 - 1))
+            return F.least(found, F.lit(self.size).cast("bigint"))  # ignores null
+        return lambda a, b: let(a * self.size + b, at)
 
 
 def _prime(n: int) -> int:
@@ -100,12 +102,17 @@ def _literal(values: np.ndarray) -> Column:
     return F.from_json(F.lit(json.dumps(values.tolist())), "array<bigint>")
 
 
+# One token of the fold's state: the rank of the pair it begins, its place in the word and its id,
+# 20 bits each (one more for the rank of no pair). The least number is the leftmost pair of least rank.
+_ID = _PLACE = 1 << 20
+
+
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Token ids of a word given as an array of byte values.
+    """Token ids of a word given as an array of byte values (at most a million).
 
-    The state holds the tokens and the rank of each adjacent pair. Each step merges the
-    leftmost pair of least rank and looks up the two pairs that it makes new; after the
-    last merge the state stays as it is.
+    The state is one array with a number per token. Each step merges the leftmost pair of
+    least rank and looks up the two pairs that it makes new; after the last merge the state
+    stays as it is.
     """
     # Bound outside the fold, so that the plan holds each array once.
     return let(_literal(ranks.slots), lambda slots: let(_literal(ranks.shift), lambda shift: _folded(
@@ -114,26 +121,36 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
 
 def _folded(word: Column, ranks: RankMap, rank: Callable[[Column, Column], Column]) -> Column:
     none = F.array().cast("array<bigint>")
-    start = F.transform(word, lambda b: F.get(F.from_json(F.lit(json.dumps(ranks.bytes)), "array<bigint>"), b.cast("int")))
-
-    def next_state(state: Column, _: Column) -> Column:
-        t, r = state["t"], state["r"]
-
-        def merge(p: Column) -> Column:
-            best = F.get(r, p - 1)
-            left = F.when(p > 1, F.array(rank(F.get(t, p - 2), best))).otherwise(none)
-            right = F.when(p < F.size(r), F.array(rank(best, F.get(t, p + 1)))).otherwise(none)
-            return F.when(best >= ranks.size, state).otherwise(F.struct(
-                F.concat(F.slice(t, 1, p - 1), F.array(best), F.slice(t, p + 2, F.size(t))).alias("t"),
-                F.concat(F.slice(r, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(r, p + 2, F.size(t))).alias("r"),
-            ))
-        return F.when(F.size(r) == 0, state).otherwise(let(F.array_position(r, F.array_min(r)).cast("int"), merge))
+    ids = F.from_json(F.lit(json.dumps(ranks.bytes)), "array<bigint>")
+    last = ranks.size * _PLACE * _ID  # from here on no pair
+
+    def token(state: Column) -> Column:
+        return state.bitwiseAND(F.lit(_ID - 1))
+
+    def paired(found: Column, place_and_id: Column) -> Column:
+        return found * (_PLACE * _ID) + place_and_id
+
+    def step(state: Column, _: Column) -> Column:
+        def merge(least: Column) -> Column:
+            new = F.shiftright(least, 40)
+            place = least.bitwiseAND(F.lit((_PLACE - 1) * _ID))
+
+            def at(p: Column) -> Column:
+                left = F.get(state, p - 2)
+                return F.concat(
+                    F.slice(state, 1, F.greatest(p - 2, F.lit(0))),
+                    F.when(p > 1, F.array(paired(rank(token(left), new), left.bitwiseAND(F.lit(_PLACE * _ID - 1))))).otherwise(none),
+                    F.array(paired(rank(new, token(F.get(state, p + 1))), place + new)),
+                    F.slice(state, p + 2, F.size(state)),
+                )
+            return F.when(least >= last, state).otherwise(let(F.array_position(state, least).cast("int"), at))
+        return let(F.array_min(state), merge)
 
     def fold(t: Column) -> Column:
-        pairs = F.zip_with(F.slice(t, 1, F.size(t) - 1), F.slice(t, 2, F.size(t)), rank)
-        state = F.struct(t.alias("t"), pairs.alias("r"))
-        return F.aggregate(F.sequence(F.lit(2), F.size(t)), state, next_state, lambda s: s["t"])
+        start = F.transform(t, lambda x, i: paired(rank(x, F.get(t, i + 1)), i.cast("bigint") * _ID + x))
+        return F.aggregate(F.sequence(F.lit(2), F.size(t)), start, step, lambda s: F.transform(s, token))
 
+    start = F.transform(word, lambda b: F.get(ids, b.cast("int")))
     return let(start, lambda t: F.when(F.size(t) < 2, t).otherwise(fold(t))).cast("array<int>")
 
 
@@ -206,19 +223,15 @@ def _byte_lists(words: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
 
 
-def frequent_words(docs: DataFrame, pattern: str, words: int, text_col: str) -> DataFrame:
-    """(word): the most frequent words, by counts summed over blocks of texts.
-
-    A block leaves out chunks it holds once; that only makes rare words rarer.
-    """
+def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
+    """(word, n): how often each word of at most ``FOLD_BYTES`` bytes occurs, summed over blocks of texts."""
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = WordSplitter(pattern)
         for batch in batches:
             for block in split(batch, BLOCK):
                 found = splitter.chunk_lists(block.column("text")).values.value_counts()
-                often = found.filter(pc.greater(found.field("counts"), 1))
                 per_word = Counter()
-                for chunk, n in zip(often.field("values").to_pylist(), often.field("counts").to_pylist()):
+                for chunk, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
                     for word in splitter.words(chunk):
                         per_word[word] += n
                 kept = [(w, n) for w, n in per_word.items() if len(w) <= FOLD_BYTES]
@@ -226,8 +239,53 @@ def frequent_words(docs: DataFrame, pattern: str, words: int, text_col: str) ->
                     [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
     given = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    sums = given.mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return sums.orderBy(F.desc("n"), "word").limit(words).select("word")
+    return given.mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def frequent_words(counted: DataFrame, words: int) -> DataFrame:
+    """(word): the words of the highest classes of counts, as many classes as hold at most ``words`` words.
+
+    Only the sizes of the classes reach the driver, a few thousand numbers for any corpus.
+    """
+    level = F.floor(F.log2("n") * COUNT_CLASSES)
+    least = total = None
+    for row in sorted(counted.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total = (total or 0) + row["count"]
+        if total > words:
+            break
+        least = row["level"]
+    return counted.where(level >= least if least is not None else F.lit(False)).select("word")
+
+
+class Dictionary:
+    """Encoded words as flat buffers: looked up in Arrow, without an object per word."""
+
+    def __init__(self, table: pa.Table):
+        """From (word, ids); the words beyond ``DICTIONARY_BYTES`` are left out."""
+        table = table.combine_chunks()
+        size = np.cumsum(pc.binary_length(table.column("word")).to_numpy())
+        table = table.slice(0, int(np.searchsorted(size, DICTIONARY_BYTES, "right")))
+        self.words = pa.concat_arrays([pa.array([], pa.binary()), *table.column("word").chunks])
+        ids = table.column("ids")
+        self.sizes = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.ids = pc.list_flatten(ids).to_numpy().astype(np.int32)
+
+    def known(self, words: list[bytes], others: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, 0 for unknown ones; the ids of the known ones in a row).
+
+        ``others`` holds the ids of words known without the dictionary, by their place.
+        """
+        at = pc.index_in(pa.array(words, pa.binary()), value_set=self.words).fill_null(-1).to_numpy()
+        sizes, begins = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        found = at >= 0
+        sizes[found], begins[found] = self.sizes[at[found]], self.begins[at[found]]
+        pool = self.ids
+        if others:
+            places, lengths = list(others), np.array(list(map(len, others.values())), np.int64)
+            sizes[places], begins[places] = lengths, len(pool) + np.cumsum(lengths) - lengths
+            pool = np.concatenate([pool, np.array(list(chain.from_iterable(others.values())), np.int32)])
+        return sizes, gathered(pool, begins[sizes > 0], sizes[sizes > 0], np.array([], np.int64))[0]
 
 
 # One block of texts between its two passes: which words each chunk has and which chunks each text
@@ -238,16 +296,19 @@ _CODED = ("id array<{kind}>, texts binary, chunks binary, chunk_words binary, wo
 
 def encode_bpe(
     docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-    dictionary_words: int = DICTIONARY_WORDS,
+    dictionary_words: int = DICTIONARY_WORDS, decoded: str | None = None,
 ) -> DataFrame:
     """(doc_id, ids): byte-level BPE ids of every whole text, one row per row of ``docs``.
 
-    1. Frequent distinct words are counted, encoded by ``fold_merges`` and broadcast, up
-       to ``dictionary_words`` entries and 32 MB, whatever the corpus.
+    1. Distinct words are counted; the frequent ones are encoded by ``fold_merges`` and broadcast,
+       up to ``dictionary_words`` entries and 32 MB, whatever the corpus.
     2. Each block of texts becomes one row: its distinct words as positions, those outside
        the dictionary as bytes, which the same fold encodes.
     3. Each text takes the ids of its words in order. No text and no occurrence is shuffled.
 
+    With ``decoded`` a column of that name holds the bytes of the ids, as ``decode_bpe`` gives
+    them, without a further Python pass.
+
     A null or empty text has no ids. Bytes that are not UTF-8 count as U+FFFD. Null ids stay
     null, repeated rows give repeated results, an empty table gives no rows, other
     columns are not read.
@@ -255,16 +316,13 @@ def encode_bpe(
     spark = docs.sparkSession
     ranks = load_ranks(rank_file)
     rank_map = RankMap(ranks)
-    frequent = stored(frequent_words(docs, pattern, dictionary_words, text_col), "words")
+    frequent = frequent_words(stored(word_counts(docs, pattern, text_col), "words"), dictionary_words)
     as_bytes = frequent.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays(
             [b.column(0), _byte_lists(b.column(0).to_pylist())], ["word", "bytes"]) for b in batches),
         "word binary, bytes array<smallint>")
-    table = as_bytes.select("word", fold_merges(F.col("bytes"), rank_map).alias("ids")).toArrow()
-    size = np.cumsum(pc.binary_length(table.column("word")).to_numpy())
-    table = table.slice(0, int(np.searchsorted(size, DICTIONARY_BYTES, "right")))
-    sent = spark.sparkContext.broadcast({w: np.array(ids, "<u4").tobytes() for w, ids in zip(
-        table.column("word").to_pylist(), table.column("ids").to_pylist())})
+    sent = spark.sparkContext.broadcast(Dictionary(as_bytes.select("word", fold_merges(F.col("bytes"), rank_map).alias("ids")).toArrow()))
+    pieces = token_pieces(ranks) if decoded else None
     kind = docs.schema[id_col].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +333,15 @@ def encode_bpe(
                 coded = lists.values.dictionary_encode()
                 of_chunk = list(map(splitter.words, coded.dictionary.to_pylist()))
                 place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(of_chunk)))}
-                found = [dictionary.get(w) or (merge_long_bytes(w, ranks) if len(w) > FOLD_BYTES else b"") for w in place]
+                words = list(place)
+                sizes, known = dictionary.known(words, {i: merge_long(w, ranks) for i, w in enumerate(words) if len(w) > FOLD_BYTES})
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block.column("id").to_pylist()], pa.list_(block.column("id").type)),
                     *[pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in (
                         np.diff(lists.offsets.to_numpy()), coded.indices.to_numpy(), list(map(len, of_chunk)),
-                        [place[w] for ws in of_chunk for w in ws], [len(f) // 4 for f in found])],
-                    pa.array([b"".join(found)], pa.binary()),
-                    _one(_byte_lists([w for w, f in zip(place, found) if not f])),
+                        [place[w] for ws in of_chunk for w in ws], sizes)],
+                    pa.array([known.tobytes()], pa.binary()),
+                    _one(_byte_lists([w for w, size in zip(words, sizes.tolist()) if not size])),
                 ], ["id", "texts", "chunks", "chunk_words", "words", "sizes", "known", "unknown"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,14 +360,16 @@ def encode_bpe(
                 pool = np.concatenate([known, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
                 per_chunk, size = gathered(pool, begins[words], sizes[words], chunk_words)
                 ids, size = gathered(per_chunk, (np.cumsum(size) - size)[chunks], size[chunks], texts)
+                lists = id_lists(ids, np.concatenate([[0], np.cumsum(size)]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id")[row].values, id_lists(ids, np.concatenate([[0], np.cumsum(size)]))], ["doc_id", "ids"])
+                    [batch.column("id")[row].values, lists, *([joined_pieces(lists, pieces)] if decoded else [])],
+                    ["doc_id", "ids", *([decoded] if decoded else [])])
 
     given = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     blocks = given.mapInArrow(code, _CODED.format(kind=kind))
     folded = blocks.withColumn("found", F.transform("unknown", lambda w: fold_merges(w, rank_map))).drop("unknown")
-    return folded.mapInArrow(assemble, f"doc_id {kind}, ids array<int>")
+    return folded.mapInArrow(assemble, f"doc_id {kind}, ids array<int>" + (f", `{decoded}` binary" if decoded else ""))
 
 
 def gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,39 +381,44 @@ def gathered(pool: np.ndarray, begins: np.ndarray, sizes: np.ndarray, groups: np
     return np.concatenate(parts), np.diff(ends[np.concatenate([[0], np.cumsum(groups)])])
 
 
-def merge_long_bytes(word: bytes, ranks: dict[bytes, int]) -> bytes:
-    return np.array(merge_long(word, ranks), "<u4").tobytes()
-
-
 def _one(lists: pa.ListArray) -> pa.ListArray:
     """The whole array as a single row."""
     return pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists)
 
 
+def token_pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The bytes of each token id."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def joined_pieces(lists: pa.ListArray, tokens: list[bytes | None]) -> pa.Array:
+    """The tokens' bytes of each list put together; null for a null list."""
+    # The tokens of all rows lie one after the other; only the cuts between rows matter.
+    taken = pa.array(tokens, pa.large_binary()).take(lists.flatten())
+    if taken.null_count:
+        raise ValueError("an id has no token")
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    whole = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(lists), [None, pa.py_buffer(cuts.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 def decode_bpe(rows: DataFrame, rank_file: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the bytes of their ids, the tokens' binary pieces put together.
 
-    A null list gives null, an empty one no bytes; ids without a token raise.
+    A null list gives null, an empty one no bytes; ids without a token raise. Repeated rows
+    give repeated results, an empty table gives no rows.
     """
-    ranks = load_ranks(rank_file)
-    tokens: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
+    tokens = token_pieces(load_ranks(rank_file))
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(tokens, pa.large_binary())
         for batch in given:
-            lists = batch.column(batch.schema.names.index(ids))
-            # The tokens of all rows lie one after the other; only the cuts between rows matter.
-            taken = pieces.take(lists.flatten())
-            if taken.null_count:
-                raise ValueError("an id has no token")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ends = np.frombuffer(taken.buffers()[1], np.int64)[:len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
-            cuts = ends[np.concatenate([[0], np.cumsum(sizes)])]
-            whole = pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(lists), [None, pa.py_buffer(cuts.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
-            decoded = pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, out])
+            whole = joined_pieces(batch.column(batch.schema.names.index(ids)), tokens)
+            yield pa.RecordBatch.from_arrays([*batch.columns, whole], [*batch.schema.names, out])
 
     return rows.mapInArrow(batches, StructType([*rows.schema.fields, StructField(out, BinaryType())]))

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.byte_bpe import decode_bpe, encode_bpe
+from textloom.llm.byte_bpe import encode_bpe
 from textloom.llm.exact_dedup import exact_groups
 from textloom.llm.fill_in_middle import fill_in_middle, restored
 from textloom.llm.filter_audit import filter_audit
@@ -91,8 +91,7 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode_bpe(documents(spark, sf), ranks, public_tokenizers.PATTERN)
-    return decode_bpe(encoded, ranks).select(
+    return encode_bpe(documents(spark, sf), ranks, public_tokenizers.PATTERN, decoded="decoded").select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
