@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import base64
 import json
-from collections import Counter
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
@@ -27,7 +26,7 @@ DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 32 << 20
 # Words are ranked by classes of their count, so many to each doubling.
 COUNT_CLASSES = 64
 # Texts of one block: its distinct words outside the dictionary are encoded once.
-BLOCK = 6 << 20
+BLOCK = 4 << 20
 # Longer words (no language has them) are merged with a heap, as a fold takes quadratic time.
 FOLD_BYTES = 128
 
@@ -199,10 +198,21 @@ class WordSplitter:
         return self._chunks.findall(text.decode("utf-8", "replace"))
 
     def words(self, chunk: bytes) -> list[bytes]:
-        if chunk[1:].isalpha() and chunk[:1] == b" ":  # ASCII letters: the common case
-            return [chunk]
         return [w.encode() for w in self._words.findall(chunk.decode())]
 
+    def words_of(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(the words of all chunks, one chunk after the other; the number of words of each chunk)."""
+        plain = pc.match_substring_regex(chunks, "^ [A-Za-z]+$")  # a word as it stands: the common case
+        rest = list(map(self.words, chunks.filter(pc.invert(plain)).to_pylist()))
+        mask = plain.to_numpy(zero_copy_only=False)
+        sizes = np.ones(len(chunks), np.int64)
+        sizes[~mask] = list(map(len, rest))
+        pool = pa.concat_arrays([chunks.filter(plain).cast(pa.binary()), pa.array(list(chain.from_iterable(rest)), pa.binary())])
+        of_plain = np.repeat(mask, sizes)
+        order, n = np.empty(len(pool), np.int64), int(mask.sum())
+        order[of_plain], order[~of_plain] = np.arange(n), np.arange(n, len(pool))
+        return pool.take(pa.array(order)), sizes
+
     def chunk_lists(self, texts: pa.Array) -> pa.ListArray:
         """The chunks of each text, cut in Arrow where white space is single spaces and line ends.
 
@@ -217,10 +227,11 @@ class WordSplitter:
         return pc.split_pattern(marked, b"\xff")
 
 
-def _byte_lists(words: list[bytes]) -> pa.ListArray:
-    offsets = np.zeros(len(words) + 1, np.int32)
-    np.cumsum([len(w) for w in words], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16)))
+def _byte_lists(words: pa.BinaryArray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy())])
+    begin = np.frombuffer(words.buffers()[1], np.int32)[words.offset] if len(words) else 0
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[begin:begin + offsets[-1]]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(data.astype(np.int16)))
 
 
 def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
@@ -230,13 +241,11 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
         for batch in batches:
             for block in split(batch, BLOCK):
                 found = splitter.chunk_lists(block.column("text")).values.value_counts()
-                per_word = Counter()
-                for chunk, n in zip(found.field("values").to_pylist(), found.field("counts").to_pylist()):
-                    for word in splitter.words(chunk):
-                        per_word[word] += n
-                kept = [(w, n) for w, n in per_word.items() if len(w) <= FOLD_BYTES]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
+                words, sizes = splitter.words_of(found.field("values"))
+                coded = words.dictionary_encode()
+                n = np.bincount(coded.indices, np.repeat(found.field("counts").to_numpy(), sizes), len(coded.dictionary))
+                counted = pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
+                yield counted.filter(pc.less_equal(pc.binary_length(coded.dictionary), FOLD_BYTES))
 
     given = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     return given.mapInArrow(counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -271,12 +280,12 @@ class Dictionary:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.ids = pc.list_flatten(ids).to_numpy().astype(np.int32)
 
-    def known(self, words: list[bytes], others: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    def known(self, words: pa.BinaryArray, others: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each word, 0 for unknown ones; the ids of the known ones in a row).
 
         ``others`` holds the ids of words known without the dictionary, by their place.
         """
-        at = pc.index_in(pa.array(words, pa.binary()), value_set=self.words).fill_null(-1).to_numpy()
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
         sizes, begins = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         found = at >= 0
         sizes[found], begins[found] = self.sizes[at[found]], self.begins[at[found]]
@@ -319,7 +328,7 @@ def encode_bpe(
     frequent = frequent_words(stored(word_counts(docs, pattern, text_col), "words"), dictionary_words)
     as_bytes = frequent.repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(
         lambda batches: (pa.RecordBatch.from_arrays(
-            [b.column(0), _byte_lists(b.column(0).to_pylist())], ["word", "bytes"]) for b in batches),
+            [b.column(0), _byte_lists(b.column(0))], ["word", "bytes"]) for b in batches),
         "word binary, bytes array<smallint>")
     sent = spark.sparkContext.broadcast(Dictionary(as_bytes.select("word", fold_merges(F.col("bytes"), rank_map).alias("ids")).toArrow()))
     pieces = token_pieces(ranks) if decoded else None
@@ -331,17 +340,17 @@ def encode_bpe(
             for block in split(batch, BLOCK):
                 lists = splitter.chunk_lists(block.column("text"))
                 coded = lists.values.dictionary_encode()
-                of_chunk = list(map(splitter.words, coded.dictionary.to_pylist()))
-                place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(of_chunk)))}
-                words = list(place)
-                sizes, known = dictionary.known(words, {i: merge_long(w, ranks) for i, w in enumerate(words) if len(w) > FOLD_BYTES})
+                places, of_chunk = splitter.words_of(coded.dictionary)
+                places = places.dictionary_encode()
+                words = places.dictionary
+                long = np.flatnonzero(pc.binary_length(words).to_numpy() > FOLD_BYTES).tolist()
+                sizes, known = dictionary.known(words, {i: merge_long(words[i].as_py(), ranks) for i in long})
                 yield pa.RecordBatch.from_arrays([
                     pa.array([block.column("id").to_pylist()], pa.list_(block.column("id").type)),
                     *[pa.array([np.asarray(x, np.int32).tobytes()], pa.binary()) for x in (
-                        np.diff(lists.offsets.to_numpy()), coded.indices.to_numpy(), list(map(len, of_chunk)),
-                        [place[w] for ws in of_chunk for w in ws], sizes)],
+                        np.diff(lists.offsets.to_numpy()), coded.indices.to_numpy(), of_chunk, places.indices.to_numpy(), sizes)],
                     pa.array([known.tobytes()], pa.binary()),
-                    _one(_byte_lists([w for w, size in zip(words, sizes.tolist()) if not size])),
+                    _one(_byte_lists(words.filter(pa.array(sizes == 0)))),
                 ], ["id", "texts", "chunks", "chunk_words", "words", "sizes", "known", "unknown"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
