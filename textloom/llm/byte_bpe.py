@@ -26,7 +26,7 @@ DICTIONARY_WORDS, DICTIONARY_BYTES = 1_000_000, 32 << 20
 # Words are ranked by classes of their count, so many to each doubling.
 COUNT_CLASSES = 64
 # Texts of one block: its distinct words outside the dictionary are encoded once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 # Longer words (no language has them) are merged with a heap, as a fold takes quadratic time.
 FOLD_BYTES = 128
 
@@ -240,6 +240,7 @@ def word_counts(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
         splitter = WordSplitter(pattern)
         for batch in batches:
             for block in split(batch, BLOCK):
+                pa.default_memory_pool().release_unused()  # what the block before it took
                 found = splitter.chunk_lists(block.column("text")).values.value_counts()
                 words, sizes = splitter.words_of(found.field("values"))
                 coded = words.dictionary_encode()
@@ -338,6 +339,7 @@ def encode_bpe(
         splitter, dictionary = WordSplitter(pattern), sent.value
         for batch in batches:
             for block in split(batch, BLOCK):
+                pa.default_memory_pool().release_unused()  # what the block before it took
                 lists = splitter.chunk_lists(block.column("text"))
                 coded = lists.values.dictionary_encode()
                 places, of_chunk = splitter.words_of(coded.dictionary)
@@ -356,6 +358,7 @@ def encode_bpe(
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
+                pa.default_memory_pool().release_unused()
                 texts, chunks, chunk_words, words, sizes, known = (
                     np.frombuffer(batch.column(c)[row].as_py(), np.int32) for c in (
                         "texts", "chunks", "chunk_words", "words", "sizes", "known"))
