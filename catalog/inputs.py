@@ -16,7 +16,7 @@ from textloom.functions.prompts import by_type
 from textloom.functions.text import blank_words
 from textloom.operators import vocab
 from textloom.operators.spread import spread
-from textloom.operators.storage import cut, scratch_path
+from textloom.operators.storage import cut, scratch_path, stored
 from textloom.plans import corpus as plans
 from textloom.sources import jsonl, manifest, sinks, warc
 from textloom.sources.files import file_system
@@ -280,7 +280,7 @@ def _word_id(word: str) -> str:
 def _(spark, sf):
     """Lines to examples with every word of the documents; integers of a list are ids already."""
     rows = jsonl.scan_jsonl_pretrain(json_lines(spark, sf), "value", "doc_id")
-    words = cut(tokens.corpus_vocab(spark, sf))
+    words = stored(tokens.corpus_vocab(spark, sf), "vocab")
     size = vocab.vocab_size(words).first()["size"]
     found = vocab.token_ids(rows, F.col("tokens"), words, "found")
     ids = vocab.with_given_ids(F.col("found"), F.col("ids"), size)

@@ -13,7 +13,7 @@ from textloom.functions.text import blank_words
 from textloom.operators import chat, vocab
 from textloom.operators.batches import ROUNDS, epoch_batches, number_rows, shard_batches
 from textloom.operators.spread import spread
-from textloom.operators.storage import cut, shared_dir
+from textloom.operators.storage import cut, shared_dir, stored
 from textloom.sources.files import file_system
 from textloom.sources.vocab_file import scan_vocab_file
 
@@ -68,9 +68,9 @@ DOC_IDS = S.with_(VOCAB, ids_of("documents", "doc_id", S.words("text")))
 SHORT_IDS = S.with_(SMALL_VOCAB, ids_of("documents", "doc_id", S.words("text"), model_size=SHORT_MODEL))
 
 
-def doc_ids(spark, sf):
+def doc_ids(spark, sf, words=None):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    return vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf)).drop("text")
+    return vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf) if words is None else words, drop=("text",))
 
 
 @query("build_vocab", S.with_(VOCAB) + "SELECT token, id FROM vocab")
@@ -127,14 +127,14 @@ def _(spark, sf):
 @query("vocab_lookup_join", DOC_IDS + "SELECT doc_id, array_to_string(ids, ' ') AS ids FROM ids")
 def _(spark, sf):
     docs = B.table(spark, sf, "documents").select("doc_id", "text")
-    found = vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf), max_in_memory=0)
+    found = vocab.vocab_lookup(docs, "text", corpus_vocab(spark, sf), max_in_memory=0, drop=("text",))
     return found.select("doc_id", joined(F.col("ids")).alias("ids"))
 
 
 @query("tokenize_vocab", DOC_IDS + f"SELECT doc_id, array_to_string(ids[1:{MAX_LENGTH}], ' ') AS input_ids FROM ids")
 def _(spark, sf):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    out = vocab.tokenize_vocab(docs, "text", corpus_vocab(spark, sf), MAX_LENGTH)
+    out = vocab.tokenize_vocab(docs, "text", corpus_vocab(spark, sf), MAX_LENGTH, drop=("text",))
     return out.select("doc_id", joined(F.col("input_ids")).alias("input_ids"))
 
 
@@ -159,7 +159,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = spread(B.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
     marked = docs.withColumn("text", F.when(F.col("lang") == "en", F.concat(F.lit("<bos> "), "text")).otherwise(F.col("text")))
-    found = vocab.vocab_lookup(marked, "text", corpus_vocab(spark, sf))
+    found = vocab.vocab_lookup(marked, "text", corpus_vocab(spark, sf), drop=("text",))
     return found.select("doc_id", joined(E.prepend_bos(F.col("ids"))).alias("ids"))
 
 
@@ -170,14 +170,16 @@ spoken AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos
     FILTER (s.id NOT IN (0, 1, 2)), '') AS text FROM ids i LEFT JOIN spoken s USING (doc_id) LEFT JOIN half h ON h.id = s.id GROUP BY i.doc_id""")
 def _(spark, sf):
     # Ids of the whole vocabulary read with two thirds of it, so that unknown ids show.
-    partial = corpus_vocab(spark, sf).where("id % 3 <> 1")
-    return vocab.detokenize(doc_ids(spark, sf), "ids", partial).select("doc_id", "text")
+    words = stored(corpus_vocab(spark, sf), "vocab")
+    partial = words.where("id % 3 <> 1")
+    return vocab.detokenize(doc_ids(spark, sf, words), "ids", partial).select("doc_id", "text")
 
 
 @query("detokenize_join", ORACLE["detokenize"])
 def _(spark, sf):
-    partial = corpus_vocab(spark, sf).where("id % 3 <> 1")
-    return vocab.detokenize(doc_ids(spark, sf), "ids", partial, max_in_memory=0).select("doc_id", "text")
+    words = stored(corpus_vocab(spark, sf), "vocab")
+    partial = words.where("id % 3 <> 1")
+    return vocab.detokenize(doc_ids(spark, sf, words), "ids", partial, max_in_memory=0).select("doc_id", "text")
 
 
 # --- examples --------------------------------------------------------------------------
@@ -242,9 +244,9 @@ full_rows AS (SELECT key, np, len(ids) AS n, {padded('ids')} AS x FROM cut)""")
 def _(spark, sf):
     pairs = sft_pairs(spark, sf).select(
         (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"), "instruction", "output")
-    words = cut(corpus_vocab(spark, sf))
-    prompt = vocab.token_ids(pairs, blank_words(P.sft_prompt(F.col("instruction"))), words, "prompt_ids")
-    both = vocab.token_ids(prompt, blank_words(F.col("output")), words, "output_ids")
+    words = stored(corpus_vocab(spark, sf), "vocab")
+    prompt = vocab.token_ids(pairs, blank_words(P.sft_prompt(F.col("instruction"))), words, "prompt_ids", drop=("instruction",))
+    both = vocab.token_ids(prompt, blank_words(F.col("output")), words, "output_ids", drop=("output",))
     return flat_example(both.select("key", E.sft_example(F.col("prompt_ids"), F.col("output_ids"), MAX_LENGTH).alias("x")), "key")
 
 

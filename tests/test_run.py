@@ -104,6 +104,37 @@ def test_size_of_a_vocabulary_changes_nothing(spark):
     both(lambda limit: T.detokenize(spoken, "ids", table, max_in_memory=limit).select("doc_id", "text"))
 
 
+@pytest.mark.parametrize("frequent, hot_rows", [(0, 1000), (6, 1)])
+def test_large_vocabulary_joins_rare_words_only(spark, frequent, hot_rows):
+    from pyspark.sql import functions as F
+    rows = [(i, [f"w{(i * 7 + k) % 30}" if k % 5 else None for k in range(i % 12)]) for i in range(60)]
+    rows += [(70, ["w1", "w1", "new", "w9", "new", "w9"]), (71, None), (72, []), (73, ["<unk>", "least"]), (70, ["far"])]
+    df = spark.createDataFrame(rows, "doc_id int, t array<string>").repartition(4)
+    entries = [(f"w{i}", i + 4) for i in range(0, 30, 2)] + [("w9", 1), ("w9", 40), ("least", -1), ("far", 1 << 30), ("<unk>", 3), ("x", None)]
+    table = spark.createDataFrame(entries, "token string, id long")
+    for model_size in (None, 20):
+        want, got = [sorted(map(repr, T.token_ids(df, F.col("t"), table, model_size=model_size, **o).select("doc_id", "ids").collect()))
+                     for o in ({}, {"max_in_memory": 0, "frequent": frequent, "hot_rows": hot_rows})]
+        assert want == got
+    spoken = T.token_ids(df, F.col("t"), table)
+    want, got = [sorted(map(repr, T.detokenize(spoken, "ids", table, **o).select("doc_id", "text").collect()))
+                 for o in ({}, {"max_in_memory": 0, "frequent": frequent, "hot_rows": hot_rows})]
+    assert want == got
+
+
+def test_join_of_a_large_vocabulary_moves_no_frequent_word(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    sizes = []
+    plain = T.join_per_key
+    monkeypatch.setattr(T, "join_per_key", lambda rows, *a: sizes.append(rows.count()) or plain(rows, *a))
+    df = spark.range(20).select(F.expr("split(repeat('a b c rare rare ', 50), ' ')").alias("t"))
+    table = vocab(spark, {"<unk>": 3, "a": 4, "b": 5, "c": 6, "rare": 99, "": 7})
+    found = T.token_ids(df, F.col("t"), table, max_in_memory=0, frequent=10)
+    assert found.select(F.array_join(F.slice("ids", 1, 5).cast("array<string>"), " ").alias("x")).first().x == "4 5 6 99 99"
+    T.detokenize(found, "ids", table, max_in_memory=0, frequent=10).count()
+    assert sizes == [20, 20]
+
+
 def test_vocab_checks(spark):
     def scan(text):
         return T.scan_vocab(spark.createDataFrame([(text,)], "value string"))

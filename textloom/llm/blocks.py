@@ -1,14 +1,13 @@
 """Running a function over blocks of whole texts inside Spark tasks."""
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.storage import scratch_path
+from textloom.operators.storage import CLEANUP, stored  # noqa: F401
 
 # Texts of one call of a block function together hold about so many bytes (one text may hold more).
 BLOCK_BYTES = 8 << 20
@@ -47,23 +46,3 @@ def split(batch: pa.RecordBatch, block_bytes: int) -> Iterator[pa.RecordBatch]:
             start, size = i + 1, 0
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-# Spark then removes the shuffle files of a query when it ends, not when the driver next collects garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet below the shared folder and read back; cuts the lineage.
-
-    What the write shuffled is removed once the table is there, since nothing reads it again.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:8]}")
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)

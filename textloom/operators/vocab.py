@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 
 from textloom.functions.text import blank_words
 from textloom.operators.positions import with_position
+from textloom.operators.skew import HOT_ROWS, join_per_key
 from textloom.operators.spread import spread
-from textloom.operators.storage import cut
+from textloom.operators.storage import stored
 
-MAX_IN_MEMORY = 2_000_000  # vocabulary entries a worker may hold; larger ones are joined
-SALTS = 64
+MAX_IN_MEMORY = 1 << 19  # vocabulary entries that the driver and a worker may hold; larger ones are joined
+# Entries of a larger vocabulary that are looked up in the tasks: those with ids below this, which are the most
+# frequent words where ids follow ranks. Only the other words of a row are joined.
+FREQUENT = 1 << 18
 SPECIAL_TOKENS = ["<pad>", "<bos>", "<eos>", "<unk>"]
 PAD, BOS, EOS, UNK = 0, 1, 2, 3
 
@@ -35,7 +38,8 @@ def build_vocab(df: DataFrame, text_col: str, size: int | None = None, id_col: s
     first = len(SPECIAL_TOKENS)
     if size is not None:
         counts = counts.orderBy("rank", "token").limit(size - first)
-    words = with_position(counts, ["rank", "token"], "pos").select("token", (F.col("pos") + first).cast("int").alias("id"))
+    # Stored, which removes what the count shuffled.
+    words = with_position(stored(counts, "words"), ["rank", "token"], "pos").select("token", (F.col("pos") + first).cast("int").alias("id"))
     special = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.lit(i).alias("id")) for i, t in enumerate(SPECIAL_TOKENS)]))
     return df.sparkSession.range(1).select(special.alias("s")).select("s.token", "s.id").unionByName(words)
 
@@ -82,11 +86,12 @@ def check_vocab(vocab: DataFrame) -> int:
 def _in_memory(vocab: DataFrame, limit: int) -> pa.Table | None:
     """The vocabulary's (token, id) rows as Arrow, or None when it has more than ``limit`` entries.
 
-    A row without token or id says nothing and is left out.
+    A row without token or id says nothing and is left out. Rows beyond the limit are counted, not fetched.
     """
     known = vocab.where("token is not null and id is not null")
-    rows = known.select("token", F.col("id").cast("bigint").alias("id")).limit(limit + 1).toArrow()
-    return None if len(rows) > limit else rows
+    if known.limit(limit + 1).count() > limit:
+        return None
+    return known.select("token", F.col("id").cast("bigint").alias("id")).toArrow()
 
 
 def _id_lookup(table: pa.Table, miss: int) -> Column:
@@ -116,6 +121,42 @@ def _id_lookup(table: pa.Table, miss: int) -> Column:
     return F.arrow_udf(lookup, T.ArrayType(T.IntegerType()))
 
 
+def _coded(table: pa.Table) -> Column:
+    """Arrow UDF from token lists to (ids, words): ids of the table's tokens, and -1 - k for the k-th of the row's other words.
+
+    ``words`` holds each other word of a row once. A null token is read as ``<unk>``.
+    """
+    tokens, ids = table["token"].combine_chunks(), table["id"].combine_chunks().cast(pa.int32())
+
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        index = dict(zip(tokens.to_pylist(), ids.to_pylist()))
+        for batch in batches:
+            lists = batch.cast(pa.list_(pa.string()))
+            words = lists.flatten().fill_null("<unk>").dictionary_encode()
+            found = np.array([index.get(w, -1) for w in words.dictionary.to_pylist()], np.int32)
+            at = words.indices.to_numpy(zero_copy_only=False)
+            out = found[at] if len(at) else np.empty(0, np.int32)
+            lengths = pc.list_value_length(lists)
+            offsets = np.concatenate([[0], np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False))])
+            open_at = np.flatnonzero(out < 0)
+            # One number per row and word; in order, the words of a row stand together.
+            kinds = max(1, len(found))
+            row = np.searchsorted(offsets, open_at, side="right") - 1
+            pairs, slot = np.unique(row * kinds + at[open_at], return_inverse=True)
+            starts = np.searchsorted(pairs, np.arange(len(lists) + 1) * kinds)
+            out[open_at] = -1 - (slot - starts[row])
+            others = words.dictionary.take(pa.array(pairs % kinds, pa.int64()))
+            yield pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out), mask=lengths.is_null()),
+                pa.ListArray.from_arrays(pa.array(starts, pa.int32()), others),
+            ], ["ids", "words"])
+
+    return F.arrow_udf(code, "struct<ids: array<int>, words: array<string>>")
+
+
 def token_ids(
     df: DataFrame,
     tokens: Column,
@@ -124,39 +165,46 @@ def token_ids(
     unk: int = UNK,
     model_size: int | None = None,
     max_in_memory: int = MAX_IN_MEMORY,
+    frequent: int = FREQUENT,
+    hot_rows: int = HOT_ROWS,
+    drop: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Add ``out_col``: the id of every token, in order.
+    """Add ``out_col``: the id of every token, in order, and leave out the columns ``drop``.
 
     An unknown or null token gets the id of ``<unk>`` in the vocabulary, or ``unk`` without
     one; an id not below ``model_size`` becomes ``unk``. A token that the vocabulary
     repeats has its largest id, and entries without token or id are left out. A
-    vocabulary that fits a worker is looked up without moving rows; a larger one is joined
-    by shuffle, with frequent tokens spread over ``SALTS`` partitions, and the lists
-    are rebuilt by position under a row number of their own. Both give the same lists.
+    vocabulary that fits a worker is looked up without moving rows. Of a larger one the entries with
+    ids below ``frequent`` are looked up in the tasks; the other words, each once per row, are joined by
+    shuffle, those in more than ``hot_rows`` rows by broadcast, and put in their places
+    under a row number of their own. Both give the same lists.
     """
-    clamped = vocab if model_size is None else vocab.select(
-        "token", F.when(F.col("id") < model_size, F.col("id")).when(F.col("id").isNotNull(), unk).alias("id")
-    )
+    id_of = F.col("id") if model_size is None else F.when(F.col("id") < model_size, F.col("id")).when(F.col("id").isNotNull(), unk)
+    clamped = vocab.select("token", id_of.alias("id"), F.col("id").alias("rank"))
     table = _in_memory(clamped, max_in_memory)
     if table is not None:
         marks = table.filter(pa.compute.equal(table["token"], "<unk>"))["id"].to_pylist()
-        return df.withColumn(out_col, _id_lookup(table, max(marks, default=unk))(tokens))
-    known = clamped.where("token is not null and id is not null").groupBy("token").agg(F.max("id").alias("id"))
-    unknown = known.where("token = '<unk>'").agg(F.coalesce(F.max("id"), F.lit(unk)).alias("miss"))
-    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    numbered = cut(df.withColumn("_tokens", tokens).withColumn("_row", F.monotonically_increasing_id()))
-    rows = numbered.select("_row", F.posexplode("_tokens").alias("pos", "token"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(SALTS)).cast("int"))
-    found = rows.join(salted, ["token", "salt"], "left").withColumn(
-        "id", F.coalesce("id", unknown.scalar()).cast("int")
-    )
+        return df.withColumn(out_col, _id_lookup(table, max(marks, default=unk))(tokens)).drop(*drop)
+    known = stored(clamped.where("token is not null and id is not null").groupBy("token").agg(
+        F.max("id").alias("id"), F.min("rank").alias("rank")), "known")
+    miss = known.where("token = '<unk>'").agg(F.coalesce(F.max("id"), F.lit(unk))).first()[0]
+    # A negative id would look like a word that is still to be found.
+    near = known.where(F.col("rank").between(0, frequent - 1) & (F.col("id") >= 0)).select("token", "id").limit(frequent).toArrow()
+    # Stored, so that the numbers stay with their rows.
+    numbered = stored(df.select(
+        *[c for c in df.columns if c not in drop], _coded(near)(tokens).alias("_coded"), F.monotonically_increasing_id().alias("_row")), "coded")
+    others = numbered.select("_row", F.posexplode("_coded.words").alias("slot", "token"))
+    total = numbered.agg(F.coalesce(F.sum(F.size("_coded.words")), F.lit(0))).first()[0]
+    per_word = stored(others.groupBy("token").agg(F.count("*").alias("rows")).join(known.drop("rank"), "token", "left").select(
+        "token", "rows", F.coalesce("id", F.lit(miss)).cast("int").alias("id")), "per_word")
+    found = join_per_key(others, per_word, ["token"], "rows", total, hot_rows).select("_row", "slot", "id")
     lists = found.groupBy("_row").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "id"))),
+        F.array_sort(F.collect_list(F.struct("slot", "id"))),
         lambda x: x["id"],
-    ).alias("_ids"))
-    empty = F.when(F.col("_tokens").isNotNull(), F.array().cast("array<int>"))
-    joined = numbered.join(lists, "_row", "left").withColumn("_ids", F.coalesce("_ids", empty))
-    return joined.withColumn(out_col, F.col("_ids")).drop("_row", "_tokens", "_ids")
+    ).alias("_found"))
+    placed = F.transform("_ids", lambda i: F.when(i >= 0, i).otherwise(F.get("_found", -1 - i)))
+    coded = numbered.withColumn("_ids", F.col("_coded.ids")).drop("_coded")
+    return coded.join(lists, "_row", "left").withColumn(out_col, placed).drop("_row", "_ids", "_found")
 
 
 def vocab_lookup(df: DataFrame, text_col: str, vocab: DataFrame, **options) -> DataFrame:
@@ -194,30 +242,59 @@ def token_length_stats(df: DataFrame, ids_col: str, max_length: int) -> DataFram
     )
 
 
+def _spoken(table: pa.Table) -> Column:
+    """Arrow UDF from id lists, and (id, token) of their ids that the table lacks, to words joined by blanks; null ids are left out."""
+    table = table.group_by("id").aggregate([("token", "max")])
+
+    def words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        index = dict(zip(table["id"].to_pylist(), table["token_max"].to_pylist()))
+        for batch, more in batches:
+            lists = batch.cast(pa.list_(pa.int64()))
+            pairs = more.flatten()
+            here = dict(zip(pairs.field("id").to_pylist(), pairs.field("token").to_pylist()))
+            flat = lists.flatten()
+            ids = flat.drop_null().dictionary_encode()
+            shown = pa.array([
+                index[i] if i in index else here.get(i, f"[<UNK>_ID:{i}]") for i in ids.dictionary.to_pylist()], pa.string())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
+            kept = np.concatenate([[0], np.cumsum(flat.is_valid().to_numpy(zero_copy_only=False))])[ends]
+            spoken = pa.LargeListArray.from_arrays(
+                pa.array(kept, pa.int64()), shown.cast(pa.large_string()).take(ids.indices), mask=lists.is_null())
+            yield pc.binary_join(spoken, pa.scalar(" ", pa.large_string())).cast(pa.string())
+
+    return F.arrow_udf(words, "string")
+
+
 def detokenize(
     df: DataFrame, ids_col: str, vocab: DataFrame, out_col: str = "text",
     skip: tuple[int, ...] = (PAD, BOS, EOS), max_in_memory: int = MAX_IN_MEMORY,
+    frequent: int = FREQUENT, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Words of an id list joined by blanks; special ids skipped, unknown ids shown.
 
-    A vocabulary of at most ``max_in_memory`` entries is looked up in the tasks, a larger one
-    joined by shuffle; both give the same text. An id that the vocabulary repeats has its
+    A vocabulary of at most ``max_in_memory`` entries is looked up in the tasks. Of a larger one
+    the ids below ``frequent`` are; the others, each once per row, are joined by shuffle, those in more than
+    ``hot_rows`` rows by broadcast. Both give the same text. An id that the vocabulary repeats has its
     last token in sort order.
     """
     kept = F.filter(ids_col, lambda i: ~i.isin(*skip)) if skip else F.col(ids_col)
     table = _in_memory(vocab, max_in_memory)
     if table is None:
-        known = vocab.where("token is not null and id is not null").groupBy("id").agg(F.max("token").alias("token"))
-        numbered = cut(df.withColumn("_kept", kept).withColumn("_row", F.monotonically_increasing_id()))
-        rows = numbered.select("_row", F.posexplode("_kept").alias("pos", "id")).withColumn(
-            "salt", F.pmod(F.xxhash64("_row", "pos"), F.lit(SALTS)).cast("int"))
-        salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        shown = F.coalesce("token", F.concat(F.lit("[<UNK>_ID:"), F.col("id").cast("string"), F.lit("]")))
-        spoken = rows.join(salted, ["id", "salt"], "left").groupBy("_row").agg(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", shown.alias("word")))), lambda x: x["word"]), " ").alias("_text"))
-        whole = numbered.join(spoken, "_row", "left").withColumn(
-            "_text", F.when(F.col("_kept").isNotNull(), F.coalesce("_text", F.lit(""))))
-        return whole.withColumn(out_col, F.col("_text")).drop("_row", "_kept", "_text")
+        known = stored(vocab.where("token is not null and id is not null").groupBy("id").agg(F.max("token").alias("token")), "known")
+        near = known.where(F.col("id").between(0, frequent - 1)).select("token", F.col("id").cast("bigint").alias("id")).toArrow()
+        # Stored, so that the numbers stay with their rows.
+        numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        far = F.array_distinct(F.filter(kept, lambda i: ~i.between(0, frequent - 1)))
+        others = numbered.select("_row", F.explode(far).alias("id"))
+        total = numbered.agg(F.coalesce(F.sum(F.size(far)), F.lit(0))).first()[0]
+        per_id = stored(others.groupBy("id").agg(F.count("*").alias("rows")).join(known, "id"), "per_id")
+        found = join_per_key(others, per_id, ["id"], "rows", total, hot_rows).groupBy("_row").agg(
+            F.collect_list(F.struct(F.col("id").cast("bigint").alias("id"), "token")).alias("_found"))
+        whole = numbered.join(found, "_row", "left")
+        return whole.withColumn(out_col, _spoken(near)(kept, F.col("_found"))).drop("_row", "_found")
     table = table.group_by("id").aggregate([("token", "max")])
 
     def words(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
