@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +22,79 @@ MAX_MODEL_CELLS = 4_000_000  # 32 MB
 MAX_LANGUAGES = 500
 
 
-def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams of a text as 63-bit codes, 21 bits a character, with counts."""
+# Bytes of text whose trigrams a worker holds at once (one text may hold more).
+SLICE_BYTES = 1 << 20
+
+
+def _all_codes(text: str) -> np.ndarray:
+    """Trigrams of a text as 63-bit codes, 21 bits a character."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:], return_counts=True)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text with counts."""
+    return np.unique(_all_codes(text), return_counts=True)
+
+
+def _slices(batch: pa.RecordBatch | pa.Array, texts: pa.Array) -> Iterator:
+    """Parts of a batch whose texts reach ``SLICE_BYTES`` at their last row at the latest."""
+    sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        before = sizes[start - 1] if start else 0
+        end = min(len(texts), int(np.searchsorted(sizes, before + SLICE_BYTES)) + 1)
+        yield batch.slice(start, end - start)
+        start = end
 
 
 def _count_codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        found = [_codes(text or "") for text in batch.to_pylist()]
-        grams = np.concatenate([g for g, _ in found] or [[]]).astype(np.int64)
-        times = np.concatenate([n for _, n in found] or [[]]).astype(np.int64)
-        ends = np.cumsum([0] + [len(g) for g, _ in found])
-        pairs = pa.StructArray.from_arrays([grams, times], ["gram", "times"])
-        yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+        yield pa.concat_arrays([_counted(part) for part in _slices(batch, batch)] or [_counted(batch)])
+
+
+def _counted(texts: pa.Array) -> pa.Array:
+    found = [_codes(text or "") for text in texts.to_pylist()]
+    grams = np.concatenate([g for g, _ in found] or [[]]).astype(np.int64)
+    times = np.concatenate([n for _, n in found] or [[]]).astype(np.int64)
+    ends = np.cumsum([0] + [len(g) for g, _ in found])
+    pairs = pa.StructArray.from_arrays([grams, times], ["gram", "times"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+
+
+def _rows_of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gram, times) of (key, text), slice by slice; a text without trigrams has one row with a null gram, once."""
+    for batch in batches:
+        for part in _slices(batch, batch.column(1)):
+            lists = _counted(part.column(1))
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            pairs, bare = lists.flatten(), np.flatnonzero(lengths == 0)
+            key = part.column(0).take(pa.array(np.concatenate([np.repeat(np.arange(len(lengths)), lengths), bare])))
+            yield pa.RecordBatch.from_arrays([
+                key, pa.concat_arrays([pairs.field("gram"), pa.nulls(len(bare), pa.int64())]),
+                pa.concat_arrays([pairs.field("times"), pa.array(np.ones(len(bare), np.int64))]),
+            ], ["key", "gram", "times"])
+
+
+def _rows_of_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, gram, times) of (key, text) summed over the texts of a key in a slice."""
+    for batch in batches:
+        for part in _slices(batch, batch.column(1)):
+            keys = part.column(0).dictionary_encode()
+            texts = part.column(1).to_pylist()
+            at = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for k in np.unique(at):
+                codes = np.concatenate([_all_codes(texts[i] or "") for i in np.flatnonzero(at == k)])
+                grams, times = np.unique(codes, return_counts=True)
+                key = keys.dictionary.take(pa.array(np.full(len(grams), k), mask=np.full(len(grams), k < 0)))
+                yield pa.RecordBatch.from_arrays([key, pa.array(grams, pa.int64()), pa.array(times, pa.int64())], ["key", "gram", "times"])
+
+
+def _trigram_rows(df: DataFrame, key: str, text_col: str, run: Callable) -> DataFrame:
+    """(key, gram, times) of the padded letters of a text, made in slices: no list of a whole batch is held."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(F.col(key).alias("key"), _padded_letters(F.col(text_col)).alias("text")).mapInArrow(
+        run, f"key {kind}, gram bigint, times bigint")
 
 
 def _padded_letters(text: Column) -> Column:
@@ -60,8 +120,8 @@ def train_language_model(
     The counts, one row per language and trigram, are cut to storage. The row with a null gram holds what a trigram unseen in that language gets.
     """
     counts = cut(
-        spread(df.select(id_col, lang_col, text_col), id_col)
-        .select(F.col(lang_col).alias("lang"), F.inline(trigram_counts(F.col(text_col))))
+        _trigram_rows(spread(df.select(id_col, lang_col, text_col), id_col), lang_col, text_col, _rows_of_language)
+        .withColumnRenamed("key", "lang")
         .groupBy("lang", "gram")
         .agg(F.sum("times").alias("n"))
     )
@@ -100,9 +160,8 @@ def lang_scores(df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_co
     bases = language_bases(model)
     texts = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id")
     # Stored, as three plans read them: trigrams are made once.
-    pieces = cut(texts.select("id", F.inline_outer(trigram_counts(F.col("text")))).withColumn(
-        "times", F.coalesce("times", F.lit(1))  # a text without trigrams scores the bases
-    ))
+    # A text without trigrams has one row, which scores the bases.
+    pieces = cut(_trigram_rows(texts, "id", "text", _rows_of_text).withColumnRenamed("key", "id"))
     texts_of = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
     known = join_per_key(
         pieces, _gains(model, bases).join(texts_of, "gram"), ["gram"], "texts", hot_rows=hot_rows
@@ -132,7 +191,8 @@ def _predictor(rows: pa.Table, bases: dict[str, int]) -> Callable[[Column], Colu
 
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([best(text or "") for text in batch.to_pylist()], pa.string())
+            found = [best(text or "") for part in _slices(batch, batch) for text in part.to_pylist()]
+            yield pa.array(found, pa.string())
 
     return F.arrow_udf(predict, "string")
 
