@@ -107,3 +107,36 @@ def test_references_and_silent_elements_need_no_parser(spark):
 
 def test_null_page_is_null(spark):
     assert texts(spark, [None, "<p>a"], "auto") == [None, "a"]
+
+
+def test_batches_are_signed_and_counted_in_slices(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from textloom.functions import minhash
+    from textloom.operators import langid
+
+    a, b = minhash.coefficients(4)
+    lists = pa.array([["x"] * 3, None, [], ["y", "z"], ["x"], ["w"] * 9], pa.list_(pa.string()))
+    whole = minhash.signatures(lists, a, b)
+    monkeypatch.setattr(minhash, "WORDS_PER_SLICE", 3)
+    parts = list(minhash._slices(lists))
+    assert [len(p) for p in parts] == [1, 4, 1]
+    assert (np.concatenate([minhash.signatures(p, a, b) for p in parts]) == whole).all()
+
+    rows = pa.RecordBatch.from_arrays([
+        pa.array(["en", "de", "en", None, "de", "en"]), pa.array([" abab ", " abab ", " abab ", " xyz ", None, "  "])], ["key", "text"])
+    want = {}
+    for lang, text in zip(*rows.to_pydict().values()):
+        for gram, times in zip(*(v.tolist() for v in langid._codes(text or ""))):
+            want[lang, gram] = want.get((lang, gram), 0) + times
+    monkeypatch.setattr(langid, "SLICE_BYTES", 12)
+    got = {}
+    found = list(langid._rows_of_language(iter([rows])))
+    for lang, gram, times in (r.values() for batch in found for r in batch.to_pylist()):
+        got[lang, gram] = got.get((lang, gram), 0) + times
+    assert got == want
+    by_text = [batch.to_pylist() for batch in langid._rows_of_text(iter([rows]))]
+    assert [len(p) for p in by_text] == [8, 9]
+    assert [r for p in by_text for r in p if r["gram"] is None] == [
+        {"key": "de", "gram": None, "times": 1}, {"key": "en", "gram": None, "times": 1}]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PRIME = (1 << 61) - 1
 MASK = (1 << 32) - 1
 WORDS_PER_BLOCK = 1 << 14
+# Words whose strings and hashes a worker holds at once (one row may hold more).
+WORDS_PER_SLICE = 1 << 18
 
 
 def coefficients(num_perm: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +58,16 @@ def signatures(word_lists: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.nda
     return out
 
 
+def _slices(lists: pa.ListArray) -> Iterator[pa.ListArray]:
+    """Parts of a batch that reach ``WORDS_PER_SLICE`` words at their last row at the latest."""
+    words = np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(lists):
+        end = min(len(lists), int(np.searchsorted(words, (words[start - 1] if start else 0) + WORDS_PER_SLICE)) + 1)
+        yield lists.slice(start, end - start)
+        start = end
+
+
 def minhash_signature(shingles: Column, num_perm: int = 128, seed: int = 1) -> Column:
     """Signature as ARRAY<BIGINT> of length ``num_perm``; null for no shingles."""
 
@@ -64,7 +76,8 @@ def minhash_signature(shingles: Column, num_perm: int = 128, seed: int = 1) -> C
         a, b = coefficients(num_perm, seed)
         for batch in batches:
             lists = batch.cast(pa.list_(pa.string()))
-            minima = signatures(lists, a, b).astype(np.int64)
+            minima = np.concatenate(
+                [signatures(part, a, b).astype(np.int64) for part in _slices(lists)] or [np.empty((0, num_perm), np.int64)])
             empty = pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False) == 0
             offsets = pa.array(
                 np.arange(0, minima.size + 1, minima.shape[1]), pa.int32(),
