@@ -90,9 +90,9 @@ def write_vocab(words, path, listed):
             out.write(b'{"note": "all words", "tokens": [' if listed else b"{")
             mark = ""
             for batch in batches:
-                items = [json.dumps(t) if listed else f"{json.dumps(t)}: {i}" for t, i in zip(batch["token"], batch["id"])]
-                if items:
-                    out.write((mark + ", ".join(items)).encode())
+                if len(batch):  # one call for all words of a batch; no word occurs twice
+                    items = json.dumps(batch["token"].tolist() if listed else dict(zip(batch["token"], batch["id"].tolist())))
+                    out.write((mark + items[1:-1]).encode())
                     mark = ", "
             out.write(b"]}" if listed else b"}")
         yield pd.DataFrame({"path": [path]})

@@ -216,6 +216,30 @@ def test_vocabulary_in_pieces(chunk):
             rows(bad)
 
 
+@pytest.mark.parametrize("chunk", [5, 64, 1 << 20])
+def test_vocabulary_items_are_parsed_together(chunk, monkeypatch):
+    from textloom.sources import vocab_file
+
+    def rows(text):
+        return list(vocab_rows(io.BytesIO(text.encode()), chunk))
+
+    texts = [r'{"a": 1, "b": [1, {"c": 2, "tokens": [3, 4]}], "a": 7, "d,e": 9223372036854775808, "\",": -5, "z": {}}',
+             r'{"n": 1, "tokens": ["a,b", "c\",", {"x": [1, 2]}, 5, "a", null], "m": 2}', '{"tokens": 5, "a": 1, "tokens": ["x"], "b": 2}',
+             json.dumps({f"w,{i}": i for i in range(300)}), json.dumps({"tokens": [f"é'{i}" for i in range(300)]})]
+    together = [rows(t) for t in texts]
+    calls = []
+    value = vocab_file._Pieces.value
+    monkeypatch.setattr(vocab_file._Pieces, "value", lambda self: calls.append(1) or value(self))
+    rows(texts[3])
+    assert chunk < 1 << 20 or len(calls) <= 4
+    monkeypatch.setattr(vocab_file, "MANY_TRIES", 0)
+    assert together == [rows(t) for t in texts]
+    for bad in ('{,"a": 1}', '{"a": 1,}', '{"tokens": [,"a"]}', '{"tokens": ["a",,"b"]}', '{"a": 1,, "b": 2}'):
+        monkeypatch.undo()
+        with pytest.raises(ValueError):
+            rows(bad)
+
+
 def test_vocabulary_files(spark, tmp_path):
     def scan(text):
         (tmp_path / "v.json").write_text(text)
