@@ -1,5 +1,6 @@
 """Operators against brute force: rules, exact and substring dedup, lines, Jaccard groups."""
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -245,6 +246,45 @@ def test_groups_of_near_copies_without_and_with_rounds(spark):
         assert got == want
 
 
+def test_a_set_travels_about_once(spark, monkeypatch):
+    # 30 near copies of one text, and texts just below the threshold that sketches of one bit per member let pass.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:13 * i] + [f"x{i}"] + base[13 * i + 1:])) for i in range(30)]
+    rows += [(100 + i, " ".join(w if k % 26 else f"y{i}.{rng.random()}" for k, w in enumerate(base))) for i in range(10)]
+    sizes, lists = {"compared": 0}, defaultdict(set)
+    verified, stored = jaccard._Verifier._verified, jaccard.stored
+
+    def counted(self, pairs, members):
+        sizes["compared"] += pairs.count()
+        return verified(self, pairs, members)
+
+    def kept(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        if name == "shared":
+            for row in out.collect():
+                lists[row.key].add(row.id)
+        return out
+
+    monkeypatch.setattr(jaccard._Verifier, "_verified", counted)
+    monkeypatch.setattr(jaccard, "stored", kept)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, JaccardRule(3, 90), rounds=0, boundary=10**6, count_links=False).collect()}
+    assert got == {i: 0 if i < 30 else i for i, _ in rows}
+    assert sizes["compared"] < 4 * 30  # of 435 pairs of near copies
+    assert sizes["near"] <= sizes["close"]
+    assert len({frozenset(x) for x in lists.values()}) == len(lists)
+
+
+def test_finer_sketches_tell_more(spark):
+    rng = np.random.default_rng(3)
+    common, own = rng.integers(0, 1 << 63, 700, np.uint64), rng.integers(0, 1 << 63, (2, 100), np.uint64)
+    a, b = (np.concatenate([common, x]) for x in own)
+    bounds = [sketch_distance(odd_sketch(a, n), odd_sketch(b, n)) for n in (1, 4)]
+    assert bounds[0] <= bounds[1] <= 200 and bounds[1] > 180
+
+
 def test_groups_in_blocks_of_long_lists(spark, monkeypatch):
     """Every list counts as long and has several blocks."""
     monkeypatch.setattr(jaccard, "LONG_LIST", 1)

@@ -11,7 +11,9 @@ threshold share at least two shingles within the first ``size - least overlap +
 Equal sets are one node. Lists hold links of whole groups, so a list is not paired up at
 once: its rows are first compared with one central row of the list, in rounds, and only rows of
 groups that are still apart are compared with each other. No link is lost that way, and a
-group of near copies costs a few comparisons per copy instead of the square. Rows of long lists that are
+group of near copies costs a few comparisons per copy instead of the square. Lists with the same rows are one list.
+Candidates are sorted out by sketches; whole sets travel for the pairs left, first one pair per set, then
+the pairs whose ends are still apart. Rows of long lists that are
 still apart are compared by sketches inside tasks, block against block, and only close pairs become rows.
 
 The groups are known then, and every link lies inside one. Their sets are compared once more, each
@@ -46,6 +48,8 @@ PAIRS_PER_ROW, PAIRS_LEFT = 2, .8
 LONG_LIST, LIST_BLOCK = 24, 512
 # What comparing a candidate costs, in rows of a list.
 PAIR_COST = 8
+# Bits per member of the finer sketches of sets in candidate pairs; a whole set takes 64.
+FINE = 4
 # Rows compared with one set in one task.
 TOGETHER = 256
 # Links are counted in blocks of so many sets, more in groups that would have over LINK_BLOCKS of them, and
@@ -96,13 +100,13 @@ def digests(hashes: np.ndarray, starts: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in np.stack([s[starts[1:]] - s[starts[:-1]] for s in sums], axis=1)]
 
 
-def odd_sketch(hashes: np.ndarray) -> bytes:
-    """Bits that each member flips; as many as the set has members, up to a power of two.
+def odd_sketch(hashes: np.ndarray, times: int = 1) -> bytes:
+    """Bits that each member flips; ``times`` as many as the set has members, up to a power of two.
 
     Members that two sets share cancel out, so the bits that differ between two sketches
     are never more than the members in which the sets differ.
     """
-    size = 1 << max(6, int(len(hashes) - 1).bit_length())
+    size = 1 << max(6, int(times * len(hashes) - 1).bit_length())
     at = (mixed(hashes ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
 
@@ -259,15 +263,53 @@ def _long_lists(rows: DataFrame, nodes: DataFrame, rule: JaccardRule, kind: str)
 
 
 class _Verifier:
-    """Pairs of nodes that link: first by sketches, then by their whole sets."""
+    """Groups tied by pairs of nodes that link: first by sketches, then by their whole sets."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, rule: JaccardRule, kind: str):
         self.docs, self.nodes, self.rule, self.kind = docs, nodes, rule, kind
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets reach the threshold; ``a`` may be in very many pairs."""
+    def merged(self, groups: DataFrame, pairs: DataFrame) -> DataFrame:
+        """``groups`` after linking all pairs (a, b) whose sets reach the threshold; ``a`` may be in very many pairs.
+
+        Each ``b`` is compared with one ``a`` first. Pairs whose ends are in one group then say nothing
+        new; only the others are compared, so that a set seldom travels more than once.
+        """
+        close, members = self._close(pairs)
+        first = stored(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+        groups = _merged(groups, stored(self._verified(first, members), "links"))
+        if first.count() == close.count():
+            return groups
+        a, b = (groups.toDF(c, f"g{c}") for c in "ab")
+        placed = close.join(first, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+        rest = stored(placed.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "rest")
+        return groups if rest.isEmpty() else _merged(groups, stored(self._verified(rest, members), "links"))
+
+    def _close(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The distinct pairs whose sketches allow a link, and (id, members) of their nodes.
+
+        The sketches of all nodes leave many pairs just below the threshold. Finer ones, made only of
+        nodes in pairs, sort most of them out before whole sets travel.
+        """
+        rule, kind = self.rule, self.kind
+        close = stored(self._near(pairs, self.nodes.select("id", "size", "sketch")), "close")
+        ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
+        texts = join_ids(self.docs, ids, "id", "left_semi")
+
+        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+            doc, hashes = shingle_sets(batch.column("text").to_pylist(), rule.words)
+            at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
+            fine = [odd_sketch(hashes[a:b], FINE) if b > a else b"" for a, b in zip(at[:-1], at[1:])]
+            return pa.RecordBatch.from_arrays([
+                batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64))),
+                pa.array(fine, pa.binary())], ["id", "members", "fine"])
+
+        members = stored(text_blocks(texts, sets, f"id {kind}, members array<bigint>, fine binary", "id").where(
+            F.size("members") > 0), "members")
+        return stored(self._near(close, members.select("id", F.size("members"), "fine")), "near"), members.drop("fine")
+
+    def _near(self, pairs: DataFrame, side: DataFrame) -> DataFrame:
+        """The distinct pairs whose sketches in ``side`` (id, size, sketch) allow a link."""
         rule, kind = self.rule, self.kind
-        side = self.nodes.select("id", "size", "sketch")
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -279,17 +321,11 @@ class _Verifier:
                 yield batch.filter(pa.array(rule.links(most, *sizes))).select(["a", "b"])
 
         both = pairs.join(side.toDF("b", "size_b", "sketch_b"), "b").join(side.toDF("a", "size_a", "sketch_a"), "a")
-        close = stored(both.mapInArrow(near, f"a {kind}, b {kind}"), "close")
-        ids = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-        texts = join_ids(self.docs, ids, "id", "left_semi")
-
-        def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-            doc, hashes = shingle_sets(batch.column("text").to_pylist(), rule.words)
-            at = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(hashes.view(np.int64)))], ["id", "members"])
+        return both.mapInArrow(near, f"a {kind}, b {kind}").distinct()
 
-        members = stored(text_blocks(texts, sets, f"id {kind}, members array<bigint>", "id"), "members")
+    def _verified(self, close: DataFrame, members: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose whole sets reach the threshold."""
+        rule, kind = self.rule, self.kind
         # One set of ``a`` meets at most about TOGETHER sets in a task, however many pairs it is in.
         parts = close.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("parts"))
         salted = close.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
@@ -542,7 +578,9 @@ def _joined(
         met = sample.agg(F.sum(F.col("count") * (F.col("count") - 1)) / F.sum("count")).first()[0] or 0.0
         boundary = choose_boundary(_histogram(nodes), met, rule)
 
-    shared = stored(with_group(_lists(nodes, rule, boundary), "key", {}, smallest=2).drop("n"), "shared")
+    # Near copies share most of their lists: those with the same rows are one list.
+    listed = with_group(_lists(nodes, rule, boundary), "key", {"rows": F.bit_xor(F.xxhash64("id"))}, smallest=2)
+    shared = stored(listed.select(F.xxhash64("rows", "n").alias("key"), "id", "size").distinct(), "shared")
     verify = _Verifier(given, nodes, rule, kind)
     groups = nodes.where(F.lit(False)).select("id", F.col("id").alias("grp"))
     if not ties.isEmpty():
@@ -575,8 +613,7 @@ def _joined(
             candidates = scored.join(centre, "key").where(
                 (F.col("c.grp") != F.col("grp")) & _may_link(F.col("c.size"), F.col("size"), rule)
             ).select(F.col("c.id").alias("id_a"), F.col("id").alias("id_b"))
-        links = stored(verify.links(candidates.toDF("a", "b").distinct()).distinct(), "links")
-        groups = _merged(groups, links)
+        groups = verify.merged(groups, candidates.toDF("a", "b").distinct())
         if last:
             break
     node_of = per_id.select("id", F.col("low").alias("node"))
