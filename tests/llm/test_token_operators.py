@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import edge_rows
-from textloom.llm import queries
+from textloom.llm import byte_bpe, queries
 from textloom.llm.byte_bpe import (
-    RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, frequent_words, load_ranks, merge_long, word_counts,
+    Dictionary, RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, frequent_words, load_ranks, merge_long, word_counts,
 )
 from textloom.llm.packing import Packer, PackLimits, id_array, pack_documents
 from textloom.llm.subwords import SubwordEncoder
@@ -243,3 +243,36 @@ def test_chunks_keep_matches(text):
     assert [w.decode() for c in listed[1] for w in splitter.words(c)] == whole
     if "\x1c" not in text:
         assert whole == regex.findall(P.PATTERN, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB é1.,'s \n\t 　 \x1c!", max_size=40), max_size=5), st.sampled_from([P.PATTERN, r" ?\p{L}+|\p{N}"]))
+def test_words_of_many_chunks(texts, pattern):
+    splitter = WordSplitter(pattern)
+    chunks = splitter.chunk_lists(pa.array([t.encode() for t in texts], pa.binary())).values
+    words, sizes = splitter.words_of(chunks)
+    want = [splitter.words(c) for c in chunks.to_pylist()]
+    assert words.to_pylist() == [w for c in want for w in c] and sizes.tolist() == list(map(len, want))
+
+
+def test_one_search_for_many_chunks():
+    splitter, calls = WordSplitter(P.PATTERN), []
+
+    class Search:
+        def findall(self, text):
+            calls.append(text)
+            return found(text)
+
+    found, splitter._words = splitter._words.findall, Search()
+    chunks = [b"first", *(f" w{i},".encode() for i in range(1000)), b"\nline", "\u3000".encode(), b" plain"]
+    words, sizes = splitter.words_of(pa.array(chunks, pa.large_binary()))
+    assert b"".join(words.to_pylist()) == b"".join(chunks) and sizes.tolist() == [1] + [3] * 1000 + [2, 1, 1]
+    assert len(calls) == 3
+
+
+def test_dictionary_is_no_table_of_each_block(monkeypatch):
+    own = Dictionary(pa.table({"word": pa.array([b"%d" % i for i in range(1000)], pa.binary()), "ids": [[i, i] for i in range(1000)]}))
+    sizes, search = [], byte_bpe.pc.index_in
+    monkeypatch.setattr(byte_bpe.pc, "index_in", lambda values, value_set: sizes.append(len(value_set)) or search(values, value_set=value_set))
+    found, ids = own.known(pa.array([b"7", b"x", b"999", b"y", b"0"], pa.binary()), {3: [5, 6, 7]})
+    assert found.tolist() == [2, 0, 2, 3, 2] and ids.tolist() == [7, 7, 999, 999, 5, 6, 7, 0, 0] and max(sizes) == 5

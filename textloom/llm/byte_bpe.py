@@ -203,16 +203,40 @@ class WordSplitter:
     def words_of(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """(the words of all chunks, one chunk after the other; the number of words of each chunk)."""
         plain = pc.match_substring_regex(chunks, "^ [A-Za-z]+$")  # a word as it stands: the common case
-        rest = list(map(self.words, chunks.filter(pc.invert(plain)).to_pylist()))
+        rest, counts = self._cut(chunks.filter(pc.invert(plain)).cast(pa.large_string()))
         mask = plain.to_numpy(zero_copy_only=False)
         sizes = np.ones(len(chunks), np.int64)
-        sizes[~mask] = list(map(len, rest))
-        pool = pa.concat_arrays([chunks.filter(plain).cast(pa.binary()), pa.array(list(chain.from_iterable(rest)), pa.binary())])
+        sizes[~mask] = counts
+        pool = pa.concat_arrays([chunks.filter(plain).cast(pa.binary()), rest])
         of_plain = np.repeat(mask, sizes)
         order, n = np.empty(len(pool), np.int64), int(mask.sum())
         order[of_plain], order[~of_plain] = np.arange(n), np.arange(n, len(pool))
         return pool.take(pa.array(order)), sizes
 
+    def _cut(self, chunks: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """``words_of`` with one search for the chunks whose only white space is a space or line end before them.
+
+        No match crosses the beginning of such a chunk, so they are put together. Other chunks are searched one by one.
+        """
+        joined = pc.match_substring_regex(chunks, f"^[ \\n][^ \\n{ODD_WHITE}]+$").to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.utf8_length(chunks.filter(pa.array(joined))).to_numpy().astype(np.int64))
+        found = self._words.findall("".join(chunks.filter(pa.array(joined)).to_pylist()))
+        reached = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if joined.any() and not np.isin(ends, reached).all():  # a pattern that leaves something out
+            joined, found, reached, ends = np.zeros(len(chunks), bool), [], reached[:0], ends[:0]
+        single = [self._words.findall(c) for c in chunks.filter(pa.array(~joined)).to_pylist()]
+        sizes = np.empty(len(chunks), np.int64)
+        sizes[joined] = np.diff(np.searchsorted(reached, ends, "right"), prepend=0)
+        sizes[~joined] = list(map(len, single))
+        pool = pa.array([*found, *chain.from_iterable(single)], pa.string()).cast(pa.binary())
+        if not single:
+            return pool, sizes
+        # From the order of the search to that of the chunks.
+        first = np.empty(len(chunks), np.int64)
+        for part in (joined, ~joined):
+            first[part] = np.cumsum(sizes[part]) - sizes[part] + (0 if part is joined else len(found))
+        return pool.take(pa.array(runs(first, sizes))), sizes
+
     def chunk_lists(self, texts: pa.Array) -> pa.ListArray:
         """The chunks of each text, cut in Arrow where white space is single spaces and line ends.
 
@@ -282,11 +306,14 @@ class Dictionary:
         self.ids = pc.list_flatten(ids).to_numpy().astype(np.int32)
 
     def known(self, words: pa.BinaryArray, others: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, 0 for unknown ones; the ids of the known ones in a row).
+        """(number of ids of each of the distinct words, 0 for unknown ones; the ids of the known ones in a row).
 
         ``others`` holds the ids of words known without the dictionary, by their place.
         """
-        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        # The few words are searched for the many: a table of the dictionary would be built anew by each call.
+        place = pc.index_in(self.words, value_set=words).fill_null(-1).to_numpy()
+        at = np.full(len(words), -1, np.int64)
+        at[place[place >= 0]] = np.flatnonzero(place >= 0)
         sizes, begins = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         found = at >= 0
         sizes[found], begins[found] = self.sizes[at[found]], self.begins[at[found]]
