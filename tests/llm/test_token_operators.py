@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import edge_rows
-from textloom.llm import byte_bpe, queries
+from textloom.llm import byte_bpe, packing, queries, subwords
 from textloom.llm.byte_bpe import (
     Dictionary, RankMap, WordSplitter, decode_bpe, encode_bpe, fold_merges, frequent_words, load_ranks, merge_long, word_counts,
 )
@@ -178,6 +178,29 @@ def test_packer(items, cut):
         assert len(parts) <= 3
 
 
+def test_blocks_are_encoded_in_slices(monkeypatch):
+    texts = [(t or "").encode() for _, t in edge_rows()] + [b"12,5 x9 -- <a>" * 20] * 9
+    block = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    whole = SubwordEncoder(WORDS, 2).encode(block.column("text"))
+    own, given = SubwordEncoder(WORDS, 2), []
+    monkeypatch.setattr(packing, "SLICE", 500)
+    monkeypatch.setattr(subwords, "SINGLY", 3)
+    encode, inner = own.encode, own._tokenizer
+    own.encode = lambda part: given.append(part.to_pylist()) or encode(part)
+
+    class Library:
+        def encode_batch(self, chunks, **options):
+            assert len(chunks) <= max(3, subwords.TOGETHER * 1000)
+            if not all(c.replace(" ", "").isalpha() for c in chunks):
+                assert len(chunks) <= 3
+            return inner.encode_batch(chunks, **options)
+
+    own._tokenizer = Library()
+    flat, starts = packing.encoded(own, block)
+    assert flat.tolist() == whole[0].tolist() and starts.tolist() == whole[1].tolist()
+    assert len(given) > 5 and all(sum(map(len, g[:-1])) < 500 for g in given)
+
+
 # --- byte-level BPE ------------------------------------------------------------------------
 
 def test_ids_and_decoded_texts(edges, reference):

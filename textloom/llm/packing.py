@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import split, stored
-from textloom.llm.subwords import BLOCK, encoder
+from textloom.llm.subwords import BLOCK, SubwordEncoder, encoder
 
 # Partitions whose last, unfinished sequences are repacked together.
 REPACKED = 512
+# Texts of a block that are encoded at a time: positions of chunks and ids take several times the texts.
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -136,7 +138,7 @@ def pack_documents(
         for batch in batches:
             id_type = batch.schema.field("id").type
             for block in split(batch, BLOCK):
-                flat, starts = encoder(tokenizer, end_id).encode(block.column("text"))
+                flat, starts = encoded(encoder(tokenizer, end_id), block)
                 ids = block.column("id").to_pylist()
                 n = np.diff(starts)
                 loss = n if loss_col is None else np.array(
@@ -173,6 +175,17 @@ def pack_documents(
     return pieces.where("not unfinished").unionByName(left).drop("part", "unfinished")
 
 
+def encoded(subwords: SubwordEncoder, block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """What ``SubwordEncoder.encode`` gives for the texts of a block, made in slices of about ``SLICE`` bytes."""
+    flat, sizes = [], []
+    for part in split(block, SLICE):
+        ids, starts = subwords.encode(part.column("text"))
+        flat.append(ids)
+        sizes.append(np.diff(starts))
+        pa.default_memory_pool().release_unused()
+    return np.concatenate(flat), np.cumsum(np.concatenate([[0], *sizes]))
+
+
 def id_array(ids: Column) -> Column:
     """A piece's ids as an array of integers."""
     code = F.hex(ids)

@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 REMEMBERED = 600_000
 # Chunks given to the library in one string: it takes as long for a string as for some words.
 TOGETHER = 32
+# Other chunks given to the library at a time: what it returns takes much more memory than the ids.
+SINGLY = 1 << 13
 # Larger blocks than elsewhere, as a block encodes its rare words once.
 BLOCK = 16 << 20
 
@@ -123,10 +125,12 @@ class SubwordEncoder:
             sizes[part] = np.diff(ends, prepend=0)
             order += part
             pool.append(flat)
-        for k, e in zip(alone, self._tokenizer.encode_batch([chunks[k] for k in alone], add_special_tokens=False)):
-            sizes[k] = len(e.ids)
-            order.append(k)
-            pool.append(np.array(e.ids, np.uint32))
+        for start in range(0, len(alone), SINGLY):
+            part = alone[start:start + SINGLY]
+            found = [e.ids for e in self._tokenizer.encode_batch([chunks[k] for k in part], add_special_tokens=False)]
+            sizes[part] = list(map(len, found))
+            order += part
+            pool.append(np.fromiter(chain.from_iterable(found), np.uint32))
         # From the order of encoding to that of the chunks.
         begins = np.zeros(len(sizes), np.int64)
         begins[order] = np.cumsum(sizes[order]) - sizes[order]
