@@ -201,6 +201,28 @@ def test_blocks_are_encoded_in_slices(monkeypatch):
     assert len(given) > 5 and all(sum(map(len, g[:-1])) < 500 for g in given)
 
 
+def test_the_library_gets_few_chunks_at_a_time(library):
+    letters = "abcdefghijklmnop"
+    words = [letters[i % 16] + letters[i // 16 % 16] + letters[i // 256 % 16] + letters[i // 4096] * 3 for i in range(7000)]
+    texts = [" ".join(words), " ".join(f"{w}{i}" for i, w in enumerate(words[:3000]))]
+    own, given = SubwordEncoder(WORDS, 2), []
+    inner = own._tokenizer
+
+    class Library:
+        def encode_batch(self, chunks, **options):
+            given.append(chunks)
+            return inner.encode_batch(chunks, **options)
+
+    own._tokenizer = Library()
+    flat, starts = own.encode(pa.array([t.encode() for t in texts], pa.binary()))
+    for text, ids in zip(texts, np.split(flat, starts[1:-1])):
+        assert ids.tolist() == library(text).tolist()
+    # The results of one call are many times larger than the ids.
+    assert sum(len(c) for calls in given for c in calls) >= 7000 * 6
+    assert max(sum(len(c.split()) for c in chunks) for chunks in given) <= 3200
+    assert own._whole is None  # the second copy of the library is only for texts with added tokens
+
+
 # --- byte-level BPE ------------------------------------------------------------------------
 
 def test_ids_and_decoded_texts(edges, reference):

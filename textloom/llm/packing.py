@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import split, stored
-from textloom.llm.subwords import BLOCK, SubwordEncoder, encoder
+from textloom.llm.subwords import SubwordEncoder, encoder
 
 # Partitions whose last, unfinished sequences are repacked together.
 REPACKED = 512
-# Texts of a block that are encoded at a time: positions of chunks and ids take several times the texts.
+# Texts that are encoded and packed at a time: positions of chunks, ids and pieces take several times the texts.
 SLICE = 4 << 20
 
 
@@ -137,7 +137,7 @@ def pack_documents(
         packer, held = Packer(limits, cut), []
         for batch in batches:
             id_type = batch.schema.field("id").type
-            for block in split(batch, BLOCK):
+            for block in split(batch, SLICE):
                 flat, starts = encoded(encoder(tokenizer, end_id), block)
                 ids = block.column("id").to_pylist()
                 n = np.diff(starts)

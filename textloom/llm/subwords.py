@@ -13,8 +13,8 @@ from tokenizers import Tokenizer
 REMEMBERED = 600_000
 # Chunks given to the library in one string: it takes as long for a string as for some words.
 TOGETHER = 32
-# Other chunks given to the library at a time: what it returns takes much more memory than the ids.
-SINGLY = 1 << 13
+# Strings of words, and other chunks, given to the library at a time: what it returns takes much more memory than the ids.
+STRINGS, SINGLY = 100, 1 << 10
 # Larger blocks than elsewhere, as a block encodes its rare words once.
 BLOCK = 16 << 20
 
@@ -42,7 +42,7 @@ class SubwordEncoder:
         self._added = [a.content for a in added]
         self._folded = any(a.normalized for a in added)
         self._prefix = os.path.commonprefix(self._added).encode()
-        self._whole = Tokenizer.from_file(path)
+        self._path, self._whole = path, None  # for texts with added tokens: read once there is one
         self._end = end_id
         # Remembered chunks, and where the ids of each begin and end in the pool.
         self._known = pa.array([""], pa.large_string())
@@ -60,6 +60,7 @@ class SubwordEncoder:
         marked = self._with_added_tokens(texts)
         if not len(marked):
             return self._encode(texts)
+        self._whole = self._whole or Tokenizer.from_file(self._path)
         flat, starts = self._encode(pc.if_else(pa.array(np.isin(np.arange(len(texts)), marked)), "", texts))
         parts = np.split(flat, starts[1:-1])
         for i in marked:
@@ -113,8 +114,8 @@ class SubwordEncoder:
         letters = np.fromiter(map(str.isalpha, chunks), bool, len(chunks)) & self._ends.any()
         words, alone = np.flatnonzero(letters).tolist(), np.flatnonzero(~letters).tolist()
         sizes, order, pool = np.zeros(len(chunks), np.int64), [], [np.empty(0, np.uint32)]
-        for start in range(0, len(words), TOGETHER * 1000):
-            part = words[start:start + TOGETHER * 1000]
+        for start in range(0, len(words), TOGETHER * STRINGS):
+            part = words[start:start + TOGETHER * STRINGS]
             joined = [" ".join([chunks[k] for k in part[i:i + TOGETHER]]) for i in range(0, len(part), TOGETHER)]
             found = self._tokenizer.encode_batch(joined, add_special_tokens=False)
             flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
