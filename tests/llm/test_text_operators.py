@@ -1,5 +1,6 @@
 """Operators against brute force: rules, exact and substring dedup, lines, Jaccard groups."""
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -379,6 +380,78 @@ def test_sketches_never_overstate(a, new, drop):
     assert sketch_distance(x, y) <= len(a ^ b)
 
 
+def listed(sets, rule, boundary):
+    """The keys of the lists that each set is in; shingles are ordered by value."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    want = np.minimum(rule.prefix(sizes) + rule.classes(rule.band(rule.reach(sizes))), sizes)
+    prefix = np.concatenate([np.sort(x)[:n] for x, n in zip(sets, want)])
+    owner, key = jaccard.list_keys(prefix, np.concatenate([[0], np.cumsum(want)]), sizes, rule, boundary)
+    return [set(key[owner == i].tolist()) for i in range(len(sets))], np.bincount(owner, minlength=len(sets))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+@pytest.mark.parametrize("boundary", [0, 39, 300])
+def test_sets_that_link_share_a_list(percent, boundary):
+    rule, draw = JaccardRule(3, percent), np.random.default_rng(percent + boundary)
+    linked = 0
+    for size in [*range(1, 80), 127, 128, 129, 160, 255, 256, 500, 512, 700]:
+        whole = draw.integers(0, 2**63, 3 * size + 2).astype(np.uint64)
+        for least in [rule.overlap(size), *draw.integers(rule.overlap(size), size + 1, 4)]:
+            for extra in {0, int(draw.integers(0, rule.reach(size) - size + 1)), max(0, int(rule.reach(least) - size))}:
+                a, b = whole[:size], whole[size - least:size + extra]
+                if (least < size or extra) and rule.links(least, len(a), len(b)):
+                    keys, _ = listed([a, b], rule, boundary)
+                    linked += 1
+                    assert keys[0] & keys[1]
+    assert linked > 100
+
+
+def test_lists_grow_with_the_shingles_of_a_set():
+    """Rows of a set are in proportion to its size, also where all pairs of its prefix would be many."""
+    rule, draw = JaccardRule(5, 80), np.random.default_rng(5)
+    sets = [draw.integers(0, 2**63, n).astype(np.uint64) for n in (30, 90, 500, 1000, 4000, 20_000)]
+    _, rows = listed(sets, rule, jaccard.most_paired(rule))
+    assert all(n <= 1.5 * len(x) + 20 for n, x in zip(rows, sets))
+
+
+def test_one_shared_shingle_or_unlike_sizes_make_no_candidates(spark, monkeypatch):
+    """Long texts with one common rare passage, and a short text beside a long one, are in no comparison."""
+    counts, stored = defaultdict(int), jaccard.stored
+    monkeypatch.setattr(jaccard, "choose_boundary", lambda *_: 10**6)
+
+    def kept(df, name):
+        out = stored(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    rows = [(k, " ".join([*(f"a{k}x{i}" for i in range(300)), "one", "rare", "passage", *(f"b{k}x{i}" for i in range(300))])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs, JaccardRule(3, 80), count_links=False).collect()}
+    assert got == {k: k for k, _ in rows}
+    assert counts["shared"] + counts["share"] == 0 and counts["lists"] < 30 * 1000
+    hashes = np.random.default_rng(2).integers(0, 2**63, 7000).astype(np.uint64)
+    sketches = [odd_sketch(hashes[:468]), odd_sketch(hashes[460:])]
+    assert jaccard.close_pairs(np.array([468, 6540]), sketches, np.array([0, 1]), None, JaccardRule(5, 80)) == []
+
+
+def test_scratch_tables_of_the_join_are_removed(spark, monkeypatch):
+    written, stored = {}, jaccard.stored
+
+    def kept(df, name):
+        out = stored(df, name)
+        written.setdefault(name, []).append(out.inputFiles()[0].removeprefix("file:").replace("//", "/"))
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", kept)
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    jaccard_components(docs, JaccardRule(3, 90), count_links=False).collect()
+    for name in ("sets", "lists", "members"):
+        assert written[name] and not any(os.path.exists(x) for x in written[name])
+    assert os.path.exists(written["nodes"][0])
+
+
 def test_boundary_follows_cost():
     rule = JaccardRule(3, 90)
     sizes = {n: 10 for n in range(9, 400)}

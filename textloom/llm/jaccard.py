@@ -1,12 +1,15 @@
 """Size-aware join of word-shingle sets by Jaccard similarity, and its connected groups.
 
 Sets are ordered by one global order of shingles, rare ones first. Two sets that reach the
-threshold share at least two shingles within the first ``size - least overlap + 2`` of both.
+threshold share at least k shingles within the first ``size - least overlap + k`` of both.
 
-* Small sets enumerate the pairs (fixed-size subsets) of that prefix: few, and very selective.
-* Large sets would have too many; their single prefix shingles go into inverted lists, and
-  the lists are scanned. Small sets that a large one can reach enter the lists too.
-* The boundary between the two is where the estimated cost of both ways is least.
+* Small sets enumerate the pairs (fixed-size subsets) of that prefix for k = 2: few, and very selective.
+* Large sets would have too many. Their prefix shingles are dealt into g classes by hash, and k = g + 1 shared ones
+  put two into one class: only pairs inside classes go into inverted lists, about three rows per shingle that
+  decides, whatever the size. Sets of one band of sizes (a power of two) have the same g, and a set enters the bands
+  of all larger sets that it can link with. Small sets that a large one can reach enter the lists too.
+* The boundary between the two is where the estimated cost of both ways is least, and at most where all
+  pairs are still few.
 
 Equal sets are one node. Lists hold links of whole groups, so a list is not paired up at
 once: its rows are first compared with one central row of the list, in rounds, and only rows of
@@ -24,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +39,7 @@ from textloom.llm.hashing import flat_words, inside, mixed, window_hashes
 from textloom.llm.heavy import with_group
 from textloom.operators.graph import connected_components
 from textloom.operators.skew import join_ids
+from textloom.operators.storage import discard
 
 # The most frequent shingles, ordered last in every set; 8 bytes each in a broadcast.
 FREQUENT = 500_000
@@ -48,6 +53,12 @@ PAIRS_PER_ROW, PAIRS_LEFT = 2, .8
 LONG_LIST, LIST_BLOCK = 24, 512
 # What comparing a candidate costs, in rows of a list.
 PAIR_COST = 8
+# Small sets have at most so many shingles that decide; classes of a large set for each of them.
+MOST_PAIRED, CLASSES = 8, .75
+# Rows of lists that one pass over the sets makes and shuffles, for each shingle of the sets, and rows that are worth a pass.
+PASS_ROWS, LEAST_PASS = .3, 1 << 22
+# Shingles of prefixes whose pairs a worker holds at once (one set may hold more).
+LIST_SLICE = 1 << 17
 # Bits per member of the finer sketches of sets in candidate pairs; a whole set takes 64.
 FINE = 4
 # Rows compared with one set in one task.
@@ -72,6 +83,19 @@ class JaccardRule:
         """How many shingles of a set decide: any link shares one among them."""
         return size - self.overlap(size) + 1
 
+    def band(self, size):
+        """The power of two at or below a size; sizes of one band have the same classes."""
+        return np.frexp(np.maximum(size, 1))[1] - 1
+
+    def classes(self, band):
+        """Classes of the sets of a band: fewer than any two of them share where they link, one at least."""
+        least = np.left_shift(np.int64(1), np.asarray(band, np.int64))
+        return np.maximum(np.minimum((CLASSES * self.prefix(least)).astype(np.int64), self.overlap(least) - 1), 1)
+
+    def reach(self, size):
+        """The largest set that one of this size can link with."""
+        return 100 * size // self.percent
+
     def links(self, common, size_a, size_b):
         return (100 * common >= self.percent * (size_a + size_b - common)) & (common > 0)
 
@@ -139,7 +163,7 @@ def frequent_shingles(docs: DataFrame, rule: JaccardRule, most: int) -> np.ndarr
 
 
 def _describe(docs: DataFrame, rule: JaccardRule, frequent: np.ndarray, kind: str) -> DataFrame:
-    """(id, size, digest, prefix, sketch) of every row; the prefix holds one shingle more than decides."""
+    """(id, size, digest, prefix, sketch) of every row; the prefix holds one shingle more than decides for each class."""
     sent = docs.sparkSession.sparkContext.broadcast((np.sort(frequent), np.argsort(frequent)))
 
     def block(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -153,7 +177,7 @@ def _describe(docs: DataFrame, rule: JaccardRule, frequent: np.ndarray, kind: st
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             hit = known[at] == hashes
             key[hit] = np.uint64(1 << 63) + rank[at[hit]].astype(np.uint64)
-        want = np.where(sizes > 0, np.minimum(rule.prefix(sizes) + 1, sizes), 0)
+        want = np.minimum(rule.prefix(sizes) + rule.classes(rule.band(rule.reach(sizes))), sizes)
         offsets = np.concatenate([[0], np.cumsum(want)])
         prefix = [hashes[:0]]
         for first, last, n_first in zip(starts[:-1].tolist(), starts[1:].tolist(), want.tolist()):
@@ -187,20 +211,82 @@ def choose_boundary(sizes: dict[int, int], list_length: float, rule: JaccardRule
     return boundary
 
 
-def _lists(nodes: DataFrame, rule: JaccardRule, boundary: int) -> DataFrame:
-    """(key, id, size): the rows of all lists that a set is in."""
-    size, prefix = F.col("size"), F.col("prefix")
+def most_paired(rule: JaccardRule) -> int:
+    """The largest size of which at most ``MOST_PAIRED`` shingles decide."""
+    sizes = np.arange(1, 1 + 100 * (MOST_PAIRED + 1) // max(1, 100 - rule.percent) + 100)
+    return int(sizes[rule.prefix(sizes) <= MOST_PAIRED].max(initial=0))
+
+
+def list_keys(prefix: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rule: JaccardRule, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of all lists that the sets are in; ``prefix`` from ``starts`` on are the first shingles of each."""
+    low, high = rule.band(sizes), rule.band(rule.reach(sizes))
+    listed = rule.reach(sizes) > boundary
+    ways = [(np.flatnonzero(sizes <= boundary), np.ones(len(sizes), np.int64), np.full(len(sizes), -1))]
+    for step in range(int((high - low).max(initial=0)) + 1):
+        band = low + step
+        ways.append((np.flatnonzero(listed & (band <= high)), rule.classes(band), band))
+    owners, keys = [], []
+    lengths = np.diff(starts)
+    for rows, classes, band in ways:
+        # One shingle more than decides for each class: two of them share a class.
+        count = np.minimum(rule.prefix(sizes[rows]) + classes[rows], lengths[rows])
+        owner = np.repeat(rows, count)
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
+        value = mixed(prefix[at] ^ np.uint64(0x8EBC6AF09C88C6E3))
+        place = owner << 32 | ((value >> np.uint64(20)) % classes[owner].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        owner, value, place = owner[order], value[order], place[order]
+        for lag in range(1, len(place)):
+            first = np.flatnonzero(place[lag:] == place[:-lag])
+            if not len(first):
+                break
+            owners.append(owner[first])
+            keys.append(mixed(value[first] + value[first + lag] + band[owner[first]].astype(np.uint64)))
+    # Sets that link by a single shingle.
+    rows = np.flatnonzero((rule.overlap(sizes) < 2) & (sizes > 0))
+    count = np.minimum(rule.prefix(sizes[rows]), lengths[rows])
+    owner = np.repeat(rows, count)
+    at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + starts[owner]
+    return np.concatenate([*owners, owner]), np.concatenate([*keys, prefix[at]]).view(np.int64)
+
+
+def _lists(nodes: DataFrame, rule: JaccardRule, boundary: int, part: int, parts: int, kind: str) -> DataFrame:
+    """(key, id, size): the rows of one of ``parts`` equal shares of the lists that a set is in."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("prefix")
+            ends = held.offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < batch.num_rows:
+                last = min(batch.num_rows, max(first + 1, int(np.searchsorted(ends, ends[first] + LIST_SLICE, "right")) - 1))
+                prefix = held.values.slice(ends[first], ends[last] - ends[first]).to_numpy().view(np.uint64)
+                owner, key = list_keys(prefix, ends[first:last + 1] - ends[first], batch.column("size").to_numpy()[first:last].astype(np.int64), rule, boundary)
+                own = np.flatnonzero(key.view(np.uint64) % np.uint64(parts) == part)
+                at = pa.array(owner[own] + first)
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), batch.column("id").take(at), batch.column("size").take(at)], ["key", "id", "size"])
+                first = last
+
     # A set so small that every set it could link with is equal to it is in no list.
-    nodes = nodes.where(F.floor(100 * size / rule.percent) > size)
-    deciding = size - F.floor((rule.percent * size + 99) / 100).cast("int") + 1
-    single = F.transform(F.slice(prefix, 1, deciding), lambda x: F.xxhash64(F.lit(1), x))
-    small = size <= boundary
-    pairs = F.flatten(F.transform(prefix, lambda x, i: F.transform(
-        F.slice(prefix, i + 2, F.size(prefix)), lambda y: F.xxhash64(F.lit(2), x, y))))
-    reached = 100 * size >= rule.percent * (boundary + 1)
-    none = F.array().cast("array<bigint>")
-    keys = F.concat(F.when(small, pairs).otherwise(none), F.when(~small | reached, single).otherwise(none))
-    return nodes.select(F.explode(keys).alias("key"), "id", "size")
+    some = nodes.where(F.floor(100 * F.col("size") / rule.percent) > F.col("size"))
+    return some.select("id", "size", "prefix").mapInArrow(rows, f"key bigint, id {kind}, size int")
+
+
+def _shared_lists(nodes: DataFrame, rule: JaccardRule, boundary: int, kind: str) -> DataFrame:
+    """(key, id, size) of the lists with several rows; near copies share most of their lists, and those with the same rows are one.
+
+    The lists are made in shares of about ``PASS_ROWS`` rows per shingle, one after the other: what a share
+    writes and shuffles is removed before the next one.
+    """
+    shingles, rows = nodes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(2 * F.size("prefix")), F.lit(0))).first()
+    parts = max(1, min(-(-rows // LEAST_PASS), int(np.ceil(rows / max(1, PASS_ROWS * shingles)))))
+    shares = []
+    for part in range(parts):
+        lists = stored(_lists(nodes, rule, boundary, part, parts, kind), "lists")
+        listed = with_group(lists, "key", {"rows": F.bit_xor(F.xxhash64("id"))}, smallest=2)
+        shares.append(stored(listed.select(F.xxhash64("rows", "n").alias("key"), "id", "size").distinct(), "share"))
+        discard(lists)
+    return stored(reduce(DataFrame.union, shares).distinct(), "shared") if parts > 1 else shares[0]
 
 
 def _may_link(size_a: Column, size_b: Column, rule: JaccardRule) -> Column:
@@ -232,7 +318,8 @@ def close_pairs(sizes: np.ndarray, sketches: list[bytes], groups: np.ndarray, si
         for cols, against in others:
             for k, i in enumerate(rows):
                 least = np.bitwise_count(against ^ matrix[k]).sum(axis=1).astype(np.int64)
-                fits = rule.links((sizes[i] + sizes[cols] - least) // 2, sizes[i], sizes[cols]) & (groups[cols] != groups[i])
+                most = np.minimum((sizes[i] + sizes[cols] - least) // 2, np.minimum(sizes[i], sizes[cols]))
+                fits = rule.links(most, sizes[i], sizes[cols]) & (groups[cols] != groups[i])
                 if cols is rows:
                     fits[:k + 1] = False
                 if sides is not None:
@@ -275,6 +362,11 @@ class _Verifier:
         new; only the others are compared, so that a set seldom travels more than once.
         """
         close, members = self._close(pairs)
+        groups = self._linked(groups, close, members)
+        discard(members)
+        return groups
+
+    def _linked(self, groups: DataFrame, close: DataFrame, members: DataFrame) -> DataFrame:
         first = stored(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
         groups = _merged(groups, stored(self._verified(first, members), "links"))
         if first.count() == close.count():
@@ -316,8 +408,8 @@ class _Verifier:
                 sizes = [batch.column(c).to_numpy() for c in ("size_a", "size_b")]
                 least = np.array([sketch_distance(x, y) for x, y in zip(
                     batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())], np.int64)
-                # |A xor B| = |A| + |B| - 2 |A and B|
-                most = (sizes[0].astype(np.int64) + sizes[1] - least) // 2
+                # |A xor B| = |A| + |B| - 2 |A and B|, and the smaller set has no more to share than it holds
+                most = np.minimum((sizes[0].astype(np.int64) + sizes[1] - least) // 2, np.minimum(*sizes))
                 yield batch.filter(pa.array(rule.links(most, *sizes))).select(["a", "b"])
 
         both = pairs.join(side.toDF("b", "size_b", "sketch_b"), "b").join(side.toDF("a", "size_a", "sketch_a"), "a")
@@ -572,15 +664,15 @@ def _joined(
         F.col("low").alias("a"), F.col("node").alias("b"))
     first = full.join(classes.where("id = node").select("id").distinct(), "id", "left_semi")
     nodes = stored(first.dropDuplicates(["id", "digest"]), "nodes")
+    narrow = stored(sets.select("id", "size"), "sizes")
+    discard(sets)
 
     if boundary is None:
         sample = nodes.select(F.explode("prefix").alias("x")).where(F.pmod("x", F.lit(64)) == 0).groupBy("x").count()
         met = sample.agg(F.sum(F.col("count") * (F.col("count") - 1)) / F.sum("count")).first()[0] or 0.0
-        boundary = choose_boundary(_histogram(nodes), met, rule)
+        boundary = min(choose_boundary(_histogram(nodes), met, rule), most_paired(rule))
 
-    # Near copies share most of their lists: those with the same rows are one list.
-    listed = with_group(_lists(nodes, rule, boundary), "key", {"rows": F.bit_xor(F.xxhash64("id"))}, smallest=2)
-    shared = stored(listed.select(F.xxhash64("rows", "n").alias("key"), "id", "size").distinct(), "shared")
+    shared = _shared_lists(nodes, rule, boundary, kind)
     verify = _Verifier(given, nodes, rule, kind)
     groups = nodes.where(F.lit(False)).select("id", F.col("id").alias("grp"))
     if not ties.isEmpty():
@@ -618,7 +710,7 @@ def _joined(
             break
     node_of = per_id.select("id", F.col("low").alias("node"))
     result = node_of.join(groups.toDF("node", "grp"), "node", "left").select("id", F.coalesce("grp", "node").alias("component_id"))
-    whole = sets.select("id", "size").join(result, "id", "left")
+    whole = narrow.join(result, "id", "left")
     columns = [F.col("id").alias("doc_id"), F.col("size").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")]
     if not count_links:
         return whole.select(*columns), None

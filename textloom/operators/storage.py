@@ -51,3 +51,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the folder that ``stored`` wrote for ``df``. Nothing may read it any more, lazily neither."""
+    spark = df.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark)).toUri().getPath().rstrip("/") + "/"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(top):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
