@@ -1,5 +1,6 @@
 """Scores against small mirrors written from their definitions."""
 import math
+import os
 import random
 import re
 
@@ -12,6 +13,7 @@ from textloom.functions import rewards as R
 from textloom.functions import scoring as C
 from textloom.functions.validation import validate_solution, validate_task
 from textloom.functions.text import word_ngrams
+from textloom.operators import nearest
 from textloom.operators.diversity import NGRAM_WEIGHTS, closest_earlier_task
 from textloom.operators.nearest import nearest_earlier
 
@@ -264,6 +266,31 @@ def test_comparisons_stay_flat_as_an_iteration_grows(spark):
     assert 0 < per_task[1] < 1.2 * per_task[0] < 12
 
 
+def test_search_writes_no_rows_per_pair(spark, monkeypatch):
+    """Many blocks and chunks: tables hold at most a row per member, are removed, and the results are those of bundles."""
+    rows = variants(60)
+    rows = list({(g, w): (g, p, w) for g, p, w in rows + [(2, p, w + " second group") for _, p, w in rows]}.values())
+    df = spark.createDataFrame(rows, "grp bigint, place bigint, words string")
+    sizes, files, stored = {}, [], nearest.stored
+
+    def kept(table, name):
+        out = stored(table, name)
+        sizes[name] = max(out.count(), sizes.get(name, 0))
+        files.append((name, out.inputFiles()[0].removeprefix("file:").replace("//", "/")))
+        return out
+
+    monkeypatch.setattr(nearest, "stored", kept)
+    monkeypatch.setattr(nearest, "CHUNK", 1000)
+    sets = [word_ngrams(F.split("words", " "), n).alias(f"g{n}") for n in (1, 2, 3)]
+    found = {(r.grp, r.place): (r.similarity, r.prev) for r in nearest_earlier(df.select("*", *sets), NGRAM_WEIGHTS, short=8, block=16).collect()}
+    want = closest_earlier_task(df, "grp", "place", "words", bundle=10_000).collect()
+    assert found == {(r.grp, r.place): (r.max_similarity, r.closest_seq) for r in want}
+    members = df.count()
+    assert members > 16 * 16 and all(n <= members for name, n in sizes.items() if name not in ("shared", "ranked"))
+    assert sum(name == "pass" for name, _ in files) > 4
+    assert {name for name, file in files if os.path.exists(file)} == {"nearest"}
+
+
 def likeness_of(rows, it, seq, other):
     text = {(i, s): t or "" for i, s, t in rows}
     return likeness(text[(it, seq)], text[(it, other)])
